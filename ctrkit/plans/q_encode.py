@@ -1 +1,133 @@
-"""placeholder"""
+"""Encoder queries: ordinal codes, joint encode + split, one-hot cells, token counts,
+column dictionary, assembled design matrix."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from ctrkit.operators import encode as E
+from ctrkit.operators import instances
+from ctrkit.plans import standin as S
+from ctrkit.plans.catalog import register
+from ctrkit.plans.oracle_base import unpivot_sql, with_base
+from ctrkit.plans.q_tokens import _users_filled
+
+ORD_COLS = ["lbs", "consumptionability", "carrier", "advertiserid"]
+OHE_COLS = ["lbs", "carrier", "producttype"]
+TOKEN_FIELDS = ["kw1", "interest1", "os"]
+DICT_TOKENS = ["kw1", "interest1"]
+
+
+def _dict_sql(cols, source="data", name="dict"):
+    return [
+        f"{name}_vals AS (SELECT DISTINCT factor_name AS feature, value AS val FROM ("
+        f"{unpivot_sql(source, [], cols)}) WHERE value IS NOT NULL)",
+        f"{name}_flags AS (SELECT feature, bool_and(TRY_CAST(val AS DOUBLE) IS NOT NULL AND "
+        f"TRY_CAST(val AS DOUBLE) = floor(TRY_CAST(val AS DOUBLE))) AS num FROM {name}_vals GROUP BY feature)",
+        f"{name} AS (SELECT v.feature, v.val, CAST(row_number() OVER (PARTITION BY v.feature ORDER BY "
+        f"CASE WHEN f.num THEN TRY_CAST(v.val AS DOUBLE) END NULLS LAST, v.val) - 1 AS BIGINT) AS code "
+        f"FROM {name}_vals v JOIN {name}_flags f ON v.feature = f.feature)"]
+
+
+def _offsets_sql(order, dict_name, name):
+    pos = "CASE feature " + " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(order)) + " END"
+    return (f"{name} AS (SELECT feature, coalesce(sum(n) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND "
+            f"1 PRECEDING), 0) AS off FROM (SELECT feature, count(*) AS n, {pos} AS pos FROM {dict_name} "
+            f"GROUP BY feature))")
+
+
+@register("ordinal_encode", with_base(*_dict_sql(ORD_COLS), select=(
+    "SELECT d.uid, d.aid, " + ", ".join(f"c_{c}.code AS {c}_code" for c in ORD_COLS) + " FROM data d " +
+    " ".join(f"LEFT JOIN (SELECT val, code FROM dict WHERE feature = '{c}') c_{c} ON d.{c} = c_{c}.val"
+             for c in ORD_COLS))))
+def ordinal_encode(spark, d):
+    out = E.ordinal_encode(S.data_all(spark, d), ORD_COLS)
+    return out.select("uid", "aid", *[f"{c}_code" for c in ORD_COLS])
+
+
+@register("joint_encode_split", with_base(
+    "u AS (SELECT aid, uid, lbs, carrier, CASE WHEN label IS NULL THEN 2 ELSE 1 END AS qubie FROM data)",
+    *_dict_sql(["lbs", "carrier"], "u"),
+    select="SELECT u.aid, u.uid, CAST(u.qubie AS INTEGER) AS qubie, a.code AS lbs_code, b.code AS carrier_code FROM u "
+           "LEFT JOIN (SELECT val, code FROM dict WHERE feature = 'lbs') a ON u.lbs = a.val "
+           "LEFT JOIN (SELECT val, code FROM dict WHERE feature = 'carrier') b ON u.carrier = b.val"))
+def joint_encode_split(spark, d):
+    """U4: train and test encoded with one dictionary, told apart by the origin flag."""
+    data = S.data_all(spark, d)
+    both = instances.union_sources({1: data.where(F.col("label").isNotNull()), 2: data.where(F.col("label").isNull())},
+                                   "qubie")
+    out = E.ordinal_encode(both, ["lbs", "carrier"])
+    return out.select("aid", "uid", "qubie", "lbs_code", "carrier_code")
+
+
+@register("one_hot_long", with_base(*_dict_sql(OHE_COLS), _offsets_sql(OHE_COLS, "dict", "offs"),
+                                    f"lf AS ({unpivot_sql('data', ['uid', 'aid'], OHE_COLS)})", select=(
+    "SELECT l.uid, l.aid, CAST(o.off + c.code AS BIGINT) AS col_index, 1.0 AS value FROM lf l "
+    "JOIN dict c ON l.factor_name = c.feature AND l.value = c.val JOIN offs o ON c.feature = o.feature")))
+def one_hot_long(spark, d):
+    return E.one_hot_long(S.data_all(spark, d), ["uid", "aid"], OHE_COLS)
+
+
+def _tok_dict_sql(fields, source, word=False, name="tdict"):
+    tok = (lambda f: f"regexp_extract_all(lower({f}), '\\b\\w\\w+\\b')") if word else \
+        (lambda f: f"string_split(lower({f}), ' ')")
+    vals = " UNION ".join(f"SELECT DISTINCT '{f}' AS feature, unnest({tok(f)}) AS val FROM {source} "
+                          f"WHERE {f} IS NOT NULL" for f in fields)
+    ex = " UNION ALL ".join(f"SELECT uid, '{f}' AS feature, unnest({tok(f)}) AS val FROM {source} "
+                            f"WHERE {f} IS NOT NULL" for f in fields)
+    return [f"{name} AS (SELECT feature, val, CAST(row_number() OVER (PARTITION BY feature ORDER BY val) - 1 AS BIGINT)"
+            f" AS code FROM ({vals}))",
+            f"{name}_ex AS ({ex})"]
+
+
+_UF = ("uf AS (SELECT uid, coalesce(kw1, '-1') AS kw1, coalesce(interest1, '-1') AS interest1, "
+       "coalesce(os, '-1') AS os FROM users WHERE uid IN (SELECT uid FROM data))")
+
+
+def _tok_counts_sql(word):
+    return with_base(_UF, *_tok_dict_sql(TOKEN_FIELDS, "uf", word), select=(
+        "SELECT e.uid, e.feature, t.code, count(*) AS count FROM tdict_ex e JOIN tdict t "
+        "ON e.feature = t.feature AND e.val = t.val GROUP BY e.uid, e.feature, t.code"))
+
+
+@register("token_counts", _tok_counts_sql(False))
+def token_counts(spark, d):
+    """Blank tokenizer, lower-cased, ``-1`` is a token, alphabetical vocabulary."""
+    u = _users_filled(spark, d).select("uid", *TOKEN_FIELDS)
+    return E.token_counts_long(u, ["uid"], TOKEN_FIELDS)
+
+
+@register("token_counts_word", _tok_counts_sql(True))
+def token_counts_word(spark, d):
+    """Default word tokenizer (2+ word characters): ``-1`` and 1-letter ids vanish."""
+    u = _users_filled(spark, d).select("uid", *TOKEN_FIELDS)
+    return E.token_counts_long(u, ["uid"], TOKEN_FIELDS, word=True)
+
+
+@register("feature_dictionary", with_base(
+    *_dict_sql(OHE_COLS),
+    f"tdict AS (SELECT feature, val, CAST(row_number() OVER (PARTITION BY feature ORDER BY val) - 1 AS BIGINT) AS code "
+    f"FROM (" + " UNION ".join(f"SELECT DISTINCT '{f}' AS feature, unnest(string_split(lower({f}), ' ')) AS val "
+                               f"FROM data WHERE {f} IS NOT NULL" for f in DICT_TOKENS) + "))",
+    "blocks AS (SELECT feature, val, code FROM dict UNION ALL SELECT feature, val, code FROM tdict)",
+    _offsets_sql(OHE_COLS + DICT_TOKENS, "blocks", "offs"),
+    select="SELECT b.feature, b.val, CAST(o.off + b.code AS BIGINT) AS col_index FROM blocks b "
+           "JOIN offs o ON b.feature = o.feature"))
+def feature_dictionary(spark, d):
+    return E.feature_dictionary(S.data_all(spark, d), OHE_COLS, DICT_TOKENS)
+
+
+def design_rows(spark, d):
+    data = S.data_all(spark, d).withColumn("creativesize_num", F.col("creativesize").cast("double"))
+    rows, dictionary = E.design_matrix(data, OHE_COLS, DICT_TOKENS, ["creativesize_num"])
+    return rows.select("aid", "uid", "label", "features"), dictionary
+
+
+@register("design_matrix")
+def design_matrix(spark, d):
+    """E5-E7 (R): assembled sparse rows; reported as width and non-zero count."""
+    rows, _ = design_rows(spark, d)
+    arr = vector_to_array("features")
+    return rows.select("aid", "uid", "label", F.size(arr).alias("n_features"),
+                       F.size(F.filter(arr, lambda x: x != 0)).alias("nnz"))
