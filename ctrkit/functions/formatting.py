@@ -10,4 +10,4 @@ def fixed_point(col, digits: int = 8) -> Column:
     """``'{:.8f}'``-style text. The value is rounded to ``digits`` first so that
     half-way cases do not depend on the engine's text rounding rule."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.format_string(f"%.{digits}f", F.round(c.cast("double"), digits))
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", F.round(c.cast("double"), digits)))
