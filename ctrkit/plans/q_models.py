@@ -1 +1,309 @@
-"""placeholder"""
+"""Evaluation (AUC, ROC, best round, feature ranking, cut coverage) with SQL oracles,
+and model / search queries (rows-only checks)."""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from ctrkit.operators import encode as E
+from ctrkit.operators import evaluate as V
+from ctrkit.operators import instances
+from ctrkit.operators import models as M
+from ctrkit.operators import stats as st
+from ctrkit.operators import tokens as T
+from ctrkit.operators.smoothing import fit_beta, smooth
+from ctrkit.plans import standin as S
+from ctrkit.plans.catalog import register
+from ctrkit.plans.oracle_base import auc_ctes, with_base
+from ctrkit.plans.q_stats import CELLS, FIT_STEPS, LAB_LONG, LAB_TOK, r6
+from ctrkit.session import scratch_path, shared_root
+
+DOC_FEATURES = ["n_chars", "n_tokens", "distinct_ratio"]
+
+
+def _docs_long(spark, d):
+    return st.long_form(S.documents_labelled(spark, d), DOC_FEATURES, ["doc_id", "label"],
+                        name_col="feature", value_col="score").withColumn("score", F.col("score").cast("double"))
+
+
+_DOCS_LONG_SQL = "dl AS (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, {f} AS score, label FROM docs" for f in DOC_FEATURES) + ")"
+
+
+# ----------------------------------------------------------------------------- M1, M2, A16, M4
+@register("auc_exact", with_base(_DOCS_LONG_SQL, *auc_ctes("dl", "feature")[0], select=(
+    "SELECT feature, round(auc, 6) AS auc, n_pos, n_neg FROM auc")))
+def auc_exact(spark, d):
+    """Exact AUC (ties 1/2) of three document scores against the quality label."""
+    out = V.auc_exact(_docs_long(spark, d), "score", "label", ["feature"])
+    return out.select("feature", r6(F.col("auc")).alias("auc"), "n_pos", "n_neg")
+
+
+@register("roc_points", with_base(
+    "h AS (SELECT distinct_ratio AS score, sum(label) AS pos, sum(1 - label) AS neg FROM docs GROUP BY distinct_ratio)",
+    "c AS (SELECT score, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp FROM h)",
+    select="SELECT round(score, 6) AS threshold, round(fp / (SELECT sum(neg) FROM h), 6) AS fpr, "
+           "round(tp / (SELECT sum(pos) FROM h), 6) AS tpr FROM c"))
+def roc_points(spark, d):
+    pts = V.roc_points(S.documents_labelled(spark, d), "distinct_ratio", "label")
+    return pts.select(*[r6(F.col(c)).alias(c) for c in ["threshold", "fpr", "tpr"]])
+
+
+_FACTOR_AUC_SQL = [LAB_LONG, CELLS,
+                   "fs AS (SELECT factor_name, clicks / impressions AS score, clicks AS pos, impressions - clicks AS neg "
+                   "FROM cells)",
+                   "fh AS (SELECT factor_name, score, sum(pos) AS pos, sum(neg) AS neg FROM fs "
+                   "GROUP BY factor_name, score)",
+                   "fc AS (SELECT factor_name, pos, neg, coalesce(sum(neg) OVER (PARTITION BY factor_name ORDER BY score "
+                   "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM fh)",
+                   "fa AS (SELECT factor_name, sum(pos * (nb + neg / 2.0)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) "
+                   "AS auc FROM fc GROUP BY factor_name)"]
+
+
+def _factor_auc(spark, d):
+    """AUC of each factor's raw (value, aid) CTR as a score: from the cells directly."""
+    cells = st.ctr_by_value_aid(S.labelled(spark, d), S.CROSS_FACTORS).withColumn(
+        "neg", F.col("impressions") - F.col("clicks"))
+    return V.auc_from_counts(cells, "ctr", "clicks", "neg", ["factor_name"])
+
+
+@register("feature_auc_ranking", with_base(*_FACTOR_AUC_SQL, select=(
+    "SELECT factor_name, round(auc, 6) AS auc, CAST(row_number() OVER (ORDER BY round(auc, 6) DESC, factor_name) "
+    "AS BIGINT) AS rank FROM fa")))
+def feature_auc_ranking(spark, d):
+    """M4 relational proxy: rank features by the AUC of their CTR statistic."""
+    a = _factor_auc(spark, d).select("factor_name", r6(F.col("auc")).alias("auc"))
+    return V.rank_by_metric(a, "auc", "factor_name")
+
+
+_POS = "CASE factor_name " + " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(S.CROSS_FACTORS)) + " END"
+
+
+@register("best_round", with_base(*_FACTOR_AUC_SQL, "curve AS (SELECT " + _POS + " AS round, round(auc, 8) AS m FROM fa)",
+                                  select="SELECT CAST(min(round) AS INTEGER) AS best_round, round(max(m), 6) AS "
+                                         "best_metric FROM curve WHERE m = (SELECT max(m) FROM curve)"))
+def best_round(spark, d):
+    """A16 on the curve (factor position -> AUC): max and the first position reaching it."""
+    pos = None
+    for i, f in enumerate(S.CROSS_FACTORS):
+        pos = F.when(F.col("factor_name") == f, F.lit(i)) if pos is None else pos.when(F.col("factor_name") == f,
+                                                                                       F.lit(i))
+    curve = _factor_auc(spark, d).select(pos.alias("round"), F.col("auc").alias("metric"))
+    out = V.best_round(curve, "round", "metric")
+    return out.select(F.col("best_round").cast("int"), r6(F.col("best_metric")).alias("best_metric"))
+
+
+# ----------------------------------------------------------------------------- M6 relational part
+CUT_GRID = [1, 5, 10, 20]
+
+
+@register("cut_coverage", with_base(
+    LAB_TOK,
+    "imp AS (SELECT factor_name, single_value, count(*) AS n FROM lab_tok GROUP BY factor_name, single_value)",
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY factor_name ORDER BY n DESC, single_value) AS rnk FROM imp)",
+    "grid AS (SELECT unnest([" + ", ".join(map(str, CUT_GRID)) + "]) AS top_n)",
+    select="SELECT r.factor_name, CAST(g.top_n AS INTEGER) AS top_n, round(sum(CASE WHEN r.rnk <= g.top_n THEN r.n "
+           "ELSE 0 END) / sum(r.n), 6) AS kept_share FROM rk r, grid g GROUP BY r.factor_name, g.top_n"))
+def cut_coverage(spark, d):
+    """Share of labelled token occurrences kept by a top-N cut, for a grid of N."""
+    imp = T.token_importance(S.data_all(spark, d), S.TOKEN_FACTORS)
+    ranked = T.rank_tokens(imp)
+    per_n = [ranked.groupBy("factor_name").agg(
+        F.lit(n).alias("top_n"),
+        r6(F.sum(F.when(F.col("rank") <= n, F.col("import_value")).otherwise(0)) / F.sum("import_value"))
+        .alias("kept_share")) for n in CUT_GRID]
+    out = per_n[0]
+    for p in per_n[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# ----------------------------------------------------------------------------- model table
+NUMERIC = ["kw1cnt", "interest1cnt", "lbs_code", "carrier_code", "consumptionability_code", "delivery", "hist_ctr"]
+SMOOTH_COLS = [f"{f}_ctr_smooth" for f in S.CROSS_FACTORS]
+
+
+def model_table(spark, d):
+    """Compact numeric features per instance (train / valid / test split by hash),
+    checkpointed once because every model and search loop reads it many times."""
+    data = S.data_all(spark, d)
+    cells = st.ctr_by_value_aid(data, S.CROSS_FACTORS).drop("ctr")
+    params = fit_beta(cells, ["factor_name"], max_iter=FIT_STEPS, eps=0.0)
+    sm = st.attach_long(data, ["uid", "aid"], S.CROSS_FACTORS, smooth(cells, params, ["factor_name"]), "ctr",
+                        ["aid"], suffix="_ctr_smooth")
+    base = E.ordinal_encode(st.with_token_counts(data, ["kw1", "interest1"]), ["lbs", "carrier", "consumptionability"])
+    base = (base.join(st.delivery_volume(data), "aid", "left")
+            .join(st.historic_ctr(data, "aid").select("aid", "hist_ctr"), "aid", "left"))
+    t = base.join(sm, ["uid", "aid"], "left").fillna(0.0, subset=SMOOTH_COLS + ["hist_ctr"])
+    t = instances.hash_split(t, ["uid", "aid"], 70).withColumn(
+        "split", F.when(F.col("label").isNull(), F.lit("test")).otherwise(F.col("split")))
+    t = t.select("uid", "aid", "label", "split", *[F.col(c).cast("double") for c in NUMERIC + SMOOTH_COLS],
+                 *S.TOKEN_FACTORS)
+    t = t.withColumn("is_valid", F.col("split") == "valid")
+    shared_root(spark)
+    return t.checkpoint(eager=True)
+
+
+def _assembled(t, cols):
+    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(t)
+
+
+def _scored_test(model, t):
+    out = M.score(model, t.where(F.col("split") == "test"))
+    return out.select("aid", "uid", r6(F.col(M.SCORE)).alias("score"))
+
+
+# ----------------------------------------------------------------------------- T1-T7, E8, S16
+@register("gbt_score")
+def gbt_score(spark, d):
+    """Depth-5 trees, learning rate 0.02, 70 % row and feature subsampling,
+    validation-based early stopping; scores the test rows."""
+    t = _assembled(model_table(spark, d), NUMERIC + SMOOTH_COLS)
+    model = M.fit(M.gbt(max_iter=50, validation_col="is_valid"), t.where(F.col("label").isNotNull()))
+    return _scored_test(model, t)
+
+
+@register("gbt_score_alt")
+def gbt_score_alt(spark, d):
+    """Second parameter set (depth 5, learning rate 0.05)."""
+    t = _assembled(model_table(spark, d), NUMERIC + SMOOTH_COLS)
+    model = M.fit(M.gbt(max_iter=50, step_size=0.05, subsample=1.0, feature_subset="all"),
+                  t.where(F.col("split") == "train"))
+    return _scored_test(model, t)
+
+
+@register("logreg_score")
+def logreg_score(spark, d):
+    """L1 logistic regression with balanced class weights; score and hard label."""
+    t = instances.balanced_weights(_assembled(model_table(spark, d), NUMERIC + SMOOTH_COLS))
+    train = t.where(F.col("split") == "train")
+    n = train.count()
+    model = M.fit(M.logreg(reg_param=1.0 / n, l1_ratio=1.0, weight_col="weight"), train)
+    out = M.score(model, t.where(F.col("split") == "test"))
+    return out.select("aid", "uid", r6(F.col(M.SCORE)).alias("score"), F.col("prediction").cast("int").alias("pred"))
+
+
+@register("logreg_elastic")
+def logreg_elastic(spark, d):
+    """T4: log-loss linear model with elastic-net penalty (alpha 0.001, l1_ratio 0.15)."""
+    t = _assembled(model_table(spark, d), NUMERIC + SMOOTH_COLS)
+    model = M.fit(M.logreg(reg_param=0.001, l1_ratio=0.15, max_iter=20), t.where(F.col("split") == "train"))
+    return _scored_test(model, t)
+
+
+@register("stacked_score")
+def stacked_score(spark, d):
+    """T5: an LR over the smoothed-CTR columns becomes one more input of the trees."""
+    t = model_table(spark, d)
+    lab = t.where(F.col("split") == "train")
+    lr = M.fit(M.logreg(reg_param=0.01, max_iter=20), lab, SMOOTH_COLS)
+    stacked = M.score(lr, t, out="lr_score").drop("features", "rawPrediction", "probability", "prediction")
+    cols = NUMERIC + ["lr_score"]
+    model = M.fit(M.gbt(max_iter=30), stacked.where(F.col("split") == "train"), cols)
+    out = M.score(model, stacked.where(F.col("split") == "test"))
+    return out.select("aid", "uid", r6(F.col("lr_score")).alias("lr_score"), r6(F.col(M.SCORE)).alias("score"))
+
+
+@register("leaf_features")
+def leaf_features(spark, d):
+    """Leaf index per tree as one-hot column indices (tree * 2^depth + leaf)."""
+    t = _assembled(model_table(spark, d), NUMERIC + SMOOTH_COLS)
+    model = M.fit(M.gbt(max_iter=10, leaf_col="leaf"), t.where(F.col("split") == "train"))
+    out = M.leaf_indices(model, t, "leaf", 5)
+    return out.select("aid", "uid", F.size("leaf_index").alias("n_trees"), F.array_max("leaf_index").alias("max_index"))
+
+
+@register("model_roundtrip")
+def model_roundtrip(spark, d):
+    """Fitted pipeline saved to the shared folder, loaded, applied."""
+    from pyspark.ml import PipelineModel
+    t = model_table(spark, d)
+    model = M.fit(M.logreg(reg_param=0.01, max_iter=20), t.where(F.col("split") == "train"), NUMERIC + SMOOTH_COLS)
+    path = scratch_path(spark, "model")
+    model.write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    return _scored_test(loaded, t)
+
+
+# ----------------------------------------------------------------------------- M3, M5-M8
+@register("cv_auc_curve")
+def cv_auc_curve(spark, d):
+    """M3: k hash folds; per boosting round the held-out log loss of each fold
+    (``evaluateEachIteration``), then mean and standard deviation per round."""
+    from ctrkit.functions.hashing import hash_bucket
+    t = _assembled(model_table(spark, d), NUMERIC + SMOOTH_COLS).where(F.col("label").isNotNull())
+    t = t.withColumn("fold", hash_bucket(["uid", "aid"], 3, "fold"))
+    rows = []
+    for k in range(3):
+        model = M.gbt(max_iter=20).fit(t.where(F.col("fold") != k))
+        for r, loss in enumerate(model.evaluateEachIteration(t.where(F.col("fold") == k))):
+            rows.append((k, r + 1, float(loss)))
+    curve = spark.createDataFrame(rows, "fold int, round int, loss double")
+    return curve.groupBy("round").agg(r6(F.avg("loss")).alias("mean_loss"), r6(F.stddev("loss")).alias("std_loss"))
+
+
+def _lr():
+    return M.logreg(reg_param=0.01, max_iter=20)
+
+
+@register("feature_add_curve")
+def feature_add_curve(spark, d):
+    """M4 / M5: each smoothed-CTR feature added to a fixed base, then greedily kept."""
+    t = model_table(spark, d)
+    train, valid = t.where(F.col("split") == "train"), t.where(F.col("split") == "valid")
+    alone = M.trial_features(train, valid, ["kw1cnt", "interest1cnt"], SMOOTH_COLS, _lr, greedy=False)
+    greedy = M.trial_features(train, valid, ["kw1cnt", "interest1cnt"], SMOOTH_COLS, _lr, greedy=True)
+    rows = [("alone", *r) for r in alone] + [("greedy", *r) for r in greedy]
+    return spark.createDataFrame(rows, "mode string, step int, feature string, train_auc double, valid_auc double")
+
+
+@register("cut_search")
+def cut_search(spark, d):
+    """M6: for each N of a grid, cut kw1 to its top N tokens, re-encode token counts,
+    refit and log (top_n, train_auc, valid_auc)."""
+    t = model_table(spark, d)
+    imp = T.token_importance(S.data_all(spark, d), ["kw1"])
+    rows = []
+    for n in CUT_GRID:
+        cut = T.topn_cut_set(imp, n)
+        cutted = T.cut_tokens(t.select("uid", "aid", "kw1"), ["uid", "aid"], ["kw1"], cut)
+        tc = E.token_counts_long(cutted, ["uid", "aid"], ["kw1"])
+        width = tc.agg(F.max("code")).collect()[0][0] + 1
+        vec = (tc.groupBy("uid", "aid").agg(F.map_from_entries(F.collect_list(F.struct(
+            F.col("code").cast("int"), F.col("count").cast("double")))).alias("m")))
+        dense = vec.select("uid", "aid", *[F.coalesce(F.col("m")[i], F.lit(0.0)).alias(f"tok_{i}") for i in range(width)])
+        x = t.join(dense, ["uid", "aid"], "left").fillna(0.0)
+        cols = [f"tok_{i}" for i in range(width)] + SMOOTH_COLS
+        model = M.fit(_lr(), x.where(F.col("split") == "train"), cols)
+        rows.append((n, M.auc_of(M.score(model, x.where(F.col("split") == "train"))),
+                     M.auc_of(M.score(model, x.where(F.col("split") == "valid")))))
+    return spark.createDataFrame(rows, "top_n int, train_auc double, valid_auc double")
+
+
+@register("grid_search")
+def grid_search(spark, d):
+    """M7: penalty x iterations grid for the linear model, train / valid AUC per cell."""
+    t = _assembled(model_table(spark, d), NUMERIC + SMOOTH_COLS)
+    train, valid = t.where(F.col("split") == "train"), t.where(F.col("split") == "valid")
+    rows = []
+    for reg in [0.1, 0.01, 0.001]:
+        for it in [2, 5, 10]:
+            model = M.fit(M.logreg(reg_param=reg, l1_ratio=0.15, max_iter=it), train)
+            rows.append((reg, it, M.auc_of(M.score(model, train)), M.auc_of(M.score(model, valid))))
+    return spark.createDataFrame(rows, "reg_param double, max_iter int, train_auc double, valid_auc double")
+
+
+@register("importance_by_value")
+def importance_by_value(spark, d):
+    """M8: tree importances of the one-hot / token-count design matrix mapped back to
+    (feature, value) through the column dictionary, and summed per feature."""
+    from ctrkit.plans.q_encode import design_rows
+    rows, dictionary = design_rows(spark, d)
+    model = M.gbt(max_iter=10).fit(rows.where(F.col("label").isNotNull()))
+    imp = model.featureImportances
+    pairs = [(int(i), float(v)) for i, v in zip(imp.indices, imp.values)]
+    imps = spark.createDataFrame(pairs, "col_index bigint, importance double")
+    out = dictionary.join(imps, "col_index")
+    return out.select("feature", "val", "col_index", r6(F.col("importance")).alias("importance"))
