@@ -56,10 +56,11 @@ def roc_points(df: DataFrame, score: str, label: str = "label", group_cols: list
 
 def _attach_totals(df: DataFrame, totals: DataFrame, group_cols) -> DataFrame:
     """Join a table with one row per group (bounded by the number of groups) onto rows;
-    with no group the single totals row is attached through a constant key."""
+    with no group the single totals row is read once and attached as literals."""
     if group_cols:
         return df.join(F.broadcast(totals), list(group_cols))
-    return df.withColumn("_k", F.lit(1)).join(F.broadcast(totals.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    row = totals.collect()[0]
+    return df.select("*", *[F.lit(row[c]).alias(c) for c in totals.columns])
 
 
 def best_round(curve: DataFrame, round_col: str = "round", metric_col: str = "metric",

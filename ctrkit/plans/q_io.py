@@ -164,9 +164,9 @@ def submission_format(spark, d):
     cells = st.ctr_by_value_aid(data, ["lbs"]).drop("ctr")
     params = fit_beta(cells, ["factor_name"], max_iter=FIT_STEPS, eps=0.0)
     sm = smooth(cells, params, ["factor_name"]).select(F.col("value").alias("lbs"), "aid", "ctr")
-    prior = params.select((F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("prior"))
-    test = (data.where(F.col("label").isNull()).select("aid", "uid", "lbs").join(sm, ["lbs", "aid"], "left")
-            .withColumn("_k", F.lit(1)).join(F.broadcast(prior.withColumn("_k", F.lit(1))), "_k")
+    prior = params.select("factor_name", (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("prior"))
+    test = (data.where(F.col("label").isNull()).select("aid", "uid", "lbs", F.lit("lbs").alias("factor_name"))
+            .join(sm, ["lbs", "aid"], "left").join(F.broadcast(prior), "factor_name", "left")
             .withColumn("ctr", F.coalesce(F.col("ctr"), F.col("prior"))))
     path = scratch_path(spark, "submission")
     files.write_csv(files.submission(test, "ctr"), path, header=True)

@@ -280,13 +280,12 @@ def join_cardinality(spark, d):
                 F.col("v1").alias("carrier"), F.col("v2").alias("advertiserid"), "corr_ctr"),
             ["carrier", "advertiserid"]),
     }
-    before = data.agg(F.count(F.lit(1)).alias("rows_before"))
+    before = data.count()
     out = None
     for name, j in lookups.items():
         row = j.agg(F.count(F.lit(1)).alias("rows_after")).withColumn("lookup_name", F.lit(name))
         out = row if out is None else out.unionByName(row)
-    return out.withColumn("_k", F.lit(1)).join(before.withColumn("_k", F.lit(1)), "_k").select(
-        "lookup_name", "rows_before", "rows_after")
+    return out.select("lookup_name", F.lit(before).alias("rows_before"), "rows_after")
 
 
 # ----------------------------------------------------------------------------- B1-B7, F11
