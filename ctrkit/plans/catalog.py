@@ -23,4 +23,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from ctrkit.plans import q_core, q_encode, q_io, q_models, q_stats, q_tokens  # noqa: F401
+    from ctrkit.plans import q_core, q_encode, q_io, q_models, q_stats, q_stream, q_tokens  # noqa: F401
