@@ -139,21 +139,26 @@ def pair_statistics(df: DataFrame, ad_features: list[str], user_features: list[s
                     row_keys: list[str] = ("uid", "aid")) -> DataFrame:
     """A10: for every (ad feature, user feature) pair, co-occurrence count and CTR of the
     value pair, mapped back to the rows: columns ``<af>_<uf>_cnt`` and ``<af>_<uf>_ctr``.
-    One stacked aggregation for all pairs, one join back."""
+
+    All pairs come out of ONE stacked aggregation (partial aggregation collapses it on
+    the map side). Each pair is then looked up with its own equi-join on the raw
+    columns, so Spark broadcasts a pair table when its measured size is small (a
+    product of two categorical domains usually is) and shuffles only when it is not."""
     pairs = [(a, u) for a in ad_features for u in user_features]
     names = [f"{a}_{u}" for a, u in pairs]
     structs = [F.struct(F.lit(n).alias("pair"), F.col(a).cast("string").alias("v1"),
                         F.col(u).cast("string").alias("v2")) for n, (a, u) in zip(names, pairs)]
-    stacked = df.select(*row_keys, "label", F.explode(F.array(*structs)).alias("_p")).select(
-        *row_keys, "label", "_p.*")
-    stat = (stacked.groupBy("pair", "v1", "v2")
-            .agg(F.count(F.lit(1)).alias("cnt"), F.sum("label").alias("_clicks"),
-                 F.count("label").alias("_impr"))
-            .withColumn("ctr", F.try_divide(F.col("_clicks"), F.col("_impr").cast("double"))))
-    joined = stacked.join(stat.select("pair", "v1", "v2", "cnt", "ctr"), ["pair", "v1", "v2"], "left")
-    wide = joined.groupBy(*row_keys).pivot("pair", names).agg(F.first("cnt").alias("cnt"),
-                                                              F.first("ctr").alias("ctr"))
-    return wide
+    stat = (df.select("label", F.explode(F.array(*structs)).alias("_p")).select("label", "_p.*")
+            .groupBy("pair", "v1", "v2")
+            .agg(F.count(F.lit(1)).alias("cnt"), F.sum("label").alias("_clicks"), F.count("label").alias("_impr"))
+            .select("pair", "v1", "v2", "cnt",
+                    F.try_divide(F.col("_clicks"), F.col("_impr").cast("double")).alias("ctr")))
+    out = df.select(*row_keys, *dict.fromkeys(ad_features + user_features))
+    for n, (a, u) in zip(names, pairs):
+        one = stat.where(F.col("pair") == n).select(F.col("v1").alias(a), F.col("v2").alias(u),
+                                                    F.col("cnt").alias(f"{n}_cnt"), F.col("ctr").alias(f"{n}_ctr"))
+        out = out.join(one, [a, u], "left")
+    return out.select(*row_keys, *[c for n in names for c in (f"{n}_cnt", f"{n}_ctr")])
 
 
 def noisy_or(token_rows: DataFrame, token_stat: DataFrame, group_keys: list[str], prob_col: str,

@@ -93,7 +93,8 @@ def empty_to_null(spark, d):
 
 @register("null_to_sentinel", with_base(select="SELECT * FROM data"))
 def null_to_sentinel(spark, d):
-    return S.data_all(spark, d)
+    """Built from the raw tables (train and test joined, NULL -> '-1' on user columns)."""
+    return S.build_data_all(spark, d)
 
 
 @register("project_columns", with_base(select="SELECT aid, uid, lbs, carrier, advertiserid FROM data"))

@@ -13,11 +13,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctrkit.operators.clean import empty_to_null, null_to_sentinel, recode_label
 from ctrkit.operators.instances import join_instances
+from ctrkit.session import scratch_path
 
 USER_SINGLE = ["lbs", "house", "carrier", "consumptionability"]
 USER_MULTI = ["kw1", "interest1", "os"]
@@ -35,19 +38,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, cols: list[str] | None =
     return df.select(*cols) if cols else df
 
 
-def _lines(spark, sf_dir, with_part: bool = False) -> DataFrame:
+def _lines(spark, sf_dir) -> DataFrame:
     li = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_returnflag"])
     o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"])
-    out = li.join(o, li.l_orderkey == o.o_orderkey)
-    if with_part:
-        p = table(spark, sf_dir, "part", ["p_partkey", "p_brand", "p_size"])
-        out = out.join(p, out.l_partkey == p.p_partkey)
-    return out
+    return li.join(o, li.l_orderkey == o.o_orderkey)
 
 
 def instance_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(uid, aid, has_r, has_a): one row per pair (neither (uid, aid) nor the line key
-    is unique in lineitem)."""
+    is unique in lineitem). Plain hash aggregation (codegen, partial on the map side)."""
     return (_lines(spark, sf_dir)
             .groupBy(F.col("o_custkey").alias("uid"), F.col("l_partkey").alias("aid"))
             .agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("has_r"),
@@ -74,7 +73,9 @@ def _joined_tokens(values) -> F.Column:
 
 def user_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw user dimension, ``''`` for missing."""
-    multi = (_lines(spark, sf_dir, with_part=True).groupBy(F.col("o_custkey").alias("uid"))
+    p = table(spark, sf_dir, "part", ["p_partkey", "p_brand", "p_size"])
+    lines = _lines(spark, sf_dir)
+    multi = (lines.join(p, lines.l_partkey == p.p_partkey).groupBy(F.col("o_custkey").alias("uid"))
              .agg(_joined_tokens(F.col("p_size")).alias("kw1"),
                   _joined_tokens(F.col("p_brand")).alias("interest1"),
                   _joined_tokens(F.col("o_orderstatus")).alias("os")))
@@ -91,11 +92,16 @@ def user_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("uid", *USER_SINGLE, *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in USER_MULTI])
 
 
-def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User dimension after ``'' -> NULL``."""
     return empty_to_null(user_profiles(spark, sf_dir), USER_COLS)
 
 
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prepared user dimension (see ``prepared``)."""
+    return prepared(spark, sf_dir, "users", lambda: build_users(spark, sf_dir))
+
+
 def ad_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part", ["p_partkey", "p_brand", "p_type", "p_size"]).select(
         F.col("p_partkey").alias("aid"), F.col("p_brand").alias("advertiserid"),
@@ -111,13 +117,37 @@ def joined_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_instances(test_instances(spark, sf_dir), users(spark, sf_dir), ad_features(spark, sf_dir))
 
 
-def data_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_data_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train and test in one table: label 1 / 0 for train, NULL for test; user columns
-    NULL -> '-1' (ad columns pass through, as in the SQL form)."""
-    tr = joined_train(spark, sf_dir)
-    te = joined_test(spark, sf_dir).withColumn("label", F.lit(None).cast("bigint"))
-    both = tr.unionByName(te)
-    return recode_label(null_to_sentinel(both, USER_COLS)).select(*DATA_COLS)
+    NULL -> '-1' (ad columns pass through, as in the SQL form). Built from the pair
+    aggregate directly (no union: the label of a test pair is simply NULL)."""
+    f = instance_flags(spark, sf_dir)
+    inst = f.select("aid", "uid", F.when(F.col("has_r") == 1, F.lit(1)).when(F.col("has_a") == 1, F.lit(-1))
+                    .cast("bigint").alias("label"))
+    joined = join_instances(recode_label(inst), users(spark, sf_dir), ad_features(spark, sf_dir))
+    return null_to_sentinel(joined, USER_COLS).select(*DATA_COLS)
+
+
+def data_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prepared instance table (see ``prepared``)."""
+    return prepared(spark, sf_dir, "data_all", lambda: build_data_all(spark, sf_dir))
+
+
+_PREPARED: dict[tuple, str] = {}
+
+
+def prepared(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Write a stand-in input once per session into the shared checkpoint folder and
+    read it back: the feature jobs start from a table, as the reference's scripts start
+    from the tables its SQL job creates. Lineage is cut, so a lost executor re-reads
+    the table instead of re-running the join."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    path = _PREPARED.get(key)
+    if path is None:
+        path = scratch_path(spark, f"prepared-{name}")
+        build().write.mode("overwrite").parquet(path)
+        _PREPARED[key] = path
+    return spark.read.parquet(path)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
