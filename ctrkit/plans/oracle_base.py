@@ -68,9 +68,10 @@ docs AS (
 """
 
 
-def with_base(*ctes: str, select: str) -> str:
+def with_base(*ctes: str, select: str, recursive: bool = False) -> str:
     parts = [BASE.strip()] + [c.strip() for c in ctes]
-    return "WITH " + ",\n".join(parts) + "\n" + select.strip()
+    recursive = recursive or any(c.startswith("fit(factor_name, it,") for c in parts)
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + select.strip()
 
 
 def unpivot_sql(source: str, ids: list[str], factors: list[str], value_expr: str = "{f}") -> str:
@@ -119,3 +120,36 @@ def auc_ctes(scored: str, group: str = "factor_name", prefix: str = "auc") -> tu
         f"CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM {prefix}_c"
         f"{' GROUP BY ' + group if group else ''})"]
     return ctes, prefix
+
+
+def fit_converged_ctes(hist: str, max_iter: int = 1000, eps: float = 1e-8) -> tuple[list[str], str]:
+    """Reference fit as a recursive CTE over a histogram CTE (factor_name, clicks,
+    impressions, n_cells): start (1, 1), stop when both moves are below eps (keeping the
+    previous pair) or after max_iter updates. Needs ``with_base(..., recursive=True)``.
+    Final CTE: (factor_name, alpha, beta, n_iter, converged)."""
+    da = digamma_diff_sql("h.clicks", "f.alpha")
+    db = digamma_diff_sql("h.impressions - h.clicks", "f.beta")
+    dm = digamma_diff_sql("h.impressions", "f.alpha + f.beta")
+    stop = f"abs(na - alpha) < {eps!r} AND abs(nb - beta) < {eps!r}"
+    rec = (f"fit(factor_name, it, alpha, beta, done) AS ("
+           f"SELECT factor_name, 0, CAST(1.0 AS DOUBLE), CAST(1.0 AS DOUBLE), false "
+           f"FROM (SELECT DISTINCT factor_name FROM {hist}) "
+           f"UNION ALL SELECT factor_name, it + 1, CASE WHEN {stop} THEN alpha ELSE na END, "
+           f"CASE WHEN {stop} THEN beta ELSE nb END, {stop} FROM ("
+           f"SELECT f.factor_name, f.it, f.alpha, f.beta, "
+           f"f.alpha * sum(h.n_cells * {da}) / sum(h.n_cells * {dm}) AS na, "
+           f"f.beta * sum(h.n_cells * {db}) / sum(h.n_cells * {dm}) AS nb "
+           f"FROM fit f JOIN {hist} h ON f.factor_name = h.factor_name "
+           f"WHERE NOT f.done AND f.it < {max_iter} GROUP BY f.factor_name, f.it, f.alpha, f.beta))")
+    final = ("fitted AS (SELECT factor_name, arg_max(alpha, it) AS alpha, arg_max(beta, it) AS beta, "
+             "CAST(CASE WHEN bool_or(done) THEN max(it) - 1 ELSE max(it) END AS INTEGER) AS n_iter, "
+             "bool_or(done) AS converged FROM fit GROUP BY factor_name)")
+    return [rec, final], "fitted"
+
+
+def converged_fit_ctes(cells: str) -> list[str]:
+    """Histogram of a cells CTE (factor_name, clicks, impressions) + the reference fit;
+    the fitted parameters are in CTE ``fitted``."""
+    hist = (f"{cells}_hist AS (SELECT factor_name, clicks, impressions, count(*) AS n_cells FROM {cells} "
+            f"GROUP BY factor_name, clicks, impressions)")
+    return [hist] + fit_converged_ctes(f"{cells}_hist")[0]

@@ -11,9 +11,8 @@ from ctrkit.session import shared_root
 from ctrkit.operators.stats import cross_ctr, ctr_by_value_aid, long_form
 from ctrkit.plans import standin as S
 from ctrkit.plans.catalog import register
-from ctrkit.plans.oracle_base import auc_ctes, fit_steps_ctes, unpivot_sql, with_base
+from ctrkit.plans.oracle_base import auc_ctes, converged_fit_ctes, unpivot_sql, with_base
 
-FIT_STEPS = 5  # fixed-step fits are the SQL-checkable form; converged fits are in q_stats
 
 
 def r6(c):
@@ -28,25 +27,25 @@ FLAGSHIP_SQL = with_base(
     f"lab_long AS ({unpivot_sql('lab', ['uid', 'aid', 'label'], S.CROSS_FACTORS)})",
     "cells AS (SELECT factor_name, value, aid, CAST(sum(label) AS BIGINT) AS clicks, count(*) AS impressions "
     "FROM lab_long GROUP BY factor_name, value, aid)",
-    *fit_steps_ctes("cells", FIT_STEPS)[0],
+    *converged_fit_ctes("cells"),
     f"sm AS (SELECT c.factor_name, c.value, c.aid, (c.clicks + p.alpha) / (c.impressions + p.alpha + p.beta) AS ctr "
-    f"FROM cells c JOIN p{FIT_STEPS} p ON c.factor_name = p.factor_name)",
+    f"FROM cells c JOIN fitted p ON c.factor_name = p.factor_name)",
     "scored AS (SELECT l.factor_name, s.ctr AS score, l.label FROM lab_long l LEFT JOIN sm s "
     "ON l.factor_name = s.factor_name AND l.value = s.value AND l.aid = s.aid)",
     *auc_ctes("scored")[0],
     select=f"SELECT a.factor_name, round(p.alpha, 6) AS alpha, round(p.beta, 6) AS beta, round(a.auc, 6) AS auc, "
-           f"a.n_pos, a.n_neg FROM auc a JOIN p{FIT_STEPS} p ON a.factor_name = p.factor_name")
+           f"a.n_pos, a.n_neg FROM auc a JOIN fitted p ON a.factor_name = p.factor_name")
 
 
 @register("smoothed_ctr_auc", FLAGSHIP_SQL)
-def smoothed_ctr_auc(spark, d, steps: int = FIT_STEPS):
+def smoothed_ctr_auc(spark, d):
     """Every labelled row belongs to exactly one (factor, value, aid) cell and is scored
     with that cell's smoothed CTR, so the AUC histogram comes from the cells themselves
     (clicks = positives, impressions - clicks = negatives): one pass over the rows."""
     lab = S.labelled(spark, d)
     shared_root(spark)
     cells = ctr_by_value_aid(lab, S.CROSS_FACTORS).checkpoint(eager=True)
-    params = fit_beta(cells, ["factor_name"], max_iter=steps, eps=0.0)
+    params = fit_beta(cells, ["factor_name"])
     scored = smooth(cells, params, ["factor_name"], out="score", adjust_counts=False).withColumn(
         "neg", F.col("impressions") - F.col("clicks"))
     auc = auc_from_counts(scored, "score", "clicks", "neg", ["factor_name"])

@@ -14,9 +14,9 @@ from ctrkit.operators.clean import normalise_names
 from ctrkit.operators.smoothing import fit_beta, smooth
 from ctrkit.plans import standin as S
 from ctrkit.plans.catalog import register
-from ctrkit.plans.oracle_base import fit_steps_ctes, with_base
+from ctrkit.plans.oracle_base import converged_fit_ctes, with_base
 from ctrkit.plans.q_core import RAW_HEADER_NAMES
-from ctrkit.plans.q_stats import CELLS, FIT_STEPS, LAB_LONG, LAB_TOK, TOK_CELLS, r6
+from ctrkit.plans.q_stats import CELLS, LAB_LONG, LAB_TOK, TOK_CELLS, r6
 from ctrkit.session import scratch_path
 from ctrkit.sources import files
 from ctrkit.sources.profile import PROFILE_KEYS, read_profiles, to_profile_lines
@@ -105,11 +105,11 @@ def partitioned_stats(spark, d):
 
 
 @register("overwrite_partition", with_base(
-    LAB_TOK, TOK_CELLS, *fit_steps_ctes("tok_cells", FIT_STEPS)[0],
+    LAB_TOK, TOK_CELLS, *converged_fit_ctes("tok_cells"),
     select=f"SELECT factor_name, single_value, round(CAST(clicks AS DOUBLE), 6) AS clicks, "
            f"round(CAST(impressions AS DOUBLE), 6) AS impressions FROM tok_cells WHERE factor_name <> 'kw1' "
            f"UNION ALL SELECT c.factor_name, c.single_value, round(c.clicks + p.alpha, 6), "
-           f"round(c.impressions + p.alpha + p.beta, 6) FROM tok_cells c JOIN p{FIT_STEPS} p "
+           f"round(c.impressions + p.alpha + p.beta, 6) FROM tok_cells c JOIN fitted p "
            f"ON c.factor_name = p.factor_name WHERE c.factor_name = 'kw1'"))
 def overwrite_partition(spark, d):
     """Raw token counts for every field, then only the ``kw1`` partition replaced by
@@ -120,7 +120,7 @@ def overwrite_partition(spark, d):
         F.col("impressions").cast("double").alias("impressions"), "factor_name")
     files.write_partitioned(counts, path)
     kw1 = counts.where(F.col("factor_name") == "kw1")
-    params = fit_beta(kw1, ["factor_name"], max_iter=FIT_STEPS, eps=0.0)
+    params = fit_beta(kw1, ["factor_name"])
     files.overwrite_partitions(smooth(kw1, params, ["factor_name"]).select(
         "single_value", "clicks", "impressions", "factor_name"), path)
     back = spark.read.parquet(path)
@@ -151,18 +151,18 @@ def save_design_matrix(spark, d):
 @register("submission_format", with_base(
     LAB_LONG, "cells AS (SELECT factor_name, value, aid, CAST(sum(label) AS BIGINT) AS clicks, count(*) AS impressions "
               "FROM lab_long WHERE factor_name = 'lbs' GROUP BY factor_name, value, aid)",
-    *fit_steps_ctes("cells", FIT_STEPS)[0],
+    *converged_fit_ctes("cells"),
     f"sm AS (SELECT c.value, c.aid, (c.clicks + p.alpha) / (c.impressions + p.alpha + p.beta) AS ctr FROM cells c "
-    f"JOIN p{FIT_STEPS} p ON c.factor_name = p.factor_name)",
+    f"JOIN fitted p ON c.factor_name = p.factor_name)",
     select=f"SELECT t.aid, t.uid, printf('%.8f', round(coalesce(s.ctr, (SELECT alpha / (alpha + beta) "
-           f"FROM p{FIT_STEPS})), 8)) AS score FROM data t LEFT JOIN sm s "
+           f"FROM fitted)), 8)) AS score FROM data t LEFT JOIN sm s "
            "ON t.lbs = s.value AND t.aid = s.aid WHERE t.label IS NULL"))
 def submission_format(spark, d):
     """Test rows scored by the smoothed (lbs, aid) CTR, written as ``aid,uid,score``;
     a cell never seen in train gets the prior mean alpha / (alpha + beta)."""
     data = S.data_all(spark, d)
     cells = st.ctr_by_value_aid(data, ["lbs"]).drop("ctr")
-    params = fit_beta(cells, ["factor_name"], max_iter=FIT_STEPS, eps=0.0)
+    params = fit_beta(cells, ["factor_name"])
     sm = smooth(cells, params, ["factor_name"]).select(F.col("value").alias("lbs"), "aid", "ctr")
     prior = params.select("factor_name", (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("prior"))
     test = (data.where(F.col("label").isNull()).select("aid", "uid", "lbs", F.lit("lbs").alias("factor_name"))

@@ -17,7 +17,7 @@ from ctrkit.operators.smoothing import fit_beta, smooth
 from ctrkit.plans import standin as S
 from ctrkit.plans.catalog import register
 from ctrkit.plans.oracle_base import auc_ctes, with_base
-from ctrkit.plans.q_stats import CELLS, FIT_STEPS, LAB_LONG, LAB_TOK, r6
+from ctrkit.plans.q_stats import CELLS, LAB_LONG, LAB_TOK, r6
 from ctrkit.session import scratch_path, shared_root
 
 DOC_FEATURES = ["n_chars", "n_tokens", "distinct_ratio"]
@@ -130,7 +130,7 @@ def model_table(spark, d):
     checkpointed once because every model and search loop reads it many times."""
     data = S.data_all(spark, d)
     cells = st.ctr_by_value_aid(data, S.CROSS_FACTORS).drop("ctr")
-    params = fit_beta(cells, ["factor_name"], max_iter=FIT_STEPS, eps=0.0)
+    params = fit_beta(cells, ["factor_name"])
     sm = st.attach_long(data, ["uid", "aid"], S.CROSS_FACTORS, smooth(cells, params, ["factor_name"]), "ctr",
                         ["aid"], suffix="_ctr_smooth")
     base = E.ordinal_encode(st.with_token_counts(data, ["kw1", "interest1"]), ["lbs", "carrier", "consumptionability"])

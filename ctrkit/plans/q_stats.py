@@ -11,7 +11,8 @@ from ctrkit.operators import stats as st
 from ctrkit.operators.smoothing import beta_step, cell_histogram, fit_beta, fit_beta_steps, smooth
 from ctrkit.plans import standin as S
 from ctrkit.plans.catalog import register
-from ctrkit.plans.oracle_base import digamma_diff_sql, fit_steps_ctes, unpivot_sql, with_base
+from ctrkit.plans.oracle_base import (converged_fit_ctes, digamma_diff_sql, fit_converged_ctes, fit_steps_ctes,
+                                     unpivot_sql, with_base)
 
 FIT_STEPS = 5
 
@@ -289,10 +290,6 @@ def join_cardinality(spark, d):
 
 
 # ----------------------------------------------------------------------------- B1-B7, F11
-def _fit_sql_params(cells_cte: str, steps: int, prefix: str = "p"):
-    return fit_steps_ctes(cells_cte, steps, prefix)
-
-
 @register("beta_fit_step", with_base(LAB_LONG, CELLS, *fit_steps_ctes("cells", 1)[0], select=(
     "SELECT p1.factor_name, round(p1.alpha, 6) AS alpha, round(p1.beta, 6) AS beta, round(s.sum_a, 6) AS sum_a, "
     "round(s.sum_b, 6) AS sum_b, round(s.sum_m, 6) AS sum_m FROM p1 JOIN ("
@@ -317,11 +314,17 @@ def beta_fit(spark, d):
     return p.select("factor_name", r6(F.col("alpha")).alias("alpha"), r6(F.col("beta")).alias("beta"))
 
 
-@register("beta_fit_converged")
+@register("beta_fit_converged", with_base(
+    LAB_LONG, CELLS, "hist AS (SELECT factor_name, clicks, impressions, count(*) AS n_cells FROM cells "
+                     "GROUP BY factor_name, clicks, impressions)",
+    *fit_converged_ctes("hist")[0], recursive=True,
+    select="SELECT factor_name, round(alpha, 6) AS alpha, round(beta, 6) AS beta, n_iter, converged FROM fitted"))
 def beta_fit_converged(spark, d):
-    """Reference fit: start (1, 1), up to 1000 updates, stop below 1e-8 (R check)."""
+    """Reference fit: start (1, 1), up to 1000 updates, stop below 1e-8."""
     cells = st.ctr_by_value_aid(S.labelled(spark, d), S.CROSS_FACTORS)
-    return fit_beta(cells, ["factor_name"])
+    out = fit_beta(cells, ["factor_name"])
+    return out.select("factor_name", r6(F.col("alpha")).alias("alpha"), r6(F.col("beta")).alias("beta"),
+                      "n_iter", "converged")
 
 
 def _smoothed_sql(cells: str, params: str, keys: str, complement: bool = False) -> str:
@@ -336,39 +339,39 @@ def _round_counts(df):
                        for c in df.columns])
 
 
-@register("smoothed_complement", with_base(LAB_TOK, TOK_CELLS, *fit_steps_ctes("tok_cells", FIT_STEPS)[0], select=(
-    _smoothed_sql("tok_cells", f"p{FIT_STEPS}", "c.factor_name, c.single_value", complement=True))))
+@register("smoothed_complement", with_base(LAB_TOK, TOK_CELLS, *converged_fit_ctes("tok_cells"), select=(
+    _smoothed_sql("tok_cells", "fitted", "c.factor_name, c.single_value", complement=True))))
 def smoothed_complement(spark, d):
     counts = st.ctr_by_value(S.labelled(spark, d), S.TOKEN_FACTORS).drop("ctr")
-    params = fit_beta(counts, ["factor_name"], max_iter=FIT_STEPS, eps=0.0)
+    params = fit_beta(counts, ["factor_name"])
     return _round_counts(smooth(counts, params, ["factor_name"], complement=True))
 
 
 @register("smoothed_ctr", with_base(
     LAB_LONG, "cells AS (SELECT factor_name, value, aid, CAST(sum(label) AS BIGINT) AS clicks, count(*) AS impressions "
               "FROM lab_long WHERE factor_name = 'lbs' GROUP BY factor_name, value, aid)",
-    *fit_steps_ctes("cells", FIT_STEPS)[0],
-    select=_smoothed_sql("cells", f"p{FIT_STEPS}", "c.value AS lbs, c.aid")))
+    *converged_fit_ctes("cells"),
+    select=_smoothed_sql("cells", "fitted", "c.value AS lbs, c.aid")))
 def smoothed_ctr(spark, d):
     cells = st.ctr_by_value_aid(S.labelled(spark, d), ["lbs"]).drop("ctr")
-    params = fit_beta(cells, ["factor_name"], max_iter=FIT_STEPS, eps=0.0)
+    params = fit_beta(cells, ["factor_name"])
     out = smooth(cells, params, ["factor_name"])
     return _round_counts(out.select(F.col("value").alias("lbs"), "aid", "clicks", "impressions", "ctr"))
 
 
-@register("smoothed_ctr_all", with_base(LAB_LONG, CELLS, *fit_steps_ctes("cells", FIT_STEPS)[0], select=(
-    _smoothed_sql("cells", f"p{FIT_STEPS}", "c.factor_name, c.value, c.aid"))))
+@register("smoothed_ctr_all", with_base(LAB_LONG, CELLS, *converged_fit_ctes("cells"), select=(
+    _smoothed_sql("cells", "fitted", "c.factor_name, c.value, c.aid"))))
 def smoothed_ctr_all(spark, d):
     """Every factor in one aggregation and one grouped fit (no process pool)."""
     cells = st.ctr_by_value_aid(S.labelled(spark, d), S.CROSS_FACTORS).drop("ctr")
-    params = fit_beta(cells, ["factor_name"], max_iter=FIT_STEPS, eps=0.0)
+    params = fit_beta(cells, ["factor_name"])
     return _round_counts(smooth(cells, params, ["factor_name"]))
 
 
 @register("attach_smoothed_ctr", with_base(
-    LAB_LONG, CELLS, *fit_steps_ctes("cells", FIT_STEPS)[0], DATA_LONG,
+    LAB_LONG, CELLS, *converged_fit_ctes("cells"), DATA_LONG,
     f"sm AS (SELECT c.factor_name, c.value, c.aid, (c.clicks + p.alpha) / (c.impressions + p.alpha + p.beta) AS ctr "
-    f"FROM cells c JOIN p{FIT_STEPS} p ON c.factor_name = p.factor_name)",
+    f"FROM cells c JOIN fitted p ON c.factor_name = p.factor_name)",
     select="SELECT l.uid, l.aid, " + ", ".join(
         f"round(max(CASE WHEN l.factor_name = '{f}' THEN s.ctr END), 6) AS {f}_ctr_smooth" for f in S.CROSS_FACTORS) +
     " FROM data_long l LEFT JOIN sm s ON l.factor_name = s.factor_name AND l.value = s.value AND l.aid = s.aid "
@@ -378,7 +381,7 @@ def attach_smoothed_ctr(spark, d):
     the raw value, with one join for all factors."""
     data = S.data_all(spark, d)
     cells = st.ctr_by_value_aid(data, S.CROSS_FACTORS).drop("ctr")
-    params = fit_beta(cells, ["factor_name"], max_iter=FIT_STEPS, eps=0.0)
+    params = fit_beta(cells, ["factor_name"])
     sm = smooth(cells, params, ["factor_name"])
     out = st.attach_long(data, ["uid", "aid"], S.CROSS_FACTORS, sm, "ctr", ["aid"], suffix="_ctr_smooth")
     return out.select("uid", "aid", *[r6(F.col(c)).alias(c) for c in out.columns if c.endswith("_ctr_smooth")])
@@ -390,10 +393,10 @@ def attach_smoothed_ctr(spark, d):
     "filled AS (SELECT g.factor_name, g.value, g.aid, coalesce(c.clicks, 0) AS clicks, "
     "coalesce(c.impressions, 0) AS impressions FROM grid g LEFT JOIN cells c "
     "ON g.factor_name = c.factor_name AND g.value = c.value AND g.aid = c.aid)",
-    *fit_steps_ctes("filled", FIT_STEPS)[0],
+    *converged_fit_ctes("filled"),
     select=f"SELECT c.factor_name, c.value, c.aid, c.clicks AS raw_clicks, c.impressions AS raw_impressions, "
            f"round((c.clicks + p.alpha) / (c.impressions + p.alpha + p.beta), 6) AS ctr "
-           f"FROM filled c JOIN p{FIT_STEPS} p ON c.factor_name = p.factor_name"))
+           f"FROM filled c JOIN fitted p ON c.factor_name = p.factor_name"))
 def zero_filled_ctr(spark, d):
     """Every (value, aid) cell seen in train or test, zero counts where train has
     none, smoothed so that empty cells get alpha / (alpha + beta)."""
@@ -401,7 +404,7 @@ def zero_filled_ctr(spark, d):
     grid = st.long_form(data, S.CROSS_FACTORS, ["aid"]).distinct()
     cells = st.ctr_by_value_aid(data, S.CROSS_FACTORS).drop("ctr")
     filled = st.lookup(grid, cells, ["factor_name", "value", "aid"], fill={"clicks": 0, "impressions": 0})
-    params = fit_beta(filled, ["factor_name"], max_iter=FIT_STEPS, eps=0.0)
+    params = fit_beta(filled, ["factor_name"])
     out = smooth(filled, params, ["factor_name"], adjust_counts=False)
     return out.select("factor_name", "value", "aid", F.col("clicks").alias("raw_clicks"),
                       F.col("impressions").alias("raw_impressions"), r6(F.col("ctr")).alias("ctr"))
@@ -409,9 +412,9 @@ def zero_filled_ctr(spark, d):
 
 USERS_FILLED = ("uf AS (SELECT uid, coalesce(kw1, '-1') AS kw1, coalesce(interest1, '-1') AS interest1 FROM users "
                 "WHERE uid IN (SELECT uid FROM data))")
-NOISY_CTES = [LAB_TOK, TOK_CELLS, *fit_steps_ctes("tok_cells", FIT_STEPS)[0],
+NOISY_CTES = [LAB_TOK, TOK_CELLS, *converged_fit_ctes("tok_cells"),
               f"comp AS (SELECT c.factor_name, c.single_value, 1.0 - (c.clicks + p.alpha) / "
-              f"(c.impressions + p.alpha + p.beta) AS q FROM tok_cells c JOIN p{FIT_STEPS} p "
+              f"(c.impressions + p.alpha + p.beta) AS q FROM tok_cells c JOIN fitted p "
               f"ON c.factor_name = p.factor_name)",
               USERS_FILLED,
               f"ut AS ({_tok_sql('uf', ['uid'], S.TOKEN_FACTORS)})",
@@ -426,7 +429,7 @@ def _noisy_or_per_user(spark, d):
     user, so the product is computed once per user (not per instance) and joined."""
     lab = S.labelled(spark, d)
     counts = st.ctr_by_value(lab, S.TOKEN_FACTORS).drop("ctr")
-    params = fit_beta(counts, ["factor_name"], max_iter=FIT_STEPS, eps=0.0)
+    params = fit_beta(counts, ["factor_name"])
     comp = smooth(counts, params, ["factor_name"], complement=True, out="q", adjust_counts=False)
     data = S.data_all(spark, d)
     users = clean.null_to_sentinel(S.users(spark, d), S.TOKEN_FACTORS).join(
