@@ -12,13 +12,22 @@ the counts, not on the number of rows. Each fit then iterates on that histogram.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ctrkit.functions import special
 from ctrkit.functions.special import digamma_difference, digamma_np
 
+# The grouped fit runs in Python workers; ship its code with the task (executors need
+# no copy of this package installed).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(special)
+
 # Fixed values of the reference fit: start point, iteration cap and tolerance.
 ALPHA0, BETA0, MAX_ITER, EPSILON = 1.0, 1.0, 1000, 1e-8
 

@@ -261,25 +261,24 @@ def feature_add_curve(spark, d):
 
 @register("cut_search")
 def cut_search(spark, d):
-    """M6: for each N of a grid, cut kw1 to its top N tokens, re-encode token counts,
-    refit and log (top_n, train_auc, valid_auc)."""
+    """M6: for each N of a grid, cut kw1 to its top N tokens (on the user dimension, a
+    join with the cut set), re-encode token counts, refit and log
+    (top_n, vocabulary, train_auc, valid_auc)."""
+    from pyspark.ml.feature import CountVectorizer
+    from ctrkit.functions.tokens import tokens
     t = model_table(spark, d)
     imp = T.token_importance(S.data_all(spark, d), ["kw1"])
+    users = t.select("uid", "kw1").distinct()
     rows = []
     for n in CUT_GRID:
-        cut = T.topn_cut_set(imp, n)
-        cutted = T.cut_tokens(t.select("uid", "aid", "kw1"), ["uid", "aid"], ["kw1"], cut)
-        tc = E.token_counts_long(cutted, ["uid", "aid"], ["kw1"])
-        width = tc.agg(F.max("code")).collect()[0][0] + 1
-        vec = (tc.groupBy("uid", "aid").agg(F.map_from_entries(F.collect_list(F.struct(
-            F.col("code").cast("int"), F.col("count").cast("double")))).alias("m")))
-        dense = vec.select("uid", "aid", *[F.coalesce(F.col("m")[i], F.lit(0.0)).alias(f"tok_{i}") for i in range(width)])
-        x = t.join(dense, ["uid", "aid"], "left").fillna(0.0)
-        cols = [f"tok_{i}" for i in range(width)] + SMOOTH_COLS
-        model = M.fit(_lr(), x.where(F.col("split") == "train"), cols)
-        rows.append((n, M.auc_of(M.score(model, x.where(F.col("split") == "train"))),
+        cutted = T.cut_tokens(users, ["uid"], ["kw1"], T.topn_cut_set(imp, n))
+        x = t.drop("kw1").join(cutted, "uid", "left").withColumn("kw1_tok", tokens(F.lower(F.col("kw1"))))
+        cv = CountVectorizer(inputCol="kw1_tok", outputCol="kw1_cv", vocabSize=1 << 20).fit(x)
+        x = cv.transform(x)
+        model = M.fit(_lr(), x.where(F.col("split") == "train"), ["kw1_cv"] + SMOOTH_COLS)
+        rows.append((n, len(cv.vocabulary), M.auc_of(M.score(model, x.where(F.col("split") == "train"))),
                      M.auc_of(M.score(model, x.where(F.col("split") == "valid")))))
-    return spark.createDataFrame(rows, "top_n int, train_auc double, valid_auc double")
+    return spark.createDataFrame(rows, "top_n int, vocabulary int, train_auc double, valid_auc double")
 
 
 @register("grid_search")
