@@ -93,7 +93,7 @@ def _fit_histogram(s: np.ndarray, t: np.ndarray, w: np.ndarray, alpha: float, be
 
 def fit_beta(stats: DataFrame, group_cols: list[str], clicks: str = "clicks", impressions: str = "impressions",
              max_iter: int = MAX_ITER, eps: float = EPSILON, alpha0: float = ALPHA0,
-             beta0: float = BETA0) -> DataFrame:
+             beta0: float = BETA0, materialize: bool = False) -> DataFrame:
     """Iterate to convergence per group on executors:
     (group..., alpha, beta, n_iter, converged). Degenerate groups (no impressions, or a
     parameter driven to 0) give NULL alpha / beta; callers fall back to the raw CTR."""
@@ -108,7 +108,12 @@ def fit_beta(stats: DataFrame, group_cols: list[str], clicks: str = "clicks", im
         row.update(alpha=a, beta=b, n_iter=k, converged=ok)
         return pd.DataFrame([row])
 
-    return hist.groupBy(*group_cols).applyInPandas(fit, schema)
+    fitted = hist.groupBy(*group_cols).applyInPandas(fit, schema)
+    if not materialize:
+        return fitted
+    # A fitted model: one row per group (the number of factors), read once and kept as a
+    # local table so that later joins do not re-run the iteration.
+    return hist.sparkSession.createDataFrame(fitted.collect(), fitted.schema)
 
 
 def smooth(stats: DataFrame, params: DataFrame, group_cols: list[str], clicks: str = "clicks",

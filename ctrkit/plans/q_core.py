@@ -45,7 +45,7 @@ def smoothed_ctr_auc(spark, d):
     lab = S.labelled(spark, d)
     shared_root(spark)
     cells = ctr_by_value_aid(lab, S.CROSS_FACTORS).checkpoint(eager=True)
-    params = fit_beta(cells, ["factor_name"])
+    params = fit_beta(cells, ["factor_name"], materialize=True)
     scored = smooth(cells, params, ["factor_name"], out="score", adjust_counts=False).withColumn(
         "neg", F.col("impressions") - F.col("clicks"))
     auc = auc_from_counts(scored, "score", "clicks", "neg", ["factor_name"])
