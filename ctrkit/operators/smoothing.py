@@ -67,17 +67,46 @@ def fit_beta_steps(stats: DataFrame, group_cols: list[str], steps: int, clicks:
     return params
 
 
+# Largest count for which the exact tail-sum form is used (O(max count) per update).
+TAIL_SUM_LIMIT = 1_000_000
+
+
+def _tail(values: np.ndarray, weights: np.ndarray, length: int) -> np.ndarray:
+    """N_k = total weight of cells whose count is > k, for k = 0..length-1."""
+    mass = np.bincount(values.astype(np.int64), weights=weights, minlength=length + 1)
+    return weights.sum() - np.cumsum(mass)[:length]
+
+
 def _fit_histogram(s: np.ndarray, t: np.ndarray, w: np.ndarray, alpha: float, beta: float,
                    max_iter: int, eps: float):
     """Reference stopping rule: stop when both moves are below eps and keep the pair
-    from before that last move."""
+    from before that last move.
+
+    For integer counts psi(n + a) - psi(a) = sum_{k<n} 1 / (a + k), so a sum over cells
+    is sum_k N_k / (a + k) with N_k the number of cells whose count exceeds k: each update
+    costs O(max count) instead of digamma evaluations per distinct cell."""
+    f = t - s
+    exact = (np.all(s == np.floor(s)) and np.all(t == np.floor(t)) and len(t) > 0
+             and t.max() <= TAIL_SUM_LIMIT and s.min() >= 0 and f.min() >= 0)
+    if exact:
+        length = int(t.max())
+        k = np.arange(length, dtype="float64")
+        n_s, n_f, n_t = _tail(s, w, length), _tail(f, w, length), _tail(t, w, length)
+
+        def sums(a, b):
+            return (float((n_s / (a + k)).sum()), float((n_f / (b + k)).sum()),
+                    float((n_t / (a + b + k)).sum()))
+    else:
+        def sums(a, b):
+            return (float((w * (digamma_np(s + a) - digamma_np(a)) * (s > 0)).sum()),
+                    float((w * (digamma_np(f + b) - digamma_np(b)) * (f > 0)).sum()),
+                    float((w * (digamma_np(t + a + b) - digamma_np(a + b)) * (t > 0)).sum()))
+
     n_iter, converged = 0, False
     for _ in range(max_iter):
         if not (alpha > 0 and beta > 0 and np.isfinite(alpha) and np.isfinite(beta)):
             return None, None, n_iter, False
-        sa = float((w * (digamma_np(s + alpha) - digamma_np(alpha)) * (s > 0)).sum())
-        sb = float((w * (digamma_np(t - s + beta) - digamma_np(beta)) * ((t - s) > 0)).sum())
-        sm = float((w * (digamma_np(t + alpha + beta) - digamma_np(alpha + beta)) * (t > 0)).sum())
+        sa, sb, sm = sums(alpha, beta)
         if sm == 0.0:
             return None, None, n_iter, False
         new_a, new_b = alpha * sa / sm, beta * sb / sm

@@ -113,16 +113,29 @@ def lookup(df: DataFrame, stat: DataFrame, keys: list[str], fill: dict | None =
 
 
 def attach_long(df: DataFrame, row_keys: list[str], factors: list[str], stats: DataFrame,
-                stat_col: str, match_keys: list[str] = ("aid",), suffix: str = "") -> DataFrame:
+                stat_col: str, match_keys: list[str] = ("aid",), suffix: str = "",
+                strategy: str = "per_factor") -> DataFrame:
     """Attach a long-form statistic ``(factor_name, value, match_keys..., stat_col)``
-    for many factors with ONE join: unpivot rows, join, pivot back to one column per
-    factor (``<factor><suffix>``). Pivot values are given, so no extra distinct job."""
-    ids = list(dict.fromkeys(list(row_keys) + list(match_keys)))
-    lf = long_form(df, factors, ids)
-    joined = lf.join(stats.select("factor_name", "value", *match_keys, stat_col),
-                     ["factor_name", "value", *match_keys], "left")
-    wide = joined.groupBy(*row_keys).pivot("factor_name", factors).agg(F.first(stat_col))
-    return wide.select(*row_keys, *[F.col(f).alias(f"{f}{suffix}") for f in factors])
+    for many factors as one column per factor (``<factor><suffix>``).
+
+    ``per_factor`` (default): one left equi-join per factor on its raw column. AQE picks
+    the strategy per join from measured sizes: a small statistic is broadcast and the
+    instance table is not shuffled at all; a large one is sort-merge joined with skew
+    splitting of hot values. ``long``: unpivot the rows, ONE join, pivot back with given
+    values; two shuffles of k narrow rows whatever the sizes."""
+    if strategy == "long":
+        ids = list(dict.fromkeys(list(row_keys) + list(match_keys)))
+        lf = long_form(df, factors, ids)
+        joined = lf.join(stats.select("factor_name", "value", *match_keys, stat_col),
+                         ["factor_name", "value", *match_keys], "left")
+        wide = joined.groupBy(*row_keys).pivot("factor_name", factors).agg(F.first(stat_col))
+        return wide.select(*row_keys, *[F.col(f).alias(f"{f}{suffix}") for f in factors])
+    out = df.select(*dict.fromkeys(list(row_keys) + list(match_keys) + list(factors)))
+    for f in factors:
+        one = stats.where(F.col("factor_name") == f).select(
+            F.col("value").alias(f), *match_keys, F.col(stat_col).alias(f"{f}{suffix}"))
+        out = out.join(one, [f, *match_keys], "left")
+    return out.select(*row_keys, *[f"{f}{suffix}" for f in factors])
 
 
 def combination_count(df: DataFrame, factors: list[str], key: str = "aid",
