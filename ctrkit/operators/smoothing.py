@@ -86,8 +86,10 @@ def _fit_histogram(s: np.ndarray, t: np.ndarray, w: np.ndarray, alpha: float, be
     is sum_k N_k / (a + k) with N_k the number of cells whose count exceeds k: each update
     costs O(max count) instead of digamma evaluations per distinct cell."""
     f = t - s
-    exact = (np.all(s == np.floor(s)) and np.all(t == np.floor(t)) and len(t) > 0
-             and t.max() <= TAIL_SUM_LIMIT and s.min() >= 0 and f.min() >= 0)
+    # Pick the cheaper exact form: O(max count) tail sums, or ~30 operations per distinct
+    # (clicks, impressions) pair with the digamma series; both agree to ~1e-12.
+    exact = (len(t) > 0 and np.all(s == np.floor(s)) and np.all(t == np.floor(t))
+             and s.min() >= 0 and f.min() >= 0 and t.max() <= min(TAIL_SUM_LIMIT, 32 * len(t)))
     if exact:
         length = int(t.max())
         k = np.arange(length, dtype="float64")
