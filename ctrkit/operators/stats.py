@@ -133,9 +133,9 @@ def attach_long(df: DataFrame, row_keys: list[str], factors: list[str], stats: D
     out = df.select(*dict.fromkeys(list(row_keys) + list(match_keys) + list(factors)))
     for f in factors:
         one = stats.where(F.col("factor_name") == f).select(
-            F.col("value").alias(f), *match_keys, F.col(stat_col).alias(f"{f}{suffix}"))
+            F.col("value").alias(f), *match_keys, F.col(stat_col).alias(f"_stat_{f}"))
         out = out.join(one, [f, *match_keys], "left")
-    return out.select(*row_keys, *[f"{f}{suffix}" for f in factors])
+    return out.select(*row_keys, *[F.col(f"_stat_{f}").alias(f"{f}{suffix}") for f in factors])
 
 
 def combination_count(df: DataFrame, factors: list[str], key: str = "aid",
