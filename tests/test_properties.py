@@ -100,3 +100,12 @@ def test_fit_golden_sf001(spark):
     cells = st.click_stats(rows, ["factor_name", "c_nationkey", "p_brand"], ctr=None)
     r = fit_beta(cells, ["factor_name"], max_iter=200, eps=0.0).collect()[0]
     assert abs(r["alpha"] - 13.5991962534) < 1e-6 and abs(r["beta"] - 26.7298716608) < 1e-6
+
+
+def test_lookup_strategies_agree(spark):
+    data = S.data_all(spark, SF001)
+    cells = st.ctr_by_value_aid(data, S.CROSS_FACTORS)
+    a = st.attach_long(data, ["uid", "aid"], S.CROSS_FACTORS, cells, "ctr", suffix="_c", strategy="per_factor")
+    b = st.attach_long(data, ["uid", "aid"], S.CROSS_FACTORS, cells, "ctr", suffix="_c", strategy="long")
+    assert a.count() == b.count() == data.count()
+    assert a.exceptAll(b.select(*a.columns)).count() == 0
