@@ -109,3 +109,15 @@ def test_lookup_strategies_agree(spark):
     b = st.attach_long(data, ["uid", "aid"], S.CROSS_FACTORS, cells, "ctr", suffix="_c", strategy="long")
     assert a.count() == b.count() == data.count()
     assert a.exceptAll(b.select(*a.columns)).count() == 0
+
+
+def test_auc_matches_brute_force(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice("xy"), float(rnd.randint(0, 12)), rnd.randint(0, 1)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "g string, s double, label long")
+    got = {r["g"]: r["auc"] for r in V.auc_exact(df, "s", "label", ["g"]).collect()}
+    for g in "xy":
+        pos = [s for gg, s, y in rows if gg == g and y == 1]
+        neg = [s for gg, s, y in rows if gg == g and y == 0]
+        want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+        assert abs(got[g] - want) < 1e-12
