@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctrkit.llm import simhash, tokenbin
+from ctrkit.llm import packing, simhash, tokenbin
 from ctrkit.llm.common import table
 from ctrkit.llm.registry import register
 from ctrkit.session import scratch_path
@@ -29,3 +29,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return (simhash.near_duplicates(docs)
             .select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+@register("op10_packing")
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack(docs, tokenizer_path(), end_id=1)
