@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctrkit.llm import packing, simhash, substrings, tokenbin
+from ctrkit.llm import packing, secrets, simhash, substrings, tokenbin
 from ctrkit.llm.common import table
 from ctrkit.llm.registry import register
 from ctrkit.session import scratch_path
@@ -41,3 +41,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return substrings.dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@register("op6_secrets")
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text")).drop("masked")
