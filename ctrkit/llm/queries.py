@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctrkit.llm import packing, secrets, simhash, substrings, tokenbin
-from ctrkit.llm.common import table
+from ctrkit.llm import html_text, langid, packing, secrets, simhash, substrings, tokenbin, toxicity
+from ctrkit.llm.common import crc_residue, table
 from ctrkit.llm.registry import register
 from ctrkit.session import scratch_path
 
@@ -46,3 +46,35 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_secrets")
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text")).drop("masked")
+
+
+@register("op8_html_text")
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+#: Rows whose id's crc32 has this remainder are held out: (modulus, remainder).
+TOXIC_HELD_OUT = 5, 0
+LANGUAGE_HELD_OUT = 4, 2
+
+
+def held_out(mod: int, remainder: int):
+    """Column: a row whose id hashes to the remainder; a row without an id is never held out."""
+    return F.coalesce(crc_residue("doc_id", mod) == remainder, F.lit(False))
+
+
+@register("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(~held_out(*TOXIC_HELD_OUT))
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", held_out(*TOXIC_HELD_OUT).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@register("op5_language")
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.train(docs.where(~held_out(*LANGUAGE_HELD_OUT)))
+    return langid.identify(docs, model).select(
+        "doc_id", held_out(*LANGUAGE_HELD_OUT).alias("held_out"), "lang_pred", "score")
