@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctrkit.llm import decontaminate, html_text, langid, packing, secrets, simhash, substrings, tokenbin, toxicity
+from ctrkit.llm import decontaminate, html_text, imatch, langid, packing, secrets, simhash, substrings, tokenbin, toxicity
 from ctrkit.llm.common import crc_residue, table
 from ctrkit.llm.registry import register
 from ctrkit.session import scratch_path
@@ -84,3 +84,8 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents", "doc_id", "text"),
                               table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@register("op4_imatch")
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
