@@ -25,7 +25,7 @@ from ctrkit.llm.common import in_slices, partitions, texts_of, written
 
 SIZE = 2048
 #: Tokens by which length classes step; an item counts as its class's largest length.
-UNIT = 4
+UNIT = 8
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
