@@ -214,6 +214,16 @@ def passages(index: Index, texts: pa.Array, least: float):
     return found
 
 
+def indexes(items: DataFrame, item_col: str, text_col: str):
+    """One shipped index after another, each of about ``INDEX_ITEMS`` items, dealt by hash."""
+    listed = (items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text"))
+              .where("item is not null and text is not null").distinct())
+    blocks = -(-listed.count() // INDEX_ITEMS)
+    for b in range(blocks):
+        share = listed.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
+        yield items.sparkSession.sparkContext.broadcast(Index(sorted((r.item, r.text) for r in share)))
+
+
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          item_col: str = "item_id", item_text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """Rows (doc_id, items, overlap), one per document: the sorted ids of the test items that it
@@ -222,18 +232,10 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     Null and wordless texts hold no items; null and wordless items are in no document; repeated
     items and rows are kept; without items every list is empty; other columns are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    listed = (items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
-              .where("item is not null and text is not null").distinct())
-    total = listed.count()
     out = rows.select("doc_id", "text", F.array().cast("array<long>").alias("items"), F.lit(0.0).alias("overlap"))
-    blocks = -(-total // INDEX_ITEMS)
-    # Items are dealt by hash: each index has about INDEX_ITEMS of them, one index at a time is shipped.
-    for b in range(blocks):
-        share = listed.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
-        index = Index(sorted((r.item, r.text) for r in share))
-        out = out.mapInArrow(searcher(spark.sparkContext.broadcast(index), least), out.schema)
+    for index in indexes(items, item_col, item_text_col):
+        out = out.mapInArrow(searcher(index, least), out.schema)
     return out.select("doc_id", F.array_sort("items").alias("items"), "overlap")
 
 
@@ -250,3 +252,20 @@ def searcher(shipped, least: float):
                 [batch.column("doc_id"), batch.column("text"), pa.array(held, pa.list_(pa.int64())),
                  pa.array(overlap, pa.float64())], ["doc_id", "text", "items", "overlap"])
     return search
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
+               item_text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no test item; no shuffle."""
+    def keeper(shipped):
+        def keep(batches):
+            index = shipped.value
+            for batch in in_slices(batches, text_col, 4 << 20):
+                clean = np.ones(batch.num_rows, bool)
+                clean[list(passages(index, texts_of(batch, text_col), least))] = False
+                yield batch.filter(pa.array(clean))
+        return keep
+
+    for index in indexes(items, item_col, item_text_col):
+        docs = docs.mapInArrow(keeper(index), docs.schema)
+    return docs

@@ -5,23 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ctrkit.llm import decontaminate, html_text, imatch, langid, packing, secrets, simhash, substrings, tokenbin, toxicity
-from ctrkit.llm.common import crc_residue, table
+from ctrkit.llm.common import table
+from ctrkit.llm.data import FILE_END, LANGUAGE_HELD_OUT, SEQUENCE_END, TOXIC_HELD_OUT, held_out, tokenizer_path
 from ctrkit.llm.registry import register
 from ctrkit.session import scratch_path
 
-TOKENIZER = "byte_bpe_50k.json"
-
-
-def tokenizer_path(name: str = TOKENIZER) -> str:
-    import public_tokenizers
-    return public_tokenizers.path(name)
-
-
 @register("op2_token_files")
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return tokenbin.encode_to_files(docs, scratch_path(spark, "tokens"), tokenizer_path(), end_id=2)
+    return tokenbin.encode_to_files(docs, scratch_path(spark, "tokens"), tokenizer_path(), FILE_END)
 
 
 @register("op7_simhash")
@@ -34,7 +28,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return packing.pack(docs, tokenizer_path(), end_id=1)
+    return packing.pack(docs, tokenizer_path(), SEQUENCE_END)
 
 
 @register("op9_substrings")
@@ -53,16 +47,6 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
-#: Rows whose id's crc32 has this remainder are held out: (modulus, remainder).
-TOXIC_HELD_OUT = 5, 0
-LANGUAGE_HELD_OUT = 4, 2
-
-
-def held_out(mod: int, remainder: int):
-    """Column: a row whose id hashes to the remainder; a row without an id is never held out."""
-    return F.coalesce(crc_residue("doc_id", mod) == remainder, F.lit(False))
-
-
 @register("op1_toxicity")
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -89,3 +73,6 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_imatch")
 def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+register("pipeline")(corpus_pipeline.run)

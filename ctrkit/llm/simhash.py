@@ -225,3 +225,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = written(grouped.join(least, "root").select("fp", "component_id"), "simhash-classes")
     return prints.join(named, "fp").select(
         F.col("id").alias("doc_id"), F.col("fp").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of each group: the one of the least id.
+
+    Rows that share an id count as one document, and one of them stays; rows without an id cannot
+    be told apart and all stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, radius)
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return (docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
+            .unionByName(docs.where(F.col(id_col).isNull())))

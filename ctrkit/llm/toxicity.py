@@ -281,3 +281,15 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(predict, "doc_id long, score double")
+
+
+def keep_clean(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that the model does not call toxic; one pass, no shuffle."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # fixed in size by BUCKETS
+
+    def keep(batches):
+        own = shipped.value
+        for batch in in_slices(batches, text_col, 4 << 20):
+            yield batch.filter(pa.array(own.scores(texts_of(batch, text_col)) < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from ctrkit.llm import cutting_stock, packing
-from ctrkit.llm.queries import tokenizer_path
+from ctrkit.llm.data import tokenizer_path
 
 
 @pytest.mark.parametrize("source,size", [("docs_small", 2048), ("edge_docs", 2048), ("edge_docs", 16), ("no_docs", 2048)])
@@ -17,7 +17,7 @@ def test_every_id_in_one_piece(request, source, size):
     want = defaultdict(list)
     for r in docs.collect():
         want[r.doc_id].append(np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4"))
-    unit = 4 if size == 2048 else 1
+    unit = packing.UNIT if size == 2048 else 1
     rows = packing.pack(docs, tokenizer_path(), end_id=1, size=size, unit=unit).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from ctrkit.llm import tokenbin
 from ctrkit.llm.bpe import UnitEncoder
-from ctrkit.llm.queries import tokenizer_path
+from ctrkit.llm.data import tokenizer_path
 from ctrkit.session import scratch_path
 
 
