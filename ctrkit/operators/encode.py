@@ -7,38 +7,38 @@ column for model training.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import CountVectorizerModel, OneHotEncoder, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ctrkit.functions.tokens import tokens, word_tokens
 from ctrkit.operators.ranking import ordered_scan
 from ctrkit.operators.stats import long_form
+from ctrkit.session import scratch_path, shared_root
 
 
-def numeric_flags(df: DataFrame, cols: list[str]) -> dict[str, bool]:
-    """A column is numeric when every non-NULL value parses as an integer (one small
-    aggregate row reaches the driver)."""
-    def parses(c):
-        n = F.col(c).cast("string").try_cast("double")
-        return F.col(c).isNull() | (n.isNotNull() & (n == F.floor(n)))
-    row = df.agg(*[F.bool_and(parses(c)).alias(c) for c in cols]).collect()[0]
-    return {c: bool(row[c]) if row[c] is not None else False for c in cols}
+# An integer text: digits with or without a sign. '1.0', '1e1' and ' 1' are texts like any other.
+INTEGER_TEXT = r"^[+-]?[0-9]+$"
 
 
-def ordinal_dictionary(df: DataFrame, cols: list[str], numeric: dict[str, bool] | None = None) -> DataFrame:
-    """(feature, val, code) with codes 0..n-1 per feature, numeric order when
-    the feature is numeric, text order otherwise."""
-    numeric = numeric if numeric is not None else numeric_flags(df, cols)
+def as_integer(value) -> Column:
+    """The integer that a text is, or NULL; the one definition of a numeric value."""
+    return F.when(value.rlike(INTEGER_TEXT), value.try_cast("bigint"))
+
+
+def ordinal_dictionary(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(feature, val, code) with codes 0..n-1 per feature. A feature is numeric when each
+    of its non-NULL values is an integer text; its codes follow the integers, and texts of the
+    same integer ('1', '01') share a code. Other features are coded in text order. Both the
+    flag and the codes come from the distinct values."""
     vals = long_form(df, cols, [], name_col="feature", value_col="val").where(F.col("val").isNotNull()).distinct()
-    is_num = F.lit(False)
-    for c in cols:
-        if numeric[c]:
-            is_num = is_num | (F.col("feature") == c)
-    keyed = vals.withColumn("_num", F.when(is_num, F.col("val").try_cast("double")))
-    coded = ordered_scan(keyed, [F.col("_num").asc_nulls_last(), F.col("val").asc()], ["feature"], index_col="code")
-    return coded.select("feature", "val", "code")
+    flags = vals.groupBy("feature").agg(F.bool_and(as_integer(F.col("val")).isNotNull()).alias("_numeric"))
+    keyed = vals.join(flags, "feature").withColumn("_num", F.when(F.col("_numeric"), as_integer(F.col("val"))))
+    keyed = keyed.withColumn("_key", F.coalesce(F.col("_num").cast("string"), F.col("val")))
+    coded = ordered_scan(keyed.select("feature", "_num", "_key").distinct(),
+                         [F.col("_num").asc_nulls_last(), F.col("_key").asc()], ["feature"], index_col="code")
+    return keyed.join(coded.select("feature", "_key", "code"), ["feature", "_key"]).select("feature", "val", "code")
 
 
 def ordinal_encode(df: DataFrame, cols: list[str], dictionary: DataFrame | None = None,
@@ -71,14 +71,15 @@ def token_dictionary(df: DataFrame, fields: list[str], word: bool = False) -> Da
     return ordered_scan(vals, [F.col("val").asc()], ["feature"], index_col="code").select("feature", "val", "code")
 
 
-def feature_dictionary(df: DataFrame, onehot_cols: list[str], token_fields: list[str]) -> DataFrame:
-    """(feature, val, col_index): all one-hot classes in column order, then all
-    token vocabularies, the layout of the assembled matrix."""
-    blocks = ordinal_dictionary(df, onehot_cols).withColumn("_kind", F.lit(0)).unionByName(
-        token_dictionary(df, token_fields).withColumn("_kind", F.lit(1)))
-    order = list(onehot_cols) + list(token_fields)
-    sizes = blocks.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-    offs = block_offsets(sizes, order)
+def feature_dictionary(df: DataFrame, onehot_cols: list[str], token_fields: list[str],
+                       numeric_cols: list[str] = ()) -> DataFrame:
+    """(feature, val, col_index) of every column of the assembled matrix: all one-hot classes
+    in column order, then all token vocabularies, then one column per numeric (``val`` NULL)."""
+    numeric = df.sparkSession.createDataFrame([(c, None, 0) for c in numeric_cols],
+                                              "feature string, val string, code bigint")
+    blocks = (ordinal_dictionary(df, onehot_cols).unionByName(token_dictionary(df, token_fields)).unionByName(numeric))
+    sizes = blocks.groupBy("feature").agg((F.max("code") + 1).alias("n"))
+    offs = block_offsets(sizes, [*onehot_cols, *token_fields, *numeric_cols])
     return blocks.join(F.broadcast(offs.select("feature", "offset")), "feature").select(
         "feature", "val", (F.col("offset") + F.col("code")).cast("bigint").alias("col_index"))
 
@@ -87,7 +88,7 @@ def one_hot_long(df: DataFrame, row_keys: list[str], cols: list[str], dictionary
     """E2 in long form: (row_keys..., col_index, value=1.0), one cell per column per row,
     ``col_index`` = block offset + code."""
     dictionary = dictionary if dictionary is not None else ordinal_dictionary(df, cols)
-    sizes = dictionary.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    sizes = dictionary.groupBy("feature").agg((F.max("code") + 1).alias("n"))
     offs = block_offsets(sizes, cols)
     d = dictionary.join(F.broadcast(offs.select("feature", "offset")), "feature").select(
         "feature", "val", (F.col("offset") + F.col("code")).cast("bigint").alias("col_index"))
@@ -106,23 +107,58 @@ def token_counts_long(df: DataFrame, row_keys: list[str], fields: list[str], wor
     return counts.join(dictionary, ["feature", "val"]).select(*row_keys, "feature", "code", "count")
 
 
-def design_matrix(df: DataFrame, onehot_cols: list[str], token_fields: list[str], numeric_cols: list[str] = (),
-                  output: str = "features") -> tuple[DataFrame, DataFrame]:
-    """One sparse vector per row = one-hot blocks, then token-count blocks, then
-    raw numeric columns. Returns (rows with ``features``, feature dictionary)."""
-    odict = ordinal_dictionary(df, onehot_cols)
-    coded = ordinal_encode(df, onehot_cols, odict)
-    stages = [OneHotEncoder(inputCols=[f"{c}_code" for c in onehot_cols],
-                            outputCols=[f"{c}_ohe" for c in onehot_cols], dropLast=False, handleInvalid="keep")]
-    tdict = token_dictionary(df, token_fields)
-    # The vocabulary is model state (as in any fitted CountVectorizer), ordered by code.
-    vocab = {f: [] for f in token_fields}
-    for r in tdict.orderBy("feature", "code").collect():
-        vocab[r["feature"]].append(r["val"])
-    for f in token_fields:
-        coded = coded.withColumn(f"{f}_tok", tokens(F.lower(F.coalesce(F.col(f), F.lit("")))))
-        stages.append(CountVectorizerModel.from_vocabulary(vocab[f] or [""], inputCol=f"{f}_tok", outputCol=f"{f}_cv"))
-    assembler_inputs = [f"{c}_ohe" for c in onehot_cols] + [f"{f}_cv" for f in token_fields] + list(numeric_cols)
-    stages.append(VectorAssembler(inputCols=assembler_inputs, outputCol=output, handleInvalid="keep"))
-    model = Pipeline(stages=stages).fit(coded)
-    return model.transform(coded), feature_dictionary(df, onehot_cols, token_fields)
+def design_cells(df: DataFrame, row_keys: list[str], onehot_cols: list[str], token_fields: list[str],
+                 numeric_cols: list[str], dictionary: DataFrame) -> DataFrame:
+    """The matrix in long form: (row_keys..., col_index, value), values other than 0 only. The
+    dictionary, which grows with the vocabulary, is joined, never collected."""
+    hot = long_form(df, onehot_cols, list(row_keys), name_col="feature", value_col="val").select(
+        *row_keys, "feature", "val", F.lit(1.0).alias("value"))
+    lf = long_form(df, token_fields, list(row_keys), name_col="feature", value_col="_v").where(F.col("_v").isNotNull())
+    # Tokens of a whole string are counted once, whatever the number of rows that tell it.
+    strings = (lf.select("feature", "_v").distinct()
+               .select("feature", "_v", F.explode(tokens(F.lower(F.col("_v")))).alias("val"))
+               .groupBy("feature", "_v", "val").agg(F.count(F.lit(1)).cast("double").alias("value"))
+               .join(dictionary, ["feature", "val"]).select("feature", "_v", "col_index", "value"))
+    counted = lf.join(strings, ["feature", "_v"]).select(*row_keys, "col_index", "value")
+    numeric = df.select(*row_keys, *[F.col(c).cast("double").alias(c) for c in numeric_cols])
+    numeric = numeric.unpivot(list(row_keys), list(numeric_cols), "feature", "value") if numeric_cols else None
+    out = hot.join(dictionary, ["feature", "val"]).select(*row_keys, "col_index", "value").unionByName(counted)
+    if numeric is not None:
+        places = dictionary.where(F.col("val").isNull()).select("feature", "col_index")
+        out = out.unionByName(numeric.join(places, "feature").select(*row_keys, "col_index", "value"))
+    return out.where("value <> 0")
+
+
+def design_matrix(df: DataFrame, row_keys: list[str], onehot_cols: list[str], token_fields: list[str],
+                  numeric_cols: list[str] = (), keep: list[str] = ("label",), output: str = "features"
+                  ) -> tuple[DataFrame, DataFrame]:
+    """One sparse vector per row = one-hot blocks, then token-count blocks, then raw numeric
+    columns. Returns (row_keys..., keep..., ``features``), dictionary); ``row_keys`` identify a row.
+
+    Rows are assembled from their cells, sorted by column, and written to the shared folder in
+    the vector type's own layout; reading that table back as vectors takes no Python and
+    makes no row dense."""
+    spark = df.sparkSession
+    shared_root(spark)
+    dictionary = feature_dictionary(df, onehot_cols, token_fields, numeric_cols).checkpoint()
+    width = (dictionary.agg(F.max("col_index")).first()[0] or 0) + 1
+    cells = design_cells(df, row_keys, onehot_cols, token_fields, numeric_cols, dictionary)
+    rows = cells.groupBy(*row_keys).agg(F.array_sort(F.collect_list(F.struct("col_index", "value"))).alias("_c"))
+    none = F.array().cast("array<struct<col_index:bigint,value:double>>")
+    full = df.select(*row_keys, *keep).join(rows, list(row_keys), "left").withColumn("_c", F.coalesce("_c", none))
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(width).cast("int").alias("size"),
+                      F.transform("_c", lambda c: c["col_index"].cast("int")).alias("indices"),
+                      F.transform("_c", lambda c: c["value"]).alias("values"))
+    path = scratch_path(spark, "design")
+    full.select(*row_keys, *keep, vector.alias(output)).write.parquet(path)
+    schema = StructType([*[df.schema[c] for c in (*row_keys, *keep)], StructField(output, VectorUDT())])
+    return spark.read.schema(schema).parquet(path), dictionary
+
+
+def save_dictionary(dictionary: DataFrame, path: str) -> None:
+    """The dictionary as a table; ``load_dictionary`` reads it back."""
+    dictionary.write.mode("overwrite").parquet(path)
+
+
+def load_dictionary(spark, path: str) -> DataFrame:
+    return spark.read.schema("feature string, val string, col_index bigint").parquet(path)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ctrkit.operators.keys import join_keys
 from ctrkit.operators.ranking import ordered_scan
 
 
@@ -48,27 +49,18 @@ def roc_points(df: DataFrame, score: str, label: str = "label", group_cols: list
     h = score_histogram(df, score, label, group_cols)
     scanned = ordered_scan(h, [F.col("score").desc()], group_cols, sums=["pos", "neg"])
     totals = h.groupBy(*group_cols).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    j = _attach_totals(scanned, totals, group_cols)
+    j = join_keys(scanned, totals, list(group_cols))
     return j.select(*group_cols, F.col("score").alias("threshold"),
                     F.try_divide(F.col("neg_before") + F.col("neg"), F.col("_N").cast("double")).alias("fpr"),
                     F.try_divide(F.col("pos_before") + F.col("pos"), F.col("_P").cast("double")).alias("tpr"))
 
 
-def _attach_totals(df: DataFrame, totals: DataFrame, group_cols) -> DataFrame:
-    """Join a table with one row per group (bounded by the number of groups) onto rows;
-    with no group the single totals row is read once and attached as literals."""
-    if group_cols:
-        return df.join(F.broadcast(totals), list(group_cols))
-    row = totals.collect()[0]
-    return df.select("*", *[F.lit(row[c]).alias(c) for c in totals.columns])
-
-
 def best_round(curve: DataFrame, round_col: str = "round", metric_col: str = "metric",
                group_cols: list[str] = (), digits: int = 8) -> DataFrame:
     """Max of a metric curve (rounded) and the first round reaching it."""
     m = F.round(F.col(metric_col), digits)
     best = curve.groupBy(*group_cols).agg(F.max(m).alias("best_metric"))
-    hit = _attach_totals(curve, best, group_cols)
+    hit = join_keys(curve, best, list(group_cols))
     return (hit.where(m == F.col("best_metric")).groupBy(*group_cols)
             .agg(F.min(round_col).alias("best_round"), F.max("best_metric").alias("best_metric")))
 

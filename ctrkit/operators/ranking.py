@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ctrkit.operators.keys import join_keys
 from ctrkit.session import num_partitions, shared_root
 
 
@@ -54,7 +55,7 @@ def ordered_scan(df: DataFrame, order_cols: list[Column], partition_cols: list[s
         F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off_n"),
         *[F.coalesce(F.sum(f"_t_{s}").over(wo), F.lit(0)).alias(f"_off_{s}") for s in sums])
 
-    out = local.join(offsets, [*part, "_slice"])
+    out = join_keys(local, offsets, [*part, "_slice"])
     if index_col:
         out = out.withColumn(index_col, (F.col("_off_n") + F.col("_local_idx")).cast("bigint"))
     for s in sums:
@@ -62,10 +63,3 @@ def ordered_scan(df: DataFrame, order_cols: list[Column], partition_cols: list[s
     drop = ["_slice", "_off_n", "_local_idx"] + [f"_off_{s}" for s in sums] + [f"_local_{s}" for s in sums]
     return out.drop(*[c for c in drop if c in out.columns])
 
-
-def dense_codes(values: DataFrame, value_col: str, order_cols: list[Column] | None = None,
-                partition_cols: list[str] | tuple = (), code_col: str = "code") -> DataFrame:
-    """Distinct values -> consecutive codes 0..n-1 in ``order_cols`` order."""
-    distinct = values.select(*partition_cols, value_col).where(F.col(value_col).isNotNull()).distinct()
-    order = order_cols or [F.col(value_col)]
-    return ordered_scan(distinct, order, partition_cols, index_col=code_col)

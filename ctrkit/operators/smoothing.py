@@ -5,9 +5,9 @@ For cells with (clicks s, impressions t) the fixed point of Minka's iteration is
     alpha' = alpha * sum[psi(s + alpha) - psi(alpha)] / sum[psi(t + alpha + beta) - psi(alpha + beta)]
     beta'  = beta  * sum[psi(t - s + beta) - psi(beta)] / (same denominator)
 
-Spark first reduces the cells of each factor to a histogram of distinct
-(clicks, impressions) pairs with their multiplicity; its size depends on the range of
-the counts, not on the number of rows. Each fit then iterates on that histogram.
+The three sums separate, so Spark first reduces the cells of each factor to three marginal
+histograms (how many cells have n clicks, n impressions without a click, n impressions);
+their size is that of the distinct counts, not of the rows. Each fit then iterates on those.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from ctrkit.functions import special
 from ctrkit.functions.special import digamma_difference, digamma_np
+from ctrkit.operators.keys import join_keys
+from ctrkit.session import shared_root
 
 # The grouped fit runs in Python workers; ship its code with the task (executors need
 # no copy of this package installed).
@@ -41,8 +43,8 @@ def cell_histogram(stats: DataFrame, group_cols: list[str], clicks: str = "click
 
 def beta_step(hist: DataFrame, params: DataFrame, group_cols: list[str]) -> DataFrame:
     """One fixed-point update for every group: (group..., alpha, beta, sum_a, sum_b, sum_m).
-    ``params`` has one row per group (a handful of factors), so it is broadcast."""
-    j = hist.join(F.broadcast(params.select(*group_cols, "alpha", "beta")), group_cols)
+    The join strategy is left to Spark's measured sizes."""
+    j = join_keys(hist, params.select(*group_cols, "alpha", "beta"), group_cols)
     n = F.col("n_cells")
     sums = j.groupBy(*group_cols).agg(
         F.max("alpha").alias("_a"), F.max("beta").alias("_b"),
@@ -67,48 +69,30 @@ def fit_beta_steps(stats: DataFrame, group_cols: list[str], steps: int, clicks:
     return params
 
 
-# Largest count for which the exact tail-sum form is used (O(max count) per update).
-TAIL_SUM_LIMIT = 1_000_000
+def marginal_histograms(stats: DataFrame, group_cols: list[str], clicks: str = "clicks",
+                        impressions: str = "impressions") -> DataFrame:
+    """(group..., part, n, cells): how many cells of a group have n clicks ('s'), n impressions
+    without a click ('f') and n impressions ('t'). The three sums of an update separate, so these
+    three tables, linear in the distinct counts, hold all that a fit needs."""
+    s, t = F.col(clicks).cast("double"), F.col(impressions).cast("double")
+    parts = F.array(*[F.struct(F.lit(p).alias("part"), n.alias("n")) for p, n in (("s", s), ("f", t - s), ("t", t))])
+    return (stats.select(*group_cols, F.explode(parts).alias("_p")).select(*group_cols, "_p.*")
+            .groupBy(*group_cols, "part", "n").agg(F.count(F.lit(1)).alias("cells")))
 
 
-def _tail(values: np.ndarray, weights: np.ndarray, length: int) -> np.ndarray:
-    """N_k = total weight of cells whose count is > k, for k = 0..length-1."""
-    mass = np.bincount(values.astype(np.int64), weights=weights, minlength=length + 1)
-    return weights.sum() - np.cumsum(mass)[:length]
-
-
-def _fit_histogram(s: np.ndarray, t: np.ndarray, w: np.ndarray, alpha: float, beta: float,
+def _fit_histogram(parts: dict[str, tuple[np.ndarray, np.ndarray]], alpha: float, beta: float,
                    max_iter: int, eps: float):
     """Reference stopping rule: stop when both moves are below eps and keep the pair
-    from before that last move.
-
-    For integer counts psi(n + a) - psi(a) = sum_{k<n} 1 / (a + k), so a sum over cells
-    is sum_k N_k / (a + k) with N_k the number of cells whose count exceeds k: each update
-    costs O(max count) instead of digamma evaluations per distinct cell."""
-    f = t - s
-    # Pick the cheaper exact form: O(max count) tail sums, or ~30 operations per distinct
-    # (clicks, impressions) pair with the digamma series; both agree to ~1e-12.
-    exact = (len(t) > 0 and np.all(s == np.floor(s)) and np.all(t == np.floor(t))
-             and s.min() >= 0 and f.min() >= 0 and t.max() <= min(TAIL_SUM_LIMIT, 32 * len(t)))
-    if exact:
-        length = int(t.max())
-        k = np.arange(length, dtype="float64")
-        n_s, n_f, n_t = _tail(s, w, length), _tail(f, w, length), _tail(t, w, length)
-
-        def sums(a, b):
-            return (float((n_s / (a + k)).sum()), float((n_f / (b + k)).sum()),
-                    float((n_t / (a + b + k)).sum()))
-    else:
-        def sums(a, b):
-            return (float((w * (digamma_np(s + a) - digamma_np(a)) * (s > 0)).sum()),
-                    float((w * (digamma_np(f + b) - digamma_np(b)) * (f > 0)).sum()),
-                    float((w * (digamma_np(t + a + b) - digamma_np(a + b)) * (t > 0)).sum()))
+    from before that last move. ``parts`` has (counts, cells) for 's', 'f' and 't'."""
+    def total(part, a):
+        n, cells = parts[part]
+        return float((cells * (digamma_np(n + a) - digamma_np(a)) * (n > 0)).sum())
 
     n_iter, converged = 0, False
     for _ in range(max_iter):
         if not (alpha > 0 and beta > 0 and np.isfinite(alpha) and np.isfinite(beta)):
             return None, None, n_iter, False
-        sa, sb, sm = sums(alpha, beta)
+        sa, sb, sm = total("s", alpha), total("f", beta), total("t", alpha + beta)
         if sm == 0.0:
             return None, None, n_iter, False
         new_a, new_b = alpha * sa / sm, beta * sb / sm
@@ -126,25 +110,26 @@ def fit_beta(stats: DataFrame, group_cols: list[str], clicks: str = "clicks", im
              max_iter: int = MAX_ITER, eps: float = EPSILON, alpha0: float = ALPHA0,
              beta0: float = BETA0, materialize: bool = False) -> DataFrame:
     """Iterate to convergence per group on executors:
-    (group..., alpha, beta, n_iter, converged). Degenerate groups (no impressions, or a
-    parameter driven to 0) give NULL alpha / beta; callers fall back to the raw CTR."""
-    hist = cell_histogram(stats, group_cols, clicks, impressions)
-    schema = ", ".join([f"{g} string" for g in group_cols]) + \
-        ", alpha double, beta double, n_iter int, converged boolean"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, k, ok = _fit_histogram(pdf["clicks"].to_numpy("float64"), pdf["impressions"].to_numpy("float64"),
-                                     pdf["n_cells"].to_numpy("float64"), alpha0, beta0, max_iter, eps)
-        row = {g: str(pdf[g].iloc[0]) for g in group_cols}
-        row.update(alpha=a, beta=b, n_iter=k, converged=ok)
-        return pd.DataFrame([row])
+    (group..., alpha, beta, n_iter, converged). Group keys keep their types and may be NULL.
+    Degenerate groups (no impressions, or a parameter driven to 0) give NULL alpha / beta;
+    callers fall back to the raw CTR. With ``materialize`` the parameters are checkpointed, so
+    that several later joins do not run the iteration again."""
+    hist = marginal_histograms(stats, group_cols, clicks, impressions)
+    schema = ", ".join([*[f"{g} {stats.schema[g].dataType.simpleString()}" for g in group_cols],
+                        "alpha double, beta double, n_iter int, converged boolean"])
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = {p: (pdf.loc[pdf["part"] == p, "n"].to_numpy("float64"),
+                     pdf.loc[pdf["part"] == p, "cells"].to_numpy("float64")) for p in "sft"}
+        a, b, k, ok = _fit_histogram(parts, alpha0, beta0, max_iter, eps)
+        row = {g: None if pd.isna(v) else v for g, v in zip(group_cols, key)}
+        return pd.DataFrame([{**row, "alpha": a, "beta": b, "n_iter": k, "converged": ok}])
 
     fitted = hist.groupBy(*group_cols).applyInPandas(fit, schema)
-    if not materialize:
-        return fitted
-    # A fitted model: one row per group (the number of factors), read once and kept as a
-    # local table so that later joins do not re-run the iteration.
-    return hist.sparkSession.createDataFrame(fitted.collect(), fitted.schema)
+    if materialize:
+        shared_root(stats.sparkSession)
+        fitted = fitted.checkpoint()
+    return fitted
 
 
 def smooth(stats: DataFrame, params: DataFrame, group_cols: list[str], clicks: str = "clicks",
@@ -152,9 +137,9 @@ def smooth(stats: DataFrame, params: DataFrame, group_cols: list[str], clicks: s
            adjust_counts: bool = True) -> DataFrame:
     """Adjusted clicks = clicks + alpha, adjusted impressions = impressions +
     alpha + beta, ctr = ratio (or 1 - ratio). Groups without parameters keep the raw
-    counts. ``params`` has one row per factor: broadcast. With ``adjust_counts=False``
+    counts; the join strategy is left to Spark's measured sizes. With ``adjust_counts=False``
     the raw counts are kept and only ``out`` is added."""
-    j = stats.join(F.broadcast(params.select(*group_cols, "alpha", "beta")), group_cols, "left")
+    j = join_keys(stats, params.select(*group_cols, "alpha", "beta"), group_cols, "left")
     a = F.coalesce(F.col("alpha"), F.lit(0.0))
     b = F.coalesce(F.col("beta"), F.lit(0.0))
     ratio = F.try_divide(F.col(clicks) + a, F.col(impressions) + a + b)
@@ -164,3 +149,10 @@ def smooth(stats: DataFrame, params: DataFrame, group_cols: list[str], clicks: s
     keep = [c for c in stats.columns if c not in (clicks, impressions, out)]
     return j.select(*keep, (F.col(clicks) + a).alias(clicks), (F.col(impressions) + a + b).alias(impressions),
                     value.alias(out))
+
+
+def fit_and_smooth(stats: DataFrame, group_cols: list[str], **smoothing) -> DataFrame:
+    """The cells once: checkpointed, then fitted and smoothed from that one table."""
+    shared_root(stats.sparkSession)
+    cells = stats.checkpoint()
+    return smooth(cells, fit_beta(cells, group_cols), group_cols, **smoothing)

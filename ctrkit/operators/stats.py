@@ -8,10 +8,13 @@ sentinel), instead of one job per feature.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctrkit.functions.tokens import SENTINEL, token_count, tokens
+from ctrkit.session import scratch_path
 
 
 def long_form(df: DataFrame, factors: list[str], ids: list[str], name_col: str = "factor_name",
@@ -41,9 +44,30 @@ def click_stats(df: DataFrame, keys: list[str], label: str = "label", clicks: st
     return out
 
 
-def ctr_by_value(df: DataFrame, fields: list[str], ids: list[str] = ("label",)) -> DataFrame:
+def token_sums(df: DataFrame, fields: list[str], keys: list[str], sums: dict[str, str]) -> DataFrame:
+    """(factor_name, single_value, keys..., sums...) over single tokens of multi-valued fields.
+
+    Rows are first summed per whole string, which partial aggregation does before anything is
+    exploded: a string told by many rows is split into its tokens once. ``sums`` names SQL
+    aggregates of the rows; their sums over the strings of a token are what is returned."""
+    whole = (long_form(df, fields, list(dict.fromkeys([*keys, *df_columns(sums, df)])), value_col="_v")
+             .where(F.col("_v") != SENTINEL).groupBy("factor_name", "_v", *keys)
+             .agg(*[F.expr(sql).alias(name) for name, sql in sums.items()]))
+    return (whole.select("factor_name", *keys, *sums, F.explode(tokens("_v")).alias("single_value"))
+            .groupBy("factor_name", "single_value", *keys)
+            .agg(*[F.sum(name).cast("bigint").alias(name) for name in sums]))
+
+
+def df_columns(sums: dict[str, str], df: DataFrame) -> list[str]:
+    """Columns of ``df`` that the aggregates read."""
+    return [c for c in df.columns if any(re.search(rf"\b{re.escape(c)}\b", sql) for sql in sums.values())]
+
+
+def ctr_by_value(df: DataFrame, fields: list[str], label: str = "label") -> DataFrame:
     """A1: (factor_name, single_value, clicks, impressions, ctr) over single tokens."""
-    return click_stats(long_tokens(df, fields, list(ids)), ["factor_name", "single_value"])
+    out = token_sums(df.where(F.col(label).isNotNull()), fields, [],
+                     {"clicks": f"sum({label})", "impressions": "count(1)"})
+    return out.withColumn("ctr", F.col("clicks") / F.col("impressions"))
 
 
 def ctr_by_value_aid(df: DataFrame, factors: list[str], key: str = "aid") -> DataFrame:
@@ -56,8 +80,7 @@ def click_ratio_by_label(df: DataFrame, fields: list[str]) -> DataFrame:
     (factor_name, single_value, label, label_rows, value_rows, ratio). The window runs on
     the aggregated table (at most one row per label per token)."""
     from pyspark.sql import Window
-    per = (long_tokens(df.where(F.col("label").isNotNull()), fields, ["label"])
-           .groupBy("factor_name", "single_value", "label").agg(F.count(F.lit(1)).alias("label_rows")))
+    per = token_sums(df.where(F.col("label").isNotNull()), fields, ["label"], {"label_rows": "count(1)"})
     w = Window.partitionBy("factor_name", "single_value")
     return per.withColumn("value_rows", F.sum("label_rows").over(w)).withColumn(
         "ratio", F.col("label_rows") / F.col("value_rows"))
@@ -112,27 +135,27 @@ def lookup(df: DataFrame, stat: DataFrame, keys: list[str], fill: dict | None =
     return out
 
 
+def by_factor(stats: DataFrame, name_col: str = "factor_name") -> DataFrame:
+    """The statistic as a table of the shared folder, one partition per factor: it is computed
+    once, and a lookup of one factor reads that factor's files only."""
+    path = scratch_path(stats.sparkSession, f"stat-{name_col}")
+    stats.write.partitionBy(name_col).parquet(path)
+    return stats.sparkSession.read.schema(stats.schema).parquet(path)
+
+
 def attach_long(df: DataFrame, row_keys: list[str], factors: list[str], stats: DataFrame,
-                stat_col: str, match_keys: list[str] = ("aid",), suffix: str = "",
-                strategy: str = "per_factor") -> DataFrame:
+                stat_col: str, match_keys: list[str] = ("aid",), suffix: str = "") -> DataFrame:
     """Attach a long-form statistic ``(factor_name, value, match_keys..., stat_col)``
     for many factors as one column per factor (``<factor><suffix>``).
 
-    ``per_factor`` (default): one left equi-join per factor on its raw column. AQE picks
-    the strategy per join from measured sizes: a small statistic is broadcast and the
-    instance table is not shuffled at all; a large one is sort-merge joined with skew
-    splitting of hot values. ``long``: unpivot the rows, ONE join, pivot back with given
-    values; two shuffles of k narrow rows whatever the sizes."""
-    if strategy == "long":
-        ids = list(dict.fromkeys(list(row_keys) + list(match_keys)))
-        lf = long_form(df, factors, ids)
-        joined = lf.join(stats.select("factor_name", "value", *match_keys, stat_col),
-                         ["factor_name", "value", *match_keys], "left")
-        wide = joined.groupBy(*row_keys).pivot("factor_name", factors).agg(F.first(stat_col))
-        return wide.select(*row_keys, *[F.col(f).alias(f"{f}{suffix}") for f in factors])
+    The statistic is written once, partitioned by factor; then one left equi-join per factor
+    on its raw column. AQE picks the strategy per join from measured sizes: a small statistic
+    is broadcast and the instance table is not shuffled at all; a large one is sort-merge
+    joined with skew splitting of hot values."""
+    table = by_factor(stats.select("factor_name", "value", *match_keys, stat_col))
     out = df.select(*dict.fromkeys(list(row_keys) + list(match_keys) + list(factors)))
     for f in factors:
-        one = stats.where(F.col("factor_name") == f).select(
+        one = table.where(F.col("factor_name") == f).select(
             F.col("value").alias(f), *match_keys, F.col(stat_col).alias(f"_stat_{f}"))
         out = out.join(one, [f, *match_keys], "left")
     return out.select(*row_keys, *[F.col(f"_stat_{f}").alias(f"{f}{suffix}") for f in factors])
@@ -154,18 +177,20 @@ def pair_statistics(df: DataFrame, ad_features: list[str], user_features: list[s
     value pair, mapped back to the rows: columns ``<af>_<uf>_cnt`` and ``<af>_<uf>_ctr``.
 
     All pairs come out of ONE stacked aggregation (partial aggregation collapses it on
-    the map side). Each pair is then looked up with its own equi-join on the raw
-    columns, so Spark broadcasts a pair table when its measured size is small (a
-    product of two categorical domains usually is) and shuffles only when it is not."""
+    the map side), written once with a partition per pair. Each pair is then looked up with
+    its own equi-join on the raw columns, so Spark broadcasts a pair table when its measured
+    size is small (a product of two categorical domains usually is) and shuffles only when
+    it is not."""
     pairs = [(a, u) for a in ad_features for u in user_features]
     names = [f"{a}_{u}" for a, u in pairs]
     structs = [F.struct(F.lit(n).alias("pair"), F.col(a).cast("string").alias("v1"),
                         F.col(u).cast("string").alias("v2")) for n, (a, u) in zip(names, pairs)]
-    stat = (df.select("label", F.explode(F.array(*structs)).alias("_p")).select("label", "_p.*")
-            .groupBy("pair", "v1", "v2")
-            .agg(F.count(F.lit(1)).alias("cnt"), F.sum("label").alias("_clicks"), F.count("label").alias("_impr"))
-            .select("pair", "v1", "v2", "cnt",
-                    F.try_divide(F.col("_clicks"), F.col("_impr").cast("double")).alias("ctr")))
+    stat = by_factor(
+        df.select("label", F.explode(F.array(*structs)).alias("_p")).select("label", "_p.*")
+        .groupBy("pair", "v1", "v2")
+        .agg(F.count(F.lit(1)).alias("cnt"), F.sum("label").alias("_clicks"), F.count("label").alias("_impr"))
+        .select("pair", "v1", "v2", "cnt", F.try_divide(F.col("_clicks"), F.col("_impr").cast("double")).alias("ctr")),
+        "pair")
     out = df.select(*row_keys, *dict.fromkeys(ad_features + user_features))
     for n, (a, u) in zip(names, pairs):
         one = stat.where(F.col("pair") == n).select(F.col("v1").alias(a), F.col("v2").alias(u),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ctrkit.functions.tokens import OTHER, SENTINEL, tokens
 from ctrkit.operators.ranking import ordered_scan
-from ctrkit.operators.stats import long_form, long_tokens
+from ctrkit.operators.stats import long_form, long_tokens, token_sums
 
 
 def explode_tokens(df: DataFrame, fields: list[str], keys: list[str] = ("uid", "aid"),
@@ -27,9 +27,7 @@ def vocabulary(df: DataFrame, fields: list[str], lower: bool = False) -> DataFra
 def token_importance(df: DataFrame, fields: list[str], label: str = "label") -> DataFrame:
     """Importance per token = impressions on labelled rows: (factor_name, single_value,
     import_value). The sentinel is not a token here."""
-    lab = df.where(F.col(label).isNotNull())
-    return (long_tokens(lab, fields, [label]).groupBy("factor_name", "single_value")
-            .agg(F.count(F.lit(1)).alias("import_value")))
+    return token_sums(df.where(F.col(label).isNotNull()), fields, [], {"import_value": "count(1)"})
 
 
 def rank_tokens(importance: DataFrame, sentinel: str = SENTINEL) -> DataFrame:
@@ -73,7 +71,10 @@ def cut_tokens(df: DataFrame, key_cols: list[str], fields: list[str], cut_set: D
     cs = cut_set.select("factor_name", F.col("single_value").alias("_tok"), F.lit(True).alias("_cut")).distinct()
     marked = ex.join(cs, ["factor_name", "_tok"], "left")
     piece = F.struct(F.col("_pos"), F.when(F.col("_cut"), F.lit(replacement)).otherwise(F.col("_tok")).alias("t"))
-    rebuilt = (marked.groupBy(*key_cols, "factor_name")
-               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["t"]), " ").alias("_v")))
-    wide = rebuilt.groupBy(*key_cols).pivot("factor_name", fields).agg(F.first("_v"))
+
+    def rebuilt(field):
+        mine = F.collect_list(F.when(F.col("factor_name") == field, piece))
+        return F.when(F.size(mine) > 0, F.array_join(F.transform(F.array_sort(mine), lambda x: x["t"]), " ")).alias(field)
+
+    wide = marked.groupBy(*key_cols).agg(*[rebuilt(f) for f in fields])
     return df.drop(*fields).join(wide, list(key_cols), "left")

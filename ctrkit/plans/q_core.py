@@ -49,7 +49,7 @@ def smoothed_ctr_auc(spark, d):
     scored = smooth(cells, params, ["factor_name"], out="score", adjust_counts=False).withColumn(
         "neg", F.col("impressions") - F.col("clicks"))
     auc = auc_from_counts(scored, "score", "clicks", "neg", ["factor_name"])
-    return auc.join(F.broadcast(params), "factor_name").select(
+    return auc.join(params, "factor_name").select(
         "factor_name", r6(F.col("alpha")).alias("alpha"), r6(F.col("beta")).alias("beta"),
         r6(F.col("auc")).alias("auc"), "n_pos", "n_neg")
 

@@ -3,8 +3,8 @@ column dictionary, assembled design matrix."""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql.functions import unwrap_udt
 
 from ctrkit.operators import encode as E
 from ctrkit.operators import instances
@@ -12,6 +12,7 @@ from ctrkit.plans import standin as S
 from ctrkit.plans.catalog import register
 from ctrkit.plans.oracle_base import unpivot_sql, with_base
 from ctrkit.plans.q_tokens import _users_filled
+from ctrkit.session import scratch_path
 
 ORD_COLS = ["lbs", "consumptionability", "carrier", "advertiserid"]
 OHE_COLS = ["lbs", "carrier", "producttype"]
@@ -23,11 +24,11 @@ def _dict_sql(cols, source="data", name="dict"):
     return [
         f"{name}_vals AS (SELECT DISTINCT factor_name AS feature, value AS val FROM ("
         f"{unpivot_sql(source, [], cols)}) WHERE value IS NOT NULL)",
-        f"{name}_flags AS (SELECT feature, bool_and(TRY_CAST(val AS DOUBLE) IS NOT NULL AND "
-        f"TRY_CAST(val AS DOUBLE) = floor(TRY_CAST(val AS DOUBLE))) AS num FROM {name}_vals GROUP BY feature)",
-        f"{name} AS (SELECT v.feature, v.val, CAST(row_number() OVER (PARTITION BY v.feature ORDER BY "
-        f"CASE WHEN f.num THEN TRY_CAST(v.val AS DOUBLE) END NULLS LAST, v.val) - 1 AS BIGINT) AS code "
-        f"FROM {name}_vals v JOIN {name}_flags f ON v.feature = f.feature)"]
+        f"{name}_ints AS (SELECT feature, val, CASE WHEN regexp_full_match(val, '[+-]?[0-9]+') THEN "
+        f"TRY_CAST(val AS BIGINT) END AS i FROM {name}_vals)",
+        f"{name} AS (SELECT feature, val, CAST(dense_rank() OVER (PARTITION BY feature ORDER BY "
+        f"CASE WHEN num THEN i END NULLS LAST, CASE WHEN num THEN '' ELSE val END) - 1 AS BIGINT) AS code FROM ("
+        f"SELECT *, bool_and(i IS NOT NULL) OVER (PARTITION BY feature) AS num FROM {name}_ints))"]
 
 
 def _offsets_sql(order, dict_name, name):
@@ -105,29 +106,73 @@ def token_counts_word(spark, d):
     return E.token_counts_long(u, ["uid"], TOKEN_FIELDS, word=True)
 
 
-@register("feature_dictionary", with_base(
+NUMERIC_COLS = ["creativesize_num"]
+# Every column of the matrix: one-hot classes, token vocabularies, then the numeric column.
+_MATRIX_CTES = [
     *_dict_sql(OHE_COLS),
-    f"tdict AS (SELECT feature, val, CAST(row_number() OVER (PARTITION BY feature ORDER BY val) - 1 AS BIGINT) AS code "
-    f"FROM (" + " UNION ".join(f"SELECT DISTINCT '{f}' AS feature, unnest(string_split(lower({f}), ' ')) AS val "
-                               f"FROM data WHERE {f} IS NOT NULL" for f in DICT_TOKENS) + "))",
-    "blocks AS (SELECT feature, val, code FROM dict UNION ALL SELECT feature, val, code FROM tdict)",
-    _offsets_sql(OHE_COLS + DICT_TOKENS, "blocks", "offs"),
-    select="SELECT b.feature, b.val, CAST(o.off + b.code AS BIGINT) AS col_index FROM blocks b "
-           "JOIN offs o ON b.feature = o.feature"))
+    "tdict AS (SELECT feature, val, CAST(row_number() OVER (PARTITION BY feature ORDER BY val) - 1 AS BIGINT) AS code "
+    "FROM (" + " UNION ".join(f"SELECT DISTINCT '{f}' AS feature, unnest(string_split(lower({f}), ' ')) AS val "
+                              f"FROM data WHERE {f} IS NOT NULL" for f in DICT_TOKENS) + "))",
+    "blocks AS (SELECT feature, val, code FROM dict UNION ALL SELECT feature, val, code FROM tdict "
+    "UNION ALL SELECT 'creativesize_num', CAST(NULL AS VARCHAR), CAST(0 AS BIGINT))",
+    _offsets_sql(OHE_COLS + DICT_TOKENS + NUMERIC_COLS, "blocks", "offs"),
+    "fdict AS (SELECT b.feature, b.val, CAST(o.off + b.code AS BIGINT) AS col_index FROM blocks b "
+    "JOIN offs o ON b.feature = o.feature)"]
+_CELLS_SQL = " UNION ALL ".join([
+    f"SELECT l.uid, l.aid, f.col_index, 1.0 AS value FROM ({unpivot_sql('data', ['uid', 'aid'], OHE_COLS)}) l "
+    f"JOIN fdict f ON l.factor_name = f.feature AND l.value = f.val",
+    *[f"SELECT t.uid, t.aid, f.col_index, CAST(count(*) AS DOUBLE) AS value FROM (SELECT uid, aid, "
+      f"unnest(string_split(lower({c}), ' ')) AS val FROM data WHERE {c} IS NOT NULL) t JOIN fdict f "
+      f"ON f.feature = '{c}' AND t.val = f.val GROUP BY t.uid, t.aid, f.col_index" for c in DICT_TOKENS],
+    "SELECT d.uid, d.aid, f.col_index, CAST(d.creativesize AS DOUBLE) AS value FROM data d "
+    "JOIN fdict f ON f.feature = 'creativesize_num' WHERE CAST(d.creativesize AS DOUBLE) <> 0"])
+
+
+def matrix_input(spark, d):
+    return S.data_all(spark, d).withColumn("creativesize_num", F.col("creativesize").cast("double"))
+
+
+@register("feature_dictionary", with_base(*_MATRIX_CTES, select="SELECT * FROM fdict"))
 def feature_dictionary(spark, d):
-    return E.feature_dictionary(S.data_all(spark, d), OHE_COLS, DICT_TOKENS)
+    return E.feature_dictionary(matrix_input(spark, d), OHE_COLS, DICT_TOKENS, NUMERIC_COLS)
+
+
+@register("dictionary_roundtrip", with_base(*_MATRIX_CTES, select=(
+    "SELECT feature, count(*) AS n, min(col_index) AS first_col, max(col_index) AS last_col FROM fdict GROUP BY feature")))
+def dictionary_roundtrip(spark, d):
+    """The dictionary written and read back, as each block's extent."""
+    path = scratch_path(spark, "dictionary")
+    E.save_dictionary(feature_dictionary(spark, d), path)
+    return E.load_dictionary(spark, path).groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), F.min("col_index").alias("first_col"), F.max("col_index").alias("last_col"))
 
 
 def design_rows(spark, d):
-    data = S.data_all(spark, d).withColumn("creativesize_num", F.col("creativesize").cast("double"))
-    rows, dictionary = E.design_matrix(data, OHE_COLS, DICT_TOKENS, ["creativesize_num"])
-    return rows.select("aid", "uid", "label", "features"), dictionary
+    """(uid, aid, label, features) and the dictionary of the columns."""
+    return E.design_matrix(matrix_input(spark, d), ["uid", "aid"], OHE_COLS, DICT_TOKENS, NUMERIC_COLS)
+
+
+def vector_cells(rows, features: str = "features"):
+    """(uid, aid, col_index, value) of the stored values of sparse vectors."""
+    parts = rows.select("uid", "aid", unwrap_udt(features).alias("_v"))
+    return parts.select("uid", "aid", F.explode(F.arrays_zip("_v.indices", "_v.values")).alias("_c")).select(
+        "uid", "aid", F.col("_c.indices").cast("bigint").alias("col_index"), F.col("_c.values").alias("value"))
+
+
+@register("design_cells", with_base(*_MATRIX_CTES, select=_CELLS_SQL))
+def design_cells(spark, d):
+    """E5-E7 in long form (V), taken from the assembled vectors."""
+    rows, _ = design_rows(spark, d)
+    return vector_cells(rows)
 
 
-@register("design_matrix")
+@register("design_matrix", with_base(
+    *_MATRIX_CTES, f"cells AS ({_CELLS_SQL})",
+    select="SELECT d.aid, d.uid, d.label, CAST((SELECT max(col_index) + 1 FROM fdict) AS INTEGER) AS n_features, "
+           "CAST(coalesce(c.nnz, 0) AS INTEGER) AS nnz FROM data d LEFT JOIN (SELECT uid, aid, count(*) AS nnz "
+           "FROM cells GROUP BY uid, aid) c ON d.uid = c.uid AND d.aid = c.aid"))
 def design_matrix(spark, d):
-    """E5-E7 (R): assembled sparse rows; reported as width and non-zero count."""
+    """Assembled sparse rows; width and stored values of each."""
     rows, _ = design_rows(spark, d)
-    arr = vector_to_array("features")
-    return rows.select("aid", "uid", "label", F.size(arr).alias("n_features"),
-                       F.size(F.filter(arr, lambda x: x != 0)).alias("nnz"))
+    v = unwrap_udt("features")
+    return rows.select("aid", "uid", "label", v["size"].alias("n_features"), F.size(v["indices"]).alias("nnz"))

@@ -6,18 +6,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql.functions import unwrap_udt
 
 from ctrkit.operators import stats as st
 from ctrkit.operators.clean import normalise_names
-from ctrkit.operators.smoothing import fit_beta, smooth
+from ctrkit.operators.smoothing import fit_and_smooth, fit_beta, smooth
 from ctrkit.plans import standin as S
 from ctrkit.plans.catalog import register
 from ctrkit.plans.oracle_base import converged_fit_ctes, with_base
 from ctrkit.plans.q_core import RAW_HEADER_NAMES
 from ctrkit.plans.q_stats import CELLS, LAB_LONG, LAB_TOK, TOK_CELLS, r6
-from ctrkit.session import scratch_path
+from ctrkit.plans.q_encode import _CELLS_SQL, _MATRIX_CTES, design_rows
+from ctrkit.session import scratch_path, shared_root
 from ctrkit.sources import files
 from ctrkit.sources.profile import PROFILE_KEYS, read_profiles, to_profile_lines
 
@@ -120,8 +121,7 @@ def overwrite_partition(spark, d):
         F.col("impressions").cast("double").alias("impressions"), "factor_name")
     files.write_partitioned(counts, path)
     kw1 = counts.where(F.col("factor_name") == "kw1")
-    params = fit_beta(kw1, ["factor_name"])
-    files.overwrite_partitions(smooth(kw1, params, ["factor_name"]).select(
+    files.overwrite_partitions(fit_and_smooth(kw1, ["factor_name"]).select(
         "single_value", "clicks", "impressions", "factor_name"), path)
     back = spark.read.parquet(path)
     return back.select("factor_name", "single_value", r6(F.col("clicks")).alias("clicks"),
@@ -136,16 +136,18 @@ def read_partition(spark, d):
     return files.read_partition(spark, path, "interest1").select("single_value", "clicks", "impressions")
 
 
-@register("save_design_matrix")
+@register("save_design_matrix", with_base(
+    *_MATRIX_CTES, f"cells AS ({_CELLS_SQL})",
+    select="SELECT d.aid, d.uid, d.label, count(c.value) AS nnz, round(coalesce(sum(c.value), 0), 6) AS total "
+           "FROM data d LEFT JOIN cells c ON d.uid = c.uid AND d.aid = c.aid GROUP BY d.aid, d.uid, d.label"))
 def save_design_matrix(spark, d):
-    """S14 (R): design rows with label in the same row, written as Parquet."""
-    from ctrkit.plans.q_encode import design_rows
+    """Design rows with the label in the same row, written as Parquet and read back."""
     rows, _ = design_rows(spark, d)
-    path = scratch_path(spark, "design")
+    path = scratch_path(spark, "design-saved")
     rows.write.mode("overwrite").parquet(path)
-    back = spark.read.parquet(path)
-    return back.select("aid", "uid", "label", F.size(F.filter(vector_to_array("features"), lambda x: x != 0))
-                       .alias("nnz"))
+    v = unwrap_udt("features")["values"]
+    return spark.read.parquet(path).select("aid", "uid", "label", F.size(v).cast("bigint").alias("nnz"), r6(
+        F.aggregate(v, F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
 @register("submission_format", with_base(
@@ -161,12 +163,13 @@ def submission_format(spark, d):
     """Test rows scored by the smoothed (lbs, aid) CTR, written as ``aid,uid,score``;
     a cell never seen in train gets the prior mean alpha / (alpha + beta)."""
     data = S.data_all(spark, d)
-    cells = st.ctr_by_value_aid(data, ["lbs"]).drop("ctr")
-    params = fit_beta(cells, ["factor_name"])
+    shared_root(spark)
+    cells = st.ctr_by_value_aid(data, ["lbs"]).drop("ctr").checkpoint()
+    params = fit_beta(cells, ["factor_name"], materialize=True)
     sm = smooth(cells, params, ["factor_name"]).select(F.col("value").alias("lbs"), "aid", "ctr")
     prior = params.select("factor_name", (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("prior"))
     test = (data.where(F.col("label").isNull()).select("aid", "uid", "lbs", F.lit("lbs").alias("factor_name"))
-            .join(sm, ["lbs", "aid"], "left").join(F.broadcast(prior), "factor_name", "left")
+            .join(sm, ["lbs", "aid"], "left").join(prior, "factor_name", "left")
             .withColumn("ctr", F.coalesce(F.col("ctr"), F.col("prior"))))
     path = scratch_path(spark, "submission")
     files.write_csv(files.submission(test, "ctr"), path, header=True)

@@ -13,7 +13,7 @@ from ctrkit.operators import instances
 from ctrkit.operators import models as M
 from ctrkit.operators import stats as st
 from ctrkit.operators import tokens as T
-from ctrkit.operators.smoothing import fit_beta, smooth
+from ctrkit.operators.smoothing import fit_and_smooth
 from ctrkit.plans import standin as S
 from ctrkit.plans.catalog import register
 from ctrkit.plans.oracle_base import auc_ctes, with_base
@@ -130,8 +130,7 @@ def model_table(spark, d):
     checkpointed once because every model and search loop reads it many times."""
     data = S.data_all(spark, d)
     cells = st.ctr_by_value_aid(data, S.CROSS_FACTORS).drop("ctr")
-    params = fit_beta(cells, ["factor_name"], materialize=True)
-    sm = st.attach_long(data, ["uid", "aid"], S.CROSS_FACTORS, smooth(cells, params, ["factor_name"]), "ctr",
+    sm = st.attach_long(data, ["uid", "aid"], S.CROSS_FACTORS, fit_and_smooth(cells, ["factor_name"]), "ctr",
                         ["aid"], suffix="_ctr_smooth")
     base = E.ordinal_encode(st.with_token_counts(data, ["kw1", "interest1"]), ["lbs", "carrier", "consumptionability"])
     base = (base.join(st.delivery_volume(data), "aid", "left")

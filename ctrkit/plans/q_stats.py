@@ -8,7 +8,7 @@ from ctrkit.functions.special import digamma_difference
 from ctrkit.functions.tokens import token_count
 from ctrkit.operators import clean
 from ctrkit.operators import stats as st
-from ctrkit.operators.smoothing import beta_step, cell_histogram, fit_beta, fit_beta_steps, smooth
+from ctrkit.operators.smoothing import beta_step, cell_histogram, fit_and_smooth, fit_beta, fit_beta_steps
 from ctrkit.plans import standin as S
 from ctrkit.plans.catalog import register
 from ctrkit.plans.oracle_base import (converged_fit_ctes, digamma_diff_sql, fit_converged_ctes, fit_steps_ctes,
@@ -121,7 +121,7 @@ def ad_delivery_volume(spark, d):
     return st.delivery_volume(S.data_all(spark, d), "aid")
 
 
-COMBO_FACTORS = ["lbs", "carrier", "consumptionability"]
+COMBO_FACTORS = S.USER_COLS
 
 
 @register("combination_count", with_base(
@@ -132,8 +132,8 @@ def combination_count(spark, d):
     return st.combination_count(S.data_all(spark, d), COMBO_FACTORS, "aid")
 
 
-PAIR_AD = ["advertiserid", "producttype"]
-PAIR_USER = ["lbs", "carrier", "consumptionability"]
+PAIR_AD = S.AD_COLS
+PAIR_USER = S.USER_COLS
 
 
 def _pair_sql():
@@ -343,8 +343,7 @@ def _round_counts(df):
     _smoothed_sql("tok_cells", "fitted", "c.factor_name, c.single_value", complement=True))))
 def smoothed_complement(spark, d):
     counts = st.ctr_by_value(S.labelled(spark, d), S.TOKEN_FACTORS).drop("ctr")
-    params = fit_beta(counts, ["factor_name"])
-    return _round_counts(smooth(counts, params, ["factor_name"], complement=True))
+    return _round_counts(fit_and_smooth(counts, ["factor_name"], complement=True))
 
 
 @register("smoothed_ctr", with_base(
@@ -354,8 +353,7 @@ def smoothed_complement(spark, d):
     select=_smoothed_sql("cells", "fitted", "c.value AS lbs, c.aid")))
 def smoothed_ctr(spark, d):
     cells = st.ctr_by_value_aid(S.labelled(spark, d), ["lbs"]).drop("ctr")
-    params = fit_beta(cells, ["factor_name"])
-    out = smooth(cells, params, ["factor_name"])
+    out = fit_and_smooth(cells, ["factor_name"])
     return _round_counts(out.select(F.col("value").alias("lbs"), "aid", "clicks", "impressions", "ctr"))
 
 
@@ -364,8 +362,7 @@ def smoothed_ctr(spark, d):
 def smoothed_ctr_all(spark, d):
     """Every factor in one aggregation and one grouped fit (no process pool)."""
     cells = st.ctr_by_value_aid(S.labelled(spark, d), S.CROSS_FACTORS).drop("ctr")
-    params = fit_beta(cells, ["factor_name"])
-    return _round_counts(smooth(cells, params, ["factor_name"]))
+    return _round_counts(fit_and_smooth(cells, ["factor_name"]))
 
 
 @register("attach_smoothed_ctr", with_base(
@@ -381,8 +378,7 @@ def attach_smoothed_ctr(spark, d):
     the raw value, with one join for all factors."""
     data = S.data_all(spark, d)
     cells = st.ctr_by_value_aid(data, S.CROSS_FACTORS).drop("ctr")
-    params = fit_beta(cells, ["factor_name"], materialize=True)
-    sm = smooth(cells, params, ["factor_name"])
+    sm = fit_and_smooth(cells, ["factor_name"])
     out = st.attach_long(data, ["uid", "aid"], S.CROSS_FACTORS, sm, "ctr", ["aid"], suffix="_ctr_smooth")
     return out.select("uid", "aid", *[r6(F.col(c)).alias(c) for c in out.columns if c.endswith("_ctr_smooth")])
 
@@ -404,8 +400,7 @@ def zero_filled_ctr(spark, d):
     grid = st.long_form(data, S.CROSS_FACTORS, ["aid"]).distinct()
     cells = st.ctr_by_value_aid(data, S.CROSS_FACTORS).drop("ctr")
     filled = st.lookup(grid, cells, ["factor_name", "value", "aid"], fill={"clicks": 0, "impressions": 0})
-    params = fit_beta(filled, ["factor_name"])
-    out = smooth(filled, params, ["factor_name"], adjust_counts=False)
+    out = fit_and_smooth(filled, ["factor_name"], adjust_counts=False)
     return out.select("factor_name", "value", "aid", F.col("clicks").alias("raw_clicks"),
                       F.col("impressions").alias("raw_impressions"), r6(F.col("ctr")).alias("ctr"))
 
@@ -429,8 +424,7 @@ def _noisy_or_per_user(spark, d):
     user, so the product is computed once per user (not per instance) and joined."""
     lab = S.labelled(spark, d)
     counts = st.ctr_by_value(lab, S.TOKEN_FACTORS).drop("ctr")
-    params = fit_beta(counts, ["factor_name"])
-    comp = smooth(counts, params, ["factor_name"], complement=True, out="q", adjust_counts=False)
+    comp = fit_and_smooth(counts, ["factor_name"], complement=True, out="q", adjust_counts=False)
     data = S.data_all(spark, d)
     users = clean.null_to_sentinel(S.users(spark, d), S.TOKEN_FACTORS).join(
         data.select("uid").distinct(), "uid", "left_semi")

@@ -102,11 +102,13 @@ def test_fit_golden_sf001(spark):
     assert abs(r["alpha"] - 13.5991962534) < 1e-6 and abs(r["beta"] - 26.7298716608) < 1e-6
 
 
-def test_lookup_strategies_agree(spark):
+def test_lookups_by_factor_equal_one_long_join(spark):
     data = S.data_all(spark, SF001)
     cells = st.ctr_by_value_aid(data, S.CROSS_FACTORS)
-    a = st.attach_long(data, ["uid", "aid"], S.CROSS_FACTORS, cells, "ctr", suffix="_c", strategy="per_factor")
-    b = st.attach_long(data, ["uid", "aid"], S.CROSS_FACTORS, cells, "ctr", suffix="_c", strategy="long")
+    a = st.attach_long(data, ["uid", "aid"], S.CROSS_FACTORS, cells, "ctr", suffix="_c")
+    lf = st.long_form(data, S.CROSS_FACTORS, ["uid", "aid"]).join(cells, ["factor_name", "value", "aid"], "left")
+    b = lf.groupBy("uid", "aid").pivot("factor_name", S.CROSS_FACTORS).agg(F.first("ctr")).select(
+        "uid", "aid", *[F.col(f).alias(f"{f}_c") for f in S.CROSS_FACTORS])
     assert a.count() == b.count() == data.count()
     assert a.exceptAll(b.select(*a.columns)).count() == 0
 
