@@ -25,7 +25,7 @@ from ctrkit.llm.common import in_slices, texts_of
 from ctrkit.llm.words import sums, word_index
 
 #: Labelled rows that are learned from: of each class at most.
-TRAIN_ROWS_OF_ONE = 3000
+TRAIN_ROWS_OF_ONE = 2000
 BUCKETS = 1 << 15
 DIMENSIONS = 8
 PREFIXES = (3, 4, 5, 6)
@@ -34,6 +34,8 @@ FILTERS = 8
 STEPS, BATCH, RATE, DECAY = 500, 48, 0.01, 3e-3
 WORD_DROPOUT = 0.3
 LANGUAGE_BUCKETS = 1 << 13
+#: Texts that are scored at a time while learning.
+ROWS_AT_ONCE = 256
 #: A language's own threshold counts as much as the common one at so many toxic rows.
 SHRINK = 10
 
@@ -84,14 +86,13 @@ class Network:
             self.p[f"shift{w}"] = np.zeros(FILTERS, np.float32)
             self.p[f"out{w}"] = (rng.normal(0, 0.1, FILTERS) + np.where(np.arange(FILTERS) % 4 == 3, -0.3, 0.3)).astype(np.float32)
 
-    def start_from(self, tokens: Tokens, toxic: np.ndarray, seed: int = 0) -> None:
-        """Embeddings of what occurs in the sample: its log-odds, and small random values."""
+    def start_from(self, tokens: Tokens, toxic: np.ndarray, rows: np.ndarray, seed: int = 0) -> None:
+        """Embeddings of what occurs in the rows: its log-odds, and small random values."""
         seen = np.zeros((2, BUCKETS))
-        row = np.repeat(np.arange(len(toxic)), np.diff(tokens.offsets))
-        for feature in tokens.features.T:
-            pairs = np.unique(row * BUCKETS + feature[tokens.index[tokens.place]])
-            np.add.at(seen, (toxic[pairs // BUCKETS].astype(int), pairs % BUCKETS), 1)
-        totals = np.maximum(np.bincount(toxic.astype(int), minlength=2), 1)[:, None]
+        for r in rows:
+            own = np.unique(tokens.features[tokens.index[tokens.place[tokens.offsets[r]:tokens.offsets[r + 1]]]])
+            seen[int(toxic[r]), own] += 1
+        totals = np.maximum(np.bincount(toxic[rows].astype(int), minlength=2), 1)[:, None]
         odds = np.log((seen + 0.5) / (totals + 1))
         n = seen.sum(0)
         self.p["embed"][:, 0] = (odds[1] - odds[0]) * n / (n + 3) / 2
@@ -149,10 +150,10 @@ class Network:
         g["embed"][0] = 0
         return g
 
-    def train(self, tokens: Tokens, toxic: np.ndarray, seed: int = 0) -> None:
+    def train(self, tokens: Tokens, toxic: np.ndarray, use: np.ndarray, seed: int = 0) -> None:
         """Adam on balanced batches of the logistic loss, with weight decay and word dropout."""
         rng = np.random.default_rng(seed)
-        groups = [np.flatnonzero(toxic == v) for v in (0, 1)]
+        groups = [use[toxic[use] == v] for v in (0, 1)]
         if not all(map(len, groups)):
             return
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -170,7 +171,9 @@ class Network:
             self.p["embed"][0] = 0
 
     def logits(self, tokens: Tokens) -> np.ndarray:
-        return self.forward(tokens, np.arange(len(tokens.offsets) - 1))[0]
+        rows = np.arange(len(tokens.offsets) - 1)
+        parts = [self.forward(tokens, rows[a:a + ROWS_AT_ONCE])[0] for a in range(0, len(rows), ROWS_AT_ONCE)]
+        return np.concatenate([np.zeros(0), *parts])
 
 
 class Languages:
@@ -208,8 +211,8 @@ def threshold(z: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
 class Classifier:
     """The network, the languages and a threshold for each."""
 
-    def __init__(self, texts: list[str], toxic: list[int], langs: list[str], weights: list[float], seed: int = 0):
-        tokens = Tokens(pa.array(texts, pa.string()))
+    def __init__(self, texts: pa.Array, toxic: list[int], langs: list[str], weights: list[float], seed: int = 0):
+        tokens = Tokens(texts)
         y, weight = np.array(toxic, np.float64), np.array(weights, np.float64)
         self.network = Network(seed)
         self.languages = Languages(tokens, langs)
@@ -218,7 +221,7 @@ class Classifier:
             return
         # Thresholds come from rows that the network has not seen; then it learns from all rows.
         fold = np.arange(len(y)) % 4 == 3
-        self._learn(texts, y, ~fold, seed)
+        self._learn(tokens, y, np.flatnonzero(~fold), seed)
         z = self.network.logits(tokens)
         guess = self.languages.guess(tokens)
         if fold.any():
@@ -229,13 +232,11 @@ class Classifier:
                 share = n / (n + SHRINK) if 0 < n < own.sum() else 0
                 self.thresholds[i] = (share * threshold(z[own], y[own], weight[own]) if share else 0) + (1 - share) * common
         self.network = Network(seed)
-        self._learn(texts, y, np.ones(len(y), bool), seed)
+        self._learn(tokens, y, np.arange(len(y)), seed)
 
-    def _learn(self, texts: list[str], y: np.ndarray, use: np.ndarray, seed: int) -> None:
-        rows = np.flatnonzero(use)
-        tokens = Tokens(pa.array([texts[i] for i in rows], pa.string()))
-        self.network.start_from(tokens, y[rows], seed)
-        self.network.train(tokens, y[rows], seed)
+    def _learn(self, tokens: Tokens, y: np.ndarray, rows: np.ndarray, seed: int) -> None:
+        self.network.start_from(tokens, y, rows, seed)
+        self.network.train(tokens, y, rows, seed)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         tokens = Tokens(texts)
@@ -259,10 +260,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = F.broadcast(marked.where(wanted).withColumn("place", place))
     found = (docs.join(picked, docs[id_col] == picked["labelled"])
              .select("place", F.coalesce(text_col, F.lit("")).alias("text"), F.coalesce(lang_col, F.lit("")).alias("lang"),
-                     "is_toxic").collect())
-    found = sorted(found, key=lambda r: (r["place"], r["text"]))
-    weights = [max(1.0, counts[r["is_toxic"]] / per_class) for r in found]
-    return Classifier([r["text"] for r in found], [r["is_toxic"] for r in found], [r["lang"] for r in found], weights)
+                     "is_toxic").toArrow().sort_by([("place", "ascending"), ("text", "ascending")]))
+    toxic = found["is_toxic"].to_pylist()
+    weights = [max(1.0, counts[v] / per_class) for v in toxic]
+    return Classifier(found["text"].combine_chunks(), toxic, found["lang"].to_pylist(), weights)
 
 
 def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

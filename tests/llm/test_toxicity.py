@@ -45,7 +45,7 @@ def test_back_propagation_against_differences(tiny):
     texts, toxic = tiny
     tokens = toxicity.Tokens(pa.array(texts[:6]))
     net = toxicity.Network(3)
-    net.start_from(tokens, np.array(toxic[:6], float))
+    net.start_from(tokens, np.array(toxic[:6], float), np.arange(6))
     for v in net.p.values():
         v += np.random.default_rng(5).normal(0, 0.05, v.shape).astype(np.float32)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -75,7 +75,7 @@ def test_back_propagation_against_differences(tiny):
 
 def test_scores_do_not_depend_on_the_batch(tiny):
     texts, toxic = tiny
-    model = toxicity.Classifier(texts, toxic, ["a"] * len(texts), [1.0] * len(texts))
+    model = toxicity.Classifier(pa.array(texts), toxic, ["a"] * len(texts), [1.0] * len(texts))
     together = model.scores(pa.array([*texts, "", "vile", "w1"]))
     alone = [float(model.scores(pa.array([t]))[0]) for t in [*texts, "", "vile", "w1"]]
     assert together == pytest.approx(alone, abs=1e-5)
