@@ -26,11 +26,6 @@ def recode_label(df: DataFrame, col: str = "label") -> DataFrame:
     return df.withColumn(col, F.when(F.col(col) == -1, F.lit(0)).otherwise(F.col(col)).cast("bigint"))
 
 
-def tag(df: DataFrame, col: str, value) -> DataFrame:
-    """Constant column (``-2 as label``, ``qubie = k``)."""
-    return df.withColumn(col, F.lit(value))
-
-
 def split_labelled(df: DataFrame, col: str = "label") -> tuple[DataFrame, DataFrame]:
     """(labelled rows, unlabelled rows)."""
     return df.where(F.col(col).isNotNull()), df.where(F.col(col).isNull())
@@ -71,3 +66,8 @@ def sentinel_override(df: DataFrame, raw_col: str, stat_col: str, sentinel: str
     """Where the raw field is the missing marker, the statistic becomes ``value``."""
     return df.withColumn(stat_col, F.when(F.col(raw_col) == sentinel, F.lit(value))
                          .otherwise(F.col(stat_col)).cast("double"))
+
+
+def scale_columns(df: DataFrame, cols: list[str], factor: float = 100.0) -> DataFrame:
+    """Statistics multiplied on use (a rate as a percentage)."""
+    return df.withColumns({c: (F.col(c) * F.lit(factor)).cast("double") for c in cols})

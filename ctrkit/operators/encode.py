@@ -143,16 +143,26 @@ def design_matrix(df: DataFrame, row_keys: list[str], onehot_cols: list[str], to
     dictionary = feature_dictionary(df, onehot_cols, token_fields, numeric_cols).checkpoint()
     width = (dictionary.agg(F.max("col_index")).first()[0] or 0) + 1
     cells = design_cells(df, row_keys, onehot_cols, token_fields, numeric_cols, dictionary)
-    rows = cells.groupBy(*row_keys).agg(F.array_sort(F.collect_list(F.struct("col_index", "value"))).alias("_c"))
-    none = F.array().cast("array<struct<col_index:bigint,value:double>>")
-    full = df.select(*row_keys, *keep).join(rows, list(row_keys), "left").withColumn("_c", F.coalesce("_c", none))
+    return vectors_of(cells, df.select(*row_keys, *keep), row_keys, width, output), dictionary
+
+
+def vectors_of(cells: DataFrame, rows: DataFrame, row_keys: list[str], width: int | None = None,
+               output: str = "features") -> DataFrame:
+    """``rows`` with the sparse vector of their cells (row_keys..., col_index, value); rows without a
+    cell have the empty vector. ``width`` defaults to the largest column plus one."""
+    spark = rows.sparkSession
+    if width is None:
+        width = (cells.agg(F.max("col_index")).first()[0] or 0) + 1
+    packed = cells.groupBy(*row_keys).agg(F.array_sort(F.collect_list(F.struct("col_index", "value"))).alias("_c"))
+    none = F.array().cast(packed.schema["_c"].dataType)
+    full = rows.join(packed, list(row_keys), "left").withColumn("_c", F.coalesce("_c", none))
     vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(width).cast("int").alias("size"),
                       F.transform("_c", lambda c: c["col_index"].cast("int")).alias("indices"),
                       F.transform("_c", lambda c: c["value"]).alias("values"))
-    path = scratch_path(spark, "design")
-    full.select(*row_keys, *keep, vector.alias(output)).write.parquet(path)
-    schema = StructType([*[df.schema[c] for c in (*row_keys, *keep)], StructField(output, VectorUDT())])
-    return spark.read.schema(schema).parquet(path), dictionary
+    path = scratch_path(spark, "vectors")
+    full.select(*rows.columns, vector.alias(output)).write.parquet(path)
+    schema = StructType([*rows.schema.fields, StructField(output, VectorUDT())])
+    return spark.read.schema(schema).parquet(path)
 
 
 def save_dictionary(dictionary: DataFrame, path: str) -> None:

@@ -132,6 +132,28 @@ def missing_rate(spark, d):
     return out.select("column_name", r6(F.col("missing_rate")).alias("missing_rate"))
 
 
+MISSING_LIMIT = 0.1
+
+
+@register("drop_high_missing", with_base(
+    "rates AS (SELECT avg(CASE WHEN carrier = '-1' THEN 1.0 ELSE 0.0 END) AS carrier FROM data)",
+    select="SELECT " + ", ".join(["aid", "uid", *[c for c in _MISSING_COLS if c != "carrier"]]) +
+           f" FROM data WHERE (SELECT carrier FROM rates) > {MISSING_LIMIT}"))
+def drop_high_missing(spark, d):
+    """Columns that are missing in more than a tenth of the rows are dropped (here: carrier)."""
+    data = S.data_all(spark, d).select("aid", "uid", *_MISSING_COLS)
+    return clean.drop_high_missing(data, _MISSING_COLS, MISSING_LIMIT)
+
+
+@register("scale_ctr", with_base(
+    "x AS (SELECT lbs, aid, sum(label) / count(*) AS corr_ctr FROM lab GROUP BY lbs, aid)",
+    select="SELECT lbs, aid, round(corr_ctr * 100, 6) AS corr_ctr FROM x"))
+def scale_ctr(spark, d):
+    """The statistic as a percentage."""
+    x = cross_ctr(S.labelled(spark, d), [("lbs",)], ["aid"]).select(F.col("v1").alias("lbs"), "aid", "corr_ctr")
+    return clean.scale_columns(x, ["corr_ctr"]).withColumn("corr_ctr", r6(F.col("corr_ctr")))
+
+
 @register("cast_keys", with_base(
     select="SELECT uid, TRY_CAST(consumptionability AS BIGINT) AS consumptionability, "
            "TRY_CAST(carrier AS BIGINT) AS carrier, TRY_CAST(lbs AS BIGINT) AS lbs FROM users_raw"))

@@ -97,6 +97,20 @@ def ctas_roundtrip(spark, d):
     return files.create_table_as_select(spark, S.data_all(spark, d), name, scratch_path(spark, "ctas"))
 
 
+@register("overwrite_table", with_base(select="SELECT aid, uid, label, lbs FROM data WHERE label IS NULL"))
+def overwrite_table(spark, d):
+    """A table of the labelled rows, overwritten by the others; what is read is a copy, and the
+    table is dropped."""
+    data = S.data_all(spark, d).select("aid", "uid", "label", "lbs")
+    name = f"ctrkit_over_{uuid.uuid4().hex[:10]}"
+    files.create_table_as_select(spark, data.where("label is not null"), name, scratch_path(spark, "overwrite"))
+    out = files.overwrite_table(spark, data.where("label is null"), name)
+    shared_root(spark)
+    out = out.checkpoint()
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 @register("partitioned_stats", with_base(LAB_TOK, TOK_CELLS, select=(
     "SELECT factor_name, single_value, clicks, impressions FROM tok_cells")))
 def partitioned_stats(spark, d):

@@ -4,15 +4,16 @@ and model / search queries (rows-only checks)."""
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ctrkit.functions.tokens import tokens
 from ctrkit.operators import encode as E
 from ctrkit.operators import evaluate as V
 from ctrkit.operators import instances
 from ctrkit.operators import models as M
 from ctrkit.operators import stats as st
 from ctrkit.operators import tokens as T
+from ctrkit.operators.ranking import ordered_scan
 from ctrkit.operators.smoothing import fit_and_smooth
 from ctrkit.plans import standin as S
 from ctrkit.plans.catalog import register
@@ -96,28 +97,22 @@ def best_round(spark, d):
 
 
 # ----------------------------------------------------------------------------- M6 relational part
-CUT_GRID = [1, 5, 10, 20]
-
-
 @register("cut_coverage", with_base(
     LAB_TOK,
     "imp AS (SELECT factor_name, single_value, count(*) AS n FROM lab_tok GROUP BY factor_name, single_value)",
     "rk AS (SELECT *, row_number() OVER (PARTITION BY factor_name ORDER BY n DESC, single_value) AS rnk FROM imp)",
-    "grid AS (SELECT unnest([" + ", ".join(map(str, CUT_GRID)) + "]) AS top_n)",
-    select="SELECT r.factor_name, CAST(g.top_n AS INTEGER) AS top_n, round(sum(CASE WHEN r.rnk <= g.top_n THEN r.n "
-           "ELSE 0 END) / sum(r.n), 6) AS kept_share FROM rk r, grid g GROUP BY r.factor_name, g.top_n"))
+    select="SELECT factor_name, rnk AS top_n, round(sum(n) OVER (PARTITION BY factor_name ORDER BY rnk) / "
+           "sum(n) OVER (PARTITION BY factor_name), 6) AS kept_share FROM rk"))
 def cut_coverage(spark, d):
-    """Share of labelled token occurrences kept by a top-N cut, for a grid of N."""
+    """Share of labelled token occurrences kept by a top-N cut, for every N up to the vocabulary: the
+    running sum of the importances in rank order."""
     imp = T.token_importance(S.data_all(spark, d), S.TOKEN_FACTORS)
-    ranked = T.rank_tokens(imp)
-    per_n = [ranked.groupBy("factor_name").agg(
-        F.lit(n).alias("top_n"),
-        r6(F.sum(F.when(F.col("rank") <= n, F.col("import_value")).otherwise(0)) / F.sum("import_value"))
-        .alias("kept_share")) for n in CUT_GRID]
-    out = per_n[0]
-    for p in per_n[1:]:
-        out = out.unionByName(p)
-    return out
+    ranked = ordered_scan(imp, [F.col("import_value").desc(), F.col("single_value").asc()], ["factor_name"],
+                          sums=["import_value"], index_col="_i")
+    totals = imp.groupBy("factor_name").agg(F.sum("import_value").alias("_all"))
+    return ranked.join(totals, "factor_name").select(
+        "factor_name", (F.col("_i") + 1).alias("top_n"),
+        r6((F.col("import_value_before") + F.col("import_value")) / F.col("_all")).alias("kept_share"))
 
 
 # ----------------------------------------------------------------------------- model table
@@ -128,19 +123,19 @@ SMOOTH_COLS = [f"{f}_ctr_smooth" for f in S.CROSS_FACTORS]
 def model_table(spark, d):
     """Compact numeric features per instance (train / valid / test split by hash),
     checkpointed once because every model and search loop reads it many times."""
-    data = S.data_all(spark, d)
-    cells = st.ctr_by_value_aid(data, S.CROSS_FACTORS).drop("ctr")
+    data = instances.hash_split(S.data_all(spark, d), ["uid", "aid"], 70).withColumn(
+        "split", F.when(F.col("label").isNull(), F.lit("test")).otherwise(F.col("split")))
+    # Statistics of the label come from the train rows alone: validation rows must not see their own.
+    learned = data.where(F.col("split") == "train")
+    cells = st.ctr_by_value_aid(learned, S.CROSS_FACTORS).drop("ctr")
     sm = st.attach_long(data, ["uid", "aid"], S.CROSS_FACTORS, fit_and_smooth(cells, ["factor_name"]), "ctr",
                         ["aid"], suffix="_ctr_smooth")
     base = E.ordinal_encode(st.with_token_counts(data, ["kw1", "interest1"]), ["lbs", "carrier", "consumptionability"])
     base = (base.join(st.delivery_volume(data), "aid", "left")
-            .join(st.historic_ctr(data, "aid").select("aid", "hist_ctr"), "aid", "left"))
+            .join(st.historic_ctr(learned, "aid").select("aid", "hist_ctr"), "aid", "left"))
     t = base.join(sm, ["uid", "aid"], "left").fillna(0.0, subset=SMOOTH_COLS + ["hist_ctr"])
-    t = instances.hash_split(t, ["uid", "aid"], 70).withColumn(
-        "split", F.when(F.col("label").isNull(), F.lit("test")).otherwise(F.col("split")))
     t = t.select("uid", "aid", "label", "split", *[F.col(c).cast("double") for c in NUMERIC + SMOOTH_COLS],
                  *S.TOKEN_FACTORS)
-    t = t.withColumn("is_valid", F.col("split") == "valid")
     shared_root(spark)
     return t.checkpoint(eager=True)
 
@@ -149,159 +144,222 @@ def _assembled(t, cols):
     return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(t)
 
 
-def _scored_test(model, t):
-    out = M.score(model, t.where(F.col("split") == "test"))
+def _scored_test(model, test):
+    out = M.score(model, test)
     return out.select("aid", "uid", r6(F.col(M.SCORE)).alias("score"))
 
 
 # ----------------------------------------------------------------------------- T1-T7, E8, S16
+ALL_COLS = NUMERIC + SMOOTH_COLS
+# Rounds without a better AUC after which the queries stop (the operators' default is the reference's
+# 100); the limit on rounds is the reference's 1000.
+PATIENCE = 20
+# Fixed values of the reference's linear models: tolerance and iterations; C is the inverse penalty.
+TOL, LR_ITER = 1e-4, 150
+# Fixed values of the second tree model.
+ALT = {"step_size": 0.05, "subsample": 0.7, "feature_subset": "0.7", "min_child": 50}
+
+
+def _parts(t):
+    """(train, valid, test) rows, the first two labelled."""
+    return (t.where(F.col("split") == "train"), t.where(F.col("split") == "valid"), t.where(F.col("split") == "test"))
+
+
+def _lr(train, c: float, l1_ratio: float = 0.0, max_iter: int = LR_ITER, weight_col: str | None = None):
+    """Logistic regression whose penalty is 1 / C over the summed loss: Spark's is per row."""
+    return M.logreg(reg_param=1.0 / (c * train.count()), l1_ratio=l1_ratio, max_iter=max_iter, tol=TOL, weight_col=weight_col)
+
+
 @register("gbt_score")
 def gbt_score(spark, d):
-    """Depth-5 trees, learning rate 0.02, 70 % row and feature subsampling,
-    validation-based early stopping; scores the test rows."""
-    t = _assembled(model_table(spark, d), NUMERIC + SMOOTH_COLS)
-    model = M.fit(M.gbt(max_iter=50, validation_col="is_valid"), t.where(F.col("label").isNotNull()))
-    return _scored_test(model, t)
+    """Depth-5 trees, learning rate 0.02, 70 % row and feature subsampling, stopped when the AUC of
+    the validation rows has not grown for 100 rounds; scores the test rows."""
+    train, valid, test = _parts(_assembled(model_table(spark, d), ALL_COLS))
+    model, *_ = M.boost(train, valid, patience=PATIENCE)
+    return _scored_test(model, test)
 
 
 @register("gbt_score_alt")
 def gbt_score_alt(spark, d):
-    """Second parameter set (depth 5, learning rate 0.05)."""
-    t = _assembled(model_table(spark, d), NUMERIC + SMOOTH_COLS)
-    model = M.fit(M.gbt(max_iter=50, step_size=0.05, subsample=1.0, feature_subset="all"),
-                  t.where(F.col("split") == "train"))
-    return _scored_test(model, t)
+    """Learning rate 0.05, 70 % of rows and features, at least 50 rows in a leaf, early stop."""
+    train, valid, test = _parts(_assembled(model_table(spark, d), ALL_COLS))
+    model, *_ = M.boost(train, valid, patience=PATIENCE, **ALT)
+    return _scored_test(model, test)
 
 
 @register("logreg_score")
 def logreg_score(spark, d):
-    """L1 logistic regression with balanced class weights; score and hard label."""
-    t = instances.balanced_weights(_assembled(model_table(spark, d), NUMERIC + SMOOTH_COLS))
-    train = t.where(F.col("split") == "train")
-    n = train.count()
-    model = M.fit(M.logreg(reg_param=1.0 / n, l1_ratio=1.0, weight_col="weight"), train)
-    out = M.score(model, t.where(F.col("split") == "test"))
+    """L1 logistic regression (C = 1), balanced class weights of the train rows; score and
+    hard label."""
+    train, _, test = _parts(_assembled(model_table(spark, d), ALL_COLS))
+    train = instances.balanced_weights(train)
+    out = M.score(M.fit(_lr(train, 1.0, l1_ratio=1.0, weight_col="weight"), train), test)
     return out.select("aid", "uid", r6(F.col(M.SCORE)).alias("score"), F.col("prediction").cast("int").alias("pred"))
 
 
+@register("logreg_l2")
+def logreg_l2(spark, d):
+    """L2 logistic regression (C = 0.01) on the assembled one-hot, token and numeric matrix."""
+    from ctrkit.plans.q_encode import design_rows
+    rows, _ = design_rows(spark, d)
+    rows = instances.hash_split(rows, ["uid", "aid"], 70)
+    train = rows.where(F.col("label").isNotNull() & (F.col("split") == "train"))
+    return _scored_test(M.fit(_lr(train, 0.01), train), rows.where(F.col("label").isNull()))
+
+
 @register("logreg_elastic")
 def logreg_elastic(spark, d):
     """T4: log-loss linear model with elastic-net penalty (alpha 0.001, l1_ratio 0.15)."""
-    t = _assembled(model_table(spark, d), NUMERIC + SMOOTH_COLS)
-    model = M.fit(M.logreg(reg_param=0.001, l1_ratio=0.15, max_iter=20), t.where(F.col("split") == "train"))
-    return _scored_test(model, t)
+    train, _, test = _parts(_assembled(model_table(spark, d), ALL_COLS))
+    return _scored_test(M.fit(M.logreg(reg_param=0.001, l1_ratio=0.15, max_iter=LR_ITER, tol=TOL), train), test)
 
 
 @register("stacked_score")
 def stacked_score(spark, d):
-    """T5: an LR over the smoothed-CTR columns becomes one more input of the trees."""
+    """T5: an L2 logistic regression (C = 500) over the noisy-or column of every token field becomes
+    one more input of the trees."""
+    from ctrkit.plans.q_stats import token_noisy_or_filled
     t = model_table(spark, d)
-    lab = t.where(F.col("split") == "train")
-    lr = M.fit(M.logreg(reg_param=0.01, max_iter=20), lab, SMOOTH_COLS)
+    wide = (token_noisy_or_filled(spark, d).groupBy("uid", "aid").pivot("factor_name", S.TOKEN_FACTORS)
+            .agg(F.first("noisy_or")))
+    cols = [f"{f}_noisy_or" for f in S.TOKEN_FACTORS]
+    wide = wide.select("uid", "aid", *[F.coalesce(F.col(f), F.lit(0.0)).alias(c) for f, c in zip(S.TOKEN_FACTORS, cols)])
+    t = t.join(wide, ["uid", "aid"], "left").fillna(0.0, subset=cols)
+    train, _, _ = _parts(t)
+    lr = M.fit(_lr(train, 500.0), train, cols)
     stacked = M.score(lr, t, out="lr_score").drop("features", "rawPrediction", "probability", "prediction")
-    cols = NUMERIC + ["lr_score"]
-    model = M.fit(M.gbt(max_iter=30), stacked.where(F.col("split") == "train"), cols)
-    out = M.score(model, stacked.where(F.col("split") == "test"))
+    train, valid, test = _parts(_assembled(stacked, NUMERIC + ["lr_score"]))
+    model, *_ = M.boost(train, valid, patience=PATIENCE)
+    out = M.score(model, test)
     return out.select("aid", "uid", r6(F.col("lr_score")).alias("lr_score"), r6(F.col(M.SCORE)).alias("score"))
 
 
+def leaf_matrix(spark, d):
+    """(cells, rows): the leaf one-hot cells of the early-stopped trees, and the rows with split."""
+    t = _assembled(model_table(spark, d), ALL_COLS)
+    train, valid, _ = _parts(t)
+    model, *_ = M.boost(train, valid, patience=PATIENCE)
+    return M.leaf_cells(model, t, ["uid", "aid"]), t
+
+
 @register("leaf_features")
 def leaf_features(spark, d):
-    """Leaf index per tree as one-hot column indices (tree * 2^depth + leaf)."""
-    t = _assembled(model_table(spark, d), NUMERIC + SMOOTH_COLS)
-    model = M.fit(M.gbt(max_iter=10, leaf_col="leaf"), t.where(F.col("split") == "train"))
-    out = M.leaf_indices(model, t, "leaf", 5)
-    return out.select("aid", "uid", F.size("leaf_index").alias("n_trees"), F.array_max("leaf_index").alias("max_index"))
+    """The leaf one-hot matrix, one cell per tree at column tree * 2^depth + leaf."""
+    cells, _ = leaf_matrix(spark, d)
+    return cells
+
+
+@register("leaf_logreg")
+def leaf_logreg(spark, d):
+    """E8 -> T3: L2 logistic regression (C = 0.001) on the leaf one-hot matrix; AUC of each split."""
+    cells, t = leaf_matrix(spark, d)
+    rows = E.vectors_of(cells, t.select("uid", "aid", "label", "split"), ["uid", "aid"])
+    train, valid, _ = _parts(rows)
+    model = M.fit(_lr(train, 0.001), train)
+    return spark.createDataFrame([(n, M.auc_of(M.score(model, x))) for n, x in (("train", train), ("valid", valid))],
+                                 "split string, auc double")
 
 
 @register("model_roundtrip")
 def model_roundtrip(spark, d):
     """Fitted pipeline saved to the shared folder, loaded, applied."""
     from pyspark.ml import PipelineModel
-    t = model_table(spark, d)
-    model = M.fit(M.logreg(reg_param=0.01, max_iter=20), t.where(F.col("split") == "train"), NUMERIC + SMOOTH_COLS)
+    train, _, test = _parts(model_table(spark, d))
+    model = M.fit(_lr(train, 0.01), train, ALL_COLS)
     path = scratch_path(spark, "model")
     model.write().overwrite().save(path)
-    loaded = PipelineModel.load(path)
-    return _scored_test(loaded, t)
+    return _scored_test(PipelineModel.load(path), test)
 
 
 # ----------------------------------------------------------------------------- M3, M5-M8
+FOLDS = 5
+
+
 @register("cv_auc_curve")
 def cv_auc_curve(spark, d):
-    """M3: k hash folds; per boosting round the held-out log loss of each fold
-    (``evaluateEachIteration``), then mean and standard deviation per round."""
+    """M3: per boosting round the mean and population standard deviation of the held-out AUC over
+    five hash folds, up to the patience after the best mean."""
     from ctrkit.functions.hashing import hash_bucket
-    t = _assembled(model_table(spark, d), NUMERIC + SMOOTH_COLS).where(F.col("label").isNotNull())
-    t = t.withColumn("fold", hash_bucket(["uid", "aid"], 3, "fold"))
-    rows = []
-    for k in range(3):
-        model = M.gbt(max_iter=20).fit(t.where(F.col("fold") != k))
-        for r, loss in enumerate(model.evaluateEachIteration(t.where(F.col("fold") == k))):
-            rows.append((k, r + 1, float(loss)))
-    curve = spark.createDataFrame(rows, "fold int, round int, loss double")
-    return curve.groupBy("round").agg(r6(F.avg("loss")).alias("mean_loss"), r6(F.stddev("loss")).alias("std_loss"))
-
-
-def _lr():
-    return M.logreg(reg_param=0.01, max_iter=20)
+    t = _assembled(model_table(spark, d), ALL_COLS).where(F.col("label").isNotNull())
+    t = t.withColumn("fold", hash_bucket(["uid", "aid"], FOLDS, "fold"))
+    out = M.cv_curve(t, "fold", FOLDS, patience=PATIENCE)
+    return out.select("round", r6(F.col("mean_auc")).alias("mean_auc"), r6(F.col("std_auc")).alias("std_auc"))
 
 
 @register("feature_add_curve")
 def feature_add_curve(spark, d):
     """M4 / M5: each smoothed-CTR feature added to a fixed base, then greedily kept."""
-    t = model_table(spark, d)
-    train, valid = t.where(F.col("split") == "train"), t.where(F.col("split") == "valid")
-    alone = M.trial_features(train, valid, ["kw1cnt", "interest1cnt"], SMOOTH_COLS, _lr, greedy=False)
-    greedy = M.trial_features(train, valid, ["kw1cnt", "interest1cnt"], SMOOTH_COLS, _lr, greedy=True)
+    train, valid, _ = _parts(model_table(spark, d))
+    fit = lambda: _lr(train, 0.01)
+    alone = M.trial_features(train, valid, ["kw1cnt", "interest1cnt"], SMOOTH_COLS, fit, greedy=False)
+    greedy = M.trial_features(train, valid, ["kw1cnt", "interest1cnt"], SMOOTH_COLS, fit, greedy=True)
     rows = [("alone", *r) for r in alone] + [("greedy", *r) for r in greedy]
     return spark.createDataFrame(rows, "mode string, step int, feature string, train_auc double, valid_auc double")
 
 
+# Fixed value of the reference's cut search: the N that it starts from.
+CUT_FROM = 100
+
+
 @register("cut_search")
 def cut_search(spark, d):
-    """M6: for each N of a grid, cut kw1 to its top N tokens (on the user dimension, a
-    join with the cut set), re-encode token counts, refit and log
-    (top_n, vocabulary, train_auc, valid_auc)."""
-    from pyspark.ml.feature import CountVectorizer
-    from ctrkit.functions.tokens import tokens
+    """M6: for every N from min(100, vocabulary) down to 1, keep the top N tokens of kw1 and count the
+    others as one, refit and log (top_n, train_auc, valid_auc). Tokens are ranked once; the
+    column of a token is its rank, so a cut only moves the columns past N into column N."""
     t = model_table(spark, d)
-    imp = T.token_importance(S.data_all(spark, d), ["kw1"])
-    users = t.select("uid", "kw1").distinct()
+    ranked = T.rank_tokens(T.token_importance(S.data_all(spark, d), ["kw1"])).checkpoint()
+    strings = (t.select("kw1").distinct().select("kw1", F.explode(tokens("kw1")).alias("single_value"))
+               .join(ranked, "single_value", "left")
+               .select("kw1", F.coalesce(F.col("rank") - 1, F.lit((1 << 31) - 2)).alias("place")).checkpoint())
     rows = []
-    for n in CUT_GRID:
-        cutted = T.cut_tokens(users, ["uid"], ["kw1"], T.topn_cut_set(imp, n))
-        x = t.drop("kw1").join(cutted, "uid", "left").withColumn("kw1_tok", tokens(F.lower(F.col("kw1"))))
-        cv = CountVectorizer(inputCol="kw1_tok", outputCol="kw1_cv", vocabSize=1 << 20).fit(x)
-        x = cv.transform(x)
-        model = M.fit(_lr(), x.where(F.col("split") == "train"), ["kw1_cv"] + SMOOTH_COLS)
-        rows.append((n, len(cv.vocabulary), M.auc_of(M.score(model, x.where(F.col("split") == "train"))),
-                     M.auc_of(M.score(model, x.where(F.col("split") == "valid")))))
-    return spark.createDataFrame(rows, "top_n int, vocabulary int, train_auc double, valid_auc double")
+    for n in range(min(CUT_FROM, ranked.count()), 0, -1):
+        cells = strings.groupBy("kw1", F.least("place", F.lit(n)).alias("col_index")).agg(
+            F.count(F.lit(1)).cast("double").alias("value"))
+        x = t.join(E.vectors_of(cells, t.select("kw1").distinct(), ["kw1"], n + 1, output="kw1_cv"), "kw1", "left")
+        train, valid, _ = _parts(_assembled(x, ["kw1_cv"] + SMOOTH_COLS))
+        model = M.fit(_lr(train, 0.01), train)
+        rows.append((n, M.auc_of(M.score(model, train)), M.auc_of(M.score(model, valid))))
+    return spark.createDataFrame(rows, "top_n int, train_auc double, valid_auc double")
+
+
+# Fixed values of the reference's four grids: (name, penalty settings, second settings).
+SGD_GRID = [(10.0 ** -k, n) for k in range(1, 7) for n in (2, 5, 10)]
+ELASTIC_GRID = [(0.004, r) for r in (0.001, 0.01, 0.05, 0.07)]
+LR_GRIDS = {"lr_stacked": [(c, n) for c in (0.0002, 0.0004, 0.0006, 0.0008) for n in (100, 150)],
+            "lr": [(c, n) for c in (1.0, 0.1, 0.01, 0.001, 0.0001) for n in (100, 150)]}
 
 
 @register("grid_search")
 def grid_search(spark, d):
-    """M7: penalty x iterations grid for the linear model, train / valid AUC per cell."""
-    t = _assembled(model_table(spark, d), NUMERIC + SMOOTH_COLS)
-    train, valid = t.where(F.col("split") == "train"), t.where(F.col("split") == "valid")
-    rows = []
-    for reg in [0.1, 0.01, 0.001]:
-        for it in [2, 5, 10]:
-            model = M.fit(M.logreg(reg_param=reg, l1_ratio=0.15, max_iter=it), train)
-            rows.append((reg, it, M.auc_of(M.score(model, train)), M.auc_of(M.score(model, valid))))
-    return spark.createDataFrame(rows, "reg_param double, max_iter int, train_auc double, valid_auc double")
+    """M7: the four grids of the linear models, train / valid AUC per cell. Penalties are L2 but for
+    the elastic-net grid; ``alpha`` is a penalty per row, C an inverse one over the summed loss."""
+    train, valid, _ = _parts(_assembled(model_table(spark, d), ALL_COLS))
+    train, valid = train.cache(), valid.cache()
+    rows = train.count()
+    cells = [("sgd", a, float(n), M.logreg(reg_param=a, max_iter=n, tol=TOL)) for a, n in SGD_GRID]
+    cells += [("elastic", a, r, M.logreg(reg_param=a, l1_ratio=r, max_iter=1000, tol=1e-6)) for a, r in ELASTIC_GRID]
+    cells += [(g, c, float(n), M.logreg(reg_param=1.0 / (c * rows), max_iter=n, tol=TOL))
+              for g, grid in LR_GRIDS.items() for c, n in grid]
+    out = []
+    for grid, first, second, estimator in cells:
+        model = M.fit(estimator, train)
+        out.append((grid, first, second, M.auc_of(M.score(model, train)), M.auc_of(M.score(model, valid))))
+    train.unpersist()
+    valid.unpersist()
+    return spark.createDataFrame(out, "grid string, penalty double, setting double, train_auc double, valid_auc double")
 
 
 @register("importance_by_value")
 def importance_by_value(spark, d):
-    """M8: tree importances of the one-hot / token-count design matrix mapped back to
-    (feature, value) through the column dictionary, and summed per feature."""
+    """M8: importances of the early-stopped trees on the one-hot / token-count / numeric matrix, mapped
+    to (feature, value) through the column dictionary, which names every column."""
     from ctrkit.plans.q_encode import design_rows
     rows, dictionary = design_rows(spark, d)
-    model = M.gbt(max_iter=10).fit(rows.where(F.col("label").isNotNull()))
+    rows = instances.hash_split(rows.where(F.col("label").isNotNull()), ["uid", "aid"], 70).checkpoint()
+    model, *_ = M.boost(rows.where(F.col("split") == "train"), rows.where(F.col("split") == "valid"),
+                        patience=PATIENCE)
     imp = model.featureImportances
     pairs = [(int(i), float(v)) for i, v in zip(imp.indices, imp.values)]
     imps = spark.createDataFrame(pairs, "col_index bigint, importance double")
-    out = dictionary.join(imps, "col_index")
+    out = imps.join(dictionary, "col_index", "left")
     return out.select("feature", "val", "col_index", r6(F.col("importance")).alias("importance"))

@@ -13,8 +13,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,12 +107,12 @@ def ad_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def joined_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Star join of the labelled instances (NULLs kept)."""
-    return join_instances(train_instances(spark, sf_dir), users(spark, sf_dir), ad_features(spark, sf_dir))
+    """Star join of the labelled instances (NULLs kept), all sides from the raw tables."""
+    return join_instances(train_instances(spark, sf_dir), build_users(spark, sf_dir), ad_features(spark, sf_dir))
 
 
 def joined_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_instances(test_instances(spark, sf_dir), users(spark, sf_dir), ad_features(spark, sf_dir))
+    return join_instances(test_instances(spark, sf_dir), build_users(spark, sf_dir), ad_features(spark, sf_dir))
 
 
 def build_data_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +122,7 @@ def build_data_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = instance_flags(spark, sf_dir)
     inst = f.select("aid", "uid", F.when(F.col("has_r") == 1, F.lit(1)).when(F.col("has_a") == 1, F.lit(-1))
                     .cast("bigint").alias("label"))
-    joined = join_instances(recode_label(inst), users(spark, sf_dir), ad_features(spark, sf_dir))
+    joined = join_instances(recode_label(inst), build_users(spark, sf_dir), ad_features(spark, sf_dir))
     return null_to_sentinel(joined, USER_COLS).select(*DATA_COLS)
 
 
@@ -136,12 +134,23 @@ def data_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PREPARED: dict[tuple, str] = {}
 
 
+def sources_at(spark: SparkSession, sf_dir: str) -> str:
+    """When the source tables were last written, so that a rewritten input is prepared anew. Reads
+    the files' listing through Spark, whatever store they are in."""
+    times = [table(spark, sf_dir, t).select(F.max("_metadata.file_modification_time").alias("at"))
+             for t in ("lineitem", "orders", "customer", "nation", "part")]
+    every = times[0]
+    for t in times[1:]:
+        every = every.unionByName(t)
+    return str(every.agg(F.max("at")).first()[0])
+
+
 def prepared(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Write a stand-in input once per session into the shared checkpoint folder and
     read it back: the feature jobs start from a table, as the reference's scripts start
     from the tables its SQL job creates. Lineage is cut, so a lost executor re-reads
     the table instead of re-running the join."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), sources_at(spark, sf_dir), name)
     path = _PREPARED.get(key)
     if path is None:
         path = scratch_path(spark, f"prepared-{name}")

@@ -36,6 +36,13 @@ def create_table_as_select(spark: SparkSession, df: DataFrame, table: str, path:
     return spark.table(table)
 
 
+def overwrite_table(spark: SparkSession, df: DataFrame, table: str) -> DataFrame:
+    """The rows of an existing table replaced, its definition and place kept
+    (``LOAD DATA ... OVERWRITE INTO TABLE``). Columns are matched by name."""
+    df.select(*spark.table(table).columns).write.mode("overwrite").insertInto(table, overwrite=True)
+    return spark.table(table)
+
+
 def write_partitioned(df: DataFrame, path: str, partition_col: str = "factor_name", fmt: str = "parquet",
                       mode: str = "overwrite") -> None:
     """One folder per feature name."""
