@@ -220,14 +220,15 @@ def stacked_score(spark, d):
     one more input of the trees."""
     from ctrkit.plans.q_stats import token_noisy_or_filled
     t = model_table(spark, d)
-    wide = (token_noisy_or_filled(spark, d).groupBy("uid", "aid").pivot("factor_name", S.TOKEN_FACTORS)
+    learned = S.data_all(spark, d).join(t.where(F.col("split") == "train").select("uid", "aid"), ["uid", "aid"], "left_semi")
+    wide = (token_noisy_or_filled(spark, d, learned).groupBy("uid", "aid").pivot("factor_name", S.TOKEN_FACTORS)
             .agg(F.first("noisy_or")))
     cols = [f"{f}_noisy_or" for f in S.TOKEN_FACTORS]
     wide = wide.select("uid", "aid", *[F.coalesce(F.col(f), F.lit(0.0)).alias(c) for f, c in zip(S.TOKEN_FACTORS, cols)])
-    t = t.join(wide, ["uid", "aid"], "left").fillna(0.0, subset=cols)
+    t = t.join(wide, ["uid", "aid"], "left").fillna(0.0, subset=cols).checkpoint()
     train, _, _ = _parts(t)
     lr = M.fit(_lr(train, 500.0), train, cols)
-    stacked = M.score(lr, t, out="lr_score").drop("features", "rawPrediction", "probability", "prediction")
+    stacked = M.score(lr, t, out="lr_score").drop("features", "rawPrediction", "probability", "prediction").checkpoint()
     train, valid, test = _parts(_assembled(stacked, NUMERIC + ["lr_score"]))
     model, *_ = M.boost(train, valid, patience=PATIENCE)
     out = M.score(model, test)

@@ -419,10 +419,11 @@ NOISY_CTES = [LAB_TOK, TOK_CELLS, *converged_fit_ctes("tok_cells"),
               "SELECT uid, 'interest1', interest1 FROM uf)"]
 
 
-def _noisy_or_per_user(spark, d):
-    """Product of per-token smoothed no-click probabilities. Token fields belong to the
-    user, so the product is computed once per user (not per instance) and joined."""
-    lab = S.labelled(spark, d)
+def _noisy_or_per_user(spark, d, lab=None):
+    """Product of per-token smoothed no-click probabilities, learned from ``lab`` (all labelled rows
+    by default). Token fields belong to the user, so the product is computed once per user
+    (not per instance) and joined."""
+    lab = S.labelled(spark, d) if lab is None else lab
     counts = st.ctr_by_value(lab, S.TOKEN_FACTORS).drop("ctr")
     comp = fit_and_smooth(counts, ["factor_name"], complement=True, out="q", adjust_counts=False)
     data = S.data_all(spark, d)
@@ -444,9 +445,9 @@ def token_noisy_or(spark, d):
     "SELECT d.uid, d.aid, f.factor_name, round(CASE WHEN f.raw = '-1' THEN -1.0 ELSE coalesce(n.noisy_or, 0.0) END, 6) "
     "AS noisy_or FROM data d JOIN fl f ON d.uid = f.uid "
     "LEFT JOIN nor n ON f.uid = n.uid AND f.factor_name = n.factor_name")))
-def token_noisy_or_filled(spark, d):
+def token_noisy_or_filled(spark, d, lab=None):
     """Misses -> 0, users whose field is the missing marker -> -1."""
-    data, users, per_user = _noisy_or_per_user(spark, d)
+    data, users, per_user = _noisy_or_per_user(spark, d, lab)
     raw = st.long_form(users, S.TOKEN_FACTORS, ["uid"], value_col="raw")
     filled = raw.join(per_user, ["uid", "factor_name"], "left").fillna({"noisy_or": 0.0})
     filled = clean.sentinel_override(filled, "raw", "noisy_or")
