@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from ctrkit.llm.common import process_store
 
 #: Distinct units whose ids a worker remembers; at the bound the cache starts anew.
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 400_000
 
 
 def byte_alphabet() -> dict[int, str]:
