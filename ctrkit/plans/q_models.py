@@ -3,7 +3,7 @@ and model / search queries (rows-only checks)."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.sql import functions as F
 
 from ctrkit.functions.tokens import tokens
@@ -316,7 +316,8 @@ def cut_search(spark, d):
     for n in range(min(CUT_FROM, ranked.count()), 0, -1):
         cells = strings.groupBy("kw1", F.least("place", F.lit(n)).alias("col_index")).agg(
             F.count(F.lit(1)).cast("double").alias("value"))
-        x = t.join(E.vectors_of(cells, t.select("kw1").distinct(), ["kw1"], n + 1, output="kw1_cv"), "kw1", "left")
+        x = t.join(E.vectors_of(cells, t.select("kw1").distinct(), ["kw1"], n + 1, output="kw1_cv"), "kw1")
+        x = VectorSizeHint(inputCol="kw1_cv", size=n + 1, handleInvalid="error").transform(x)
         train, valid, _ = _parts(_assembled(x, ["kw1_cv"] + SMOOTH_COLS))
         model = M.fit(_lr(train, 0.01), train)
         rows.append((n, M.auc_of(M.score(model, train)), M.auc_of(M.score(model, valid))))
