@@ -10,8 +10,8 @@ Every training text is cut into overlapping passages, and every passage is a que
    sum of the lists' bounds reaches the threshold; if the bounds of the blocks around the pivot
    item still reach it, the item is scored, and if not, all lists jump past these blocks. Every
    item that scores the threshold or more is retrieved.
-3. A retrieved item is verified against the text around: the share of its five-word shingles
-   found there, of its question (all but the last sentence) and of its answer (the last one).
+3. A retrieved item is verified against the whole text: the share of its five-word shingles
+   found there decides alone; the last sentence (the answer) may be altered or cut off.
 
 The index is built in blocks of ``INDEX_ITEMS`` items, so what a task holds is bounded however
 many items there are.
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from ctrkit.llm.common import in_slices, texts_of
 
 K1, B = 1.2, 0.75
-#: Share of an item's own score that a passage must reach to retrieve it.
+#: Share of an item's own score that a passage must reach to retrieve it. A part that may score
+#: less with enough of its shingles (``most_gone``) has its impacts scaled up to reach it then.
 LEAST_SCORE = 0.7
 #: Words of a shingle and the share of shingles that must be found.
 SHINGLE, LEAST_OVERLAP = 5, 0.8
@@ -69,13 +70,27 @@ def shingles(words: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(words[i:i + n]) for i in range(max(1, len(words) - n + 1))}
 
 
+def most_gone(words: list[str]) -> int:
+    """Words that the best copied part of an item may lack, at most, with ``LEAST_OVERLAP`` of the item's shingles.
+
+    Every missing shingle takes one word along at most (at the ends; fewer in between), and repeated
+    shingles go together. Of the whole parts, one lacks no more than its share.
+    """
+    distinct = len(shingles(words))
+    missing = distinct - math.ceil(LEAST_OVERLAP * distinct - 1e-9)
+    repeated = max(1, len(words) - SHINGLE + 1) - distinct
+    return (missing + repeated if missing else 0) // max(1, len(words) // HALF)
+
+
 class Index:
     """Posting lists with impacts over item parts; ``items`` are (id, text)."""
 
     def __init__(self, items: list[tuple[int, str]], block: int = BLOCK):
         self.parts: list[tuple[int, str, list[str]]] = []  # item, its whole text, words of the part
+        gone: list[int] = []  # words that a copy of the part may lack
         for item, text in items:
             words = terms_of(text)
+            gone += [most_gone(words)] * -(-len(words) // HALF)
             for at in range(0, len(words), HALF):
                 # A short tail is part of the last whole one's overlap.
                 self.parts.append((item, text, words[max(0, min(at, len(words) - HALF)):at + HALF]))
@@ -87,6 +102,8 @@ class Index:
             weights = {t: math.log(1 + (n - found[t] + 0.5) / (found[t] + 0.5))
                        * c * (K1 + 1) / (c + K1 * (1 - B + B * len(words) / mean)) for t, c in Counter(words).items()}
             own = sum(weights.values())
+            left = 1 - sum(sorted(weights.values(), reverse=True)[:gone[i]]) / own
+            own *= min(1.0, max(left, 1e-3) / LEAST_SCORE)
             for t, w in weights.items():
                 lists.setdefault(t, []).append((i, w / own))
         self.term_ids = {t: i for i, t in enumerate(lists)}
@@ -152,20 +169,13 @@ class Index:
                     if c[0] < part:
                         seek(c, part)
 
-    def verified(self, part: int, words: list[str]) -> float | None:
-        """Overlap of the part's item with these words, or none if question or answer is missing."""
-        item = self.parts[part][1]
-        whole, here = shingles(terms_of(item)), shingles(words)
+    def verified(self, part: int, words: list[str], here: set[tuple[str, ...]]) -> float | None:
+        """Overlap of the part's item with these words, whose shingles are ``here``, or none if too little."""
+        whole = shingles(terms_of(self.parts[part][1]))
         # A passage never tells less of a short item than the item's own words in a row.
         overlap = len(whole & here) / max(1, len(whole)) if len(next(iter(whole), ())) == SHINGLE else float(
             any(tuple(words[i:i + len(w)]) == w for w in whole for i in range(len(words))))
-        if overlap < LEAST_OVERLAP:
-            return None
-        present = set(words)
-        for half in question_and_answer(item):
-            if half and sum(w in present for w in half) < LEAST_OVERLAP * len(half):
-                return None
-        return overlap
+        return overlap if overlap >= LEAST_OVERLAP else None
 
 
 def passages(index: Index, texts: pa.Array, least: float):
@@ -199,18 +209,21 @@ def passages(index: Index, texts: pa.Array, least: float):
     alone = halves[half_row] == 1 if n else np.zeros(0, bool)
     possible = np.flatnonzero((both.max(axis=1, initial=0) >= least - 1e-5) & (same | alone))
     found: dict[int, dict[int, float]] = {}
+    of, here, seen = -1, set(), set()  # the text at hand, its shingles and the items verified in it
     for h in possible.tolist():
         r = int(half_row[h])
         at = (h - half_first[r]) * HALF
-        here = words[r][at:at + 2 * HALF]
-        terms = sorted({t for t in map(get, here) if t is not None})
+        terms = sorted({t for t in map(get, words[r][at:at + 2 * HALF]) if t is not None})
         for part, _ in index.wand(terms, least):
-            item = index.parts[part][0]
-            # An item of several parts reaches further than the passage.
-            reach = max(0, len(terms_of(index.parts[part][1])) - HALF)
-            overlap = index.verified(part, words[r][max(0, at - reach):at + 2 * HALF + reach])
+            if of != r:
+                of, here, seen = r, shingles(words[r]), set()
+            own = index.parts[part][:2]
+            if own in seen:
+                continue
+            seen.add(own)
+            overlap = index.verified(part, words[r], here)
             if overlap is not None:
-                found.setdefault(r, {})[item] = max(overlap, found.get(r, {}).get(item, 0))
+                found.setdefault(r, {})[own[0]] = max(overlap, found.get(r, {}).get(own[0], 0))
     return found
 
 

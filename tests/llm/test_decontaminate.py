@@ -60,6 +60,24 @@ def test_planted_items_are_found_and_clean_texts_left(spark):
     assert got == want
 
 
+def test_items_with_another_or_no_last_sentence_are_found(spark):
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"v{rng.randrange(4000)}" for _ in range(n))
+    heads = {i: say(rng.choice([40, 60, 120, 300])) + "." for i in range(24)}
+    items = [(i, f"{h} {say(1 + i % 4)}.") for i, h in heads.items()]
+    rows = [(i, f"{say(90)} {h} {('', 'Something else.')[i % 2]} {say(90)}") for i, h in heads.items()]
+    # The rarest words stand at the end and are cut off: 0.8 of the shingles are left, less of the score.
+    common = " ".join(f"v{j}" for j in range(40))
+    items += [(90 + k, common + f" rare{k}a rare{k}b rare{k}c rare{k}d rare{k}e rare{k}f rare{k}g rare{k}h") for k in range(3)]
+    items += [(200 + k, common + f" v{k}") for k in range(30)]
+    rows += [(90, say(70) + " " + common + " " + say(30))]
+    want = {doc: [i for i, t in items if overlap_of(t, d.terms_of(text)) >= d.LEAST_OVERLAP] for doc, text in rows}
+    assert all(i in want[i] for i in heads) and {90, 91, 92} <= set(want[90])
+    got = {r.doc_id: r.items for r in d.find(spark.createDataFrame(rows, "doc_id long, text string"),
+                                             spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+
+
 def test_given_documents_against_all_shingles(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
