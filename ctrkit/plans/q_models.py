@@ -151,9 +151,6 @@ def _scored_test(model, test):
 
 # ----------------------------------------------------------------------------- T1-T7, E8, S16
 ALL_COLS = NUMERIC + SMOOTH_COLS
-# Rounds without a better AUC after which the queries stop (the operators' default is the reference's
-# 100); the limit on rounds is the reference's 1000.
-PATIENCE = 20
 # Fixed values of the reference's linear models: tolerance and iterations; C is the inverse penalty.
 TOL, LR_ITER = 1e-4, 150
 # Fixed values of the second tree model.
@@ -175,7 +172,7 @@ def gbt_score(spark, d):
     """Depth-5 trees, learning rate 0.02, 70 % row and feature subsampling, stopped when the AUC of
     the validation rows has not grown for 100 rounds; scores the test rows."""
     train, valid, test = _parts(_assembled(model_table(spark, d), ALL_COLS))
-    model, *_ = M.boost(train, valid, patience=PATIENCE)
+    model, *_ = M.boost(train, valid)
     return _scored_test(model, test)
 
 
@@ -183,7 +180,7 @@ def gbt_score(spark, d):
 def gbt_score_alt(spark, d):
     """Learning rate 0.05, 70 % of rows and features, at least 50 rows in a leaf, early stop."""
     train, valid, test = _parts(_assembled(model_table(spark, d), ALL_COLS))
-    model, *_ = M.boost(train, valid, patience=PATIENCE, **ALT)
+    model, *_ = M.boost(train, valid, **ALT)
     return _scored_test(model, test)
 
 
@@ -230,7 +227,7 @@ def stacked_score(spark, d):
     lr = M.fit(_lr(train, 500.0), train, cols)
     stacked = M.score(lr, t, out="lr_score").drop("features", "rawPrediction", "probability", "prediction").checkpoint()
     train, valid, test = _parts(_assembled(stacked, NUMERIC + ["lr_score"]))
-    model, *_ = M.boost(train, valid, patience=PATIENCE)
+    model, *_ = M.boost(train, valid)
     out = M.score(model, test)
     return out.select("aid", "uid", r6(F.col("lr_score")).alias("lr_score"), r6(F.col(M.SCORE)).alias("score"))
 
@@ -239,7 +236,7 @@ def leaf_matrix(spark, d):
     """(cells, rows): the leaf one-hot cells of the early-stopped trees, and the rows with split."""
     t = _assembled(model_table(spark, d), ALL_COLS)
     train, valid, _ = _parts(t)
-    model, *_ = M.boost(train, valid, patience=PATIENCE)
+    model, *_ = M.boost(train, valid)
     return M.leaf_cells(model, t, ["uid", "aid"]), t
 
 
@@ -283,7 +280,7 @@ def cv_auc_curve(spark, d):
     from ctrkit.functions.hashing import hash_bucket
     t = _assembled(model_table(spark, d), ALL_COLS).where(F.col("label").isNotNull())
     t = t.withColumn("fold", hash_bucket(["uid", "aid"], FOLDS, "fold"))
-    out = M.cv_curve(t, "fold", FOLDS, patience=PATIENCE)
+    out = M.cv_curve(t, "fold", FOLDS)
     return out.select("round", r6(F.col("mean_auc")).alias("mean_auc"), r6(F.col("std_auc")).alias("std_auc"))
 
 
@@ -358,8 +355,7 @@ def importance_by_value(spark, d):
     from ctrkit.plans.q_encode import design_rows
     rows, dictionary = design_rows(spark, d)
     rows = instances.hash_split(rows.where(F.col("label").isNotNull()), ["uid", "aid"], 70).checkpoint()
-    model, *_ = M.boost(rows.where(F.col("split") == "train"), rows.where(F.col("split") == "valid"),
-                        patience=PATIENCE)
+    model, *_ = M.boost(rows.where(F.col("split") == "train"), rows.where(F.col("split") == "valid"))
     imp = model.featureImportances
     pairs = [(int(i), float(v)) for i, v in zip(imp.indices, imp.values)]
     imps = spark.createDataFrame(pairs, "col_index bigint, importance double")
