@@ -4,20 +4,24 @@ The patterns give the base spans. The method adds ``cred`` spans: a value that s
 credential word is cut into dictionary words, dates, repeats, keyboard walks, sequences and
 brute-force characters so that the product of the guesses each part takes is least (a dynamic
 program over the value's length); a value whose least cost is high is a secret, while
-``changeme`` or ``qwerty123`` is not.
+``changeme`` or ``qwerty123`` is not. Every span of a kind is a part, at every start and of any
+length. The dictionary is ``WORDS``, then the words that most documents hold, ranked by Spark;
+values in credential context are not counted, so that a secret told often does not become a word.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from math import log10
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctrkit.llm.common import in_slices, texts_of
+from ctrkit.llm.common import in_slices, texts_of, written
 
 KINDS = ["assign", "access", "hex", "cred"]
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -38,15 +42,65 @@ changeme example sample demo dummy placeholder your my here insert replace enter
 monkey dragon love hello shadow sunshine princess football baseball superman batman qwerty abc iloveyou
 trustno server database access private public account name value string hash auth service client local host
 temp new old dev prod stage staging live foo bar baz xxx the and for you me it is in of to no not""".split()
+#: Words of the documents that are ranked after these, and the documents that must hold each.
+TABLE_WORDS, TABLE_DOCS = 30_000, 2
+TERM = re.compile(r"\w+")
 # The rows of a keyboard.
 ROWS = ["`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./"]
-DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])"
+DATE_FORMS = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])"
                   r"|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
-REPEAT = re.compile(r"(.{1,8}?)\1+", re.DOTALL)
+DATE_CHARS = range(4, 11)
+
+
 DATE_GUESSES = 365 * 100
 YEAR_GUESSES = 120
 
 
+class DATE:
+    """Dates and years in a value."""
+
+    @staticmethod
+    def finditer(value: str):
+        """The match of every span that is one."""
+        for i in range(len(value) - DATE_CHARS[0] + 1):
+            if value[i].isdigit():
+                for n in DATE_CHARS[:len(value) - i - DATE_CHARS[0] + 1]:
+                    if m := DATE_FORMS.fullmatch(value, i, i + n):
+                        yield m
+
+
+class REPEAT:
+    """Blocks of any length told twice or more in a row."""
+
+    FORM = re.compile(r"(.+?)\1+", re.DOTALL)
+
+    @staticmethod
+    def ending(value: str) -> dict[int, list[tuple[int, int]]]:
+        """By the end: (block length, times), where fewer times, two at least, end there too.
+
+        Of a stretch that a shorter block repeats, only the shorter one, which takes fewer guesses."""
+        out: dict[int, list[tuple[int, int]]] = {}
+        known: list[tuple[int, int, int]] = []
+        codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+        for size in range(1, len(codes) // 2 + 1):
+            same = np.concatenate([[False], codes[size:] == codes[:-size], [False]])
+            edges = np.flatnonzero(same[1:] != same[:-1])
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                if b - a < size or any(size % d == 0 and c <= a and b + size <= e for d, c, e in known):
+                    continue
+                known.append((size, a, b + size))
+                for k in range(a + size, b + 1):
+                    out.setdefault(k + size, []).append((size, 1 + (k - a) // size))
+        return out
+
+    @classmethod
+    def finditer(cls, value: str):
+        """The match of every span that is one, with its shortest block."""
+        for end, found in cls.ending(value).items():
+            for start in sorted({end - size * n for size, times in found for n in range(2, times + 1)}):
+                yield cls.FORM.fullmatch(value, start, end)
+
+
 def alphabet_size(value: str) -> int:
     """Characters that a brute-force search of this value's kind goes through at each place."""
     if re.fullmatch(r"[0-9a-f]+", value) and not value.isdigit():
@@ -55,10 +109,11 @@ def alphabet_size(value: str) -> int:
     return sum(n for pattern, n in kinds if re.search(pattern, value))
 
 
-def runs(value: str):
-    """(start, end, log10 guesses) of keyboard walks and character sequences of three or more."""
+def walks(value: str) -> list[tuple[int, int, np.ndarray, float, float]]:
+    """The longest keyboard walks and character sequences, of three or more: (start, end, turns up to
+    each place, guesses of a start, log10 guesses of a turn). Every part of three or more is one too."""
     at = {c: (r, x) for r, row in enumerate(ROWS) for x, c in enumerate(row)}
-    low = value.lower()
+    low = value.lower() if len(value.lower()) == len(value) else value
 
     def key_step(a: str, b: str):
         if a in at and b in at and a != b:
@@ -69,6 +124,7 @@ def runs(value: str):
     def char_step(a: str, b: str):
         return ord(b) - ord(a) if abs(ord(b) - ord(a)) == 1 else None
 
+    out = []
     for step, start_guesses, turn_guesses, free in ((key_step, 47, 4, True), (char_step, 30, 1, False)):
         i = 0
         while i < len(low) - 1:
@@ -76,28 +132,71 @@ def runs(value: str):
             if first is None:
                 i += 1
                 continue
-            j, last, turns = i + 1, first, 0
+            j, last, turns = i + 1, first, [0, 0]
             while j + 1 < len(low):
                 now = step(low[j], low[j + 1])
                 if now is None or not free and now != first:
                     break
-                turns, last, j = turns + (now != last), now, j + 1
+                turns.append(turns[-1] + (now != last))
+                last, j = now, j + 1
             if j - i >= 2:
-                yield i, j + 1, log10(start_guesses * (j - i + 1)) + turns * log10(turn_guesses + 1)
+                out.append((i, j + 1, np.array(turns), start_guesses, log10(turn_guesses + 1)))
             i = j
+    return out
+
+
+def walk_costs(walk: tuple[int, int, np.ndarray, float, float], end: int) -> np.ndarray:
+    """log10 guesses of the walk's parts that end there, by their start from the walk's own on."""
+    start, _, turns, guesses, turn = walk
+    sizes = np.arange(end - start, 2, -1)
+    # The step into a part's second place is no turn of the part.
+    return np.log10(guesses * sizes) + (turns[end - start - 1] - turns[1:len(sizes) + 1]) * turn
 
 
-def guess_cost(value: str) -> float:
+def runs(value: str):
+    """(start, end, log10 guesses) of all keyboard walks and character sequences of three or more."""
+    for walk in walks(value):
+        for end in range(walk[0] + 3, walk[1] + 1):
+            for k, cost in enumerate(walk_costs(walk, end).tolist()):
+                yield walk[0] + k, end, cost
+
+
+def ranked(words: list[str]) -> dict[str, int]:
+    """The guess number of each word, the first place of repeated ones."""
+    return {w: i + 1 for i, w in reversed(list(enumerate(words)))}
+
+
+def word_table(docs: DataFrame, text_col: str = "text", size: int = TABLE_WORDS) -> dict[str, int]:
+    """Guess numbers of ``WORDS`` and then of the ``size`` words that most documents hold."""
+    def count(batches):
+        for batch in in_slices(batches, "text"):
+            held: Counter[str] = Counter()
+            for text in texts_of(batch, "text").to_pylist():
+                if ":" in text or "=" in text:
+                    text = CONTEXT.sub(" ", text)
+                held.update(set(TERM.findall(text.lower())))
+            words = [w for w in held if len(w) > 1 and w.isalpha()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.string()), pa.array([held[w] for w in words], pa.int64())], ["word", "n"])
+
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long")
+    best = (counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= TABLE_DOCS)
+            .orderBy(F.desc("n"), "word").limit(size))
+    # Written first: a limit that is collected sends every task's best words to the driver.
+    return ranked(WORDS + [r.word for r in sorted(written(best, "secret-words").collect(), key=lambda r: (-r.n, r.word))])
+
+
+def guess_cost(value: str, ranks: dict[str, int] | None = None, longest: int | None = None) -> float:
     """log10 of the guesses of the cheapest segmentation; 0 for the empty value."""
     per_char = log10(max(2, alphabet_size(value))) if value else 0.0
-    ranks = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-    longest = max(map(len, ranks))
+    ranks = ranked(WORDS) if ranks is None else ranks
+    longest = longest or max(map(len, ranks))
     ending: dict[int, list[tuple[int, float]]] = {}
 
     def add(i: int, j: int, cost: float) -> None:
         ending.setdefault(j, []).append((i, cost))
 
-    low = value.lower()
+    low = value.lower() if len(value.lower()) == len(value) else value
     for i in range(len(value)):
         for j in range(i + 2, min(len(value), i + longest) + 1):
             if low[i:j] in ranks:
@@ -105,16 +204,22 @@ def guess_cost(value: str) -> float:
                 add(i, j, log10(1 + ranks[low[i:j]]) + case)
     for m in DATE.finditer(value):
         add(m.start(), m.end(), log10(YEAR_GUESSES if m.end() - m.start() == 4 else DATE_GUESSES))
-    for i, j, cost in runs(value):
-        add(i, j, cost)
-    for m in REPEAT.finditer(value):
-        block = m[1]
-        times = (m.end() - m.start()) / len(block)
-        add(m.start(), m.end(), len(block) * per_char + log10(times))
-    best = [0.0]
+    on: dict[int, list] = {}
+    for walk in walks(value):
+        for j in range(walk[0] + 3, walk[1] + 1):
+            on.setdefault(j, []).append(walk)
+    repeats = REPEAT.ending(value)
+    best = np.zeros(len(value) + 1)
     for j in range(1, len(value) + 1):
-        best.append(min([best[j - 1] + per_char, *(best[i] + cost for i, cost in ending.get(j, ()))]))
-    return best[-1]
+        least = min([best[j - 1] + per_char, *(best[i] + cost for i, cost in ending.get(j, ()))])
+        for walk in on.get(j, ()):
+            costs = walk_costs(walk, j)
+            least = min(least, (best[walk[0]:walk[0] + len(costs)] + costs).min())
+        for size, times in repeats.get(j, ()):
+            n = np.arange(2, times + 1)
+            least = min(least, (best[j - size * n] + np.log10(n)).min() + size * per_char)
+        best[j] = least
+    return float(best[-1])
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -128,11 +233,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def cred_spans(text: str, least: float = LEAST_COST) -> list[tuple[int, int, int]]:
+def cred_spans(text: str, least: float = LEAST_COST, ranks: dict[str, int] | None = None,
+               longest: int | None = None) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the values in credential context that are dear to guess."""
     if ":" not in text and "=" not in text:
         return []
-    return [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1]) >= least]
+    return [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1], ranks, longest) >= least]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -160,13 +266,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     text with every span replaced, null where the row has no span. A null text is empty; null
     and repeated ids keep their rows; an empty table gives no rows; other columns are ignored.
     """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    shipped = docs.sparkSession.sparkContext.broadcast(word_table(docs, text_col))
+
     def search(batches):
+        ranks = shipped.value
+        longest = max(map(len, ranks))
         names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "masked"]
         for batch in in_slices(batches, "text"):
             rows = []
             for text in texts_of(batch, "text").to_pylist():
                 base = base_spans(text)
-                every = sorted(base + cred_spans(text, least))
+                every = sorted(base + cred_spans(text, least, ranks, longest))
                 kinds = [k for _, k, _ in base]
                 rows.append((kinds.count(0), kinds.count(1), kinds.count(2),
                              hashlib.sha256(joined(base).encode()).hexdigest(), joined(every),
@@ -175,7 +286,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(search, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, "
                                    "spans string, masked string")
 
@@ -184,14 +294,17 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
            least: float = LEAST_COST, mask: str = "[secret]") -> DataFrame:
     """``docs`` with its secrets masked and ``chars_col`` counted anew; all rows and columns stay."""
     names, schema = docs.columns, docs.schema
+    shipped = docs.sparkSession.sparkContext.broadcast(word_table(docs, text_col))
 
     def search(batches):
+        ranks = shipped.value
+        longest = max(map(len, ranks))
         at = names.index(text_col)
         for batch in in_slices(batches, text_col):
             columns = list(batch.columns)
             texts = columns[at].to_pylist()
             for i, text in enumerate(texts):
-                spans = base_spans(text or "") + cred_spans(text or "", least)
+                spans = base_spans(text or "") + cred_spans(text or "", least, ranks, longest)
                 if spans:
                     texts[i] = masked(text, spans, mask)
             columns[at] = pa.array(texts, pa.string())

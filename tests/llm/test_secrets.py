@@ -92,3 +92,50 @@ def test_redaction_keeps_rows_and_columns(spark):
     out = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).orderBy("doc_id").collect()
     assert [r.text for r in out] == ['say [secret]" and go', "password: changeme", None, "pwd=[secret] end"]
     assert [r.n_chars for r in out] == [20, 18, None, 16]
+
+
+def test_ordinary_words_after_a_credential_word_stay(spark):
+    rows = [(1, "the ingredients of a remarkable breakfast"), (2, "remarkable Ingredients, for breakfast"),
+            (3, "secret: ingredients and token: remarkablebreakfast"), (4, "secret: xkqjzwvmpt"),
+            (5, "secret: xkqjzwvmpt"), (6, "secret: xkqjzwvmpt")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    spans = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("cred")] for r in secrets.scan(docs).collect()}
+    assert spans == {1: [], 2: [], 3: [], **{i: ["cred:8:18"] for i in (4, 5, 6)}}
+    text = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert text[4] == "secret: [secret]" and "secret: ingredients" in text[3]
+
+
+def plain_cost(value):
+    """The least cost over parts found by going through all spans without the module's finders."""
+    per = secrets.log10(secrets.alphabet_size(value))
+    n = len(value)
+    best = [0.0]
+    for j in range(1, n + 1):
+        options = [best[j - 1] + per]
+        for i in range(j):
+            part = value[i:j]
+            if part in secrets.WORDS and len(part) > 1:
+                options.append(best[i] + secrets.log10(2 + secrets.WORDS.index(part)))
+            for size in range(1, (j - i) // 2 + 1):
+                if (j - i) % size == 0 and part == part[:size] * ((j - i) // size):
+                    options.append(best[i] + size * per + secrets.log10((j - i) // size))
+            if re.fullmatch(r"(19|20)\d\d", part):
+                options.append(best[i] + secrets.log10(secrets.YEAR_GUESSES))
+            elif secrets.DATE_FORMS.fullmatch(part):
+                options.append(best[i] + secrets.log10(secrets.DATE_GUESSES))
+            if len(part) > 2 and {ord(b) - ord(a) for a, b in zip(part, part[1:])} in ({1}, {-1}):
+                options.append(best[i] + secrets.log10(30 * len(part)))
+            where = [next(((r, row.index(c)) for r, row in enumerate(secrets.ROWS) if c in row), None) for c in part]
+            if len(part) > 2 and None not in where:
+                steps = [(r - q, y - x) for (q, x), (r, y) in zip(where, where[1:])]
+                if all(s != (0, 0) and max(map(abs, s)) <= 1 for s in steps):
+                    turns = sum(a != b for a, b in zip(steps, steps[1:]))
+                    options.append(best[i] + secrets.log10(47 * len(part)) + turns * secrets.log10(5))
+        best.append(min(options))
+    return best[-1]
+
+
+@pytest.mark.parametrize("value", ["20242024", "aa#7aa#7", "k9xp2lw7qzk9xp2lw7qz", "12024", "xaaaaqwertz", "1112024",
+                                   "asasasasdfq", "abcdcba20240131", "120240131", "314159265314159265"])
+def test_every_span_of_a_kind_is_a_part(value):
+    assert secrets.guess_cost(value) == pytest.approx(plain_cost(value))
