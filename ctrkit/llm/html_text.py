@@ -11,11 +11,16 @@ many stop words are text. What is left is ambiguous: short, or of middling densi
 Pass 2, in context: an ambiguous block inherits the label of the nearest decided neighbours. The
 edges of an article element count as text that is decided, and the edges of the page as
 boilerplate, so an article keeps its short lines whatever surrounds it.
+
+An article element is a prior and no switch: blocks outside it are decided as on a page without
+one; inside, middling density is text, low density is ambiguous, and neighbours that disagree give
+text. Stop words are those listed and the short words that most pages hold, in whatever language.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -54,6 +59,9 @@ STOP_WORDS = set(
     "le la les de des et un une du en que qui dans pour pas au sur ne se ce il est par plus avec son sont aux ou "
     "el los las y del se por con una su para como más al lo fue sus pero le ya o este sí porque esta entre".split())
 
+#: Most letters of a short word, how many of them join the stop words, and the pages that must hold each.
+SHORT_WORD, FREQUENT_WORDS, FREQUENT_PAGES = 4, 300, 2
+
 SHORT_CHARS = 70
 LONG_CHARS = 200
 LOW_DENSITY, HIGH_DENSITY = 0.15, 0.30
@@ -156,15 +164,19 @@ def blocks_of(html: str) -> list[Block]:
     return blocks
 
 
-def decide(block: Block) -> int | None:
+def words_of(text: str) -> list[str]:
+    return [w.strip(".,;:!?") for w in text.lower().split()]
+
+
+def decide(block: Block, stop_words: set[str] = STOP_WORDS) -> int | None:
     """Pass 1: the label of a block by itself, or none."""
     if block.boilerplate:
         return BAD
     size = len(block.text)
     if block.links > LINK_SHARE * size:
         return BAD
-    words = block.text.lower().split()
-    density = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
+    words = words_of(block.text)
+    density = sum(w in stop_words for w in words) / len(words)
     if size >= LONG_CHARS and density >= HIGH_DENSITY:
         return TEXT
     if block.article:
@@ -174,12 +186,11 @@ def decide(block: Block) -> int | None:
     return UNSURE
 
 
-def classify(blocks: list[Block]) -> None:
-    """Both passes; where a page has an article element, blocks outside it are boilerplate."""
-    has_article = any(b.article for b in blocks)
+def classify(blocks: list[Block], stop_words: set[str] = STOP_WORDS) -> None:
+    """Both passes."""
     decided = []
     for b in blocks:
-        b.label = decide(b) if b.article or not has_article else BAD
+        b.label = decide(b, stop_words)
         decided.append(b.label)
     # Nearest decided label on either side; an article's edges are text, the page's are not.
     def nearest(order):
@@ -188,7 +199,7 @@ def classify(blocks: list[Block]) -> None:
             b = blocks[i]
             if b.article != article:
                 article, last = b.article, TEXT if b.article else BAD
-            if decided[i] is not UNSURE and not (b.article and decided[i] == BAD):
+            if decided[i] is not UNSURE:
                 last = decided[i]
             found[i] = last
         return found
@@ -197,15 +208,32 @@ def classify(blocks: list[Block]) -> None:
     for i, b in enumerate(blocks):
         if b.label is UNSURE:
             both = before[i] + after[i]
-            b.label = TEXT if both == 2 or both == 1 and len(b.text) >= SHORT_CHARS else BAD
+            b.label = TEXT if both == 2 or both == 1 and (b.article or len(b.text) >= SHORT_CHARS) else BAD
 
 
-def main_text(html: str) -> str:
+def main_text(html: str, stop_words: set[str] = STOP_WORDS) -> str:
     blocks = blocks_of(html)
-    classify(blocks)
+    classify(blocks, stop_words)
     return " ".join(b.text for b in blocks if b.label == TEXT)
 
 
+def stop_words_of(pages: DataFrame, html_col: str = "html") -> set[str]:
+    """``STOP_WORDS`` and the short words that most pages hold outside boilerplate containers and links."""
+    def count(batches):
+        for batch in in_slices(batches, "html"):
+            held: Counter[str] = Counter()
+            for html in texts_of(batch, "html").to_pylist():
+                held.update({w for b in blocks_of(html) if not b.boilerplate and b.links <= LINK_SHARE * len(b.text)
+                             for w in words_of(b.text) if len(w) <= SHORT_WORD and w.isalpha()})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
+    counts = pages.select(F.col(html_col).alias("html")).mapInArrow(count, "word string, n long")
+    best = (counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_PAGES)
+            .orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).collect())
+    return STOP_WORDS | {r.word for r in best}
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Rows (page_id, url, text, n_chars), one per page.
 
@@ -213,9 +241,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     are kept; markup that ends in the middle of a tag ends there; an empty table gives no rows;
     other columns are ignored.
     """
+    stop_words = stop_words_of(pages, html_col)
+
     def read(batches):
         for batch in in_slices(batches, "html"):
-            texts = [main_text(h) for h in texts_of(batch, "html").to_pylist()]
+            texts = [main_text(h, stop_words) for h in texts_of(batch, "html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])

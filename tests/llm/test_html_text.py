@@ -61,3 +61,21 @@ def test_edge_rows(spark):
     assert [(r.text, r.n_chars) for r in got if r.page_id] == [("", 0)] * 3
     assert [r.text for r in got if r.page_id is None] == [LINE]
     assert html_text.extract(pages.limit(0)).collect() == []
+
+
+def test_main_text_outside_an_article_element_stays():
+    teaser = "<article><a href='/x'>More of the news</a></article>"
+    assert main_text(page(f"<div><p>{LINE}</p><p>Short.</p><p>{LINE}</p></div>{teaser}")) == f"{LINE} Short. {LINE}"
+
+
+def test_boilerplate_neighbours_count_inside_an_article():
+    ad = "<div class='advert'>Buy this now</div>"
+    assert main_text(page(f"<article><p>{LINE}</p>{ad}<p>Notice</p>{ad}<p>{LINE}</p></article>")) == f"{LINE} {LINE}"
+
+
+def test_text_in_a_language_without_listed_stop_words_stays(spark):
+    lines = ["Hän oli jo ja se on nyt niin, ettei ole mitään, ja jos ei voi, se on ohi, ja hän oli jo pois.",
+             "Ja se on nyt ohi, jos ei ole muuta, ja hän oli jo niin vanha, että se on jo ohi ja pois."]
+    pages = spark.createDataFrame([(i, "u", page(f"<div><p>{t}</p></div>")) for i, t in enumerate(lines * 2)],
+                                  "page_id long, url string, html string")
+    assert sorted(r.text for r in html_text.extract(pages).collect()) == sorted(lines * 2)
