@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ctrkit.llm import decontaminate, html_text, imatch, langid, packing, secrets, simhash, substrings, tokenbin, toxicity
-from ctrkit.llm.common import table
+from ctrkit.llm import (decontaminate, html_text, imatch, langid, merkle, oracles, packing, secrets, simhash, substrings,
+                        tokenbin, toxicity)
+from ctrkit.llm.common import crc_residue, table
 from ctrkit.llm.data import FILE_END, LANGUAGE_HELD_OUT, SEQUENCE_END, TOXIC_HELD_OUT, held_out, tokenizer_path
 from ctrkit.llm.registry import register
 from ctrkit.session import scratch_path
 
+#: Op 13 tampers with documents whose id's crc32 this number divides.
+TAMPERED = 5
+
+
 @register("op2_token_files")
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -75,4 +80,11 @@ def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@register("op13_merkle", oracles.MERKLE)
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", *merkle.FIELDS)
+    tampered = F.when(crc_residue("doc_id", TAMPERED) == 0, merkle.leaf_digest(text=merkle.lowered("text")))
+    return merkle.prove(merkle.build(docs, tampered))
+
+
 register("pipeline")(corpus_pipeline.run)
