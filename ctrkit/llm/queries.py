@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ctrkit.llm import (decontaminate, html_text, imatch, langid, merkle, oracles, packing, secrets, simhash, substrings,
+from ctrkit.llm import (decontaminate, html_text, imatch, langid, merkle, oracles, packing, pii, secrets, simhash, substrings,
                         tokenbin, toxicity)
 from ctrkit.llm.common import crc_residue, table
 from ctrkit.llm.data import FILE_END, LANGUAGE_HELD_OUT, SEQUENCE_END, TOXIC_HELD_OUT, held_out, tokenizer_path
@@ -80,6 +80,11 @@ def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@register("op11_pii", oracles.pii())
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 @register("op13_merkle", oracles.MERKLE)
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", *merkle.FIELDS)
