@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ctrkit.llm.common import crc_residue
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 #: Rows whose id's crc32 has this remainder are held out: (modulus, remainder).
 TOXIC_HELD_OUT = 5, 0
 LANGUAGE_HELD_OUT = 4, 2

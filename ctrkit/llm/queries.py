@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ctrkit.llm import (decontaminate, html_text, imatch, langid, merkle, oracles, packing, pii, secrets, simhash, substrings,
+from ctrkit.llm import (align, decontaminate, html_text, imatch, langid, merkle, oracles, packing, pii, secrets, simhash, substrings,
                         tokenbin, toxicity)
 from ctrkit.llm.common import crc_residue, table
-from ctrkit.llm.data import FILE_END, LANGUAGE_HELD_OUT, SEQUENCE_END, TOXIC_HELD_OUT, held_out, tokenizer_path
+from ctrkit.llm.data import (FILE_END, LANGUAGE_HELD_OUT, PIECE_MODEL, SEQUENCE_END, TOXIC_HELD_OUT, held_out,
+                              tokenizer_path)
 from ctrkit.llm.registry import register
 from ctrkit.session import scratch_path
 
@@ -85,6 +86,12 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+@register("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return align.align(docs, tokenizer_path(), tokenizer_path(PIECE_MODEL)).drop("a", "b")
+
+
 @register("op13_merkle", oracles.MERKLE)
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", *merkle.FIELDS)
