@@ -15,7 +15,7 @@ with more pairs than that, steps 3 and 4 run once per such shard, and what a tas
 same. The highest count of a B id is a vector over B's vocabulary.
 
 Both models cut a text before a single space, so a space-led word has the same ids in every
-text; a worker aligns it once and remembers it. Texts with other runs of spaces go whole.
+text; a worker encodes it once and remembers them. Texts with other runs of spaces go whole.
 """
 
 from __future__ import annotations
@@ -33,12 +33,12 @@ from ctrkit.llm import perfect_hash
 from ctrkit.llm.bpe import UnitEncoder, byte_alphabet
 from ctrkit.llm.common import in_slices, partitions, process_store, texts_of, written
 
-#: Words whose alignment a worker remembers; at the bound it starts anew.
-CACHE_WORDS = 200_000
+#: Words whose B ids a worker remembers; at the bound it starts anew.
+CACHE_WORDS = 250_000
 #: Hash blocks (of about 4096 pairs) that are shipped at a time, entries of a vector's piece, vectors summed to one.
 SHARD_BLOCKS, PIECE, FAN = 512, 1024, 32
-#: Id bytes that a task aligns at a time.
-SLICE_BYTES = 4 << 20
+#: Text bytes that a task encodes and id bytes that it aligns at a time.
+TEXT_BYTES, SLICE_BYTES = 3 << 20, 2 << 20
 SPACE = "▁"
 ENCODED_SCHEMA = "doc_id long, a binary, b binary, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 VECTOR_SCHEMA = "piece int, part long, sums binary"
@@ -74,26 +74,14 @@ def width(*vocabs: list[bytes]) -> str:
 
 
 # ------------------------------------------------------------------------------- alignment
-def groups_of(a: list[int], b: list[int], a_len, b_len) -> tuple[str, int, int]:
-    """(the groups as text, how many, links) of token ids over the same bytes."""
-    groups, links, i, j, from_a, from_b = [], 0, 0, 0, 0, 0
-    end_a, end_b = 0, 0
-    while i < len(a) or j < len(b):
-        # Both at a common end: take one of each; else the one that ends first goes on.
-        if end_a <= end_b:
-            if end_a == end_b:
-                end_b += b_len[b[j]]
-                j += 1
-            end_a += a_len[a[i]]
-            i += 1
-        else:
-            end_b += b_len[b[j]]
-            j += 1
-        links += 1
-        if end_a == end_b:
-            groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-            from_a, from_b = i, j
-    return ";".join(groups), len(groups), links
+def stretches(a: np.ndarray, b: np.ndarray, a_len: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(byte offsets where the tokens of either kind end, whether an A token ends there, whether a B token does)."""
+    ends_a, ends_b = np.cumsum(a_len[a]), np.cumsum(b_len[b])
+    mark = np.zeros(int(ends_a[-1]) + 1, np.uint8)
+    mark[ends_a] = 1
+    mark[ends_b] |= 2
+    ends = np.flatnonzero(mark)
+    return ends, mark[ends] & 1, mark[ends] >> 1
 
 
 def linked(a: np.ndarray, b: np.ndarray, a_len: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,13 +92,7 @@ def linked(a: np.ndarray, b: np.ndarray, a_len: np.ndarray, b_len: np.ndarray) -
     """
     if not len(a):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ends_a, ends_b = np.cumsum(a_len[a]), np.cumsum(b_len[b])
-    mark = np.zeros(int(ends_a[-1]) + 1, np.uint8)
-    mark[ends_a] = 1
-    mark[ends_b] |= 2
-    ends = np.flatnonzero(mark)
-    flags = mark[ends]
-    is_a, is_b = flags & 1, flags >> 1
+    ends, is_a, is_b = stretches(a, b, a_len, b_len)
     at_a = np.cumsum(is_a, dtype=np.int64) - is_a
     at_b = np.cumsum(is_b, dtype=np.int64) - is_b
     return a[at_a].astype(np.int64) << 32 | b[at_b].astype(np.int64), ends
@@ -125,79 +107,102 @@ class Aligner:
             from sentencepiece import SentencePieceProcessor
             model = SentencePieceProcessor(model_file=b_path)
             apart = not any(SPACE in model.id_to_piece(i).lstrip(SPACE) for i in range(model.get_piece_size()))
-            store[a_path, b_path] = (model, a_bytes(a_path), b_bytes(b_path), apart, {})
-        self.b_model, self.a_vocab, self.b_vocab, self.apart, self.cache = store[a_path, b_path]
-        self.a_model = UnitEncoder(a_path, cache_units=50_000)
+            a_vocab, b_vocab = a_bytes(a_path), b_bytes(b_path)
+            # How a token is written before another one of its kind and group, and at the end of those.
+            shown = [f"{i}{sign}".encode() for vocab, signs in ((a_vocab, ",|"), (b_vocab, ",;"))
+                     for i in range(len(vocab)) for sign in signs]
+            store[a_path, b_path] = (model, a_vocab, b_vocab, shown, apart, {})
+        self.b_model, self.a_vocab, self.b_vocab, self.shown, self.apart, self.cache = store[a_path, b_path]
+        self.a_model = UnitEncoder(a_path)
         self.dtype = width(self.a_vocab, self.b_vocab)
-        self.a_len, self.b_len = lengths(self.a_vocab).tolist(), lengths(self.b_vocab).tolist()
-
-    def entry(self, text: str, a: list[int], b: list[int]) -> tuple:
-        """(A ids, B ids, groups, links, groups as text), or no tokens where the bytes differ; ``text``
-        has its leading space."""
-        raw = text.encode()
-        if b"".join([self.a_vocab[i] for i in a]) != raw or b"".join([self.b_vocab[i] for i in b]) != raw:
-            return b"", b"", -1, 0, ""
-        shown, groups, links = groups_of(a, b, self.a_len, self.b_len)
-        return np.array(a, self.dtype).tobytes(), np.array(b, self.dtype).tobytes(), groups, links, shown
-
-    def words(self, words: list[str]) -> list[tuple]:
-        """Entries of words that follow a single space."""
+        self.a_len, self.b_len = lengths(self.a_vocab), lengths(self.b_vocab)
+
+    def b_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(B's ids of the texts in turn, offsets of the texts in them)."""
+        hard = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+        hard = hard.to_numpy(zero_copy_only=False) | (not self.apart)
+        pieces = pc.split_pattern(pc.if_else(pa.array(hard), "", texts), " ")
+        starts = pieces.offsets.to_numpy().astype(np.int64) - pieces.offsets[0].as_py()
+        coded = pc.dictionary_encode(pieces.flatten())
+        index, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
+        self.cache[""] = b""
         new = [w for w in words if w not in self.cache]
         for at in range(0, len(new), 10_000):
             part = new[at:at + 10_000]
-            led = [" " + w for w in part]
-            for w, text, a, b in zip(part, led, self.a_model._lookup(led), self.b_model.encode(part, num_threads=1)):
-                self.cache[w] = self.entry(text, np.frombuffer(a, "<u4").tolist(), b)
-        return [self.cache[w] for w in words]
-
-    def whole(self, text: str) -> tuple:
-        a = self.a_model.tokenizer.encode(" " + text, add_special_tokens=False).ids
-        return self.entry(" " + text, a, self.b_model.encode(text, num_threads=1))
+            self.cache.update(zip(part, (np.array(ids, "<u4").tobytes() for ids in self.b_model.encode(part, num_threads=1))))
+        units = [self.cache[w] for w in words]
+        # The empty word stands in the place of texts that go whole.
+        whole = np.flatnonzero(hard)
+        index[starts[:-1][whole]] = len(units) + np.arange(len(whole))
+        units += [np.array(self.b_model.encode(texts[int(i)].as_py(), num_threads=1), "<u4").tobytes() for i in whole]
+        sizes = np.fromiter(map(len, units), np.int64, len(units)) // 4
+        pool, begin = np.frombuffer(b"".join(units), "<u4"), np.cumsum(sizes) - sizes
+        counts = sizes[index]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return pool[np.repeat(begin[index] - (ends - counts), counts) + np.arange(total)], np.concatenate([[0], ends])[starts]
+
+    def alike(self, led: list[bytes], ids: np.ndarray, offsets: np.ndarray, vocab: list[bytes]) -> np.ndarray:
+        """Whether each text is the bytes of its tokens."""
+        places, tokens = offsets.tolist(), ids.tolist()
+        return np.array([b"".join(map(vocab.__getitem__, tokens[s:e])) == text
+                         for text, s, e in zip(led, places, places[1:])], bool)
 
     def encode(self, texts: pa.Array) -> dict:
         """Columns of ``ENCODED_SCHEMA`` but the id."""
-        empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        hard = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
-        hard = (hard.to_numpy(zero_copy_only=False) | (not self.apart)) & ~empty
-        simple = pc.if_else(pa.array(hard), "", texts)
-        pieces = pc.split_pattern(simple, " ")
-        starts = pieces.offsets.to_numpy().astype(np.int64) - pieces.offsets[0].as_py()
-        coded = pc.dictionary_encode(pieces.flatten())
-        index = coded.indices.to_numpy().astype(np.int64)
-        words = coded.dictionary.to_pylist()
-        # The empty word stands in the place of empty texts and of those that go whole.
-        entries = self.words([w for w in words if w]) if words else []
-        if "" in words:
-            entries.insert(words.index(""), (b"", b"", -1, 0, ""))
-        at = np.flatnonzero(hard)
-        index[starts[:-1][at]] = len(entries) + np.arange(len(at))
-        entries += [self.whole(texts[int(i)].as_py()) for i in at]
-        ids_a, ids_b, groups, links, shown = zip(*entries) if entries else ((),) * 5
-        groups, links = np.array(groups, np.int64), np.array(links, np.int64)
-        valid = np.minimum.reduceat(groups[index], starts[:-1]) >= 0 if len(texts) else np.zeros(0, bool)
-        out = {c: [] for c in ("a", "b", "groups_sha256")}
-        places = index.tolist()
-        for s, e, ok in zip(starts.tolist(), starts[1:].tolist(), valid.tolist()):
-            own = places[s:e] if ok else []
-            out["a"].append(b"".join([ids_a[i] for i in own]))
-            out["b"].append(b"".join([ids_b[i] for i in own]))
-            out["groups_sha256"].append(sha256(";".join([shown[i] for i in own]).encode()).hexdigest() if ok else "")
-        size = np.dtype(self.dtype).itemsize
-
-        def total(values):
-            return np.where(valid, np.add.reduceat(values[index], starts[:-1]), 0) if len(texts) else values
-        return {"a": out["a"], "b": out["b"], "n_a": [len(x) // size for x in out["a"]],
-                "n_b": [len(x) // size for x in out["b"]], "n_groups": total(groups), "n_links": total(links),
-                "groups_sha256": out["groups_sha256"]}
+        a, a_at = self.a_model.encode(pc.binary_join_element_wise(" ", texts, ""))
+        b, b_at = self.b_ids(texts)
+        led = [b" " + x for x in texts.cast(pa.binary()).to_pylist()]
+        valid = (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
+        valid &= self.alike(led, a, a_at, self.a_vocab) & self.alike(led, b, b_at, self.b_vocab)
+        a, n_a = kept(a, a_at, valid)
+        b, n_b = kept(b, b_at, valid)
+        n_groups, n_links, hashes = self.groups(a, b, n_a, n_b)
+        return {"a": cut(a.astype(self.dtype), n_a), "b": cut(b.astype(self.dtype), n_b), "n_a": n_a, "n_b": n_b,
+                "n_groups": n_groups, "n_links": n_links, "groups_sha256": hashes}
+
+    def groups(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(groups, links, hash of the groups) of every text."""
+        if not len(a):
+            return np.zeros(len(n_a), np.int64), np.zeros(len(n_a), np.int64), [""] * len(n_a)
+        ends, is_a, is_b = stretches(a, b, self.a_len, self.b_len)
+        common = (is_a & is_b).astype(np.int64)
+        group = np.cumsum(common) - common
+        of_a, of_b = group[is_a == 1], group[is_b == 1]
+        # A group's A tokens stand after the B tokens of the groups before it, its B tokens after its A tokens.
+        groups = int(group[-1]) + 1
+        until_a, until_b = np.cumsum(np.bincount(of_a, minlength=groups)), np.cumsum(np.bincount(of_b, minlength=groups))
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + np.concatenate([[0], until_b])[of_a]] = 2 * a.astype(np.int64) + np.append(np.diff(of_a), 1)
+        codes[np.arange(len(b)) + until_a[of_b]] = 2 * (len(self.a_vocab) + b.astype(np.int64)) + np.append(np.diff(of_b), 1)
+        flat, places = codes.tolist(), np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+        hashes = [sha256(b"".join(map(self.shown.__getitem__, flat[s:e]))[:-1]).hexdigest() if e > s else ""
+                  for s, e in zip(places, places[1:])]
+        last = np.cumsum(n_a)
+        upto = np.searchsorted(ends, np.concatenate([[0], np.cumsum(self.a_len[a])])[last], side="right")
+        done = np.concatenate([[0], np.cumsum(common)])
+        return np.diff(done[np.concatenate([[0], upto])]), np.diff(np.concatenate([[0], upto])), hashes
+
+
+def kept(ids: np.ndarray, offsets: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids of the valid texts, how many each text has)."""
+    counts = np.diff(offsets)
+    return ids[np.repeat(valid, counts)], np.where(valid, counts, 0)
+
+
+def cut(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The ids of every text as bytes."""
+    size, flat, ends = ids.dtype.itemsize, ids.tobytes(), np.cumsum(counts).tolist()
+    return [flat[s * size:e * size] for s, e in zip([0, *ends], ends)]
 
 
 def encoded(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One written row per document: its ids of both kinds and its groups."""
     def encode(batches):
         aligner = Aligner(a_path, b_path)
-        for batch in in_slices(batches, "text"):
+        for batch in in_slices(batches, "text", TEXT_BYTES):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **aligner.encode(texts_of(batch, "text"))},
                                              schema=pa.schema([
                                                  ("doc_id", pa.int64()), ("a", pa.binary()), ("b", pa.binary()),
@@ -259,8 +264,9 @@ def counted(rows: DataFrame, table: dict, a_len: np.ndarray, b_len: np.ndarray,
         known = shipped.value
         total = np.zeros(-(-size // PIECE) * PIECE, np.int64)
         for batch in in_slices(batches, "a", SLICE_BYTES):
-            at = perfect_hash.indexes(known, linked(_ids(batch, "a", dtype), _ids(batch, "b", dtype), a_len, b_len)[0])
-            total += np.bincount(at[at >= 0], minlength=len(total))
+            keys, times = np.unique(linked(_ids(batch, "a", dtype), _ids(batch, "b", dtype), a_len, b_len)[0], return_counts=True)
+            at = perfect_hash.indexes(known, keys)
+            total[at[at >= 0]] += times[at >= 0]
         part = TaskContext.get().partitionId()
         pieces = total.reshape(-1, PIECE)
         for i in np.flatnonzero(pieces.any(axis=1)).tolist():

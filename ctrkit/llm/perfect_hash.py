@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ctrkit.llm.common import partitions, written
 
 #: Keys of a block on average, and slots of a level for a key that it has to place.
-BLOCK_KEYS, SLOTS = 4096, 1.5
+BLOCK_KEYS, SLOTS = 4096, 3.0
 BLOCK_SCHEMA = "block long, sizes array<int>, bits binary, keys binary"
 
 
@@ -29,12 +29,17 @@ def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def within(hashes: np.ndarray, size) -> np.ndarray:
+    """Hashes brought to 0 to size - 1 by their upper halves."""
+    return ((hashes >> np.uint64(32)) * np.asarray(size, np.uint64) >> np.uint64(32)).astype(np.int64)
+
+
 def hashed_block(keys: np.ndarray) -> tuple[list[int], bytes, np.ndarray]:
     """(slots of every level, the packed bits of all levels, the keys by index)."""
     sizes, bits, placed = [], [], []
     while len(keys):
         size = max(8, int(SLOTS * len(keys)) + 1)
-        slot = (mixed(keys, len(sizes) + 1) % np.uint64(size)).astype(np.int64)
+        slot = within(mixed(keys, len(sizes) + 1), size)
         alone = np.bincount(slot, minlength=size)[slot] == 1
         own = np.zeros(size, np.uint8)
         own[slot[alone]] = 1
@@ -50,7 +55,7 @@ def build(keys: DataFrame, n_blocks: int, col: str = "key") -> DataFrame:
     def assign(batches):
         for batch in batches:
             k = batch.column(0).to_numpy()
-            block = (mixed(k, 0) % np.uint64(n_blocks)).astype(np.int64)
+            block = within(mixed(k, 0), n_blocks)
             yield pa.RecordBatch.from_pydict({"block": block, "key": k})
 
     def make(batches):
@@ -95,19 +100,21 @@ def collected(rows: list, first: int, last: int, n_blocks: int) -> dict:
 def indexes(table: dict, keys: np.ndarray) -> np.ndarray:
     """Indexes of keys among the collected ones, -1 for keys that are not among them."""
     out = np.full(len(keys), -1, np.int64)
-    block = (mixed(keys, 0) % np.uint64(table["n_blocks"])).astype(np.int64)
+    block = within(mixed(keys, 0), table["n_blocks"])
     todo = np.flatnonzero((block >= table["first"]) & (block < table["last"]))
-    block = block[todo] - table["first"]
+    block, left = block[todo] - table["first"], keys[todo]
     for level in range(table["sizes"].shape[1]):
-        size = table["sizes"][block, level]
-        todo, block, size = todo[size > 0], block[size > 0], size[size > 0]
+        size = table["sizes"][:, level][block]
+        has = size > 0
+        if not has.all():
+            todo, block, left, size = todo[has], block[has], left[has], size[has]
         if not len(todo):
             break
-        at = table["starts"][block, level] + (mixed(keys[todo], level + 1) % size.astype(np.uint64)).astype(np.int64)
+        at = table["starts"][:, level][block] + within(mixed(left, level + 1), size)
         hit = table["bits"][at] == 1
         out[todo[hit]] = table["rank"][at[hit]]
-        todo, block = todo[~hit], block[~hit]
+        miss = ~hit
+        todo, block, left = todo[miss], block[miss], left[miss]
     known = np.flatnonzero(out >= 0)
-    wrong = known[table["keys"][out[known]] != keys[known]]
-    out[wrong] = -1
+    out[known[table["keys"][out[known]] != keys[known]]] = -1
     return out

@@ -114,15 +114,14 @@ def test_several_shards_and_vector_trees(spark, docs_small, plain, monkeypatch):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet="ab,.é \n\t's1\x1c\xa0漢A-<>▁", max_size=25), max_size=6))
-def test_words_give_the_ids_of_whole_texts(texts):
+@given(texts=st.lists(st.text(alphabet="ab,.é \n\t's1\x1c\xa0漢A-<>▁", max_size=25), max_size=6))
+def test_batches_give_the_ids_of_the_libraries(plain, texts):
     aligner = m.Aligner(A, B)
     got = aligner.encode(pa.array(texts, pa.string()))
     for i, text in enumerate(texts):
-        a, b, groups, links, shown = aligner.whole(text) if text else (b"", b"", -1, 0, "")
-        assert (got["a"][i], got["b"][i]) == (a, b)
-        assert (got["n_groups"][i], got["n_links"][i]) == (max(0, groups), links)
-        assert got["groups_sha256"][i] == (hashlib.sha256(shown.encode()).hexdigest() if groups >= 0 else "")
+        a, b = plain(text)
+        assert np.frombuffer(got["a"][i], aligner.dtype).tolist() == [x for x, _ in a]
+        assert np.frombuffer(got["b"][i], aligner.dtype).tolist() == [x for x, _ in b]
 
 
 def test_perfect_hash(spark, monkeypatch):
