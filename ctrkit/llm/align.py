@@ -20,6 +20,7 @@ text; a worker encodes it once and remembers them. Texts with other runs of spac
 
 from __future__ import annotations
 
+from array import array
 from hashlib import sha256
 
 import numpy as np
@@ -33,8 +34,8 @@ from ctrkit.llm import perfect_hash
 from ctrkit.llm.bpe import UnitEncoder, byte_alphabet
 from ctrkit.llm.common import in_slices, partitions, process_store, texts_of, written
 
-#: Words whose B ids a worker remembers; at the bound it starts anew.
-CACHE_WORDS = 250_000
+#: Words whose ids a worker remembers in each of its two dictionaries, the young and the old one.
+CACHE_WORDS = 200_000
 #: Hash blocks (of about 4096 pairs) that are shipped at a time, entries of a vector's piece, vectors summed to one.
 SHARD_BLOCKS, PIECE, FAN = 512, 1024, 32
 #: Text bytes that a task encodes and id bytes that it aligns at a time.
@@ -111,52 +112,79 @@ class Aligner:
             # How a token is written before another one of its kind and group, and at the end of those.
             shown = [f"{i}{sign}".encode() for vocab, signs in ((a_vocab, ",|"), (b_vocab, ",;"))
                      for i in range(len(vocab)) for sign in signs]
-            store[a_path, b_path] = (model, a_vocab, b_vocab, shown, apart, {})
-        self.b_model, self.a_vocab, self.b_vocab, self.shown, self.apart, self.cache = store[a_path, b_path]
-        self.a_model = UnitEncoder(a_path)
+            store[a_path, b_path] = (model, a_vocab, b_vocab, shown, apart, [{}, {}])
+        self.b_model, self.a_vocab, self.b_vocab, self.shown, self.apart, self.known = store[a_path, b_path]
+        self.a_model = UnitEncoder(a_path, cache_units=50_000)
         self.dtype = width(self.a_vocab, self.b_vocab)
         self.a_len, self.b_len = lengths(self.a_vocab), lengths(self.b_vocab)
-
-    def b_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(B's ids of the texts in turn, offsets of the texts in them)."""
+        self.a_pool, self.b_pool = (np.frombuffer(b"".join(v), np.uint8) for v in (self.a_vocab, self.b_vocab))
+
+    def words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """(A ids, B ids) of words that follow a single space. What was asked for lately is remembered: a full
+        young dictionary becomes the old one, and the old one goes."""
+        young, old = self.known
+        out = list(map(young.get, words))
+        new = []
+        for i, found in enumerate(out):
+            if found is None:
+                found = old.get(words[i])
+                if found is None:
+                    new.append(i)
+                else:
+                    out[i] = young[words[i]] = found
+        for at in range(0, len(new), 10_000):
+            part = new[at:at + 10_000]
+            own = [words[i] for i in part]
+            for i, a, b in zip(part, self.a_model._lookup([" " + w for w in own]), self.b_model.encode(own, num_threads=1)):
+                out[i] = young[words[i]] = (a, array("I", b).tobytes())
+        if len(young) > CACHE_WORDS:
+            self.known[:] = {}, young
+        return out
+
+    def ids(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and for B: (ids of the texts in turn, offsets of the texts in them)."""
         hard = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
         hard = hard.to_numpy(zero_copy_only=False) | (not self.apart)
         pieces = pc.split_pattern(pc.if_else(pa.array(hard), "", texts), " ")
         starts = pieces.offsets.to_numpy().astype(np.int64) - pieces.offsets[0].as_py()
         coded = pc.dictionary_encode(pieces.flatten())
         index, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        self.cache[""] = b""
-        new = [w for w in words if w not in self.cache]
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
-            self.cache.update(zip(part, (np.array(ids, "<u4").tobytes() for ids in self.b_model.encode(part, num_threads=1))))
-        units = [self.cache[w] for w in words]
+        self.known[0][""] = (b"", b"")
+        units = self.words(words)
         # The empty word stands in the place of texts that go whole.
         whole = np.flatnonzero(hard)
         index[starts[:-1][whole]] = len(units) + np.arange(len(whole))
-        units += [np.array(self.b_model.encode(texts[int(i)].as_py(), num_threads=1), "<u4").tobytes() for i in whole]
-        sizes = np.fromiter(map(len, units), np.int64, len(units)) // 4
-        pool, begin = np.frombuffer(b"".join(units), "<u4"), np.cumsum(sizes) - sizes
-        counts = sizes[index]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        return pool[np.repeat(begin[index] - (ends - counts), counts) + np.arange(total)], np.concatenate([[0], ends])[starts]
-
-    def alike(self, led: list[bytes], ids: np.ndarray, offsets: np.ndarray, vocab: list[bytes]) -> np.ndarray:
-        """Whether each text is the bytes of its tokens."""
-        places, tokens = offsets.tolist(), ids.tolist()
-        return np.array([b"".join(map(vocab.__getitem__, tokens[s:e])) == text
-                         for text, s, e in zip(led, places, places[1:])], bool)
+        for i in whole.tolist():
+            text = texts[i].as_py()
+            units.append((np.array(self.a_model.tokenizer.encode(" " + text, add_special_tokens=False).ids, "<u4").tobytes(),
+                          np.array(self.b_model.encode(text, num_threads=1), "<u4").tobytes()))
+        out = []
+        for side in zip(*units) if units else ((), ()):
+            sizes = np.fromiter(map(len, side), np.int64, len(side)) // 4
+            pool, begin = np.frombuffer(b"".join(side), "<u4"), np.cumsum(sizes) - sizes
+            flat, ends = gathered(pool, begin, sizes, index)
+            out.append((flat, np.concatenate([[0], ends])[starts]))
+        return out
+
+    def alike(self, led: pa.Array, ids: np.ndarray, offsets: np.ndarray, lens: np.ndarray, pool: np.ndarray) -> np.ndarray:
+        """Whether each text is the bytes of its tokens: the bytes of all texts at once, and only if
+        they differ somewhere text by text."""
+        raw = pc.cast(led, pa.binary())
+        sizes = pc.binary_length(raw).to_numpy().astype(np.int64)
+        want = np.concatenate([[0], np.cumsum(sizes)])
+        flat, ends = gathered(pool, np.cumsum(lens) - lens, lens, ids)
+        have = np.concatenate([[0], ends])[offsets]
+        text = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
+        if np.array_equal(have, want) and np.array_equal(flat, text):
+            return np.ones(len(led), bool)
+        return np.array([np.array_equal(flat[s:e], text[u:v]) for s, e, u, v in zip(have, have[1:], want, want[1:])], bool)
 
     def encode(self, texts: pa.Array) -> dict:
         """Columns of ``ENCODED_SCHEMA`` but the id."""
-        a, a_at = self.a_model.encode(pc.binary_join_element_wise(" ", texts, ""))
-        b, b_at = self.b_ids(texts)
-        led = [b" " + x for x in texts.cast(pa.binary()).to_pylist()]
+        (a, a_at), (b, b_at) = self.ids(texts)
+        led = pc.binary_join_element_wise(" ", texts, "")
         valid = (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
-        valid &= self.alike(led, a, a_at, self.a_vocab) & self.alike(led, b, b_at, self.b_vocab)
+        valid &= self.alike(led, a, a_at, self.a_len, self.a_pool) & self.alike(led, b, b_at, self.b_len, self.b_pool)
         a, n_a = kept(a, a_at, valid)
         b, n_b = kept(b, b_at, valid)
         n_groups, n_links, hashes = self.groups(a, b, n_a, n_b)
@@ -186,6 +214,14 @@ class Aligner:
         return np.diff(done[np.concatenate([[0], upto])]), np.diff(np.concatenate([[0], upto])), hashes
 
 
+def gathered(pool: np.ndarray, begin: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs ``begin``, ``sizes`` of the pool that the index names, in turn; where each ends)."""
+    counts = sizes[index]
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.repeat(begin[index] - (ends - counts), counts) + np.arange(total)], ends
+
+
 def kept(ids: np.ndarray, offsets: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the ids of the valid texts, how many each text has)."""
     counts = np.diff(offsets)
