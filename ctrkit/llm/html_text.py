@@ -14,7 +14,9 @@ boilerplate, so an article keeps its short lines whatever surrounds it.
 
 An article element is a prior and no switch: blocks outside it are decided as on a page without
 one; inside, middling density is text, low density is ambiguous, and neighbours that disagree give
-text. Stop words are those listed and the short words that most pages hold, in whatever language.
+text. Names that prose may have too ("related work") count inside an article only for a container
+without a long block of text. Stop words are those listed and the short words that many pages hold, in
+whatever language; scripts that write no blanks are told by their sentence signs.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from ctrkit.llm.common import in_slices, texts_of
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.DOTALL)
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))|[^>=]+|=)*)(>|$)", re.DOTALL)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 
 # Names of HTML elements.
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
@@ -52,6 +54,12 @@ BOILERPLATE_NAMES = set(
     "pagination pager skip toolbar copyright disclaimer complementary contentinfo dialog alert".split())
 # Names that are boilerplate on a page but belong to the article inside one.
 PAGE_ONLY = {"header", "masthead", "banner"}
+# Names that prose inside an article may have too: there a long block of text overrules them.
+WEAK_NAMES = set("related recommended search form notice notices alert widget widgets social share sharing promo promotion "
+                 "rail dialog disclaimer copyright response respond replies reply".split())
+# Scripts that write words without blanks, and the signs that end or divide their sentences.
+NO_BLANKS = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
+SENTENCE_SIGNS = re.compile("[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f]")
 # Stop words of the languages at hand.
 STOP_WORDS = set(
     "the of and to in a is that it for on was with as be by at from or an this are not but which he his they have "
@@ -59,26 +67,31 @@ STOP_WORDS = set(
     "le la les de des et un une du en que qui dans pour pas au sur ne se ce il est par plus avec son sont aux ou "
     "el los las y del se por con una su para como más al lo fue sus pero le ya o este sí porque esta entre".split())
 
-#: Most letters of a short word, how many of them join the stop words, and the pages that must hold each.
-SHORT_WORD, FREQUENT_WORDS, FREQUENT_PAGES = 4, 300, 2
+#: Most letters of a short word, how many of them join the stop words, and the share of the pages, two at least,
+#: that must hold each.
+SHORT_WORD, FREQUENT_WORDS, FREQUENT_SHARE = 4, 300, 0.05
 
 SHORT_CHARS = 70
 LONG_CHARS = 200
 LOW_DENSITY, HIGH_DENSITY = 0.15, 0.30
 LINK_SHARE = 0.5
+#: Characters of prose in a script without blanks to one sentence sign, at most.
+SIGN_EVERY = 60
 TEXT, BAD, UNSURE = 1, 0, None
 
 
 class Block:
-    __slots__ = ("text", "links", "article", "boilerplate", "label")
+    """``doubt`` is the number of the weakly named container around, or 0."""
+    __slots__ = ("text", "links", "article", "boilerplate", "doubt", "label")
 
-    def __init__(self, text: str, links: int, article: int, boilerplate: bool):
-        self.text, self.links, self.article, self.boilerplate = text, links, article, boilerplate
+    def __init__(self, text: str, links: int, article: int, boilerplate: bool, doubt: int = 0):
+        self.text, self.links, self.article, self.boilerplate, self.doubt = text, links, article, boilerplate, doubt
         self.label = UNSURE
 
 
-def names_boilerplate(attributes: str, in_article: bool) -> bool:
-    """Whether the attributes say that the element is hidden or holds no main text."""
+def names_boilerplate(attributes: str, in_article: bool) -> bool | None:
+    """Whether the attributes say that the element is hidden or holds no main text; None if only weakly."""
+    doubt = False
     for m in ATTRIBUTE.finditer(attributes):
         name, raw = m[1].lower(), m[2] or m[3] or m[4] or ""
         value = raw.lower()
@@ -88,9 +101,12 @@ def names_boilerplate(attributes: str, in_article: bool) -> bool:
             return True
         if name in ("class", "id", "role"):
             words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", raw).lower()))
-            if words & BOILERPLATE_NAMES - (PAGE_ONLY if in_article else set()):
+            named = words & BOILERPLATE_NAMES - (PAGE_ONLY if in_article else set())
+            if in_article and named and named <= WEAK_NAMES:
+                doubt = True
+            elif named:
                 return True
-    return False
+    return None if doubt else False
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -98,14 +114,14 @@ def blocks_of(html: str) -> list[Block]:
     blocks: list[Block] = []
     parts: list[str] = []
     links: list[str] = []
-    # Open containers: (name, number of the article around, boilerplate).
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]
-    articles = link_depth = 0
+    # Open containers: (name, number of the article around, boilerplate, number of the doubtful container).
+    stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]
+    articles = doubts = link_depth = 0
 
     def close_block() -> None:
         text = " ".join("".join(parts).split())
         if text:
-            blocks.append(Block(text, len(" ".join("".join(links).split())), stack[-1][1], stack[-1][2]))
+            blocks.append(Block(text, len(" ".join("".join(links).split())), *stack[-1][1:]))
         parts.clear()
         links.clear()
 
@@ -145,21 +161,24 @@ def blocks_of(html: str) -> list[Block]:
             continue
         if name == "a":
             link_depth = 1
-        _, article, bad = stack[-1]
+        _, article, bad, doubt = stack[-1]
         hidden = name not in VOID | ARTICLE | PAGE and names_boilerplate(m[3], article > 0)
-        if name in INLINE and not hidden:
+        if name in INLINE and not hidden and hidden is not None:
             continue
         close_block()
         if name in VOID or m[3].endswith("/") and name in ("svg", "path"):
             continue
         if name == "p" and stack[-1][0] == "p":
             stack.pop()
-            _, article, bad = stack[-1]
+            _, article, bad, doubt = stack[-1]
         if name in ARTICLE and not article:
             articles += 1
             article = articles
-        bad = bad or hidden or name in BOILERPLATE or name == "header" and not article
-        stack.append((name, article, bad))
+        if hidden is None and not doubt:
+            doubts += 1
+            doubt = doubts
+        bad = bool(bad or hidden or name in BOILERPLATE or name == "header" and not article)
+        stack.append((name, article, bad, doubt))
     close_block()
     return blocks
 
@@ -168,15 +187,22 @@ def words_of(text: str) -> list[str]:
     return [w.strip(".,;:!?") for w in text.lower().split()]
 
 
+def measured(text: str, stop_words: set[str]) -> tuple[int, float]:
+    """(length, stop-word density). Scripts without blanks have no words to count: a character counts
+    for two, and prose is told by its sentence signs."""
+    dense = len(NO_BLANKS.findall(text))
+    if 2 * dense >= len(text):
+        prose = len(SENTENCE_SIGNS.findall(text)) * SIGN_EVERY >= len(text)
+        return len(text) + dense, HIGH_DENSITY if prose else 0.0
+    words = words_of(text)
+    return len(text), sum(w in stop_words for w in words) / len(words)
+
+
 def decide(block: Block, stop_words: set[str] = STOP_WORDS) -> int | None:
     """Pass 1: the label of a block by itself, or none."""
-    if block.boilerplate:
+    if block.boilerplate or block.links > LINK_SHARE * len(block.text):
         return BAD
-    size = len(block.text)
-    if block.links > LINK_SHARE * size:
-        return BAD
-    words = words_of(block.text)
-    density = sum(w in stop_words for w in words) / len(words)
+    size, density = measured(block.text, stop_words)
     if size >= LONG_CHARS and density >= HIGH_DENSITY:
         return TEXT
     if block.article:
@@ -188,10 +214,13 @@ def decide(block: Block, stop_words: set[str] = STOP_WORDS) -> int | None:
 
 def classify(blocks: list[Block], stop_words: set[str] = STOP_WORDS) -> None:
     """Both passes."""
-    decided = []
     for b in blocks:
         b.label = decide(b, stop_words)
-        decided.append(b.label)
+    prose = {b.doubt for b in blocks if b.label == TEXT and measured(b.text, stop_words)[0] >= LONG_CHARS}
+    for b in blocks:
+        if b.doubt and b.doubt not in prose:
+            b.label = BAD
+    decided = [b.label for b in blocks]
     # Nearest decided label on either side; an article's edges are text, the page's are not.
     def nearest(order):
         found, last, article = {}, BAD, 0
@@ -218,7 +247,7 @@ def main_text(html: str, stop_words: set[str] = STOP_WORDS) -> str:
 
 
 def stop_words_of(pages: DataFrame, html_col: str = "html") -> set[str]:
-    """``STOP_WORDS`` and the short words that most pages hold outside boilerplate containers and links."""
+    """``STOP_WORDS`` and the short words that many pages hold outside boilerplate containers and links."""
     def count(batches):
         for batch in in_slices(batches, "html"):
             held: Counter[str] = Counter()
@@ -229,7 +258,8 @@ def stop_words_of(pages: DataFrame, html_col: str = "html") -> set[str]:
                 [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
     counts = pages.select(F.col(html_col).alias("html")).mapInArrow(count, "word string, n long")
-    best = (counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_PAGES)
+    least = max(2, FREQUENT_SHARE * pages.count())
+    best = (counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
             .orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).collect())
     return STOP_WORDS | {r.word for r in best}
 

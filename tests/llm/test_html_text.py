@@ -79,3 +79,37 @@ def test_text_in_a_language_without_listed_stop_words_stays(spark):
     pages = spark.createDataFrame([(i, "u", page(f"<div><p>{t}</p></div>")) for i, t in enumerate(lines * 2)],
                                   "page_id long, url string, html string")
     assert sorted(r.text for r in html_text.extract(pages).collect()) == sorted(lines * 2)
+
+
+@pytest.mark.parametrize("html,want", [
+    ("<article><p title=don't>P1</p><p>It's fine, P1</p><p>P3</p></article>", "P1 It's fine, P1 P3"),
+    ("<article><p data-x='a\">P1</p><p>It's P2</p><p class=\"b>P3</p><p>P4</p></article>", "P1 It's P2 P3 P4"),
+    ("<article><p title='a > b' data-y=\"<i>\">P1</p><p x = 'y'>P2</p></article>", "P1 P2"),
+    ("<article><a href=\"x\"class='b'>it's</a> said</article>", "it's said")])
+def test_stray_quotes_in_tags(html, want):
+    assert main_text(html) == want
+
+
+LONG = " ".join([LINE, LINE])
+
+
+@pytest.mark.parametrize("tag", ["section id='related-work'", "div class='search-results-discussion'", "div class=related"])
+def test_prose_overrules_weak_names_inside_an_article(tag):
+    inner = f"<{tag}><h2>Title</h2><p>{LONG}</p></{tag.split()[0]}>"
+    assert main_text(page(f"<article><p>{LINE}</p>{inner}<p>End</p></article>")) == f"{LINE} Title {LONG} End"
+    teasers = f"<{tag}><h2>More</h2><p>Short.</p></{tag.split()[0]}>"
+    assert main_text(page(f"<article><p>{LINE}</p>{teasers}<p>{LINE}</p></article>")) == f"{LINE} {LINE}"
+    comments = f"<section id='comments'><p>{LONG}</p></section>"
+    assert main_text(page(f"<article><p>{LINE}</p>{comments}</article>")) == LINE
+
+
+def test_scripts_without_blanks():
+    text = "昨日の朝、町の中央広場で新しい図書館が開館した。市長は挨拶の中で、建設に三年かかったと述べた。多くの人が列を作り、子供たちは本を手に取った。"
+    menu = "会社概要採用情報問合先製品一覧店舗案内個人情報保護方針利用規約地図会員登録新着順位表価格表送料無料特集記事動画写真"
+    assert main_text(page(f"<div><p>{menu}</p></div><div><p>{text}</p><p>{text}</p></div>")) == f"{text} {text}"
+
+
+def test_stop_words_come_from_a_share_of_the_pages(spark):
+    rows = [(f"<div><p>Ja se on nyt ohi {'sale' if i < 3 else 'niin'} {i}</p></div>",) for i in range(100)]
+    words = html_text.stop_words_of(spark.createDataFrame(rows, "html string"))
+    assert {"ja", "se", "nyt", "niin"} <= words and "sale" not in words
