@@ -114,7 +114,7 @@ class Aligner:
                      for i in range(len(vocab)) for sign in signs]
             store[a_path, b_path] = (model, a_vocab, b_vocab, shown, apart, [{}, {}])
         self.b_model, self.a_vocab, self.b_vocab, self.shown, self.apart, self.known = store[a_path, b_path]
-        self.a_model = UnitEncoder(a_path, cache_units=50_000)
+        self.a_model = UnitEncoder(a_path, cache_units=50_000, specials_as_text=True)
         self.dtype = width(self.a_vocab, self.b_vocab)
         self.a_len, self.b_len = lengths(self.a_vocab), lengths(self.b_vocab)
         self.a_pool, self.b_pool = (np.frombuffer(b"".join(v), np.uint8) for v in (self.a_vocab, self.b_vocab))

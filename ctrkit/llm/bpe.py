@@ -3,7 +3,7 @@
 The library encodes a distinct space-led unit once; texts are put together from those ids.
 Byte-level BPE cuts a text before every single space that follows or precedes other
 characters, so the ids of a text are the ids of its units in turn. Texts where that does
-not hold (two spaces in a row) go through the library whole.
+not hold (two spaces in a row, the string of an added token) go through the library whole.
 """
 
 from __future__ import annotations
@@ -28,10 +28,11 @@ def byte_alphabet() -> dict[int, str]:
 class UnitEncoder:
     """Ids of texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
-    The strings of special tokens count as ordinary text.
+    A text with the string of an added token goes through the library whole, which gives that
+    token's id; with ``specials_as_text`` such strings count as ordinary text.
     """
 
-    def __init__(self, path: str, cache_units: int = CACHE_UNITS):
+    def __init__(self, path: str, cache_units: int = CACHE_UNITS, specials_as_text: bool = False):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -39,8 +40,11 @@ class UnitEncoder:
         if path not in store:
             tok = Tokenizer.from_file(path)
             tok.encode_special_tokens = True
-            store[path] = (tok, tok.model, {})
-        self.tokenizer, self.model, self.cache = store[path]
+            added = [t.content for t in tok.get_added_tokens_decoder().values()]
+            store[path] = (tok, tok.model, {}, Tokenizer.from_file(path), added)
+        self.tokenizer, self.model, self.cache, self.default, self.added = store[path]
+        if specials_as_text:
+            self.default, self.added = self.tokenizer, []
         self.cache_units = cache_units
         self.alphabet = byte_alphabet()
 
@@ -92,6 +96,8 @@ class UnitEncoder:
         """(all ids in turn, offsets of the texts in them)."""
         n = len(texts)
         hard = pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False)
+        for token in self.added:
+            hard = hard | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         simple = pc.if_else(pa.array(hard), "", texts) if hard.any() else texts
         pieces = pc.split_pattern(simple, " ")
         starts = pieces.offsets.to_numpy().astype(np.int64) - pieces.offsets[0].as_py()
@@ -117,7 +123,7 @@ class UnitEncoder:
             return ids, offsets
         rows = np.split(ids, offsets[1:-1])
         at = np.flatnonzero(hard)
-        whole = self.tokenizer.encode_batch_fast([texts[int(i)].as_py() for i in at], add_special_tokens=False)
+        whole = self.default.encode_batch_fast([texts[int(i)].as_py() for i in at], add_special_tokens=False)
         for i, enc in zip(at, whole):
             rows[i] = np.array(enc.ids, "<u4")
         return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)

@@ -26,6 +26,9 @@ from ctrkit.llm.common import in_slices, partitions, texts_of, written
 SIZE = 2048
 #: Tokens by which length classes step; an item counts as its class's largest length.
 UNIT = 8
+#: The part of all tokens that rounding up to units may waste; lengths that are classes of their own among the
+#: fine ones, which are taken where it wastes more.
+WASTE, EXACT = 0.005, 64
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
@@ -88,12 +91,33 @@ def ranked(rows: DataFrame, group: str, amount, slices: int) -> DataFrame:
             .drop("slice", "within", "ahead"))
 
 
-def plan_patterns(histogram: dict[int, int], classes: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def fine(length: int) -> int:
+    """The class of a length among the fine ones: itself up to ``EXACT``, above a step of at most a part in
+    ``EXACT`` more."""
+    step = 1 << max(0, (length // EXACT).bit_length() - 1)
+    return -(-length // step) * step
+
+
+def class_sizes(lengths: dict[int, int], tokens: int, unit: int, size: int) -> dict[int, int]:
+    """The class, in tokens, that every length is rounded up to.
+
+    Multiples of ``unit`` if they waste at most ``WASTE`` of all tokens, as with long documents;
+    else the lengths themselves, if there are few, or the fine classes.
+    """
+    coarse = {n: -(-n // unit) * unit for n in lengths}
+    if sum((coarse[n] - n) * k for n, k in lengths.items()) <= WASTE * tokens:
+        return coarse
+    return {n: n if len(lengths) <= size // unit else min(size, fine(n)) for n in lengths}
+
+
+def plan_patterns(histogram: dict[int, int], size: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Runs of ranks (class, first rank, rank after the last, first sequence, places) and the
     number of sequences, from the counts by class."""
     sizes = np.array(sorted(histogram), np.int64)
     demands = np.array([histogram[int(s)] for s in sizes], np.int64)
-    patterns, x = cutting_stock.solve(sizes, demands, classes)
+    # The knapsack runs over multiples of what all classes have in common.
+    unit = int(np.gcd.reduce([*sizes.tolist(), size])) if len(sizes) else 1
+    patterns, x = cutting_stock.solve(sizes // unit, demands, size // unit)
     times = cutting_stock.rounded(patterns, x, demands)
     runs, taken, sequence = [], np.zeros(len(sizes), np.int64), 0
     for pattern, n in zip(patterns, times):
@@ -123,11 +147,17 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = SIZE, un
     lengths = written(encoded(docs, *args), "packing-lengths")
     whole = F.floor(F.col("doc_tokens") / size).cast("long")
     rest = F.col("doc_tokens") - whole * size
-    items = (lengths.where(rest > 0)
-             .select("doc_id", "doc_tokens", "crcs", (whole * size).alias("start"), rest.alias("length"),
-                     F.ceil(rest / unit).cast("int").alias("class")))
-    histogram = {r["class"]: r["n"] for r in items.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
-    runs, sequences = plan_patterns(histogram, size // unit)
+    items = lengths.where(rest > 0).select("doc_id", "doc_tokens", "crcs", (whole * size).alias("start"), rest.alias("length"))
+    # At most ``size`` lengths.
+    counts = {r["length"]: (r["n"], r["tokens"]) for r in items.groupBy("length").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("doc_tokens").alias("tokens")).collect()}
+    classes = class_sizes({k: n for k, (n, _) in counts.items()}, sum(t for _, t in counts.values()), unit, size)
+    of_length = F.broadcast(spark.createDataFrame(list(classes.items()), "length long, class int"))
+    items = items.join(of_length, "length").select("doc_id", "doc_tokens", "crcs", "start", "length", "class")
+    histogram: dict[int, int] = {}
+    for length, (n, _) in counts.items():
+        histogram[classes[length]] = histogram.get(classes[length], 0) + n
+    runs, sequences = plan_patterns(histogram, size)
 
     # At most a run for each class of each pattern in the basis: bounded by size and unit.
     table = F.broadcast(spark.createDataFrame(
@@ -174,7 +204,9 @@ def cut_rest(left: DataFrame, docs: DataFrame, args: tuple, first: int) -> DataF
         F.greatest("from", "lo").alias("a"), F.least(F.col("from") + F.col("length"), "hi").alias("b"), "from", "lo",
         (F.col("bin") + F.lit(first)).alias("sequence_id"))
     wanted = F.broadcast(left.select(F.col("doc_id").alias("want")).distinct())
-    texts = rest_ids(docs.join(wanted, docs[id_col].cast("long").eqNullSafe(F.col("want")), "left_semi"), *args)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = rest_ids(rows.join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi"), tokenizer_path, end_id, size,
+                     "id", "text")
     at = (F.col("a") - F.col("from")).cast("int")
     n = (F.col("b") - F.col("a")).cast("int")
     return pieces.alias("p").join(

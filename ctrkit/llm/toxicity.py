@@ -258,9 +258,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         wanted = wanted | ((F.col("is_toxic") == value) & (place < min(1.0, per_class / n)))
     # The wanted ids are as bounded as the sample.
     picked = F.broadcast(marked.where(wanted).withColumn("place", place))
-    found = (docs.join(picked, docs[id_col] == picked["labelled"])
-             .select("place", F.coalesce(text_col, F.lit("")).alias("text"), F.coalesce(lang_col, F.lit("")).alias("lang"),
-                     "is_toxic").toArrow().sort_by([("place", "ascending"), ("text", "ascending")]))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"),
+                       F.coalesce(lang_col, F.lit("")).alias("lang"))
+    found = (rows.join(picked, F.col("id") == F.col("labelled")).select("place", "text", "lang", "is_toxic").toArrow().sort_by([("place", "ascending"), ("text", "ascending")]))
     toxic = found["is_toxic"].to_pylist()
     weights = [max(1.0, counts[v] / per_class) for v in toxic]
     return Classifier(found["text"].combine_chunks(), toxic, found["lang"].to_pylist(), weights)

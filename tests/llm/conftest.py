@@ -21,7 +21,8 @@ def edge_docs(spark):
             (4, "same words here again and again"), (6, "same words here again and again"),
             (None, "a text without an id"), (10, "two  spaces   and\n\nlines \x1c é ß 漢字 it's 12"),
             (11, "a text told twice"), (11, "a text told twice")]
-    clash = "fp", "id", "bits", "u", "score", "shard", "slice", "component_id"
+    clash = ("fp", "id", "bits", "u", "score", "shard", "slice", "component_id", "place", "is_toxic", "want", "labelled",
+             "spans", "key", "n_best")
     return spark.createDataFrame([(*r, *(["x"] * len(clash))) for r in rows],
                                  "doc_id long, text string, " + ", ".join(f"{c} string" for c in clash))
 

@@ -13,7 +13,6 @@ from ctrkit.llm.data import tokenizer_path
 def test_every_id_in_one_piece(request, source, size):
     docs = request.getfixturevalue(source).select("doc_id", "text")
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     want = defaultdict(list)
     for r in docs.collect():
         want[r.doc_id].append(np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4"))
@@ -46,6 +45,33 @@ def test_every_id_in_one_piece(request, source, size):
     assert padding <= 0.02 * total
 
 
+def padding_of(rows, size):
+    ends = defaultdict(int)
+    for r in rows:
+        ends[r.sequence_id] += r.length
+    return sum(0 if e & (e - 1) == 0 else size - e for e in ends.values()), sum(ends.values())
+
+
+@pytest.mark.parametrize("lengths", [[9], range(9, 14), [17], [*range(1, 40)] + [700, 2047, 2048, 2049], range(40, 900)],
+                         ids=["nine", "nine to thirteen", "seventeen", "mixed", "many"])
+def test_short_texts_leave_little_padding(spark, lengths):
+    tok = Tokenizer.from_file(tokenizer_path())
+    assert len(tok.encode("the" + " the" * 7, add_special_tokens=False).ids) == 8
+    lengths = list(lengths)
+    rows = [(i, "the" + " the" * (lengths[i % len(lengths)] - 2)) if lengths[i % len(lengths)] > 1 else (i, "") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    padding, total = padding_of(packing.pack(docs, tokenizer_path(), end_id=1).collect(), packing.SIZE)
+    assert total == sum(lengths[i % len(lengths)] for i in range(4000))
+    assert padding <= 0.02 * total
+
+
+def test_fine_classes():
+    assert [packing.fine(n) for n in (1, 63, 64, 127, 128, 129, 130, 255, 256, 257, 1025)] == [
+        1, 63, 64, 127, 128, 130, 130, 256, 256, 260, 1040]
+    assert all(n <= packing.fine(n) <= n * (1 + 1 / packing.EXACT) for n in range(1, 2049))
+    assert len({packing.fine(n) for n in range(1, 2049)}) < 300
+
+
 def test_column_generation_finds_the_optimum():
     sizes, demands = np.array([3, 4, 7]), np.array([40, 30, 20])
     patterns, x = cutting_stock.solve(sizes, demands, 10, gap=0)

@@ -103,7 +103,6 @@ def test_whole_run_packs_what_the_stages_keep(spark):
     for _, f in corpus_pipeline.STAGES[:-1]:
         docs = f(spark, docs, SF)
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     want = {r.doc_id: 1 + len(tok.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
     got = {}
     for r in rows:

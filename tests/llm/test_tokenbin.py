@@ -16,7 +16,6 @@ from ctrkit.session import scratch_path
 def plain():
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     return lambda text: tok.encode(text or "", add_special_tokens=False).ids
 
 
@@ -47,6 +46,25 @@ def test_files_round_trip(spark, request, plain, source):
     assert rows == brute([(r.doc_id, r.text) for r in docs.collect()], plain, 2)
 
 
+SPECIAL = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b  c", "<|endoftext|", "no token", ""]
+
+
+def test_added_tokens_are_the_librarys(spark, plain):
+    docs = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    got = tokenbin.encode_to_files(docs, scratch_path(spark, "t"), tokenizer_path(), end_id=2)
+    assert sorted(map(tuple, got.collect())) == brute(list(enumerate(SPECIAL)), plain, 2)
+    assert plain(SPECIAL[0]) == [31373, 220, 50256, 995]
+
+
+def test_added_tokens_as_text():
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(tokenizer_path())
+    tok.encode_special_tokens = True
+    ids, offsets = UnitEncoder(tokenizer_path(), specials_as_text=True).encode(pa.array(SPECIAL, pa.string()))
+    for text, a, b in zip(SPECIAL, offsets, offsets[1:]):
+        assert ids[a:b].tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_wide_ids_need_wide_files():
     assert tokenbin.width_for(tokenizer_path(), 2) == "<u2"
     assert tokenbin.width_for(tokenizer_path(), 70_000) == "<u4"
