@@ -28,7 +28,7 @@ SIZE = 2048
 UNIT = 8
 #: The part of all tokens that rounding up to units may waste; lengths that are classes of their own among the
 #: fine ones, which are taken where it wastes more.
-WASTE, EXACT = 0.005, 64
+WASTE, EXACT = 0.005, 32
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 

@@ -66,8 +66,8 @@ def test_short_texts_leave_little_padding(spark, lengths):
 
 
 def test_fine_classes():
-    assert [packing.fine(n) for n in (1, 63, 64, 127, 128, 129, 130, 255, 256, 257, 1025)] == [
-        1, 63, 64, 127, 128, 130, 130, 256, 256, 260, 1040]
+    assert [packing.fine(n) for n in (1, 31, 32, 63, 64, 65, 128, 129, 257, 1025)] == [
+        1, 31, 32, 63, 64, 66, 128, 132, 264, 1056]
     assert all(n <= packing.fine(n) <= n * (1 + 1 / packing.EXACT) for n in range(1, 2049))
     assert len({packing.fine(n) for n in range(1, 2049)}) < 300
 
