@@ -35,11 +35,14 @@ from ctrkit.llm.bpe import UnitEncoder, byte_alphabet
 from ctrkit.llm.common import in_slices, partitions, process_store, texts_of, written
 
 #: Words whose ids a worker remembers in each of its two dictionaries, the young and the old one.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
+#: The entry of a word or text without tokens.
+NONE = 0xFFFFFFFF
+NO_TOKENS = array("I", [NONE]).tobytes()
 #: Hash blocks (of about 4096 pairs) that are shipped at a time, entries of a vector's piece, vectors summed to one.
 SHARD_BLOCKS, PIECE, FAN = 512, 1024, 32
 #: Text bytes that a task encodes and id bytes that it aligns at a time.
-TEXT_BYTES, SLICE_BYTES = 3 << 20, 2 << 20
+TEXT_BYTES, SLICE_BYTES = 1 << 20, 1 << 19
 SPACE = "▁"
 ENCODED_SCHEMA = "doc_id long, a binary, b binary, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 VECTOR_SCHEMA = "piece int, part long, sums binary"
@@ -117,10 +120,25 @@ class Aligner:
         self.a_model = UnitEncoder(a_path, cache_units=50_000, specials_as_text=True)
         self.dtype = width(self.a_vocab, self.b_vocab)
         self.a_len, self.b_len = lengths(self.a_vocab), lengths(self.b_vocab)
-        self.a_pool, self.b_pool = (np.frombuffer(b"".join(v), np.uint8) for v in (self.a_vocab, self.b_vocab))
 
-    def words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
-        """(A ids, B ids) of words that follow a single space. What was asked for lately is remembered: a full
+    def checked(self, led: str, a: bytes, b: list[int]) -> bytes:
+        """The number of A ids, those and the B ids, or ``NO_TOKENS`` if the bytes of either are not those of
+        the text, its leading space included. One string of bytes, so that many can be remembered."""
+        raw, a_vocab, b_vocab, of_a = led.encode(), self.a_vocab, self.b_vocab, array("I", a)
+        if b"".join([a_vocab[i] for i in of_a]) != raw or b"".join([b_vocab[i] for i in b]) != raw:
+            return NO_TOKENS
+        return array("I", [len(of_a), *of_a, *b]).tobytes()
+
+    def new_words(self, words: list[str]) -> list[bytes]:
+        led = [" " + w for w in words]
+        a = list(map(self.a_model._easy, led))
+        rest = [i for i, x in enumerate(a) if x is None]
+        for i, x in zip(rest, self.a_model.tokenizer.encode_batch_fast([led[i] for i in rest], add_special_tokens=False)):
+            a[i] = array("I", x.ids).tobytes()
+        return list(map(self.checked, led, a, self.b_model.encode(words, num_threads=1)))
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Entries of words that follow a single space. What was asked for lately is remembered: a full
         young dictionary becomes the old one, and the old one goes."""
         young, old = self.known
         out = list(map(young.get, words))
@@ -134,57 +152,39 @@ class Aligner:
                     out[i] = young[words[i]] = found
         for at in range(0, len(new), 10_000):
             part = new[at:at + 10_000]
-            own = [words[i] for i in part]
-            for i, a, b in zip(part, self.a_model._lookup([" " + w for w in own]), self.b_model.encode(own, num_threads=1)):
-                out[i] = young[words[i]] = (a, array("I", b).tobytes())
+            for i, entry in zip(part, self.new_words([words[i] for i in part])):
+                out[i] = young[words[i]] = entry
         if len(young) > CACHE_WORDS:
             self.known[:] = {}, young
         return out
 
-    def ids(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For A and for B: (ids of the texts in turn, offsets of the texts in them)."""
+    def ids(self, texts: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """For A and for B (ids of the texts in turn, offsets of the texts in them); whether a text has tokens."""
         hard = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
         hard = hard.to_numpy(zero_copy_only=False) | (not self.apart)
         pieces = pc.split_pattern(pc.if_else(pa.array(hard), "", texts), " ")
         starts = pieces.offsets.to_numpy().astype(np.int64) - pieces.offsets[0].as_py()
         coded = pc.dictionary_encode(pieces.flatten())
         index, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        self.known[0][""] = (b"", b"")
+        # The empty word is an empty text, or stands in the place of one that goes whole.
+        self.known[0][""] = NO_TOKENS
         units = self.words(words)
-        # The empty word stands in the place of texts that go whole.
         whole = np.flatnonzero(hard)
         index[starts[:-1][whole]] = len(units) + np.arange(len(whole))
         for i in whole.tolist():
             text = texts[i].as_py()
-            units.append((np.array(self.a_model.tokenizer.encode(" " + text, add_special_tokens=False).ids, "<u4").tobytes(),
-                          np.array(self.b_model.encode(text, num_threads=1), "<u4").tobytes()))
-        out = []
-        for side in zip(*units) if units else ((), ()):
-            sizes = np.fromiter(map(len, side), np.int64, len(side)) // 4
-            pool, begin = np.frombuffer(b"".join(side), "<u4"), np.cumsum(sizes) - sizes
-            flat, ends = gathered(pool, begin, sizes, index)
-            out.append((flat, np.concatenate([[0], ends])[starts]))
-        return out
-
-    def alike(self, led: pa.Array, ids: np.ndarray, offsets: np.ndarray, lens: np.ndarray, pool: np.ndarray) -> np.ndarray:
-        """Whether each text is the bytes of its tokens: the bytes of all texts at once, and only if
-        they differ somewhere text by text."""
-        raw = pc.cast(led, pa.binary())
-        sizes = pc.binary_length(raw).to_numpy().astype(np.int64)
-        want = np.concatenate([[0], np.cumsum(sizes)])
-        flat, ends = gathered(pool, np.cumsum(lens) - lens, lens, ids)
-        have = np.concatenate([[0], ends])[offsets]
-        text = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
-        if np.array_equal(have, want) and np.array_equal(flat, text):
-            return np.ones(len(led), bool)
-        return np.array([np.array_equal(flat[s:e], text[u:v]) for s, e, u, v in zip(have, have[1:], want, want[1:])], bool)
+            a = self.a_model.tokenizer.encode(" " + text, add_special_tokens=False).ids
+            units.append(self.checked(" " + text, array("I", a).tobytes(), self.b_model.encode(text, num_threads=1)))
+        sizes = np.fromiter(map(len, units), np.int64, len(units)) // 4
+        pool, begin = np.frombuffer(b"".join(units), "<u4"), np.cumsum(sizes) - sizes
+        ok = pool[begin] != NONE if len(units) else np.zeros(0, bool)
+        of_a = np.where(ok, pool[begin], 0).astype(np.int64) if len(units) else sizes
+        valid = np.logical_and.reduceat(ok[index], starts[:-1]) if len(texts) else np.zeros(0, bool)
+        return (gathered(pool, begin + 1, of_a, index, starts), gathered(pool, begin + 1 + of_a, sizes - 1 - of_a, index, starts), valid)
 
     def encode(self, texts: pa.Array) -> dict:
         """Columns of ``ENCODED_SCHEMA`` but the id."""
-        (a, a_at), (b, b_at) = self.ids(texts)
-        led = pc.binary_join_element_wise(" ", texts, "")
-        valid = (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
-        valid &= self.alike(led, a, a_at, self.a_len, self.a_pool) & self.alike(led, b, b_at, self.b_len, self.b_pool)
+        (a, a_at), (b, b_at), valid = self.ids(texts)
         a, n_a = kept(a, a_at, valid)
         b, n_b = kept(b, b_at, valid)
         n_groups, n_links, hashes = self.groups(a, b, n_a, n_b)
@@ -214,12 +214,13 @@ class Aligner:
         return np.diff(done[np.concatenate([[0], upto])]), np.diff(np.concatenate([[0], upto])), hashes
 
 
-def gathered(pool: np.ndarray, begin: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the runs ``begin``, ``sizes`` of the pool that the index names, in turn; where each ends)."""
+def gathered(pool: np.ndarray, begin: np.ndarray, sizes: np.ndarray, index: np.ndarray, starts: np.ndarray
+             ) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs of the pool that the index names, in turn; the offsets in them of the index's ``starts``)."""
     counts = sizes[index]
     ends = np.cumsum(counts)
     total = int(ends[-1]) if len(ends) else 0
-    return pool[np.repeat(begin[index] - (ends - counts), counts) + np.arange(total)], ends
+    return pool[np.repeat(begin[index] - (ends - counts), counts) + np.arange(total)], np.concatenate([[0], ends])[starts]
 
 
 def kept(ids: np.ndarray, offsets: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
