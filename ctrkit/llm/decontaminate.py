@@ -10,11 +10,12 @@ Every training text is cut into overlapping passages, and every passage is a que
    sum of the lists' bounds reaches the threshold; if the bounds of the blocks around the pivot
    item still reach it, the item is scored, and if not, all lists jump past these blocks. Every
    item that scores the threshold or more is retrieved.
-3. A retrieved item is verified against the whole text: the share of its five-word shingles
-   found there decides alone; the last sentence (the answer) may be altered or cut off.
+3. A retrieved item is verified against the whole text: it is there if enough of its five-word
+   shingles are, even with the last sentence (the answer) altered or cut off, or if enough of the
+   question's and of the answer's are, wherever in the text each of them stands.
 
-The index is built in blocks of ``INDEX_ITEMS`` items, so what a task holds is bounded however
-many items there are.
+The index is built in blocks of ``INDEX_ITEMS`` items, one after another, with the rows written between
+two of them, so what a task and the driver hold is bounded however many items there are.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctrkit.llm.common import in_slices, texts_of
+from ctrkit.llm.common import in_slices, texts_of, written
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach to retrieve it. A part that may score
@@ -48,6 +49,7 @@ INDEX_ITEMS = 20_000
 #: Parts of one range of the bound over all lists at once, and the ranges there are at most.
 RANGE, RANGES = 2, 128
 WORD = re.compile(r"\w+")
+OVERLAPS = "overlap", "question_overlap", "answer_overlap"
 
 
 def terms_of(text: str) -> list[str]:
@@ -169,17 +171,30 @@ class Index:
                     if c[0] < part:
                         seek(c, part)
 
-    def verified(self, part: int, words: list[str], here: set[tuple[str, ...]]) -> float | None:
-        """Overlap of the part's item with these words, whose shingles are ``here``, or none if too little."""
-        whole = shingles(terms_of(self.parts[part][1]))
-        # A passage never tells less of a short item than the item's own words in a row.
-        overlap = len(whole & here) / max(1, len(whole)) if len(next(iter(whole), ())) == SHINGLE else float(
-            any(tuple(words[i:i + len(w)]) == w for w in whole for i in range(len(words))))
-        return overlap if overlap >= LEAST_OVERLAP else None
-
-
-def passages(index: Index, texts: pa.Array, least: float):
-    """By the row of every text that holds items: the items and their overlaps."""
+    def verified(self, part: int, words: list[str], here: set[tuple[str, ...]]) -> tuple[float, float, float] | None:
+        """Overlaps (whole, question, answer) of the part's item with these words, whose shingles are ``here``,
+        or none if too little."""
+        text = self.parts[part][1]
+        whole = overlap_with(terms_of(text), words, here)
+        if whole < LEAST_OVERLAP and len(terms_of(text)) < SHINGLE:
+            return None
+        question, answer = (overlap_with(x, words, here) for x in question_and_answer(text))
+        return (whole, question, answer) if whole >= LEAST_OVERLAP or min(question, answer) >= LEAST_OVERLAP else None
+
+
+def overlap_with(own: list[str], words: list[str], here: set[tuple[str, ...]]) -> float:
+    """Share of the shingles of ``own`` in a text; fewer words than a shingle must stand there in a row."""
+    if not own:
+        return 0.0
+    if len(own) < SHINGLE:
+        run, first = tuple(own), own[0]
+        return float(any(w == first and tuple(words[i:i + len(run)]) == run for i, w in enumerate(words)))
+    mine = shingles(own)
+    return len(mine & here) / len(mine)
+
+
+def passages(index: Index, texts: pa.Array, least: float) -> dict[int, dict[int, tuple[float, float, float]]]:
+    """By the row of every text that holds items: the items and their overlaps (whole, question, answer)."""
     joined = pc.utf8_lower(texts).to_pylist()
     words = [WORD.findall(t) for t in joined]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -208,7 +223,7 @@ def passages(index: Index, texts: pa.Array, least: float):
     # The last half starts a passage of its own only where it is the text's only one.
     alone = halves[half_row] == 1 if n else np.zeros(0, bool)
     possible = np.flatnonzero((both.max(axis=1, initial=0) >= least - 1e-5) & (same | alone))
-    found: dict[int, dict[int, float]] = {}
+    found: dict[int, dict[int, tuple[float, float, float]]] = {}
     of, here, seen = -1, set(), set()  # the text at hand, its shingles and the items verified in it
     for h in possible.tolist():
         r = int(half_row[h])
@@ -223,33 +238,40 @@ def passages(index: Index, texts: pa.Array, least: float):
             seen.add(own)
             overlap = index.verified(part, words[r], here)
             if overlap is not None:
-                found.setdefault(r, {})[own[0]] = max(overlap, found.get(r, {}).get(own[0], 0))
+                found.setdefault(r, {})[own[0]] = max(overlap, found.get(r, {}).get(own[0], overlap))
     return found
 
 
-def indexes(items: DataFrame, item_col: str, text_col: str):
-    """One shipped index after another, each of about ``INDEX_ITEMS`` items, dealt by hash."""
+def searched(rows: DataFrame, items: DataFrame, item_col: str, text_col: str, search) -> DataFrame:
+    """``rows`` through ``search(index)``, one shipped index of about ``INDEX_ITEMS`` items, dealt by hash, after
+    another; between two of them the rows are written, so a stage holds a single index."""
+    spark = rows.sparkSession
     listed = (items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text"))
               .where("item is not null and text is not null").distinct())
     blocks = -(-listed.count() // INDEX_ITEMS)
     for b in range(blocks):
         share = listed.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
-        yield items.sparkSession.sparkContext.broadcast(Index(sorted((r.item, r.text) for r in share)))
+        shipped = spark.sparkContext.broadcast(Index(sorted((r.item, r.text) for r in share)))
+        rows = rows.mapInArrow(search(shipped), rows.schema)
+        if b + 1 < blocks:
+            rows = written(rows, "decontamination")
+            shipped.unpersist()
+    return rows
 
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          item_col: str = "item_id", item_text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """Rows (doc_id, items, overlap), one per document: the sorted ids of the test items that it
-    holds, and the greatest share of shingles; an empty list and 0 where it holds none.
+    """Rows (doc_id, items, overlap, question_overlap, answer_overlap), one per document: the sorted ids of
+    the test items that it holds, and the shares of shingles of the item with the greatest one;
+    an empty list and 0 where it holds none.
 
     Null and wordless texts hold no items; null and wordless items are in no document; repeated
     items and rows are kept; without items every list is empty; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = rows.select("doc_id", "text", F.array().cast("array<long>").alias("items"), F.lit(0.0).alias("overlap"))
-    for index in indexes(items, item_col, item_text_col):
-        out = out.mapInArrow(searcher(index, least), out.schema)
-    return out.select("doc_id", F.array_sort("items").alias("items"), "overlap")
+    out = rows.select("doc_id", "text", F.array().cast("array<long>").alias("items"), *[F.lit(0.0).alias(c) for c in OVERLAPS])
+    out = searched(out, items, item_col, item_text_col, lambda index: searcher(index, least))
+    return out.select("doc_id", F.array_sort("items").alias("items"), *OVERLAPS)
 
 
 def searcher(shipped, least: float):
@@ -257,13 +279,15 @@ def searcher(shipped, least: float):
         index = shipped.value
         for batch in in_slices(batches, "text", 4 << 20):
             found = passages(index, texts_of(batch, "text"), least)
-            held, overlap = batch.column("items").to_pylist(), batch.column("overlap").to_pylist()
+            held = batch.column("items").to_pylist()
+            overlaps = list(zip(*(batch.column(c).to_pylist() for c in OVERLAPS)))
             for r, items in found.items():
                 held[r] = sorted({*held[r], *items})
-                overlap[r] = max([overlap[r], *items.values()])
+                overlaps[r] = max([overlaps[r], *items.values()])
+            columns = zip(*overlaps) if overlaps else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text"), pa.array(held, pa.list_(pa.int64())),
-                 pa.array(overlap, pa.float64())], ["doc_id", "text", "items", "overlap"])
+                 *(pa.array(c, pa.float64()) for c in columns)], ["doc_id", "text", "items", *OVERLAPS])
     return search
 
 
@@ -279,6 +303,4 @@ def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
                 yield batch.filter(pa.array(clean))
         return keep
 
-    for index in indexes(items, item_col, item_text_col):
-        docs = docs.mapInArrow(keeper(index), docs.schema)
-    return docs
+    return searched(docs, items, item_col, item_text_col, keeper)

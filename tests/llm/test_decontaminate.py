@@ -37,6 +37,38 @@ def overlap_of(item, words):
     return len(whole & d.shingles(words)) / len(whole)
 
 
+def share_of(own, words):
+    own = d.shingles(own)
+    n = len(next(iter(own), ()))
+    return sum(any(tuple(words[i:i + n]) == w for i in range(len(words))) for w in own) / len(own) if own else 0.0
+
+
+def held_by(text, items):
+    """The items in a text by a plain comparison of all shingles."""
+    words, out = d.terms_of(text), []
+    for i, t in items:
+        parts = [share_of(x, words) for x in d.question_and_answer(t)]
+        if share_of(d.terms_of(t), words) >= d.LEAST_OVERLAP or len(d.terms_of(t)) >= d.SHINGLE and min(parts) >= d.LEAST_OVERLAP:
+            out.append(i)
+    return out
+
+
+def test_question_and_answer_apart_are_found(spark):
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"u{rng.randrange(5000)}" for _ in range(n))
+    items = [(i, f"{say(9)} {say(3)}? {say(2 + i % 4)}.") for i in range(20)]
+    rows = []
+    for i, text in items:
+        q, a = d.question_and_answer(text)
+        rows += [(i, f"{' '.join(q)} {say(30)} {' '.join(a)} {say(9)}"), (100 + i, f"{say(40)} {' '.join(a)}")]
+    got = {r.doc_id: r for r in d.find(spark.createDataFrame(rows, "doc_id long, text string"),
+                                       spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {k: r["items"] for k, r in got.items()} == {k: held_by(t, items) for k, t in rows}
+    assert all(got[i]["items"] == [i] and got[100 + i]["items"] == [] for i in range(20))
+    assert all(got[i].question_overlap == got[i].answer_overlap == 1.0 > got[i].overlap > 0 for i in range(20))
+    assert all(got[100 + i].question_overlap == 0 for i in range(20))
+
+
 def test_planted_items_are_found_and_clean_texts_left(spark):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(3000)]
@@ -52,7 +84,7 @@ def test_planted_items_are_found_and_clean_texts_left(spark):
             words.insert(rng.randint(0, len(words)), text.upper() if doc % 2 else text)
         text = " ".join(words)
         rows.append((doc, text))
-        full = {i for i, t in items if overlap_of(t, d.terms_of(text)) >= d.LEAST_OVERLAP}
+        full = set(held_by(text, items))
         assert {i for i, t in held if t.lower() in text.lower()} <= full
         want[doc] = sorted(full)
     got = {r.doc_id: r.items for r in d.find(spark.createDataFrame(rows, "doc_id long, text string"),
@@ -71,7 +103,8 @@ def test_items_with_another_or_no_last_sentence_are_found(spark):
     items += [(90 + k, common + f" rare{k}a rare{k}b rare{k}c rare{k}d rare{k}e rare{k}f rare{k}g rare{k}h") for k in range(3)]
     items += [(200 + k, common + f" v{k}") for k in range(30)]
     rows += [(90, say(70) + " " + common + " " + say(30))]
-    want = {doc: [i for i, t in items if overlap_of(t, d.terms_of(text)) >= d.LEAST_OVERLAP] for doc, text in rows}
+    want = {doc: held_by(text, items) for doc, text in rows}
+    assert all(i in want[doc] for doc, text in rows for i, t in items if overlap_of(t, d.terms_of(text)) >= d.LEAST_OVERLAP)
     assert all(i in want[i] for i in heads) and {90, 91, 92} <= set(want[90])
     got = {r.doc_id: r.items for r in d.find(spark.createDataFrame(rows, "doc_id long, text string"),
                                              spark.createDataFrame(items, "item_id long, text string")).collect()}
@@ -88,6 +121,8 @@ def test_given_documents_against_all_shingles(spark):
     for r in docs.collect():
         words = d.terms_of(r.text)
         held = [i for i, t in listed if overlap_of(t, words) >= d.LEAST_OVERLAP]
+        if len(words) < 400:
+            assert held == held_by(r.text, listed)
         if held:
             want[r.doc_id] = held
     assert got == want and len(want) > 10
@@ -98,8 +133,10 @@ def test_several_indexes_find_the_same(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     rows = lambda: sorted(map(tuple, d.find(docs, items).collect()))
     one = rows()
-    monkeypatch.setattr(d, "INDEX_ITEMS", 3)
+    monkeypatch.setattr(d, "INDEX_ITEMS", 30)
     assert rows() == one
+    plan = d.find(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # a stage holds one index
 
 
 def test_edge_rows(spark, edge_docs, no_docs):
