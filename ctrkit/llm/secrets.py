@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from math import log10
 
@@ -54,6 +55,9 @@ DATE_CHARS = range(4, 11)
 
 DATE_GUESSES = 365 * 100
 YEAR_GUESSES = 120
+#: Characters of a value whose repeats are sought at every distance, and the base of the prefix hashes for longer ones.
+DIRECT_CHARS = 512
+HASH_BASE = 0x9E3779B97F4A7C15
 
 
 class DATE:
@@ -69,6 +73,72 @@ class DATE:
                         yield m
 
 
+def shortest(stretches: list[tuple[int, int, int]]):
+    """Sorted stretches without those that lie in one of a size that divides theirs."""
+    known: dict[int, tuple[list[int], list[int]]] = {}
+    for size, a, b in stretches:
+        if any(size % d == 0 and d < size and (at := bisect_right(starts, a)) and b + size <= ends[at - 1]
+               for d, (starts, ends) in known.items()):
+            continue
+        starts, ends = known.setdefault(size, ([], []))
+        starts.append(a)
+        ends.append(b + size)
+        yield size, a, b
+
+
+def alike_stretches(codes: np.ndarray, direct: int = DIRECT_CHARS) -> list[tuple[int, int, int]]:
+    """(size, a, b): the longest stretches of ``size`` places or more whose every place a to b - 1 holds what
+    stands ``size`` places later; by size, then place; without those that lie in one of a size that
+    divides theirs.
+
+    Short values are compared at every distance. In longer ones a stretch holds a multiple of its
+    size, so only those places are compared, n / size of them: how far they agree either way follows
+    from prefix hashes by bisection, and the stretch found is compared in full.
+    """
+    n = len(codes)
+    if n <= direct:
+        found = []
+        for size in range(1, n // 2 + 1):
+            same = np.concatenate([[False], codes[size:] == codes[:-size], [False]])
+            edges = np.flatnonzero(same[1:] != same[:-1])
+            found += [(size, a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if b - a >= size]
+        return list(shortest(found))
+    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, HASH_BASE, np.uint64)]))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[:n])])
+
+    def agree(i: np.ndarray, j: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return (sums[i + length] - sums[i]) * power[j - i] == sums[j + length] - sums[j]
+
+    def extent(i: np.ndarray, j: np.ndarray, most: np.ndarray, back: bool) -> np.ndarray:
+        """The longest agreement of the places from i and from j on, or of those before them."""
+        low, high = np.zeros_like(i), most.copy()
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            ok = agree(i - mid, j - mid, mid) if back else agree(i, j, mid)
+            low, high = np.where(ok, mid, low), np.where(ok, high, mid - 1)
+        return low
+
+    found, size = [], 1
+    while size <= n // 2:
+        # Sizes whose places are about a million together.
+        last, places = size, 0
+        while last <= n // 2 and places < 1 << 20:
+            places += -(-(n - last) // last)
+            last += 1
+        sizes = np.concatenate([np.full(-(-(n - p) // p), p, np.int64) for p in range(size, last)])
+        i = np.concatenate([np.arange(0, n - p, p, dtype=np.int64) for p in range(size, last)])
+        first = codes[i] == codes[i + sizes]
+        i, sizes = i[first], sizes[first]
+        j = i + sizes
+        ahead, before = extent(i, j, n - j, False), extent(i, j, i, True)
+        long = ahead + before >= sizes
+        each = np.stack([sizes, i - before, i + ahead], axis=1)[long]
+        # The places of one stretch follow one another.
+        found += map(tuple, each[np.concatenate([[True], (np.diff(each, axis=0) != 0).any(axis=1)])[:len(each)]].tolist())
+        size = last
+    return [x for x in shortest(sorted(set(found))) if np.array_equal(codes[x[1]:x[2]], codes[x[1] + x[0]:x[2] + x[0]])]
+
+
 class REPEAT:
     """Blocks of any length told twice or more in a row."""
 
@@ -80,17 +150,10 @@ class REPEAT:
 
         Of a stretch that a shorter block repeats, only the shorter one, which takes fewer guesses."""
         out: dict[int, list[tuple[int, int]]] = {}
-        known: list[tuple[int, int, int]] = []
         codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
-        for size in range(1, len(codes) // 2 + 1):
-            same = np.concatenate([[False], codes[size:] == codes[:-size], [False]])
-            edges = np.flatnonzero(same[1:] != same[:-1])
-            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                if b - a < size or any(size % d == 0 and c <= a and b + size <= e for d, c, e in known):
-                    continue
-                known.append((size, a, b + size))
-                for k in range(a + size, b + 1):
-                    out.setdefault(k + size, []).append((size, 1 + (k - a) // size))
+        for size, a, b in alike_stretches(codes):
+            for k in range(a + size, b + 1):
+                out.setdefault(k + size, []).append((size, 1 + (k - a) // size))
         return out
 
     @classmethod
@@ -209,6 +272,7 @@ def guess_cost(value: str, ranks: dict[str, int] | None = None, longest: int | N
         for j in range(walk[0] + 3, walk[1] + 1):
             on.setdefault(j, []).append(walk)
     repeats = REPEAT.ending(value)
+    starts: dict[tuple[int, int], list[int]] = {}
     best = np.zeros(len(value) + 1)
     for j in range(1, len(value) + 1):
         least = min([best[j - 1] + per_char, *(best[i] + cost for i, cost in ending.get(j, ()))])
@@ -216,8 +280,17 @@ def guess_cost(value: str, ranks: dict[str, int] | None = None, longest: int | N
             costs = walk_costs(walk, j)
             least = min(least, (best[walk[0]:walk[0] + len(costs)] + costs).min())
         for size, times in repeats.get(j, ()):
-            n = np.arange(2, times + 1)
-            least = min(least, (best[j - size * n] + np.log10(n)).min() + size * per_char)
+            # Starts that an earlier one undercuts never get ahead of it: its lead in blocks counts ever less.
+            begun = starts.setdefault((size, j - size * times), [])
+            begun.append(j - 2 * size)
+            kept, lowest = [], np.inf
+            for i in begun:
+                cost = best[i] + log10((j - i) // size)
+                if cost < lowest:
+                    kept.append(i)
+                    lowest = cost
+            begun[:] = kept
+            least = min(least, lowest + size * per_char)
         best[j] = least
     return float(best[-1])
 

@@ -1,6 +1,8 @@
 import hashlib
 import re
+import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -139,3 +141,23 @@ def plain_cost(value):
                                    "asasasasdfq", "abcdcba20240131", "120240131", "314159265314159265"])
 def test_every_span_of_a_kind_is_a_part(value):
     assert secrets.guess_cost(value) == pytest.approx(plain_cost(value))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "ab", "aab", "abaab", "xyz", "q", "é"]), min_size=1, max_size=40).map("".join))
+def test_repeats_of_long_values_are_those_of_short_ones(value):
+    codes = np.frombuffer(value.encode("utf-32-le"), np.uint32)
+    assert secrets.alike_stretches(codes, direct=0) == secrets.alike_stretches(codes, direct=10 ** 6)
+
+
+def test_very_long_values_take_seconds(spark):
+    rng = np.random.default_rng(3)
+    signs = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    key = "".join(rng.choice(signs, 200_000))
+    values = [key, key[:50_000] * 4, "x9" * 100_000, "a" * 200_000]
+    began = time.time()
+    costs = [secrets.guess_cost(v) for v in values]
+    assert time.time() - began < 90
+    assert costs[0] > 100_000 and costs[1] < costs[0] / 3 and costs[2] < 10 and costs[3] < 10
+    docs = spark.createDataFrame([(1, f"token={key} end")], "doc_id long, text string")
+    assert f"cred:6:{len(key) + 6}" in secrets.scan(docs).first().spans
