@@ -1,8 +1,9 @@
 """Operator 4: I-Match fingerprints, in DataFrame functions only.
 
-A term is a word's hash of ``TERM_BITS`` bits. The lexicon keeps the terms whose share of
-documents lies within a band (an inverse-document-frequency band); as a bitmap over all term
-hashes it has a fixed size whatever the corpus. Of each text the distinct terms in the lexicon
+A term is a word's 64-bit hash. The lexicon keeps the terms whose share of documents lies within a
+band (an inverse-document-frequency band). The band's lower edge bounds it: a document has a term once,
+so at most (distinct terms of a document on average) / (least share) terms are in it, however large the
+corpus. It is shipped as its hashes in buckets, with the buckets' offsets. Of each text the distinct terms in the lexicon
 are sorted; then, for several randomised subsets of the lexicon, the terms in the subset are
 hashed in that order. The subsets come in ``REPLICAS`` nested series that halve at each of
 ``LEVELS`` levels, so that texts of any length have subsets that hold a few of their terms.
@@ -21,7 +22,8 @@ from ctrkit.llm.common import partitions
 #: Shares of documents between which a term is in the lexicon, and its least document count.
 BAND = 0.005, 0.5
 LEAST_DOCS = 2
-TERM_BITS = 20
+#: Bits of a hash that name its bucket in the lexicon.
+BUCKET_BITS = 14
 LEVELS, REPLICAS = 8, 8
 #: Window groups per shuffle partition.
 SLICES = 4
@@ -31,28 +33,45 @@ NULL_ID = -(1 << 63)
 def terms(text: Column) -> Column:
     """Distinct hashes of the lower-case words of a text."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << TERM_BITS) - 1))))
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def lexicon(texts: DataFrame, band: tuple[float, float] = BAND) -> Column:
-    """The bitmap of the terms in the band, 64 to a long, as a constant.
+def bucket(term: Column) -> Column:
+    return term.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1).cast("long"))
 
-    ``2 ** (TERM_BITS - 6)`` longs come to the driver, the same for any corpus.
+
+def numbers(values: list[int], kind: str) -> Column:
+    """A constant array, written as one string that the optimizer reads once."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
+def lexicon(texts: DataFrame, band: tuple[float, float] = BAND) -> tuple[Column, Column]:
+    """(the hashes of the terms in the band, by bucket; where each bucket begins), as constants.
+
+    What comes to the driver is bounded by the band, not by the corpus.
     """
     n = texts.count()
     counts = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
     inside = counts.where(F.col("docs").between(max(LEAST_DOCS, band[0] * n), max(LEAST_DOCS, band[1] * n)))
-    bits = inside.groupBy(F.shiftright("term", 6).alias("id")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(term & 63 as int))")).alias("bits"))
-    found = {r["id"]: r["bits"] for r in bits.collect()}
-    every = ",".join(str(found.get(i, 0)) for i in range(1 << (TERM_BITS - 6)))
-    return F.split(F.lit(every), ",").cast("array<long>")
+    found = sorted((r["term"] & (1 << BUCKET_BITS) - 1, r["term"]) for r in inside.select("term").collect())
+    starts = [0] * ((1 << BUCKET_BITS) + 1)
+    for at, _ in found:
+        starts[at + 1] += 1
+    for i in range(1 << BUCKET_BITS):
+        starts[i + 1] += starts[i]
+    return numbers([t for _, t in found], "long"), numbers(starts, "int")
+
+
+def in_lexicon(found: Column, held: tuple[Column, Column]) -> Column:
+    """The terms that the lexicon has, sorted."""
+    hashes, starts = held
 
+    def known(t: Column) -> Column:
+        at = bucket(t).cast("int")
+        first = F.element_at(starts, at + 1)
+        return F.array_contains(F.slice(hashes, first + 1, F.element_at(starts, at + 2) - first), t)
 
-def in_lexicon(found: Column, bitmap: Column) -> Column:
-    """The terms that the bitmap has, sorted."""
-    return F.array_sort(F.filter(found, lambda t: F.getbit(
-        F.element_at(bitmap, (F.shiftright(t, 6) + 1).cast("int")), t.bitwiseAND(F.lit(63)).cast("int")) == 1))
+    return F.array_sort(F.filter(found, known))
 
 
 def halved(level: int):
@@ -143,14 +162,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = in_slices_with_next(rows, SLICES * partitions(spark)).withColumn("tie", F.xxhash64("text"))
     order = Window.partitionBy("slice").orderBy("helper", F.desc("key"), "tie")
     half = F.floor(F.length("text") / 2).cast("int")
-    bitmap = lexicon(rows.select("text"), band)
+    held = lexicon(rows.select("text"), band)
     seen = (placed.withColumn("next", F.coalesce(F.lead("text").over(order), F.lit("")))
             .withColumn("n_chars", F.length("text").cast("long"))
             .withColumn("edited", F.concat(F.col("text").substr(F.lit(1), F.length("text") - half),
                                            F.col("next").substr(F.lit(1), half)))
             .select("slice", "helper", "key", "tie", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-                    F.xxhash64("edited").alias("edited_tie"), in_lexicon(terms(F.col("text")), bitmap).alias("kept"),
-                    in_lexicon(terms(F.col("edited")), bitmap).alias("edited_kept")))
+                    F.xxhash64("edited").alias("edited_tie"), in_lexicon(terms(F.col("text")), held).alias("kept"),
+                    in_lexicon(terms(F.col("edited")), held).alias("edited_kept")))
     marked = reduce(lambda df, x: with_fingerprint(df, *x), [("kept", "tie", "print"), ("edited_kept", "edited_tie", "edited_print")],
                     seen).drop("kept", "edited_kept")
     return (marked.withColumn("next_print", F.lead("print").over(order)).where("not helper")

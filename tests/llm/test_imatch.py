@@ -15,9 +15,13 @@ def long_hash(value, seed):
     return xxh64_intdigest(struct.pack("<q", value), seed)
 
 
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
 def terms(text):
     words = {w for w in re.split(r"[\W_]+", text.lower()) if w}
-    return {xxh64_intdigest(w.encode(), 42) & ((1 << m.TERM_BITS) - 1) for w in words}
+    return {signed(xxh64_intdigest(w.encode(), 42)) for w in words}
 
 
 def plain_fingerprint(text, lexicon):
@@ -40,7 +44,6 @@ def alike(a, b):
 
 def brute(rows, band):
     rows = [(i, t or "") for i, t in rows]
-    signed = lambda h: h - (1 << 64) if h >> 63 else h
     rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), signed(xxh64_intdigest(r[1].encode(), 42))))
     counts = Counter(t for _, text in rows for t in terms(text))
     low, high = (max(m.LEAST_DOCS, share * len(rows)) for share in band)
@@ -65,6 +68,13 @@ def test_against_plain_python(request, source):
     assert got == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], m.BAND)
 
 
+def test_terms_of_one_bucket_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(m, "BUCKET_BITS", 1)
+    docs = spark.createDataFrame([(i, f"w{i % 40} v{i % 3} only{i}") for i in range(200)], "doc_id long, text string")
+    got = sorted(map(tuple, m.fingerprints(docs).collect()))
+    assert got == brute([(r.doc_id, r.text) for r in docs.collect()], m.BAND)
+
+
 def test_one_document_is_its_own_next(spark):
     rows = m.fingerprints(spark.createDataFrame([(3, "abcde fg")], "doc_id long, text string")).collect()
     assert [(r.doc_id, r.near_next) for r in rows] == [(3, 1.0)]
