@@ -14,8 +14,8 @@ from pyspark.sql.types import StructField, StructType
 
 from ctrkit.functions.tokens import tokens, word_tokens
 from ctrkit.operators.ranking import ordered_scan
-from ctrkit.operators.stats import long_form
-from ctrkit.session import scratch_path, shared_root
+from ctrkit.operators.stats import by_factor, long_form
+from ctrkit.session import scratch_path
 
 
 # An integer text: digits with or without a sign. '1.0', '1e1' and ' 1' are texts like any other.
@@ -107,62 +107,81 @@ def token_counts_long(df: DataFrame, row_keys: list[str], fields: list[str], wor
     return counts.join(dictionary, ["feature", "val"]).select(*row_keys, "feature", "code", "count")
 
 
-def design_cells(df: DataFrame, row_keys: list[str], onehot_cols: list[str], token_fields: list[str],
-                 numeric_cols: list[str], dictionary: DataFrame) -> DataFrame:
-    """The matrix in long form: (row_keys..., col_index, value), values other than 0 only. The
-    dictionary, which grows with the vocabulary, is joined, never collected."""
-    hot = long_form(df, onehot_cols, list(row_keys), name_col="feature", value_col="val").select(
-        *row_keys, "feature", "val", F.lit(1.0).alias("value"))
-    lf = long_form(df, token_fields, list(row_keys), name_col="feature", value_col="_v").where(F.col("_v").isNotNull())
-    # Tokens of a whole string are counted once, whatever the number of rows that tell it.
-    strings = (lf.select("feature", "_v").distinct()
-               .select("feature", "_v", F.explode(tokens(F.lower(F.col("_v")))).alias("val"))
-               .groupBy("feature", "_v", "val").agg(F.count(F.lit(1)).cast("double").alias("value"))
-               .join(dictionary, ["feature", "val"]).select("feature", "_v", "col_index", "value"))
-    counted = lf.join(strings, ["feature", "_v"]).select(*row_keys, "col_index", "value")
-    numeric = df.select(*row_keys, *[F.col(c).cast("double").alias(c) for c in numeric_cols])
-    numeric = numeric.unpivot(list(row_keys), list(numeric_cols), "feature", "value") if numeric_cols else None
-    out = hot.join(dictionary, ["feature", "val"]).select(*row_keys, "col_index", "value").unionByName(counted)
-    if numeric is not None:
-        places = dictionary.where(F.col("val").isNull()).select("feature", "col_index")
-        out = out.unionByName(numeric.join(places, "feature").select(*row_keys, "col_index", "value"))
-    return out.where("value <> 0")
+def packed_strings(df: DataFrame, token_fields: list[str], dictionary: DataFrame) -> DataFrame:
+    """(feature, val, cells): of every distinct string of the token fields its (column, count) cells, sorted by
+    column. A string is split and counted once, whatever the number of rows that tell it."""
+    strings = long_form(df, token_fields, [], name_col="feature", value_col="_v").where(F.col("_v").isNotNull()).distinct()
+    counts = (strings.select("feature", "_v", F.explode(tokens(F.lower(F.col("_v")))).alias("val"))
+              .groupBy("feature", "_v", "val").agg(F.count(F.lit(1)).cast("double").alias("value"))
+              .join(dictionary, ["feature", "val"]))
+    cell = F.struct(F.col("col_index").cast("int").alias("i"), F.col("value").alias("x"))
+    return (counts.groupBy("feature", "_v").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+            .select("feature", F.col("_v").alias("val"), "cells"))
 
 
 def design_matrix(df: DataFrame, row_keys: list[str], onehot_cols: list[str], token_fields: list[str],
                   numeric_cols: list[str] = (), keep: list[str] = ("label",), output: str = "features"
                   ) -> tuple[DataFrame, DataFrame]:
     """One sparse vector per row = one-hot blocks, then token-count blocks, then raw numeric
-    columns. Returns (row_keys..., keep..., ``features``), dictionary); ``row_keys`` identify a row.
-
-    Rows are assembled from their cells, sorted by column, and written to the shared folder in
-    the vector type's own layout; reading that table back as vectors takes no Python and
-    makes no row dense."""
+    columns. Returns (row_keys..., keep..., ``features``), dictionary).
+
+    A row never leaves its place: each of its values is looked up as the cell (one-hot) or the packed
+    cells (token string) that it stands for, and the pieces are concatenated in the order of the
+    blocks, so nothing is exploded or gathered per row. Dictionary and packed strings are stored
+    with a partition per column; small ones are broadcast by their size, large ones joined by value.
+    The result is written to the shared folder in the vector type's own layout and read back as
+    vectors: it takes no Python and makes no row dense."""
     spark = df.sparkSession
-    shared_root(spark)
-    dictionary = feature_dictionary(df, onehot_cols, token_fields, numeric_cols).checkpoint()
+    dictionary = by_factor(feature_dictionary(df, onehot_cols, token_fields, numeric_cols), "feature")
     width = (dictionary.agg(F.max("col_index")).first()[0] or 0) + 1
-    cells = design_cells(df, row_keys, onehot_cols, token_fields, numeric_cols, dictionary)
-    return vectors_of(cells, df.select(*row_keys, *keep), row_keys, width, output), dictionary
+    strings = by_factor(packed_strings(df, token_fields, dictionary), "feature") if token_fields else None
+    # One entry per numeric column.
+    at = {r["feature"]: r["col_index"] for r in dictionary.where(F.col("feature").isin(list(numeric_cols))).collect()} \
+        if numeric_cols else {}
+    rows = df.select(*row_keys, *[c for c in keep if c not in row_keys], *[F.col(c).cast("string").alias(f"_v_{c}")
+                                                                           for c in [*onehot_cols, *token_fields]],
+                     *[F.col(c).cast("double").alias(f"_x_{c}") for c in numeric_cols])
+    for c in onehot_cols:
+        one = dictionary.where(F.col("feature") == c).select(F.col("val").alias(f"_v_{c}"), F.col("col_index").cast("int").alias(f"_i_{c}"))
+        rows = rows.join(one, f"_v_{c}", "left")
+    for c in token_fields:
+        one = strings.where(F.col("feature") == c).select(F.col("val").alias(f"_v_{c}"), F.col("cells").alias(f"_p_{c}"))
+        rows = rows.join(one, f"_v_{c}", "left")
+
+    def cell(i, x):
+        return F.struct(i.cast("int").alias("i"), x.cast("double").alias("x"))
+
+    none = F.array().cast("array<struct<i: int, x: double>>")
+    hot = [cell(F.col(f"_i_{c}"), F.lit(1.0)) for c in onehot_cols]
+    raw = [cell(F.lit(at[c]), F.col(f"_x_{c}")) for c in numeric_cols]
+    cells = F.concat(F.filter(F.array(*hot), lambda c: c["i"].isNotNull()) if hot else none,
+                     *[F.coalesce(F.col(f"_p_{c}"), none) for c in token_fields],
+                     F.filter(F.array(*raw), lambda c: c["x"] != 0) if raw else none)
+    return as_vectors(rows.withColumn("_c", cells), [*row_keys, *[c for c in keep if c not in row_keys]], width, output), dictionary
+
+
+def as_vectors(rows: DataFrame, cols: list[str], width: int, output: str) -> DataFrame:
+    """``cols`` and the sparse vector of the sorted (column, value) cells in ``_c``, by way of a written table."""
+    spark = rows.sparkSession
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(width).cast("int").alias("size"),
+                      F.transform("_c", lambda c: c["i"]).alias("indices"), F.transform("_c", lambda c: c["x"]).alias("values"))
+    path = scratch_path(spark, "vectors")
+    rows.select(*cols, vector.alias(output)).write.parquet(path)
+    schema = StructType([*rows.select(*cols).schema.fields, StructField(output, VectorUDT())])
+    return spark.read.schema(schema).parquet(path)
 
 
 def vectors_of(cells: DataFrame, rows: DataFrame, row_keys: list[str], width: int | None = None,
                output: str = "features") -> DataFrame:
     """``rows`` with the sparse vector of their cells (row_keys..., col_index, value); rows without a
     cell have the empty vector. ``width`` defaults to the largest column plus one."""
-    spark = rows.sparkSession
     if width is None:
         width = (cells.agg(F.max("col_index")).first()[0] or 0) + 1
-    packed = cells.groupBy(*row_keys).agg(F.array_sort(F.collect_list(F.struct("col_index", "value"))).alias("_c"))
-    none = F.array().cast(packed.schema["_c"].dataType)
-    full = rows.join(packed, list(row_keys), "left").withColumn("_c", F.coalesce("_c", none))
-    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(width).cast("int").alias("size"),
-                      F.transform("_c", lambda c: c["col_index"].cast("int")).alias("indices"),
-                      F.transform("_c", lambda c: c["value"]).alias("values"))
-    path = scratch_path(spark, "vectors")
-    full.select(*rows.columns, vector.alias(output)).write.parquet(path)
-    schema = StructType([*rows.schema.fields, StructField(output, VectorUDT())])
-    return spark.read.schema(schema).parquet(path)
+    cell = F.struct(F.col("col_index").cast("int").alias("i"), F.col("value").cast("double").alias("x"))
+    packed = cells.groupBy(*row_keys).agg(F.array_sort(F.collect_list(cell)).alias("_c"))
+    full = rows.join(packed, list(row_keys), "left").withColumn(
+        "_c", F.coalesce("_c", F.array().cast("array<struct<i: int, x: double>>")))
+    return as_vectors(full, rows.columns, width, output)
 
 
 def save_dictionary(dictionary: DataFrame, path: str) -> None:

@@ -9,12 +9,13 @@ sentinel), instead of one job per feature.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctrkit.functions.tokens import SENTINEL, token_count, tokens
-from ctrkit.session import scratch_path
+from ctrkit.session import num_partitions, scratch_path
 
 
 def long_form(df: DataFrame, factors: list[str], ids: list[str], name_col: str = "factor_name",
@@ -137,9 +138,10 @@ def lookup(df: DataFrame, stat: DataFrame, keys: list[str], fill: dict | None =
 
 def by_factor(stats: DataFrame, name_col: str = "factor_name") -> DataFrame:
     """The statistic as a table of the shared folder, one partition per factor: it is computed
-    once, and a lookup of one factor reads that factor's files only."""
+    once, and a lookup of one factor reads that factor's files only. Rows are brought together
+    by factor before they are written, so a factor has one file, or as many as its size asks for."""
     path = scratch_path(stats.sparkSession, f"stat-{name_col}")
-    stats.write.partitionBy(name_col).parquet(path)
+    stats.hint("rebalance", name_col).write.partitionBy(name_col).parquet(path)
     return stats.sparkSession.read.schema(stats.schema).parquet(path)
 
 
@@ -161,6 +163,46 @@ def attach_long(df: DataFrame, row_keys: list[str], factors: list[str], stats: D
     return out.select(*row_keys, *[F.col(f"_stat_{f}").alias(f"{f}{suffix}") for f in factors])
 
 
+def bucketed(df: DataFrame, keys: list[str], name: str, buckets: int | None = None, placed: bool = False) -> DataFrame:
+    """The rows as a table of the shared folder, hashed and sorted by ``keys`` into buckets. Tables of the same
+    keys and buckets join without moving a row. ``placed`` rows lie by the keys already.
+    ``drop_bucketed`` takes the table's name off the catalog."""
+    spark = df.sparkSession
+    n = buckets or num_partitions(spark)
+    table = f"ctrkit_{name}_{uuid.uuid4().hex[:12]}"
+    rows = df if placed else df.repartition(n, *keys)
+    (rows.write.bucketBy(n, *keys).sortBy(*keys)
+     .option("path", scratch_path(spark, f"bucketed-{name}")).saveAsTable(table))
+    _BUCKETED.append(table)
+    return spark.table(table)
+
+
+_BUCKETED: list[str] = []
+#: Bucketed statistics that one stage joins: bounds the sorters of a task.
+LOOKUPS_AT_ONCE = 8
+
+
+def drop_bucketed(spark) -> None:
+    """Take the names of the bucketed tables off the catalog; their files go with ``drop_scratch``."""
+    while _BUCKETED:
+        spark.sql(f"DROP TABLE IF EXISTS {_BUCKETED.pop()}")
+
+
+def attach_bucketed(rows: DataFrame, statistics: list[DataFrame], keys: list[str] = ("uid", "aid"),
+                    buckets: int | None = None, at_once: int = LOOKUPS_AT_ONCE) -> DataFrame:
+    """J6 many times: every statistic is a bucketed table of one row per key; its columns are attached to the
+    rows, a bucketed table of the same keys. No side is shuffled, however many statistics there are.
+    A task sorts its buckets of ``at_once`` statistics at a time; between, the rows are written,
+    where they lie, as a bucketed table again."""
+    keys = list(keys)
+    out = rows
+    for i, one in enumerate(statistics):
+        if i and i % at_once == 0:
+            out = bucketed(out, keys, "attached", buckets, placed=True)
+        out = out.join(one, keys, "left")
+    return out
+
+
 def combination_count(df: DataFrame, factors: list[str], key: str = "aid",
                       row_keys: list[str] = ("uid", "aid")) -> DataFrame:
     """Number of instances sharing (factor value, aid), mapped back to each row as

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctrkit.functions.tokens import OTHER, SENTINEL, tokens
@@ -59,22 +59,37 @@ def nth_value(importance: DataFrame, n: dict[str, int] | int) -> DataFrame:
     return rank_tokens(importance).where(F.col("rank") == _limit_col(n) + F.lit(1))
 
 
+def rank_counts(strings: DataFrame, field: str, ranked: DataFrame, top: int) -> DataFrame:
+    """(field, counts): how many tokens of a string have rank 1, 2, ... ``top``, and how many any other
+    rank or none. Every string is split once; ``cut_counts`` reads any smaller cut from it."""
+    rank = F.least(F.coalesce("rank", F.lit(top + 1)), F.lit(top + 1)).cast("int")
+    found = (strings.select(field, F.explode(tokens(field)).alias("single_value"))
+             .join(ranked.select("single_value", "rank"), "single_value", "left")
+             .groupBy(field).agg(F.collect_list(rank).alias("_r")))
+    return found.select(field, F.transform(F.sequence(F.lit(1), F.lit(top + 1)), lambda k: F.size(
+        F.filter("_r", lambda r: r == k)).cast("double")).alias("counts"))
+
+
+def cut_counts(counts, top_n: int) -> Column:
+    """The counts of the tokens ranked 1 to ``top_n`` and of all others together."""
+    rest = F.aggregate(F.slice(counts, F.lit(top_n + 1), F.size(counts)), F.lit(0.0), lambda a, x: a + x)
+    return F.concat(F.slice(counts, F.lit(1), F.lit(top_n)), F.array(rest))
+
+
 def cut_tokens(df: DataFrame, key_cols: list[str], fields: list[str], cut_set: DataFrame,
                replacement: str = OTHER) -> DataFrame:
-    """every token found in the cut set of its field becomes ``replacement``.
-
-    The cut set grows with the vocabulary, so it is joined, not collected: tokens are
-    exploded with their position, matched, and re-joined per row in order. Each group
-    is one row's own tokens. ``key_cols`` must identify a row."""
-    lf = long_form(df, fields, list(key_cols), value_col="_v").where(F.col("_v").isNotNull())
-    ex = lf.select(*key_cols, "factor_name", F.posexplode(tokens("_v")).alias("_pos", "_tok"))
-    cs = cut_set.select("factor_name", F.col("single_value").alias("_tok"), F.lit(True).alias("_cut")).distinct()
-    marked = ex.join(cs, ["factor_name", "_tok"], "left")
-    piece = F.struct(F.col("_pos"), F.when(F.col("_cut"), F.lit(replacement)).otherwise(F.col("_tok")).alias("t"))
-
-    def rebuilt(field):
-        mine = F.collect_list(F.when(F.col("factor_name") == field, piece))
-        return F.when(F.size(mine) > 0, F.array_join(F.transform(F.array_sort(mine), lambda x: x["t"]), " ")).alias(field)
-
-    wide = marked.groupBy(*key_cols).agg(*[rebuilt(f) for f in fields])
-    return df.drop(*fields).join(wide, list(key_cols), "left")
+    """every token found in the cut set of its field becomes ``replacement``; NULL stays NULL.
+
+    The cut set grows with the vocabulary, so it is joined, not collected. Only the distinct
+    strings of a field are split, matched and put together again in order; rows get the new
+    string by a join on the old one. ``key_cols`` come first in the result, then the other columns."""
+    out = df
+    for f in fields:
+        strings = df.select(F.col(f).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+        mine = cut_set.where(F.col("factor_name") == f).select(F.col("single_value").alias("_tok"), F.lit(True).alias("_cut")).distinct()
+        marked = strings.select("_v", F.posexplode(tokens("_v")).alias("_pos", "_tok")).join(mine, "_tok", "left")
+        piece = F.struct(F.col("_pos"), F.when(F.col("_cut"), F.lit(replacement)).otherwise(F.col("_tok")).alias("t"))
+        new = marked.groupBy("_v").agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["t"]), " ").alias("_new"))
+        out = out.join(new.withColumnRenamed("_v", f), f, "left").withColumn(f, F.col("_new")).drop("_new")
+    return out.select(*dict.fromkeys([*key_cols, *df.columns]))

@@ -3,10 +3,9 @@ and model / search queries (rows-only checks)."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler, VectorSizeHint
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from ctrkit.functions.tokens import tokens
 from ctrkit.operators import encode as E
 from ctrkit.operators import evaluate as V
 from ctrkit.operators import instances
@@ -153,8 +152,9 @@ def _scored_test(model, test):
 ALL_COLS = NUMERIC + SMOOTH_COLS
 # Fixed values of the reference's linear models: tolerance and iterations; C is the inverse penalty.
 TOL, LR_ITER = 1e-4, 150
-# Fixed values of the second tree model.
-ALT = {"step_size": 0.05, "subsample": 0.7, "feature_subset": "0.7", "min_child": 50}
+# Fixed values of the tree models: least child weight, leaf penalty; of the second one also its rate and rounds.
+TREES = {"min_child": 50, "reg_lambda": 1.0}
+ALT = {**TREES, "step_size": 0.05, "subsample": 0.7, "feature_subset": "0.7", "rounds": 1500}
 
 
 def _parts(t):
@@ -169,16 +169,18 @@ def _lr(train, c: float, l1_ratio: float = 0.0, max_iter: int = LR_ITER, weight_
 
 @register("gbt_score")
 def gbt_score(spark, d):
-    """Depth-5 trees, learning rate 0.02, 70 % row and feature subsampling, stopped when the AUC of
-    the validation rows has not grown for 100 rounds; scores the test rows."""
+    """Depth-5 trees, learning rate 0.02, 70 % row and feature subsampling, at least 50 rows in a leaf,
+    leaf penalty 1, stopped when the AUC of the validation rows has not grown for 100 rounds;
+    scores the test rows."""
     train, valid, test = _parts(_assembled(model_table(spark, d), ALL_COLS))
-    model, *_ = M.boost(train, valid)
+    model, *_ = M.boost(train, valid, **TREES)
     return _scored_test(model, test)
 
 
 @register("gbt_score_alt")
 def gbt_score_alt(spark, d):
-    """Learning rate 0.05, 70 % of rows and features, at least 50 rows in a leaf, early stop."""
+    """Learning rate 0.05, 70 % of rows and features, at least 50 rows in a leaf, leaf penalty 1, at most
+    1500 rounds, early stop."""
     train, valid, test = _parts(_assembled(model_table(spark, d), ALL_COLS))
     model, *_ = M.boost(train, valid, **ALT)
     return _scored_test(model, test)
@@ -227,7 +229,7 @@ def stacked_score(spark, d):
     lr = M.fit(_lr(train, 500.0), train, cols)
     stacked = M.score(lr, t, out="lr_score").drop("features", "rawPrediction", "probability", "prediction").checkpoint()
     train, valid, test = _parts(_assembled(stacked, NUMERIC + ["lr_score"]))
-    model, *_ = M.boost(train, valid)
+    model, *_ = M.boost(train, valid, **TREES)
     out = M.score(model, test)
     return out.select("aid", "uid", r6(F.col("lr_score")).alias("lr_score"), r6(F.col(M.SCORE)).alias("score"))
 
@@ -236,7 +238,7 @@ def leaf_matrix(spark, d):
     """(cells, rows): the leaf one-hot cells of the early-stopped trees, and the rows with split."""
     t = _assembled(model_table(spark, d), ALL_COLS)
     train, valid, _ = _parts(t)
-    model, *_ = M.boost(train, valid)
+    model, *_ = M.boost(train, valid, **TREES)
     return M.leaf_cells(model, t, ["uid", "aid"]), t
 
 
@@ -280,45 +282,55 @@ def cv_auc_curve(spark, d):
     from ctrkit.functions.hashing import hash_bucket
     t = _assembled(model_table(spark, d), ALL_COLS).where(F.col("label").isNotNull())
     t = t.withColumn("fold", hash_bucket(["uid", "aid"], FOLDS, "fold"))
-    out = M.cv_curve(t, "fold", FOLDS)
+    out = M.cv_curve(t, "fold", FOLDS, **TREES)
     return out.select("round", r6(F.col("mean_auc")).alias("mean_auc"), r6(F.col("std_auc")).alias("std_auc"))
 
 
 @register("feature_add_curve")
 def feature_add_curve(spark, d):
-    """M4 / M5: each smoothed-CTR feature added to a fixed base, then greedily kept."""
-    train, valid, _ = _parts(model_table(spark, d))
-    fit = lambda: _lr(train, 0.01)
-    alone = M.trial_features(train, valid, ["kw1cnt", "interest1cnt"], SMOOTH_COLS, fit, greedy=False)
-    greedy = M.trial_features(train, valid, ["kw1cnt", "interest1cnt"], SMOOTH_COLS, fit, greedy=True)
-    rows = [("alone", *r) for r in alone] + [("greedy", *r) for r in greedy]
-    return spark.createDataFrame(rows, "mode string, step int, feature string, train_auc double, valid_auc double")
+    """M4 / M5: early-stopped trees refitted with each smoothed-CTR feature alone beside a fixed base, then
+    with the features added one after the other; train and valid AUC of each."""
+    base = ["kw1cnt", "interest1cnt"]
+    train, valid, _ = _parts(_assembled(model_table(spark, d), base + SMOOTH_COLS))
+    train, valid = train.select("label", "features").cache(), valid.select("label", "features").cache()
+    steps = range(len(SMOOTH_COLS))
+    trials = [("alone", i, [0, 1, 2 + i]) for i in steps] + [("cumulative", i, [0, 1, *range(2, 3 + i)]) for i in steps]
+    aucs = M.trial_columns(train, valid, [columns for *_, columns in trials], **TREES)
+    train.unpersist()
+    valid.unpersist()
+    return spark.createDataFrame([(mode, i, SMOOTH_COLS[i], a, v, n) for (mode, i, _), (a, v, n) in zip(trials, aucs)],
+                                 "mode string, step int, feature string, train_auc double, valid_auc double, rounds int")
 
 
-# Fixed value of the reference's cut search: the N that it starts from.
+# Fixed values of the reference's cut search: the N that it starts from, and the rounds of its trees, which see
+# all rows and columns.
 CUT_FROM = 100
+CUT_TREES = {**TREES, "rounds": 300, "subsample": 1.0, "feature_subset": "all"}
+
+
+def cut_rows(spark, d):
+    """(rows for ``cut_trials`` over kw1, the cuts from min(100, vocabulary) down to 1)."""
+    t = model_table(spark, d)
+    ranked = T.rank_tokens(T.token_importance(S.data_all(spark, d), ["kw1"])).select("single_value", "rank").checkpoint()
+    top = min(CUT_FROM, ranked.count())
+    counts = T.rank_counts(t.select("kw1").distinct(), "kw1", ranked, top)
+    rows = (t.where(F.col("label").isNotNull()).join(counts, "kw1")
+            .select("split", "label", F.array(*SMOOTH_COLS).alias("base"), "counts").checkpoint())
+    return rows, list(range(top, 0, -1))
 
 
 @register("cut_search")
 def cut_search(spark, d):
     """M6: for every N from min(100, vocabulary) down to 1, keep the top N tokens of kw1 and count the
-    others as one, refit and log (top_n, train_auc, valid_auc). Tokens are ranked once; the
-    column of a token is its rank, so a cut only moves the columns past N into column N."""
-    t = model_table(spark, d)
-    ranked = T.rank_tokens(T.token_importance(S.data_all(spark, d), ["kw1"])).checkpoint()
-    strings = (t.select("kw1").distinct().select("kw1", F.explode(tokens("kw1")).alias("single_value"))
-               .join(ranked, "single_value", "left")
-               .select("kw1", F.coalesce(F.col("rank") - 1, F.lit((1 << 31) - 2)).alias("place")).checkpoint())
-    rows = []
-    for n in range(min(CUT_FROM, ranked.count()), 0, -1):
-        cells = strings.groupBy("kw1", F.least("place", F.lit(n)).alias("col_index")).agg(
-            F.count(F.lit(1)).cast("double").alias("value"))
-        x = t.join(E.vectors_of(cells, t.select("kw1").distinct(), ["kw1"], n + 1, output="kw1_cv"), "kw1")
-        x = VectorSizeHint(inputCol="kw1_cv", size=n + 1, handleInvalid="error").transform(x)
-        train, valid, _ = _parts(_assembled(x, ["kw1_cv"] + SMOOTH_COLS))
+    others as one, refit and log (top_n, train_auc, valid_auc). The refit is the linear model; with
+    ``models.boosted_trial`` and ``CUT_TREES`` it is the trees (the README has the times of both)."""
+    rows, tops = cut_rows(spark, d)
+
+    def linear(train, valid):
         model = M.fit(_lr(train, 0.01), train)
-        rows.append((n, M.auc_of(M.score(model, train)), M.auc_of(M.score(model, valid))))
-    return spark.createDataFrame(rows, "top_n int, train_auc double, valid_auc double")
+        return M.auc_of(M.score(model, train)), M.auc_of(M.score(model, valid))
+
+    return spark.createDataFrame(M.cut_trials(rows, tops, linear), "top_n int, train_auc double, valid_auc double")
 
 
 # Fixed values of the reference's four grids: (name, penalty settings, second settings).
@@ -331,7 +343,8 @@ LR_GRIDS = {"lr_stacked": [(c, n) for c in (0.0002, 0.0004, 0.0006, 0.0008) for
 @register("grid_search")
 def grid_search(spark, d):
     """M7: the four grids of the linear models, train / valid AUC per cell. Penalties are L2 but for
-    the elastic-net grid; ``alpha`` is a penalty per row, C an inverse one over the summed loss."""
+    the elastic-net grid; ``alpha`` is a penalty per row, C an inverse one over the summed loss. Cells
+    are fitted in parallel on one cached table."""
     train, valid, _ = _parts(_assembled(model_table(spark, d), ALL_COLS))
     train, valid = train.cache(), valid.cache()
     rows = train.count()
@@ -339,10 +352,12 @@ def grid_search(spark, d):
     cells += [("elastic", a, r, M.logreg(reg_param=a, l1_ratio=r, max_iter=1000, tol=1e-6)) for a, r in ELASTIC_GRID]
     cells += [(g, c, float(n), M.logreg(reg_param=1.0 / (c * rows), max_iter=n, tol=TOL))
               for g, grid in LR_GRIDS.items() for c, n in grid]
-    out = []
-    for grid, first, second, estimator in cells:
+
+    def one(grid, first, second, estimator):
         model = M.fit(estimator, train)
-        out.append((grid, first, second, M.auc_of(M.score(model, train)), M.auc_of(M.score(model, valid))))
+        return grid, first, second, M.auc_of(M.score(model, train)), M.auc_of(M.score(model, valid))
+
+    out = M.in_parallel([lambda c=c: one(*c) for c in cells])
     train.unpersist()
     valid.unpersist()
     return spark.createDataFrame(out, "grid string, penalty double, setting double, train_auc double, valid_auc double")
@@ -355,7 +370,7 @@ def importance_by_value(spark, d):
     from ctrkit.plans.q_encode import design_rows
     rows, dictionary = design_rows(spark, d)
     rows = instances.hash_split(rows.where(F.col("label").isNotNull()), ["uid", "aid"], 70).checkpoint()
-    model, *_ = M.boost(rows.where(F.col("split") == "train"), rows.where(F.col("split") == "valid"))
+    model, *_ = M.boost(rows.where(F.col("split") == "train"), rows.where(F.col("split") == "valid"), **TREES)
     imp = model.featureImportances
     pairs = [(int(i), float(v)) for i, v in zip(imp.indices, imp.values)]
     imps = spark.createDataFrame(pairs, "col_index bigint, importance double")

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ctrkit.functions.special import digamma_difference
 from ctrkit.functions.tokens import token_count
-from ctrkit.operators import clean
+from ctrkit.operators import clean, instances
 from ctrkit.operators import stats as st
 from ctrkit.operators.smoothing import beta_step, cell_histogram, fit_and_smooth, fit_beta, fit_beta_steps
 from ctrkit.plans import standin as S
 from ctrkit.plans.catalog import register
 from ctrkit.plans.oracle_base import (converged_fit_ctes, digamma_diff_sql, fit_converged_ctes, fit_steps_ctes,
                                      unpivot_sql, with_base)
+from ctrkit.session import scratch_path
 
 FIT_STEPS = 5
 
@@ -222,6 +223,35 @@ def lookup_uid_aid(spark, d):
     return out.withColumn("lbs_aid_ctr", r6(F.col("lbs_aid_ctr")))
 
 
+@register("lookup_uid_aid_many", _pair_sql())
+def lookup_uid_aid_many(spark, d):
+    """42 statistics delivered as tables keyed by (uid, aid), one table per user feature, attached to every
+    instance: all tables are bucketed by the key, so none is shuffled."""
+    data = S.data_all(spark, d)
+    path = scratch_path(spark, "pair-statistics")
+    st.pair_statistics(data, PAIR_AD, PAIR_USER).write.parquet(path)
+    every = spark.read.parquet(path)
+    tables = [st.bucketed(every.select("uid", "aid", *[f"{a}_{u}_{x}" for a in PAIR_AD for x in ("cnt", "ctr")]), ["uid", "aid"], u)
+              for u in PAIR_USER]
+    rows = st.bucketed(data.select("uid", "aid"), ["uid", "aid"], "instances")
+    out = st.attach_bucketed(rows, tables)
+    return out.select("uid", "aid", *[F.col(c) if c.endswith("_cnt") else r6(F.col(c)).alias(c)
+                                      for c in out.columns if c not in ("uid", "aid")])
+
+
+@register("column_concat", with_base(
+    "v AS (SELECT aid, count(*) AS delivery FROM data GROUP BY aid)",
+    f"dc AS (SELECT uid, aid, {_cnt_sql('kw1')} AS kw1cnt, {_cnt_sql('interest1')} AS interest1cnt FROM data)",
+    select="SELECT d.uid, d.aid, v.delivery, dc.kw1cnt, dc.interest1cnt FROM data d JOIN v ON d.aid = v.aid "
+           "JOIN dc ON d.uid = dc.uid AND d.aid = dc.aid"))
+def column_concat(spark, d):
+    """Columns of two lookups of the same instances next to each other."""
+    data = S.data_all(spark, d)
+    left = st.lookup(data.select("uid", "aid"), st.delivery_volume(data), ["aid"]).select("uid", "aid", "delivery")
+    right = st.with_token_counts(data, ["kw1", "interest1"]).select("uid", "aid", "kw1cnt", "interest1cnt")
+    return instances.column_concat(left, right, ["uid", "aid"])
+
+
 @register("lookup_count_aid", with_base(
     f"dc AS (SELECT *, {_cnt_sql('interest1')} AS interest1cnt FROM data)",
     "x AS (SELECT interest1cnt, aid, sum(label) / count(label) AS corr_ctr FROM dc WHERE label IS NOT NULL "
