@@ -8,13 +8,16 @@ not hold (two spaces in a row, the string of an added token) go through the libr
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 from ctrkit.llm.common import process_store
 
-#: Distinct units whose ids a worker remembers; at the bound the cache starts anew.
+#: Distinct units whose ids a worker remembers, in two halves: when the young one is full it becomes the old
+#: one, and the old one goes.
 CACHE_UNITS = 400_000
 
 
@@ -41,8 +44,8 @@ class UnitEncoder:
             tok = Tokenizer.from_file(path)
             tok.encode_special_tokens = True
             added = [t.content for t in tok.get_added_tokens_decoder().values()]
-            store[path] = (tok, tok.model, {}, Tokenizer.from_file(path), added)
-        self.tokenizer, self.model, self.cache, self.default, self.added = store[path]
+            store[path] = (tok, tok.model, [{}, {}], Tokenizer.from_file(path), added)
+        self.tokenizer, self.model, self.known, self.default, self.added = store[path]
         if specials_as_text:
             self.default, self.added = self.tokenizer, []
         self.cache_units = cache_units
@@ -51,26 +54,26 @@ class UnitEncoder:
     def _words(self, word: str) -> bytes:
         """Ids of letters after at most one space: one pre-token, so the model alone applies."""
         mapped = word.encode().decode("latin-1").translate(self.alphabet)
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _lookup(self, units: list[str]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > self.cache_units:
-            cache.clear()
-        out, hard = [], []
-        for unit in units:
-            ids = cache.get(unit)
-            if ids is None:
-                ids = self._easy(unit)
+        young, old = self.known
+        out, hard = list(map(young.get, units)), []
+        for at, unit in enumerate(units):
+            if out[at] is None:
+                ids = old.get(unit)
+                if ids is None:
+                    ids = self._easy(unit)
                 if ids is None:
-                    hard.append((len(out), unit))
+                    hard.append(at)
                 else:
-                    cache[unit] = ids
-            out.append(ids)
+                    out[at] = young[unit] = ids
         if hard:
-            found = self.tokenizer.encode_batch_fast([u for _, u in hard], add_special_tokens=False)
-            for (at, unit), enc in zip(hard, found):
-                out[at] = cache[unit] = np.array(enc.ids, "<u4").tobytes()
+            found = self.tokenizer.encode_batch_fast([units[at] for at in hard], add_special_tokens=False)
+            for at, enc in zip(hard, found):
+                out[at] = young[units[at]] = array("I", enc.ids).tobytes()
+        if len(young) > self.cache_units // 2:
+            self.known[:] = {}, young
         return out
 
     def _easy(self, unit: str) -> bytes | None:
@@ -83,13 +86,14 @@ class UnitEncoder:
         return None
 
     def _cached(self, unit: str) -> bytes:
-        ids = self.cache.get(unit)
+        young, old = self.known
+        ids = young.get(unit) or old.get(unit)
         if ids is None:
             if unit.strip().isalpha():
                 ids = self._words(unit)
             else:
-                ids = np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
-            self.cache[unit] = ids
+                ids = array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+            young[unit] = ids
         return ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
