@@ -18,7 +18,7 @@ from ctrkit.llm.common import process_store
 
 #: Distinct units whose ids a worker remembers, in two halves: when the young one is full it becomes the old
 #: one, and the old one goes.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 800_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -50,10 +50,14 @@ class UnitEncoder:
             self.default, self.added = self.tokenizer, []
         self.cache_units = cache_units
         self.alphabet = byte_alphabet()
+        self.space = self.alphabet[ord(" ")]
 
     def _words(self, word: str) -> bytes:
         """Ids of letters after at most one space: one pre-token, so the model alone applies."""
-        mapped = word.encode().decode("latin-1").translate(self.alphabet)
+        if word.isascii():
+            mapped = self.space + word[1:] if word[0] == " " else word
+        else:
+            mapped = word.encode().decode("latin-1").translate(self.alphabet)
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _lookup(self, units: list[str]) -> list[bytes]:
@@ -67,14 +71,20 @@ class UnitEncoder:
                 if ids is None:
                     hard.append(at)
                 else:
-                    out[at] = young[unit] = ids
+                    out[at] = ids
+                    self._remember(unit, ids)
         if hard:
             found = self.tokenizer.encode_batch_fast([units[at] for at in hard], add_special_tokens=False)
             for at, enc in zip(hard, found):
-                out[at] = young[units[at]] = array("I", enc.ids).tobytes()
+                out[at] = array("I", enc.ids).tobytes()
+                self._remember(units[at], out[at])
+        return out
+
+    def _remember(self, unit: str, ids: bytes) -> None:
+        young = self.known[0]
+        young[unit] = ids
         if len(young) > self.cache_units // 2:
             self.known[:] = {}, young
-        return out
 
     def _easy(self, unit: str) -> bytes | None:
         """Letters, with or without a comma or full stop after them and a space before."""
@@ -93,7 +103,7 @@ class UnitEncoder:
                 ids = self._words(unit)
             else:
                 ids = array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
-            young[unit] = ids
+            self._remember(unit, ids)
         return ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
