@@ -32,6 +32,8 @@ cloudpickle.register_pickle_by_value(special)
 
 # Fixed values of the reference fit: start point, iteration cap and tolerance.
 ALPHA0, BETA0, MAX_ITER, EPSILON = 1.0, 1.0, 1000, 1e-8
+#: Groups whose parameters are broadcast.
+FEW_GROUPS = 100_000
 
 
 def cell_histogram(stats: DataFrame, group_cols: list[str], clicks: str = "clicks",
@@ -113,7 +115,8 @@ def fit_beta(stats: DataFrame, group_cols: list[str], clicks: str = "clicks", im
     (group..., alpha, beta, n_iter, converged). Group keys keep their types and may be NULL.
     Degenerate groups (no impressions, or a parameter driven to 0) give NULL alpha / beta;
     callers fall back to the raw CTR. With ``materialize`` the parameters are checkpointed, so
-    that several later joins do not run the iteration again."""
+    that several later joins do not run the iteration again, and broadcast when they are counted to be few:
+    rows joined by group would otherwise be dealt by group, one task each."""
     hist = marginal_histograms(stats, group_cols, clicks, impressions)
     schema = ", ".join([*[f"{g} {stats.schema[g].dataType.simpleString()}" for g in group_cols],
                         "alpha double, beta double, n_iter int, converged boolean"])
@@ -129,6 +132,8 @@ def fit_beta(stats: DataFrame, group_cols: list[str], clicks: str = "clicks", im
     if materialize:
         shared_root(stats.sparkSession)
         fitted = fitted.checkpoint()
+        if fitted.count() <= FEW_GROUPS:
+            fitted = F.broadcast(fitted)
     return fitted
 
 
@@ -155,4 +160,4 @@ def fit_and_smooth(stats: DataFrame, group_cols: list[str], **smoothing) -> Data
     """The cells once: checkpointed, then fitted and smoothed from that one table."""
     shared_root(stats.sparkSession)
     cells = stats.checkpoint()
-    return smooth(cells, fit_beta(cells, group_cols), group_cols, **smoothing)
+    return smooth(cells, fit_beta(cells, group_cols, materialize=True), group_cols, **smoothing)
