@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctrkit.functions.tokens import SENTINEL, token_count, tokens
@@ -73,14 +74,30 @@ def ctr_by_value(df: DataFrame, fields: list[str], label: str = "label") -> Data
 
 def ctr_by_value_aid(df: DataFrame, factors: list[str], key: str = "aid") -> DataFrame:
     """A2 for many factors at once: (factor_name, value, aid, clicks, impressions, ctr)."""
+    if len(factors) > 1:
+        stacks = [F.struct(F.lit(f).alias("factor_name"), F.col(f).cast("string").alias("value")) for f in factors]
+        return placed_stats(df, stacks, ["factor_name", "value"], factors, [key])
     return click_stats(long_form(df, factors, [key, "label"]), ["factor_name", "value", key])
 
 
+def placed_stats(df: DataFrame, stacks: list, keys: list[str], cols: list[str], shared: list[str], label: str = "label",
+                 clicks: str = "clicks", impressions: str = "impressions", ctr: str = "ctr") -> DataFrame:
+    """``click_stats`` of stacked keys that all hold the columns ``shared``: (keys..., shared..., clicks, impressions,
+    ctr). ``stacks`` are structs of the keys over ``cols``. Rows are summed per combination of all columns, which
+    bounds the rows of a hot key by its combinations, and brought together by ``shared``
+    before they are stacked, so that the stacked rows, several for each, are summed where they lie."""
+    whole = (df.where(F.col(label).isNotNull()).groupBy(*dict.fromkeys([*cols, *shared]))
+             .agg(F.sum(label).cast("bigint").alias("_clicks"), F.count(F.lit(1)).alias("_rows")).repartition(*shared))
+    out = (whole.select(*shared, "_clicks", "_rows", F.explode(F.array(*stacks)).alias("_x"))
+           .select("_x.*", *shared, "_clicks", "_rows").groupBy(*keys, *shared)
+           .agg(F.sum("_clicks").cast("bigint").alias(clicks), F.sum("_rows").cast("bigint").alias(impressions)))
+    return out.withColumn(ctr, F.col(clicks) / F.col(impressions))
+
+
 def click_ratio_by_label(df: DataFrame, fields: list[str]) -> DataFrame:
     """A3: share of each label among a token's rows:
     (factor_name, single_value, label, label_rows, value_rows, ratio). The window runs on
     the aggregated table (at most one row per label per token)."""
-    from pyspark.sql import Window
     per = token_sums(df.where(F.col("label").isNotNull()), fields, ["label"], {"label_rows": "count(1)"})
     w = Window.partitionBy("factor_name", "single_value")
     return per.withColumn("value_rows", F.sum("label_rows").over(w)).withColumn(
@@ -97,11 +114,18 @@ def cross_ctr(df: DataFrame, combos: list[tuple[str, ...]], extra_keys: list[str
         vals = [F.col(c).cast("string") for c in combo] + [F.lit(None).cast("string")] * (width - len(combo))
         structs.append(F.struct(F.lit("_".join(combo)).alias("cross_name"),
                                 *[v.alias(f"v{i + 1}") for i, v in enumerate(vals)]))
+    keys = ["cross_name"] + [f"v{i + 1}" for i in range(width)]
+    cols = list(dict.fromkeys(c for combo in combos for c in combo))
+    common = [c for c in cols if all(c in combo for combo in combos)]
+    names = {"clicks": "feacnt", "impressions": "cnt", "ctr": "corr_ctr"}
+    if len(combos) > 1 and common:
+        named = df.select(*extra_keys, "label", *cols, *[F.col(c).cast("string").alias(f"_in_{c}") for c in common])
+        out = placed_stats(named, structs, keys, cols, [*extra_keys, *[f"_in_{c}" for c in common]], **names)
+        return out.select(*keys, *extra_keys, *names.values())
     stacked = (df.where(F.col("label").isNotNull())
                .select(*extra_keys, "label", F.explode(F.array(*structs)).alias("_x"))
                .select("_x.*", *extra_keys, "label"))
-    keys = ["cross_name"] + [f"v{i + 1}" for i in range(width)] + list(extra_keys)
-    return click_stats(stacked, keys, clicks="feacnt", impressions="cnt", ctr="corr_ctr")
+    return click_stats(stacked, keys + list(extra_keys), **names)
 
 
 def with_token_counts(df: DataFrame, fields: list[str], suffix: str = "cnt") -> DataFrame:
@@ -203,14 +227,65 @@ def attach_bucketed(rows: DataFrame, statistics: list[DataFrame], keys: list[str
     return out
 
 
+#: Rows of one value that are brought together in a task; values with more are counted by an aggregate of their own.
+HOT_ROWS = 2_000_000
+#: Rows of a task that brings rows together by a value.
+PLACED_ROWS = 250_000
+#: Texts up to this length stay as they are; longer ones are looked up by a code.
+SHORT_TEXT = 16
+#: Rows of a statistic over two features up to which it is looked up as a table.
+SMALL_TABLE = 100_000
+
+
+def coded(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The rows with long texts of ``cols`` replaced by 64-bit codes, equal where and only where the texts are: a column
+    of which two texts have one code stays as it is. NULL stays NULL."""
+    texts = [c for c in cols if df.schema[c].dataType.typeName() == "string"]
+    if not texts:
+        return df
+    longest = df.agg(*[F.max(F.length(c)).alias(c) for c in texts]).first()
+    for c in [c for c in texts if (longest[c] or 0) > SHORT_TEXT]:
+        codes = df.select(c).where(F.col(c).isNotNull()).distinct().groupBy(F.xxhash64(c).alias("_code")).count()
+        if codes.where("count > 1").isEmpty():
+            df = df.withColumn(c, F.when(F.col(c).isNotNull(), F.xxhash64(c)))
+    return df
+
+
+def with_shared(rows: DataFrame, source: DataFrame, place: str, others: list[str], sums: dict[str, Column],
+                row_keys: list[str]) -> DataFrame:
+    """``rows`` with the column ``_<other>_<name>`` for each other column and each aggregate of ``sums``, taken over the
+    rows of ``source`` that share the values of (place, other); NULL where one of them is NULL.
+
+    ``source`` has the rows of ``rows``. They are moved once, to where those of the same ``place`` lie, and each
+    aggregate is a window there. A value of over ``HOT_ROWS`` rows is spread by the row's keys instead, and its
+    aggregates, computed on their own, are looked up."""
+    per = source.groupBy(place).agg(F.count(F.lit(1)).alias("_n"))
+    total, hot = per.agg(F.sum("_n"), F.collect_list(F.when(F.col("_n") > HOT_ROWS, F.col(place)))).first()
+    is_hot = F.coalesce(F.col(place).isin(hot), F.lit(False)) | F.col(place).isNull() if hot else F.col(place).isNull()
+    spread = F.when(is_hot, F.pmod(F.xxhash64(*row_keys), F.lit(1 << 16))).otherwise(F.lit(0))
+    n = max(num_partitions(rows.sparkSession), (total or 0) // PLACED_ROWS + 1)
+    out = rows.withColumn("_spread", spread).repartition(n, place, "_spread")
+    for o in others:
+        w = Window.partitionBy(place, "_spread", o)
+        told = F.col(place).isNotNull() & F.col(o).isNotNull()
+        out = out.withColumns({f"_{o}_{name}": F.when(told, agg.over(w)) for name, agg in sums.items()})
+    for o in others if hot else []:
+        path = scratch_path(rows.sparkSession, "hot")
+        (source.where(F.col(place).isin(hot)).groupBy(F.col(place), F.col(o))
+         .agg(*[agg.alias(f"_h_{name}") for name, agg in sums.items()]).write.parquet(path))
+        out = out.join(rows.sparkSession.read.parquet(path), [place, o], "left").withColumns(
+            {f"_{o}_{name}": F.when(is_hot, F.col(f"_h_{name}")).otherwise(F.col(f"_{o}_{name}")) for name in sums}).drop(
+            *[f"_h_{name}" for name in sums])
+    return out.drop("_spread")
+
+
 def combination_count(df: DataFrame, factors: list[str], key: str = "aid",
                       row_keys: list[str] = ("uid", "aid")) -> DataFrame:
     """Number of instances sharing (factor value, aid), mapped back to each row as
-    ``<factor>_<key>_cnt``; group-by + join instead of a window so that a hot value is
-    pre-aggregated rather than sorted in one task."""
-    lf = long_form(df, factors, list(dict.fromkeys(list(row_keys) + [key])))
-    counts = lf.groupBy("factor_name", "value", key).agg(F.count(F.lit(1)).alias("cnt"))
-    return attach_long(df, list(row_keys), factors, counts, "cnt", [key], suffix=f"_{key}_cnt")
+    ``<factor>_<key>_cnt``. Every count holds the key, so the rows are moved once (``with_shared``)."""
+    rows = coded(df.select(*dict.fromkeys([*row_keys, key, *factors])), [f for f in factors if f not in (*row_keys, key)])
+    out = with_shared(rows, rows, key, factors, {"cnt": F.count(F.lit(1))}, list(row_keys))
+    return out.select(*row_keys, *[F.col(f"_{f}_cnt").alias(f"{f}_{key}_cnt") for f in factors])
 
 
 def pair_statistics(df: DataFrame, ad_features: list[str], user_features: list[str],
@@ -218,27 +293,62 @@ def pair_statistics(df: DataFrame, ad_features: list[str], user_features: list[s
     """A10: for every (ad feature, user feature) pair, co-occurrence count and CTR of the
     value pair, mapped back to the rows: columns ``<af>_<uf>_cnt`` and ``<af>_<uf>_ctr``.
 
-    All pairs come out of ONE stacked aggregation (partial aggregation collapses it on
-    the map side), written once with a partition per pair. Each pair is then looked up with
-    its own equi-join on the raw columns, so Spark broadcasts a pair table when its measured
-    size is small (a product of two categorical domains usually is) and shuffles only when
-    it is not."""
-    pairs = [(a, u) for a in ad_features for u in user_features]
-    names = [f"{a}_{u}" for a, u in pairs]
-    structs = [F.struct(F.lit(n).alias("pair"), F.col(a).cast("string").alias("v1"),
-                        F.col(u).cast("string").alias("v2")) for n, (a, u) in zip(names, pairs)]
+    Pairs of features with few values come out of ONE stacked aggregation (partial aggregation collapses it on
+    the map side), written once with a partition per pair and looked up with an equi-join each, which
+    Spark broadcasts by its size. A user feature with many values has about as many pairs as there are rows:
+    the rows are brought together by it once for all its pairs (``with_shared``), first of all."""
+    rows, attach, wide = pair_lookups(df, ad_features, user_features, row_keys)
+    for u in sorted(user_features, key=lambda u: u not in wide):
+        rows = attach(rows, u).drop(*({u} - {*row_keys, *ad_features}))
+    return rows.select(*row_keys, *[f"{a}_{u}_{x}" for a in ad_features for u in user_features for x in ("cnt", "ctr")])
+
+
+def pair_tables(df: DataFrame, ad_features: list[str], user_features: list[str],
+                row_keys: list[str] = ("uid", "aid")) -> tuple[DataFrame, list[DataFrame]]:
+    """The statistics of ``pair_statistics`` as a bucketed table by the row's keys for each user feature, and the
+    bucketed rows that they belong to. Rows of a feature with few values stay in their bucket."""
+    rows, attach, wide = pair_lookups(df, ad_features, user_features, row_keys)
+    keys = list(row_keys)
+    rows = bucketed(rows, keys, "instances")
+    tables = []
+    for u in user_features:
+        own = attach(rows.select(*dict.fromkeys([*keys, "label", *ad_features, u])), u)
+        own = own.select(*keys, *[f"{a}_{u}_{x}" for a in ad_features for x in ("cnt", "ctr")])
+        tables.append(bucketed(own, keys, u, placed=u not in wide))
+    return rows.select(*keys), tables
+
+
+def pair_lookups(df: DataFrame, ad_features: list[str], user_features: list[str],
+                 row_keys: list[str]) -> tuple[DataFrame, Callable[[DataFrame, str], DataFrame], set[str]]:
+    """(the rows with long texts coded, what attaches the pairs of a user feature to them, the features of many values).
+    Which way a pair is looked up depends on its number of values, measured; the result does not."""
+    used = list(dict.fromkeys([*ad_features, *user_features]))
+    source = df.select(*dict.fromkeys([*row_keys, "label", *used]))
+    sizes = source.agg(*[F.approx_count_distinct(c).alias(c) for c in used]).first()
+    wide = {u for u in user_features if any((sizes[u] or 0) * (sizes[a] or 0) > SMALL_TABLE for a in ad_features)}
+    source = coded(source, sorted(wide - {*row_keys, *ad_features}))
+    pairs = [(a, u) for u in user_features if u not in wide for a in ad_features]
+    structs = [F.struct(F.lit(f"{a}_{u}").alias("pair"), F.col(a).cast("string").alias("v1"),
+                        F.col(u).cast("string").alias("v2")) for a, u in pairs]
+    sums = {"cnt": F.count(F.lit(1)), "_clicks": F.sum("label"), "_impr": F.count("label")}
+    ctr = F.try_divide(F.col("_clicks"), F.col("_impr").cast("double")).alias("ctr")
     stat = by_factor(
-        df.select("label", F.explode(F.array(*structs)).alias("_p")).select("label", "_p.*")
-        .groupBy("pair", "v1", "v2")
-        .agg(F.count(F.lit(1)).alias("cnt"), F.sum("label").alias("_clicks"), F.count("label").alias("_impr"))
-        .select("pair", "v1", "v2", "cnt", F.try_divide(F.col("_clicks"), F.col("_impr").cast("double")).alias("ctr")),
-        "pair")
-    out = df.select(*row_keys, *dict.fromkeys(ad_features + user_features))
-    for n, (a, u) in zip(names, pairs):
-        one = stat.where(F.col("pair") == n).select(F.col("v1").alias(a), F.col("v2").alias(u),
-                                                    F.col("cnt").alias(f"{n}_cnt"), F.col("ctr").alias(f"{n}_ctr"))
-        out = out.join(one, [a, u], "left")
-    return out.select(*row_keys, *[c for n in names for c in (f"{n}_cnt", f"{n}_ctr")])
+        source.select("label", F.explode(F.array(*structs)).alias("_p")).select("label", "_p.*").groupBy("pair", "v1", "v2")
+        .agg(*[agg.alias(name) for name, agg in sums.items()]).select("pair", "v1", "v2", "cnt", ctr), "pair") if pairs else None
+
+    def attach(rows: DataFrame, u: str) -> DataFrame:
+        if u in wide:
+            rows = with_shared(rows, source, u, ad_features, sums, list(row_keys))
+            return rows.withColumns({f"{a}_{u}_cnt": F.col(f"_{a}_cnt") for a in ad_features} | {
+                f"{a}_{u}_ctr": F.try_divide(F.col(f"_{a}__clicks"), F.col(f"_{a}__impr").cast("double"))
+                for a in ad_features}).drop(*[f"_{a}_{name}" for a in ad_features for name in sums])
+        for a in ad_features:
+            one = stat.where(F.col("pair") == f"{a}_{u}").select(
+                F.col("v1").alias(a), F.col("v2").alias(u), F.col("cnt").alias(f"{a}_{u}_cnt"), F.col("ctr").alias(f"{a}_{u}_ctr"))
+            rows = rows.join(one, [a, u], "left")
+        return rows
+
+    return source, attach, wide
 
 
 def noisy_or(token_rows: DataFrame, token_stat: DataFrame, group_keys: list[str], prob_col: str,

@@ -13,7 +13,6 @@ from ctrkit.plans import standin as S
 from ctrkit.plans.catalog import register
 from ctrkit.plans.oracle_base import (converged_fit_ctes, digamma_diff_sql, fit_converged_ctes, fit_steps_ctes,
                                      unpivot_sql, with_base)
-from ctrkit.session import scratch_path
 
 FIT_STEPS = 5
 
@@ -227,13 +226,7 @@ def lookup_uid_aid(spark, d):
 def lookup_uid_aid_many(spark, d):
     """42 statistics delivered as tables keyed by (uid, aid), one table per user feature, attached to every
     instance: all tables are bucketed by the key, so none is shuffled."""
-    data = S.data_all(spark, d)
-    path = scratch_path(spark, "pair-statistics")
-    st.pair_statistics(data, PAIR_AD, PAIR_USER).write.parquet(path)
-    every = spark.read.parquet(path)
-    tables = [st.bucketed(every.select("uid", "aid", *[f"{a}_{u}_{x}" for a in PAIR_AD for x in ("cnt", "ctr")]), ["uid", "aid"], u)
-              for u in PAIR_USER]
-    rows = st.bucketed(data.select("uid", "aid"), ["uid", "aid"], "instances")
+    rows, tables = st.pair_tables(S.data_all(spark, d), PAIR_AD, PAIR_USER)
     out = st.attach_bucketed(rows, tables)
     return out.select("uid", "aid", *[F.col(c) if c.endswith("_cnt") else r6(F.col(c)).alias(c)
                                       for c in out.columns if c not in ("uid", "aid")])
