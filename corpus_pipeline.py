@@ -17,7 +17,7 @@ from ctrkit.llm.data import SEQUENCE_END, TOXIC_HELD_OUT, held_out, tokenizer_pa
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network rejects go; it learns from the labels not held out."""
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(~held_out(*TOXIC_HELD_OUT))
-    return toxicity.keep_clean(docs, toxicity.train(docs, labels))
+    return toxicity.keep_clean(docs, toxicity.train(docs.where(~held_out(*TOXIC_HELD_OUT)), labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,7 +57,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(~held_out(*TOXIC_HELD_OUT))
-    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    scored = toxicity.score(docs, toxicity.train(docs.where(~held_out(*TOXIC_HELD_OUT)), labels))
     return scored.select("doc_id", held_out(*TOXIC_HELD_OUT).alias("held_out"), "score",
                          F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 

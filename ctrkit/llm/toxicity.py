@@ -4,16 +4,20 @@ A word's vector is the sum of the embeddings of a few hashes: of the whole word
 letters (compounds of a stem share those). Filters one, two and three words wide run over the
 text, each filter's greatest response in the whole text is pooled, and a logistic unit weighs
 the pooled responses. Embeddings start from the classes' log-odds and are then trained with
-everything else by back-propagation (Adam) on a bounded sample of labelled rows.
+everything else by back-propagation (Adam). All labelled rows are learned from: they are dealt into
+shards of bounded size, the counts behind the log-odds are summed over the shards, every shard trains
+the network from that common start, each of its rows in turn, and the shards' parameters are averaged.
 
-Thresholds are calibrated by language. The language is told from the text alone (word
-log-odds learned from the sample), so it is no input beside the text; a language's threshold is
+Thresholds are calibrated by language, on a quarter of the labelled rows that a network learned from the others
+has not seen; then the network that scores learns from all of them. The language is told from the
+text alone (word log-odds of all labelled rows), so it is no input beside the text; a language's threshold is
 drawn towards the common one the fewer toxic rows it was found on. Scores are shifted so that
 every language's threshold is at 0.5.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
@@ -21,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctrkit.llm.common import in_slices, texts_of
+from ctrkit.llm.common import in_slices, texts_of, written
 from ctrkit.llm.words import sums, word_index
+from ctrkit.operators.ranking import ordered_scan
+from ctrkit.session import scratch_path
 
-#: Labelled rows that are learned from: of each class at most.
-TRAIN_ROWS_OF_ONE = 2000
+#: Labelled rows and bytes of text of a shard, about; they deal the work and leave no row out.
+SHARD_ROWS, SHARD_BYTES = 4000, 32 << 20
+#: Every so many-th labelled row calibrates the thresholds.
+FOLDS = 4
 BUCKETS = 1 << 15
 DIMENSIONS = 8
 PREFIXES = (3, 4, 5, 6)
@@ -71,6 +79,15 @@ class Tokens:
         return self.place[take], np.concatenate([[0], ends])
 
 
+def occurrences(tokens: Tokens, toxic: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of each class that hold a bucket, rows of each class)."""
+    seen = np.zeros((2, BUCKETS))
+    for r in rows:
+        own = np.unique(tokens.features[tokens.index[tokens.place[tokens.offsets[r]:tokens.offsets[r + 1]]]])
+        seen[int(toxic[r]), own] += 1
+    return seen, np.bincount(toxic[rows].astype(int), minlength=2)
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -88,11 +105,11 @@ class Network:
 
     def start_from(self, tokens: Tokens, toxic: np.ndarray, rows: np.ndarray, seed: int = 0) -> None:
         """Embeddings of what occurs in the rows: its log-odds, and small random values."""
-        seen = np.zeros((2, BUCKETS))
-        for r in rows:
-            own = np.unique(tokens.features[tokens.index[tokens.place[tokens.offsets[r]:tokens.offsets[r + 1]]]])
-            seen[int(toxic[r]), own] += 1
-        totals = np.maximum(np.bincount(toxic[rows].astype(int), minlength=2), 1)[:, None]
+        self.start(*occurrences(tokens, toxic, rows), seed)
+
+    def start(self, seen: np.ndarray, rows: np.ndarray, seed: int = 0) -> None:
+        """As ``start_from``, from the sums of ``occurrences``."""
+        totals = np.maximum(rows, 1)[:, None]
         odds = np.log((seen + 0.5) / (totals + 1))
         n = seen.sum(0)
         self.p["embed"][:, 0] = (odds[1] - odds[0]) * n / (n + 3) / 2
@@ -150,19 +167,23 @@ class Network:
         g["embed"][0] = 0
         return g
 
-    def train(self, tokens: Tokens, toxic: np.ndarray, use: np.ndarray, seed: int = 0) -> None:
-        """Adam on balanced batches of the logistic loss, with weight decay and word dropout."""
+    def train(self, tokens: Tokens, toxic: np.ndarray, use: np.ndarray, seed: int = 0, least: int = STEPS) -> None:
+        """Adam on balanced batches of the logistic loss, with weight decay and word dropout: at least
+        ``least`` steps, and as many as show every row once."""
         rng = np.random.default_rng(seed)
         groups = [use[toxic[use] == v] for v in (0, 1)]
         if not all(map(len, groups)):
             return
+        half = BATCH // 2
+        steps = max(least, -(-max(map(len, groups)) // half))
+        turns = [np.concatenate([rng.permutation(g) for _ in range(-(-steps * half // len(g)))]) for g in groups]
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        for step in range(1, STEPS + 1):
-            rows = np.concatenate([rng.choice(g, BATCH // 2) for g in groups])
+        for step in range(1, steps + 1):
+            rows = np.concatenate([t[(step - 1) * half:step * half] for t in turns])
             z, state = self.forward(tokens, rows, rng if step % 2 else None)
             dz = (sigmoid(z) - toxic[rows]) / len(rows)
-            rate = RATE * min(1, 2 * (1 - step / (STEPS + 1)))
+            rate = RATE * min(1, 2 * (1 - step / (steps + 1)))
             for k, g in self.gradients(dz, state).items():
                 g += DECAY * self.p[k]
                 first[k] += 0.1 * (g - first[k])
@@ -179,14 +200,20 @@ class Network:
 class Languages:
     """Tells languages apart by the log-odds of hashed words; for the choice of a threshold only."""
 
-    def __init__(self, tokens: Tokens, langs: list[str]):
-        self.langs = sorted(set(langs))
-        counts = np.full((len(self.langs), LANGUAGE_BUCKETS), 0.5)
+    def __init__(self, counts: dict[str, np.ndarray]):
+        self.langs = sorted(counts)
+        total = np.array([counts[lang] for lang in self.langs]).reshape(-1, LANGUAGE_BUCKETS) + 0.5
+        self.weights = np.log(total / total.sum(1, keepdims=True)).T
+
+    @staticmethod
+    def counts(tokens: Tokens, langs: list[str]) -> dict[str, np.ndarray]:
+        """How often a bucket occurs in the texts of each language."""
+        out: dict[str, np.ndarray] = {}
         buckets = tokens.features[:, 0] % LANGUAGE_BUCKETS
-        for i, (a, b) in enumerate(zip(tokens.offsets, tokens.offsets[1:])):
-            own = buckets[tokens.index[tokens.place[a:b]]]
-            counts[self.langs.index(langs[i])] += np.bincount(own, minlength=LANGUAGE_BUCKETS)
-        self.weights = np.log(counts / counts.sum(1, keepdims=True)).T
+        for lang, a, b in zip(langs, tokens.offsets, tokens.offsets[1:]):
+            own = np.bincount(buckets[tokens.index[tokens.place[a:b]]], minlength=LANGUAGE_BUCKETS)
+            out[lang] = out[lang] + own if lang in out else own
+        return out
 
     def guess(self, tokens: Tokens) -> np.ndarray:
         if len(self.langs) < 2:
@@ -208,6 +235,12 @@ def threshold(z: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
     return float((low + high) / 2)
 
 
+def drawn(common: float, own: float, toxic: float, rows: float) -> float:
+    """A language's threshold, drawn to the common one; without rows of both classes it is that one."""
+    share = toxic / (toxic + SHRINK) if 0 < toxic < rows else 0
+    return (share * own if share else 0) + (1 - share) * common
+
+
 class Classifier:
     """The network, the languages and a threshold for each."""
 
@@ -215,12 +248,12 @@ class Classifier:
         tokens = Tokens(texts)
         y, weight = np.array(toxic, np.float64), np.array(weights, np.float64)
         self.network = Network(seed)
-        self.languages = Languages(tokens, langs)
+        self.languages = Languages(Languages.counts(tokens, langs))
         self.thresholds = np.zeros(max(1, len(self.languages.langs)))
         if not len(y):
             return
         # Thresholds come from rows that the network has not seen; then it learns from all rows.
-        fold = np.arange(len(y)) % 4 == 3
+        fold = np.arange(len(y)) % FOLDS == FOLDS - 1
         self._learn(tokens, y, np.flatnonzero(~fold), seed)
         z = self.network.logits(tokens)
         guess = self.languages.guess(tokens)
@@ -228,12 +261,16 @@ class Classifier:
             common = threshold(z[fold], y[fold], weight[fold])
             for i in range(len(self.thresholds)):
                 own = fold & (guess == i)
-                n = y[own].sum()
-                share = n / (n + SHRINK) if 0 < n < own.sum() else 0
-                self.thresholds[i] = (share * threshold(z[own], y[own], weight[own]) if share else 0) + (1 - share) * common
+                self.thresholds[i] = drawn(common, threshold(z[own], y[own], weight[own]) if own.any() else common, y[own].sum(), own.sum())
         self.network = Network(seed)
         self._learn(tokens, y, np.arange(len(y)), seed)
 
+    @classmethod
+    def of(cls, network: Network, languages: Languages, thresholds: np.ndarray) -> Classifier:
+        out = cls.__new__(cls)
+        out.network, out.languages, out.thresholds = network, languages, thresholds
+        return out
+
     def _learn(self, tokens: Tokens, y: np.ndarray, rows: np.ndarray, seed: int) -> None:
         self.network.start_from(tokens, y, rows, seed)
         self.network.train(tokens, y, rows, seed)
@@ -243,27 +280,145 @@ class Classifier:
         return sigmoid(self.network.logits(tokens) - self.thresholds[self.languages.guess(tokens)])
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str,
+                  label_col: str) -> tuple[DataFrame, int]:
+    """(rows (place, text, lang, toxic, fold) of all labelled documents, written once, and the number of shards)."""
+    marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("labelled")).agg(
+        F.max(F.col(label_col).cast("int")).alias("toxic"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"),
+                       F.coalesce(lang_col, F.lit("")).alias("lang"))
+    found = rows.join(marked.hint("merge"), F.col("id") == F.col("labelled")).select(
+        F.xxhash64(F.lit("sample"), F.col("labelled")).alias("place"), "text", "lang", "toxic",
+        (F.pmod(F.xxhash64(F.lit("fold"), F.col("labelled")), F.lit(FOLDS)) == 0).alias("fold"))
+    path = scratch_path(docs.sparkSession, "toxicity-labelled")
+    found.write.option("compression", "zstd").parquet(path)
+    found = docs.sparkSession.read.schema(found.schema).parquet(path)
+    return found, max(1, -(-found.count() // SHARD_ROWS))
+
+
+def by_shard(rows: DataFrame, shards: int, work) -> DataFrame:
+    """Rows (value): what ``work(texts, toxic, langs, fold)`` makes of each shard, pickled. A shard is a stretch of
+    the written rows, which stay in their files; its rows are sorted before."""
+    at_most, most_bytes = SHARD_ROWS, SHARD_BYTES
+
+    def value(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).sort_by([("place", "ascending"), ("text", "ascending"), ("lang", "ascending")])
+        out = work(table["text"].combine_chunks(), table["toxic"].to_numpy().astype(np.float64), table["lang"].to_pylist(),
+                   table["fold"].to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(out)], pa.binary())], ["value"])
+
+    def values(batches):
+        held, rows, size = [], 0, 0
+        for batch in in_slices(batches, "text", most_bytes // 8):
+            while batch.num_rows:
+                part = batch.slice(0, at_most - rows)
+                batch = batch.slice(part.num_rows)
+                held.append(part)
+                rows, size = rows + part.num_rows, size + part.nbytes
+                if rows == at_most or size >= most_bytes:
+                    yield value(held)
+                    held, rows, size = [], 0, 0
+        if held:
+            yield value(held)
+
+    return rows.coalesce(shards).mapInArrow(values, "value binary")
+
+
+def added(values: DataFrame) -> dict:
+    """The sum of the shards' values (dictionaries of arrays), added up in a tree."""
+    def add(x: dict, y: dict) -> dict:
+        return {k: x[k] + y[k] if k in x and k in y else x.get(k, y.get(k)) for k in {**x, **y}}
+
+    return values.rdd.map(lambda r: pickle.loads(r["value"])).treeAggregate({}, add, add, 3)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          label_col: str = "toxic", per_class: int = TRAIN_ROWS_OF_ONE) -> Classifier:
-    """Learn from a bounded sample of the labelled rows given: about ``per_class`` of each class.
+          label_col: str = "toxic", seed: int = 0) -> Classifier:
+    """Learn from all labelled rows given, in shards of about ``SHARD_ROWS``.
 
-    Null labels are left out, null texts are empty, a null language is one of its own.
+    Null labels are left out, null texts are empty, a null language is one of its own; an id with both
+    labels is toxic.
     """
-    marked = labels.where(F.col(label_col).isin(0, 1)).select(
-        F.col(id_col).alias("labelled"), F.col(label_col).cast("int").alias("is_toxic")).dropDuplicates(["labelled"])
-    counts = {r["is_toxic"]: r["n"] for r in marked.groupBy("is_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    place = F.pmod(F.xxhash64(F.lit("sample"), F.col("labelled")), F.lit(1 << 30)) / float(1 << 30)
-    wanted = F.lit(False)
-    for value, n in counts.items():
-        wanted = wanted | ((F.col("is_toxic") == value) & (place < min(1.0, per_class / n)))
-    # The wanted ids are as bounded as the sample.
-    picked = F.broadcast(marked.where(wanted).withColumn("place", place))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"),
-                       F.coalesce(lang_col, F.lit("")).alias("lang"))
-    found = (rows.join(picked, F.col("id") == F.col("labelled")).select("place", "text", "lang", "is_toxic").toArrow().sort_by([("place", "ascending"), ("text", "ascending")]))
-    toxic = found["is_toxic"].to_pylist()
-    weights = [max(1.0, counts[v] / per_class) for v in toxic]
-    return Classifier(found["text"].combine_chunks(), toxic, found["lang"].to_pylist(), weights)
+    spark = docs.sparkSession
+    rows, shards = labelled_rows(docs, labels, id_col, text_col, lang_col, label_col)
+    parts = ("rest", "all")  # learned from: the rows that do not calibrate, and all
+
+    def count(texts, toxic, langs, fold):
+        tokens = Tokens(texts)
+        out = {("lang", lang): n for lang, n in Languages.counts(tokens, langs).items()}
+        for part, fits in ((0, ~fold), (1, fold)):
+            out["seen", part], out["rows", part] = occurrences(tokens, toxic, np.flatnonzero(fits))
+        return out
+
+    totals = added(by_shard(rows, shards, count))
+    if not totals:
+        return Classifier.of(Network(seed), Languages({}), np.zeros(1))
+    languages = Languages({k[1]: n for k, n in totals.items() if k[0] == "lang"})
+    starts = {part: Network(seed) for part in parts}
+    starts["rest"].start(totals["seen", 0], totals["rows", 0], seed)
+    starts["all"].start(totals["seen", 0] + totals["seen", 1], totals["rows", 0] + totals["rows", 1], seed)
+    begin = spark.sparkContext.broadcast(starts)  # fixed in size by BUCKETS
+
+    def learn(texts, toxic, langs, fold):
+        tokens, out = Tokens(texts), {}
+        for part, use in (("rest", np.flatnonzero(~fold)), ("all", np.arange(len(toxic)))):
+            network = Network(seed)
+            network.p = {k: v.copy() for k, v in begin.value[part].p.items()}
+            network.train(tokens, toxic, use, seed, -(-STEPS // shards))
+            # A shard weighs as its rows; one without rows of both classes has learned nothing.
+            weight = len(use) * (0 < toxic[use].sum() < len(use))
+            out |= {(part, k): v.astype(np.float64) * weight for k, v in network.p.items()} | {(part, "weight"): weight}
+        return out
+
+    learned = added(by_shard(rows, shards, learn))
+    for part in parts:
+        if learned[part, "weight"]:
+            starts[part].p = {k: (learned[part, k] / learned[part, "weight"]).astype(np.float32) for k in starts[part].p}
+    return Classifier.of(starts["all"], languages, calibrated(rows, starts["rest"], languages))
+
+
+def calibrated(rows: DataFrame, network: Network, languages: Languages) -> np.ndarray:
+    """A threshold for each language, from the responses to all rows that the network has not seen."""
+    shipped = rows.sparkSession.sparkContext.broadcast((network, languages))  # fixed in size by BUCKETS
+
+    def respond(batches):
+        network, languages = shipped.value
+        for batch in in_slices(batches, "text", 4 << 20):
+            tokens = Tokens(texts_of(batch, "text"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(network.logits(tokens), pa.float64()), pa.array(languages.guess(tokens), pa.int32()),
+                 batch.column("toxic")], ["z", "guess", "toxic"])
+
+    seen = written(rows.where("fold").select("text", "toxic").mapInArrow(respond, "z double, guess int, toxic int"), "toxicity-responses")
+    # Group -1 is all languages together.
+    cells = (seen.select(F.explode(F.array(F.lit(-1), "guess")).alias("group"), "z", "toxic").groupBy("group", "z")
+             .agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")))
+    cuts = thresholds_of(cells)
+    out = np.zeros(max(1, len(languages.langs)))
+    if -1 in cuts:
+        common = cuts[-1][0]
+        out[:] = [drawn(common, *cuts.get(i, (common, 0, 0))) for i in range(len(out))]
+    return out
+
+
+def thresholds_of(cells: DataFrame) -> dict[int, tuple[float, int, int]]:
+    """{group: (the middle of the best cut, toxic rows, rows)} of the cells (group, z, bad, good), as ``threshold``
+    finds it; one row per group comes to the driver."""
+    scanned = written(ordered_scan(cells, [F.col("z").asc()], ["group"], sums=["bad", "good"]), "toxicity-cuts")
+    sums = scanned.groupBy("group").agg(F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"), F.max("z").alias("last"))
+    # A cut lies before a row, or after the last one.
+    cut = F.struct((F.col("bad_before") + F.col("all_good") - F.col("good_before")).alias("errors"), "z")
+    best = scanned.join(sums, "group").groupBy("group").agg(
+        F.least(F.min(cut), F.struct(F.max("all_bad").alias("errors"), F.lit(float("inf")).alias("z"))).alias("cut"),
+        F.max("all_bad").alias("all_bad"), F.max("all_good").alias("all_good"), F.max("last").alias("last"))
+    below = best.select("group", "cut.z", "all_bad", "all_good", "last").withColumnRenamed("z", "at")
+    low = scanned.join(below, "group").groupBy("group", "at", "all_bad", "all_good", "last").agg(
+        F.max(F.when(F.col("z") < F.col("at"), F.col("z"))).alias("low"))
+    out = {}
+    for r in low.collect():
+        high = r["last"] + 1 if r["at"] == float("inf") else r["at"]
+        out[r["group"]] = (((r["low"] if r["low"] is not None else high - 1) + high) / 2, r["all_bad"], r["all_bad"] + r["all_good"])
+    return out
 
 
 def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

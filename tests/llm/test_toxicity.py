@@ -96,3 +96,50 @@ def test_edge_tables(spark, edge_docs, no_docs):
     none = toxicity.train(no_docs, labels.limit(0))
     assert toxicity.score(no_docs, none).collect() == []
     assert all(0 <= r.score <= 1 for r in toxicity.score(docs, none).collect())
+
+
+def labelled(spark, texts, toxic):
+    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    return docs, spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+
+
+def test_all_labelled_rows_are_learned_from(spark, monkeypatch):
+    counted = []
+    start = toxicity.Network.start
+    monkeypatch.setattr(toxicity.Network, "start", lambda self, seen, rows, seed=0: (counted.append(rows.tolist()), start(self, seen, rows, seed)))
+    toxic = [int(i < 2100) for i in range(4300)]
+    docs, labels = labelled(spark, [f"w{i % 50}" + " vile" * y for i, y in enumerate(toxic)], toxic)
+    toxicity.train(docs, labels)
+    assert counted[1] == [2200, 2100]
+    assert 0.7 < sum(counted[0]) / 4300 < 0.8
+
+
+def test_shards_make_one_network(spark, tiny, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 40)
+    texts, toxic = tiny
+    docs, labels = labelled(spark, texts, toxic)
+    rows = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    scores = {r.doc_id: r.score for r in rows}
+    assert auc([scores[i] for i in range(len(texts))], toxic) > 0.98
+
+
+def test_every_row_takes_its_turn(tiny, monkeypatch):
+    texts, toxic = tiny
+    tokens, met = toxicity.Tokens(pa.array(texts)), []
+    forward = toxicity.Network.forward
+    monkeypatch.setattr(toxicity.Network, "forward", lambda self, t, rows, dropout=None: (met.extend(rows), forward(self, t, rows, dropout))[1])
+    toxicity.Network().train(tokens, np.array(toxic, float), np.arange(len(texts)), least=1)
+    assert set(met) == set(range(len(texts))) and len(met) == 4 * toxicity.BATCH
+
+
+def test_distributed_thresholds(spark):
+    rng = np.random.default_rng(4)
+    z, toxic, group = rng.normal(size=300), rng.integers(0, 2, 300), rng.integers(0, 3, 300)
+    group[:5], toxic[:5] = 7, 0
+    group[5:9], toxic[5:9] = 8, 1
+    cells = spark.createDataFrame([(int(g), float(x), int(y), int(1 - y)) for g, x, y in zip(group, z, toxic)],
+                                  "group int, z double, bad long, good long")
+    cuts = toxicity.thresholds_of(cells)
+    for g in set(group.tolist()):
+        own = group == g
+        assert cuts[g] == (pytest.approx(toxicity.threshold(z[own], toxic[own].astype(float), np.ones(own.sum()))), toxic[own].sum(), own.sum())
