@@ -37,7 +37,7 @@ def scan_delimited(spark, d):
 @register("scan_header_csv", with_base(select="SELECT * FROM data"))
 def scan_header_csv(spark, d):
     path = scratch_path(spark, "data-csv")
-    files.write_csv(S.data_all(spark, d), path, header=True)
+    files.write_csv(S.data_all(spark, d), path, header=True, compression="gzip")
     return files.read_delimited(spark, path, DATA_SCHEMA, header=True)
 
 

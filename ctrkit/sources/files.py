@@ -8,6 +8,9 @@ from pyspark.sql.types import StructType
 
 from ctrkit.functions.formatting import fixed_point
 
+#: Rows of a compressed part file.
+PART_ROWS = 1_000_000
+
 
 def read_delimited(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",",
                    header: bool = False) -> DataFrame:
@@ -16,9 +19,11 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType | str, sep
     return spark.read.schema(schema).option("sep", sep).option("header", header).option("mode", "FAILFAST").csv(path)
 
 
-def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite") -> None:
-    """Header or header-less CSV sink (one part file per partition)."""
-    df.write.mode(mode).option("header", header).csv(path)
+def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite", compression: str = "none") -> None:
+    """Header or header-less CSV sink (one part file per partition, ``PART_ROWS`` rows at most if it is
+    compressed: such a file is read by one task)."""
+    writer = df.write.mode(mode).option("header", header).option("compression", compression)
+    (writer if compression == "none" else writer.option("maxRecordsPerFile", PART_ROWS)).csv(path)
 
 
 def export_select_csv(df: DataFrame, cols: list[str], path: str) -> None:
