@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctrkit.functions.hashing import hash_bucket
+from ctrkit.session import num_partitions
 
 
 def join_instances(inst: DataFrame, users: DataFrame, ads: DataFrame,
@@ -35,21 +34,26 @@ def union_sources(frames: dict, col: str = "qubie") -> DataFrame:
     return out
 
 
+#: Rows of a side that one task puts next to the other's.
+CONCAT_ROWS = 500_000
+
+
 def column_concat(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """The columns of both sides next to each other, row by row. Rows are aligned by their keys, which may be
     NULL, not by position; the job fails if a row of either side has no partner or if a key is
     told twice, so a result has exactly the rows that both sides have."""
-    def counted(df: DataFrame, flag: str) -> DataFrame:
-        others = [c for c in df.columns if c not in keys]
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(flag), *[F.any_value(c).alias(c) for c in others])
-
-    a, b = counted(left, "_left"), counted(right, "_right")
+    mine, theirs = [c for c in left.columns if c not in keys], [c for c in right.columns if c not in keys]
+    both = (left.withColumns({"_left": F.lit(1), "_right": F.lit(0)})
+            .unionByName(right.withColumns({"_left": F.lit(0), "_right": F.lit(1)}), allowMissingColumns=True))
+    # Brought together first, as a task can hold: nearly every key is one row of each side, and counting them where
+    # they lie would hold all of a task's rows.
+    n = max(num_partitions(left.sparkSession), right.count() // CONCAT_ROWS + 1)
+    rows = both.repartition(n, *keys).groupBy(*keys).agg(
+        F.sum("_left").alias("_left"), F.sum("_right").alias("_right"),
+        *[F.any_value(c, True).alias(c) for c in [*mine, *theirs]])
     sure = F.when((F.col("_left") == 1) & (F.col("_right") == 1), F.lit(True)).otherwise(
         F.raise_error(F.lit("column_concat: the sides do not have the same rows")))
-    named = b.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in b.columns if c not in keys])
-    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
-    return (a.join(named, same, "full").where(sure)
-            .select(*left.columns, *[c for c in right.columns if c not in keys]))
+    return rows.where(sure).select(*left.columns, *theirs)
 
 
 def hash_split(df: DataFrame, key_cols: list[str], train_share: int = 70, salt: str | None = None,

@@ -22,6 +22,12 @@ def test_column_concat_aligns_rows_by_key(spark):
     assert got == {(1, "a", 1.0, None), (2, None, 2.0, "y"), (None, "c", 3.0, "z")}
 
 
+def test_column_concat_brings_rows_together_before_it_counts_them(spark):
+    left, right = _two(spark)
+    plan = instances.column_concat(left, right, ["id", "k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("hashpartitioning") == 1
+
+
 def test_column_concat_of_empty_tables(spark):
     left, right = _two(spark)
     assert instances.column_concat(left.where("false"), right.where("false"), ["id", "k"]).collect() == []
