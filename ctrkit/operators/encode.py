@@ -7,16 +7,24 @@ column for model training.
 
 from __future__ import annotations
 
+import sys
+from collections import Counter
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ctrkit.functions.tokens import tokens, word_tokens
 from ctrkit.operators.ranking import ordered_scan
 from ctrkit.operators.stats import by_factor, long_form
 from ctrkit.session import scratch_path
 
+# Executors need Arrow, not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 # An integer text: digits with or without a sign. '1.0', '1e1' and ' 1' are texts like any other.
 INTEGER_TEXT = r"^[+-]?[0-9]+$"
@@ -90,10 +98,15 @@ def one_hot_long(df: DataFrame, row_keys: list[str], cols: list[str], dictionary
     dictionary = dictionary if dictionary is not None else ordinal_dictionary(df, cols)
     sizes = dictionary.groupBy("feature").agg((F.max("code") + 1).alias("n"))
     offs = block_offsets(sizes, cols)
-    d = dictionary.join(F.broadcast(offs.select("feature", "offset")), "feature").select(
-        "feature", "val", (F.col("offset") + F.col("code")).cast("bigint").alias("col_index"))
-    lf = long_form(df, cols, list(row_keys), name_col="feature", value_col="val")
-    return lf.join(d, ["feature", "val"]).select(*row_keys, "col_index", F.lit(1.0).alias("value"))
+    # Written, a column's classes have a size by which Spark broadcasts them: rows with few values are not brought together.
+    d = by_factor(dictionary.join(F.broadcast(offs.select("feature", "offset")), "feature").select(
+        "feature", "val", (F.col("offset") + F.col("code")).cast("bigint").alias("col_index")), "feature")
+    rows = df.select(*row_keys, *[F.col(c).cast("string").alias(f"_v_{c}") for c in cols])
+    for c in cols:
+        one = d.where(F.col("feature") == c).select(F.col("val").alias(f"_v_{c}"), F.col("col_index").alias(f"_i_{c}"))
+        rows = rows.join(one, f"_v_{c}", "left")
+    return (rows.select(*row_keys, F.explode(F.array(*[f"_i_{c}" for c in cols])).alias("col_index"))
+            .where(F.col("col_index").isNotNull()).select(*row_keys, "col_index", F.lit(1.0).alias("value")))
 
 
 def token_counts_long(df: DataFrame, row_keys: list[str], fields: list[str], word: bool = False,
@@ -119,22 +132,63 @@ def packed_strings(df: DataFrame, token_fields: list[str], dictionary: DataFrame
             .select("feature", F.col("_v").alias("val"), "cells"))
 
 
+#: Tokens of a vocabulary up to which it is shipped to the tasks; with more, distinct strings are packed and looked up.
+SHIPPED_TOKENS = 100_000
+
+
+def packed_in_place(rows: DataFrame, fields: list[str], dictionary: DataFrame) -> DataFrame:
+    """``rows`` with the column ``_p_<field>`` of the sorted (column, count) cells of the token strings ``_v_<field>``, which
+    go; a row stays where it lies. A batch splits and counts each of its distinct strings once."""
+    # As bounded by ``SHIPPED_TOKENS``.
+    at: dict[str, dict[str, int]] = {c: {} for c in fields}
+    for r in dictionary.where(F.col("feature").isin(fields)).collect():
+        at[r["feature"]][r["val"]] = r["col_index"]
+    cell = pa.list_(pa.struct([("i", pa.int32()), ("x", pa.float64())]))
+
+    def packed(strings: pa.Array, column: dict[str, int]) -> pa.Array:
+        coded = strings.dictionary_encode()
+        i, x, ends = [], [], [0]
+        for text in coded.dictionary.to_pylist():
+            counts = sorted(Counter(column[t] for t in text.split(" ")).items())
+            i.extend(k for k, _ in counts)
+            x.extend(n for _, n in counts)
+            ends.append(len(i))
+        cells = pa.StructArray.from_arrays([pa.array(i, pa.int32()), pa.array(x, pa.float64())], ["i", "x"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells).take(coded.indices).cast(cell)
+
+    lower = [F.lower(F.col(f"_v_{c}")).alias(f"_v_{c}") for c in fields]
+    others = [c for c in rows.columns if c not in {f"_v_{c}" for c in fields}]
+    rows = rows.select(*others, *lower)
+
+    def pack(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *(packed(part.column(f"_v_{c}"), at[c]) for c in fields)],
+                                                 names=[*others, *(f"_p_{c}" for c in fields)])
+
+    cells = ArrayType(StructType([StructField("i", IntegerType()), StructField("x", DoubleType())]))
+    return rows.mapInArrow(pack, StructType([*rows.select(*others).schema.fields, *(StructField(f"_p_{c}", cells) for c in fields)]))
+
+
 def design_matrix(df: DataFrame, row_keys: list[str], onehot_cols: list[str], token_fields: list[str],
                   numeric_cols: list[str] = (), keep: list[str] = ("label",), output: str = "features"
                   ) -> tuple[DataFrame, DataFrame]:
     """One sparse vector per row = one-hot blocks, then token-count blocks, then raw numeric
     columns. Returns (row_keys..., keep..., ``features``), dictionary).
 
-    A row never leaves its place: each of its values is looked up as the cell (one-hot) or the packed
+    A row never leaves its place: each of its values is looked up as the cell (one-hot) or turned into the packed
     cells (token string) that it stands for, and the pieces are concatenated in the order of the
-    blocks, so nothing is exploded or gathered per row. Dictionary and packed strings are stored
-    with a partition per column; small ones are broadcast by their size, large ones joined by value.
-    The result is written to the shared folder in the vector type's own layout and read back as
-    vectors: it takes no Python and makes no row dense."""
+    blocks, so nothing is exploded or gathered per row. The dictionary is stored with a partition per column,
+    small ones are broadcast by their size, large ones joined by value. Token strings are packed in the
+    tasks, by a vocabulary shipped to them; one of over ``SHIPPED_TOKENS`` tokens packs the distinct strings
+    instead, which are joined by value. The result is written to the shared folder in the vector
+    type's own layout and read back as vectors: no row is made dense."""
     spark = df.sparkSession
     dictionary = by_factor(feature_dictionary(df, onehot_cols, token_fields, numeric_cols), "feature")
     width = (dictionary.agg(F.max("col_index")).first()[0] or 0) + 1
-    strings = by_factor(packed_strings(df, token_fields, dictionary), "feature") if token_fields else None
+    shipped = dictionary.where(F.col("feature").isin(list(token_fields))).count() <= SHIPPED_TOKENS
+    strings = by_factor(packed_strings(df, token_fields, dictionary), "feature") if token_fields and not shipped else None
     # One entry per numeric column.
     at = {r["feature"]: r["col_index"] for r in dictionary.where(F.col("feature").isin(list(numeric_cols))).collect()} \
         if numeric_cols else {}
@@ -143,10 +197,12 @@ def design_matrix(df: DataFrame, row_keys: list[str], onehot_cols: list[str], to
                      *[F.col(c).cast("double").alias(f"_x_{c}") for c in numeric_cols])
     for c in onehot_cols:
         one = dictionary.where(F.col("feature") == c).select(F.col("val").alias(f"_v_{c}"), F.col("col_index").cast("int").alias(f"_i_{c}"))
-        rows = rows.join(one, f"_v_{c}", "left")
-    for c in token_fields:
+        rows = rows.join(one, f"_v_{c}", "left").drop(f"_v_{c}")
+    for c in token_fields if not shipped else []:
         one = strings.where(F.col("feature") == c).select(F.col("val").alias(f"_v_{c}"), F.col("cells").alias(f"_p_{c}"))
         rows = rows.join(one, f"_v_{c}", "left")
+    if token_fields and shipped:
+        rows = packed_in_place(rows, list(token_fields), dictionary)
 
     def cell(i, x):
         return F.struct(i.cast("int").alias("i"), x.cast("double").alias("x"))
@@ -160,13 +216,18 @@ def design_matrix(df: DataFrame, row_keys: list[str], onehot_cols: list[str], to
     return as_vectors(rows.withColumn("_c", cells), [*row_keys, *[c for c in keep if c not in row_keys]], width, output), dictionary
 
 
+#: Rows of a file of vectors. Equal token strings make vectors many times as large as their files; a task reads at
+#: most ``maxPartitionBytes`` / ``openCostInBytes`` files, 32 by default, so this bounds its vectors too.
+VECTOR_ROWS = 20_000
+
+
 def as_vectors(rows: DataFrame, cols: list[str], width: int, output: str) -> DataFrame:
     """``cols`` and the sparse vector of the sorted (column, value) cells in ``_c``, by way of a written table."""
     spark = rows.sparkSession
     vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(width).cast("int").alias("size"),
                       F.transform("_c", lambda c: c["i"]).alias("indices"), F.transform("_c", lambda c: c["x"]).alias("values"))
     path = scratch_path(spark, "vectors")
-    rows.select(*cols, vector.alias(output)).write.parquet(path)
+    rows.select(*cols, vector.alias(output)).write.option("maxRecordsPerFile", VECTOR_ROWS).parquet(path)
     schema = StructType([*rows.select(*cols).schema.fields, StructField(output, VectorUDT())])
     return spark.read.schema(schema).parquet(path)
 

@@ -44,3 +44,39 @@ def test_texts_of_one_integer_share_a_code(spark):
     assert {r.val: r.code for r in E.ordinal_dictionary(df, ["c"]).collect()} == {"1": 0, "01": 0, "2": 1, "10": 2}
     df = spark.createDataFrame([("1",), ("1.0",), ("1e1",)], "c string")
     assert {r.val: r.code for r in E.ordinal_dictionary(df, ["c"]).collect()} == {"1": 0, "1.0": 1, "1e1": 2}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_stay_where_they_lie(spark, monkeypatch):
+    written = []
+    as_vectors = E.as_vectors
+    monkeypatch.setattr(E, "as_vectors", lambda rows, *a: (written.append(rows), as_vectors(rows, *a))[1])
+    rows, _ = design_rows(spark, SF001)
+    assert "hashpartitioning" not in plan_of(written[0])
+    monkeypatch.setattr(E, "SHIPPED_TOKENS", 0)
+    joined, _ = design_rows(spark, SF001)
+    assert plan_of(written[1]).count("Join") == len(OHE_COLS) + len(DICT_TOKENS)
+    key = lambda r: (r.uid, r.aid)
+    assert sorted(rows.collect(), key=key) == sorted(joined.collect(), key=key)
+
+
+def test_files_of_vectors_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(E, "VECTOR_ROWS", 500)
+    rows, _ = design_rows(spark, SF001)
+    assert max(r["count"] for r in rows.select("_metadata.file_path").groupBy("file_path").count().collect()) <= 500
+
+
+def test_one_hot_rows_are_not_moved(spark):
+    cells = E.one_hot_long(matrix_input(spark, SF001), ["uid", "aid"], OHE_COLS)
+    assert "hashpartitioning" not in plan_of(cells)
+
+
+def test_compressed_csv(spark, tmp_path):
+    from ctrkit.sources import files
+    rows = [(1, "a,b"), (2, None), (3, 'x"y')]
+    files.write_csv(spark.createDataFrame(rows, "id long, t string"), str(tmp_path / "c"), header=True, compression="gzip")
+    assert {p.suffix for p in (tmp_path / "c").glob("part-*")} == {".gz"}
+    assert sorted(map(tuple, files.read_delimited(spark, str(tmp_path / "c"), "id long, t string", header=True).collect())) == rows
