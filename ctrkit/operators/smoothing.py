@@ -17,7 +17,7 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctrkit.functions import special
@@ -72,14 +72,16 @@ def fit_beta_steps(stats: DataFrame, group_cols: list[str], steps: int, clicks:
 
 
 def marginal_histograms(stats: DataFrame, group_cols: list[str], clicks: str = "clicks",
-                        impressions: str = "impressions") -> DataFrame:
+                        impressions: str = "impressions", n_cells: str | None = None) -> DataFrame:
     """(group..., part, n, cells): how many cells of a group have n clicks ('s'), n impressions
     without a click ('f') and n impressions ('t'). The three sums of an update separate, so these
-    three tables, linear in the distinct counts, hold all that a fit needs."""
+    three tables, linear in the distinct counts, hold all that a fit needs. A row of ``stats`` is a cell, or
+    the number of cells in its column ``n_cells``."""
     s, t = F.col(clicks).cast("double"), F.col(impressions).cast("double")
     parts = F.array(*[F.struct(F.lit(p).alias("part"), n.alias("n")) for p, n in (("s", s), ("f", t - s), ("t", t))])
-    return (stats.select(*group_cols, F.explode(parts).alias("_p")).select(*group_cols, "_p.*")
-            .groupBy(*group_cols, "part", "n").agg(F.count(F.lit(1)).alias("cells")))
+    cells = F.col(n_cells) if n_cells else F.lit(1)
+    return (stats.select(*group_cols, cells.cast("bigint").alias("_cells"), F.explode(parts).alias("_p"))
+            .select(*group_cols, "_cells", "_p.*").groupBy(*group_cols, "part", "n").agg(F.sum("_cells").alias("cells")))
 
 
 def _fit_histogram(parts: dict[str, tuple[np.ndarray, np.ndarray]], alpha: float, beta: float,
@@ -110,14 +112,14 @@ def _fit_histogram(parts: dict[str, tuple[np.ndarray, np.ndarray]], alpha: float
 
 def fit_beta(stats: DataFrame, group_cols: list[str], clicks: str = "clicks", impressions: str = "impressions",
              max_iter: int = MAX_ITER, eps: float = EPSILON, alpha0: float = ALPHA0,
-             beta0: float = BETA0, materialize: bool = False) -> DataFrame:
+             beta0: float = BETA0, materialize: bool = False, n_cells: str | None = None) -> DataFrame:
     """Iterate to convergence per group on executors:
     (group..., alpha, beta, n_iter, converged). Group keys keep their types and may be NULL.
     Degenerate groups (no impressions, or a parameter driven to 0) give NULL alpha / beta;
     callers fall back to the raw CTR. With ``materialize`` the parameters are checkpointed, so
     that several later joins do not run the iteration again, and broadcast when they are counted to be few:
-    rows joined by group would otherwise be dealt by group, one task each."""
-    hist = marginal_histograms(stats, group_cols, clicks, impressions)
+    rows joined by group would otherwise be dealt by group, one task each. ``n_cells``: see ``marginal_histograms``."""
+    hist = marginal_histograms(stats, group_cols, clicks, impressions, n_cells)
     schema = ", ".join([*[f"{g} {stats.schema[g].dataType.simpleString()}" for g in group_cols],
                         "alpha double, beta double, n_iter int, converged boolean"])
 
@@ -137,6 +139,11 @@ def fit_beta(stats: DataFrame, group_cols: list[str], clicks: str = "clicks", im
     return fitted
 
 
+def smoothed_ratio(clicks: Column, impressions: Column, alpha: Column, beta: Column) -> Column:
+    """B3 of one cell."""
+    return F.try_divide(clicks + alpha, impressions + alpha + beta)
+
+
 def smooth(stats: DataFrame, params: DataFrame, group_cols: list[str], clicks: str = "clicks",
            impressions: str = "impressions", complement: bool = False, out: str = "ctr",
            adjust_counts: bool = True) -> DataFrame:
@@ -147,7 +154,7 @@ def smooth(stats: DataFrame, params: DataFrame, group_cols: list[str], clicks: s
     j = join_keys(stats, params.select(*group_cols, "alpha", "beta"), group_cols, "left")
     a = F.coalesce(F.col("alpha"), F.lit(0.0))
     b = F.coalesce(F.col("beta"), F.lit(0.0))
-    ratio = F.try_divide(F.col(clicks) + a, F.col(impressions) + a + b)
+    ratio = smoothed_ratio(F.col(clicks), F.col(impressions), a, b)
     value = (F.lit(1.0) - ratio) if complement else ratio
     if not adjust_counts:
         return j.select(*[c for c in stats.columns if c != out], value.alias(out))

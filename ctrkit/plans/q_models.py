@@ -15,7 +15,7 @@ from ctrkit.operators import models as M
 from ctrkit.operators import stats as st
 from ctrkit.operators import tokens as T
 from ctrkit.operators.ranking import ordered_scan
-from ctrkit.operators.smoothing import fit_and_smooth
+from ctrkit.operators.smoothing import fit_beta, smoothed_ratio
 from ctrkit.plans import standin as S
 from ctrkit.plans.catalog import register
 from ctrkit.plans.oracle_base import auc_ctes, with_base
@@ -122,23 +122,59 @@ SMOOTH_COLS = [f"{f}_ctr_smooth" for f in S.CROSS_FACTORS]
 
 
 def model_table(spark, d):
-    """Compact numeric features per instance (train / valid / test split by hash),
-    checkpointed once because every model and search loop reads it many times."""
+    """Compact numeric features per instance (train / valid / test split by hash), written once as numbers because
+    every model and search loop reads it many times.
+
+    Every statistic holds the ad: the rows, without the long token strings, are brought together by it
+    once and counted there (``with_shared``). The counts of the train rows are what is stored; the fit takes its cells
+    from them and a row's rates follow from them as it is read, so there is neither a table of cells nor a join with one."""
     data = instances.hash_split(S.data_all(spark, d), ["uid", "aid"], 70).withColumn(
         "split", F.when(F.col("label").isNull(), F.lit("test")).otherwise(F.col("split")))
+    codes = ["lbs", "carrier", "consumptionability"]
+    # Written, the codes have a size by which Spark broadcasts them.
+    rows = E.ordinal_encode(st.with_token_counts(data, ["kw1", "interest1"]), codes, st.by_factor(E.ordinal_dictionary(data, codes), "feature"))
+    rows = rows.select("uid", "aid", F.col("aid").alias("_ad"), "label", "split", "kw1cnt", "interest1cnt", *[f"{c}_code" for c in codes],
+                       *S.CROSS_FACTORS)
     # Statistics of the label come from the train rows alone: validation rows must not see their own.
-    learned = data.where(F.col("split") == "train")
-    cells = st.ctr_by_value_aid(learned, S.CROSS_FACTORS).drop("ctr")
-    sm = st.attach_long(data, ["uid", "aid"], S.CROSS_FACTORS, fit_and_smooth(cells, ["factor_name"]), "ctr",
-                        ["aid"], suffix="_ctr_smooth")
-    base = E.ordinal_encode(st.with_token_counts(data, ["kw1", "interest1"]), ["lbs", "carrier", "consumptionability"])
-    base = (base.join(st.delivery_volume(data), "aid", "left")
-            .join(st.historic_ctr(learned, "aid").select("aid", "hist_ctr"), "aid", "left"))
-    t = base.join(sm, ["uid", "aid"], "left").fillna(0.0, subset=SMOOTH_COLS + ["hist_ctr"])
-    t = t.select("uid", "aid", "label", "split", *[F.col(c).cast("double") for c in NUMERIC + SMOOTH_COLS],
-                 *S.TOKEN_FACTORS)
-    shared_root(spark)
-    return t.checkpoint(eager=True)
+    learned = F.col("split") == "train"
+    sums = {"clicks": F.sum(F.when(learned, F.col("label"))), "rows": F.count(F.when(learned, 1)), "all": F.count(F.lit(1))}
+    counted = st.with_shared(rows, rows, "aid", [*S.CROSS_FACTORS, "_ad"], sums, ["uid", "aid"])
+    path = scratch_path(spark, "counted")
+    # In an order of their own, so that a fit on them draws the same rows each time.
+    (counted.drop("_ad", *[f"_{f}_all" for f in S.CROSS_FACTORS]).sortWithinPartitions("aid", "uid").write.parquet(path))
+    stored = spark.read.parquet(path)
+    fitted = {r["factor_name"]: r for r in fit_beta(_cells(stored), ["factor_name"], n_cells="n_cells").collect()}
+
+    def smoothed(f):
+        a, b = (F.lit(fitted[f][x] if f in fitted and fitted[f][x] is not None else 0.0) for x in ("alpha", "beta"))
+        # A value that no train row has at this ad has no cell; a row without a user is looked up nowhere.
+        return F.when((F.col(f"_{f}_rows") > 0) & F.col("uid").isNotNull(), smoothed_ratio(F.col(f"_{f}_clicks"), F.col(f"_{f}_rows"), a, b))
+
+    rates = {f"{f}_ctr_smooth": F.coalesce(smoothed(f), F.lit(0.0)) for f in S.CROSS_FACTORS}
+    t = stored.withColumns({"delivery": F.col("__ad_all"), "hist_ctr": F.coalesce(F.try_divide(
+        F.col("__ad_clicks").cast("double"), F.col("__ad_rows")), F.lit(0.0)), **rates})
+    if _told_twice(spark, d):
+        # An instance told k times meets the rates of each of its rows.
+        t = t.drop(*rates).join(t.select("uid", "aid", *rates), ["uid", "aid"], "left").fillna(0.0, subset=SMOOTH_COLS)
+    return t.select("uid", "aid", "label", "split", *[F.col(c).cast("double") for c in NUMERIC + SMOOTH_COLS])
+
+
+def _cells(stored):
+    """(factor_name, clicks, impressions, n_cells) of the train rows: a cell of n rows is told by each of them. Rows
+    without an ad, which are looked up nowhere, have their cells too."""
+    learned = stored.where(F.col("split") == "train")
+    told = F.explode(F.array(*[F.struct(F.lit(f).alias("factor_name"), F.col(f"_{f}_clicks").alias("clicks"), F.col(f"_{f}_rows").alias("impressions"))
+                               for f in S.CROSS_FACTORS])).alias("_c")
+    known = (learned.where(F.col("aid").isNotNull()).select(told).select("_c.*").groupBy("factor_name", "clicks", "impressions")
+             .agg((F.count(F.lit(1)) / F.col("impressions")).cast("bigint").alias("n_cells")))
+    no_ad = st.ctr_by_value_aid(learned.where(F.col("aid").isNull()), S.CROSS_FACTORS)
+    return known.unionByName(no_ad.select("factor_name", "clicks", "impressions", F.lit(1).cast("bigint").alias("n_cells")))
+
+
+def _told_twice(spark, d) -> bool:
+    """Whether a user or an ad has more than one row, and so an instance too."""
+    return any(not x.groupBy(*x.columns).count().where("count > 1").isEmpty()
+               for x in (S.users(spark, d).select("uid"), S.ad_features(spark, d).select("aid")))
 
 
 def _assembled(t, cols):
@@ -315,8 +351,10 @@ def cut_rows(spark, d):
     t = model_table(spark, d)
     ranked = T.rank_tokens(T.token_importance(S.data_all(spark, d), ["kw1"])).select("single_value", "rank").checkpoint()
     top = min(CUT_FROM, ranked.count())
-    counts = T.rank_counts(t.select("kw1").distinct(), "kw1", ranked, top)
-    rows = (t.where(F.col("label").isNotNull()).join(counts, "kw1")
+    # A user's tokens, which all rows of the user share.
+    users = S.data_all(spark, d).select("uid", "kw1").distinct()
+    counts = T.rank_counts(users.select("kw1").distinct(), "kw1", ranked, top)
+    rows = (t.where(F.col("label").isNotNull()).join(users.join(counts, "kw1").withColumnRenamed("uid", "_uid"), F.col("uid").eqNullSafe(F.col("_uid")))
             .select("split", "label", F.array(*SMOOTH_COLS).alias("base"), "counts").checkpoint())
     return rows, list(range(top, 0, -1))
 
